@@ -3,7 +3,8 @@
 Logistic regression on which hashed words (ASCII lower case, outer punctuation off) a text has. For labelled texts,
 counterfactuals are made: where a text mentions an identity term, that term is swapped for another one of its list;
 where it mentions none, a neutral mention is put in. The loss adds the squared change of the score (as a logit) from
-text to counterfactual, so that the model can't lean on the mention of a group.
+text to counterfactual, so that the model can't lean on the mention of a group. Each word's feature has the size of its
+log-odds between the labels (add-one smoothed), so that words without a link to the label hardly get a weight.
 
 Fitting takes at most ``max_rows`` labelled rows, those with the smallest hash of doc_id, which bounds what the driver
 holds: only hashed words travel to it. Scoring covers every row. Labels, language, source and doc_id are never inputs
@@ -26,7 +27,7 @@ FEATURES = 1 << 18
 MAX_ROWS = 12_000
 #: A feature counts if so many fitted rows have it.
 MIN_ROWS = 4
-STEPS, RATE, RIDGE, FAIRNESS = 150, 0.15, 1e-4, 1.0
+STEPS, RATE, RIDGE, FAIRNESS = 150, 0.1, 5e-4, 1.0
 THRESHOLD = 0.3
 #: Identity terms that may stand for each other (fixed values; a parameter of fit()).
 IDENTITY = (
@@ -92,20 +93,23 @@ def train(ids: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarra
     off_row, off_col = flat([s[0] for s in swaps])
     on_row, on_col = flat([s[1] for s in swaps])
     m, d = len(swaps), len(used)
+    toxic = labels.sum()
+    with_word, toxic_word = np.bincount(col, minlength=d), np.bincount(col, labels[row], d)
+    size = np.abs(np.log((toxic_word + 1) / (toxic + 2)) - np.log((with_word - toxic_word + 1) / (n - toxic + 2)))
     w, bias = np.zeros(d), float(np.log((labels.mean() + 1e-6) / (1 - labels.mean())))
     first, second = np.zeros(d + 1), np.zeros(d + 1)
     for step in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[col], n), -30, 30)))
+        v = w * size
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, v[col], n), -30, 30)))
         e = (p - labels) / n
-        g = np.bincount(col, e[row], d) + RIDGE * w
-        change = np.bincount(on_row, w[on_col], m) - np.bincount(off_row, w[off_col], m)
-        g += FAIRNESS / m * (np.bincount(on_col, change[on_row], d) - np.bincount(off_col, change[off_row], d))
-        g = np.append(g, e.sum())
+        change = np.bincount(on_row, v[on_col], m) - np.bincount(off_row, v[off_col], m)
+        g = np.bincount(col, e[row], d) + FAIRNESS / m * (np.bincount(on_col, change[on_row], d) - np.bincount(off_col, change[off_row], d))
+        g = np.append(size * g + RIDGE * w, e.sum())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     weight = np.zeros(FEATURES, np.float32)
-    weight[used] = w
+    weight[used] = w * size
     return Model(weight, float(bias))
 
 
