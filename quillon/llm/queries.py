@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, pair_bpe, toxicity, trie_tokens
+from . import importance, language_id, pair_bpe, simhash_dedup, toxicity, trie_tokens
 from .common import fold, table
 
 
@@ -16,6 +16,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("fp")
+
+
+def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = toxicity.held_out().alias("held_out")
@@ -40,6 +48,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_importance": op4_importance,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
