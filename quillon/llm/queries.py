@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, language_id, pair_bpe, simhash_dedup, toxicity, trie_tokens
+from . import importance, language_id, pair_bpe, simhash_dedup, substring_dedup, toxicity, trie_tokens
 from .common import fold, table
 
 
@@ -20,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("fp")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(spark, table(spark, sf_dir, "documents"), text=False)
+
+
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_substring": op2_substring,
     "op4_importance": op4_importance,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
