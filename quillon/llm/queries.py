@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, language_id, pair_bpe, simhash_dedup, substring_dedup, toxicity, trie_tokens
+from . import decontamination, importance, language_id, pair_bpe, quality_rules, simhash_dedup, substring_dedup, toxicity, trie_tokens
 from .common import fold, table
 
 
@@ -24,10 +24,19 @@ def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(spark, table(spark, sf_dir, "documents"), text=False)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = toxicity.held_out().alias("held_out")
@@ -54,11 +63,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring": op2_substring,
+    "op3_quality": op3_quality,
     "op4_importance": op4_importance,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_decontamination": decontamination.oracle_sql()}
