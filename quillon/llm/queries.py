@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, language_id, pair_bpe, quality_rules, simhash_dedup, substring_dedup, toxicity, trie_tokens
+from . import decontamination, importance, language_id, language_model, pair_bpe, quality_rules, simhash_dedup, substring_dedup, toxicity, trie_tokens
 from .common import fold, table
 
 
@@ -33,6 +33,12 @@ def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 10) == 0
+    return language_model.fit_and_score(spark, docs, ~held_out).withColumn("held_out", held_out)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op2_substring": op2_substring,
     "op3_quality": op3_quality,
     "op4_importance": op4_importance,
+    "op5_language_model": op5_language_model,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
