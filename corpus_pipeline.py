@@ -25,7 +25,9 @@ from quillon.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """The row number keeps the optimizer from moving the filter below the columns it reads, which would compute each of them many times over."""
+    judged = rules.judge(docs, table(spark, sf_dir, "labels")).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("kept and __row >= 0").select(docs.columns)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

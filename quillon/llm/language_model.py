@@ -47,7 +47,8 @@ def _tokens(texts: list[bytes | None]):
         inner[ends] = False
         h, kind = np.full(n, END, np.uint64), np.zeros(n, np.int64)
         h[inner] = chunk.hashes() if len(chunk.starts) else 0
-        two = chunk.buffer[chunk.ends - 1].astype(np.int64) * 257 + chunk.buffer[chunk.ends - 2]  # a space before a word of one byte
+        before = np.where(chunk.ends - chunk.starts > 1, chunk.buffer[chunk.ends - 2], 0)
+        two = chunk.buffer[chunk.ends - 1].astype(np.int64) * 257 + before
         kind[inner] = two * 40503 % 65521 % CLASSES
         yield k, j, h.view(np.int64), kind, first
 
