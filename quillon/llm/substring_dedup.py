@@ -9,7 +9,7 @@ Consecutive windows that share their minimiser form a super-k-mer, which is pack
    Copies are counted before anything is dealt out: of equal super-k-mers one string remains, with its least doc_id.
 3. Each string goes to its minimiser's bucket. There its windows are sorted with those of the others, and equal windows
    get the least doc_id that any of them has. A bucket of more than BUCKET distinct strings (a passage that very many
-   documents embed in texts of their own) isn't held in one task: its windows are counted by a shuffle on their digests.
+   documents embed in texts of their own) isn't held in one task: it is sliced, and the slices' windows meet by digests.
 4. A document's word goes if a window that covers it has a smaller doc_id somewhere.
 
 Null and empty texts have no words. Texts shorter than a window lose nothing. Rows with a null doc_id neither lose words
@@ -146,68 +146,132 @@ def _settle(bucket: list[tuple]) -> list[tuple[int, int, int, int, int]]:
         if w != last:
             last, least = w, doc
         least_of[k][off] = least
-    out = []
-    for (d1, d2, n, _, most, _), found in zip(bucket, least_of, strict=True):
-        off = 0
-        while off < n:
-            end = off + 1
-            while end < n and found[end] == found[off]:
-                end += 1
-            if found[off] < most:
-                out.append((d1, d2, off, end - off, found[off]))
-            off = end
+    return [r for (d1, d2, _, _, most, _), found in zip(bucket, least_of, strict=True) for r in _runs_of(d1, d2, found, most)]
+
+
+def _runs_of(d1: int, d2: int, least: list[int], most: int) -> list[tuple[int, int, int, int, int]]:
+    """Runs of windows with the same least doc_id, where that is smaller than the super-k-mer's greatest one."""
+    out, off = [], 0
+    while off < len(least):
+        end = off + 1
+        while end < len(least) and least[end] == least[off]:
+            end += 1
+        if least[off] < most:
+            out.append((d1, d2, off, end - off, least[off]))
+        off = end
     return out
 
 
 _RUNS = "d1 long, d2 long, off int, len int, least long"
 
 
+def _run_batch(out: list[tuple]):
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["d1", "d2", "off", "len", "least"])
+
+
 def sort_buckets(rows: DataFrame) -> DataFrame:
     """Runs of windows with their least doc_id; rows: distinct super-k-mers, at most BUCKET of a minimiser."""
 
     def run(batches):
-        import pyarrow as pa
-
-        def batch_of(out):
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], ["d1", "d2", "off", "len", "least"])
-
-        bucket, at, out = [], None, []
-        for batch in batches:
-            for h, *row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                if h != at:
-                    out += _settle(bucket) if bucket else []
-                    bucket, at = [], h
-                bucket.append(tuple(row))
+        out = []
+        for _, bucket in _groups(batches, 1):
+            out += _settle(bucket)
             if len(out) > 10_000:
-                yield batch_of(out)
+                yield _run_batch(out)
                 out = []
-        out += _settle(bucket) if bucket else []
-        yield batch_of(out)
+        yield _run_batch(out)
 
     own = rows.select("h", "d1", "d2", "n", "least", "most", "words").repartition("h").sortWithinPartitions("h")
     return own.mapInArrow(run, _RUNS)
 
 
-def count_windows(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The same for the super-k-mers of crowded minimisers: windows meet by their 128-bit digests."""
+def _groups(batches, keys: int):
+    """(key, rows) of rows that come sorted by their first columns; a group is held at a time."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+            if row[:keys] != at:
+                if rows:
+                    yield at, rows
+                at, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield at, rows
 
-    def run(batches):
+
+def _digests(words: bytes, n: int) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(w) for w in _windows(words, n)]
+
+
+def merge_slices(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The same for crowded minimisers, whose super-k-mers (with crowd, their number) are dealt into slices of BUCKET or so.
+
+    A slice finds its distinct windows and sends each one's 128-bit digest and least doc_id to a part of the minimiser, many
+    in one row. A part finds the least of all slices and answers the slices that had a greater one.
+    """
+    sliced = rows.withColumn("slice", F.expr(f"pmod(d1, cast(ceil(crowd / {BUCKET}) as bigint))"))
+    sliced = stage_table(spark, sliced.select("h", "slice", "crowd", "d1", "d2", "n", "least", "most", "words"), "slices")
+
+    def by(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(*keys[:2]).sortWithinPartitions(*keys)
+
+    def own_least(own) -> dict[bytes, int]:
+        least: dict[bytes, int] = {}
+        for n, doc, words in own:
+            for w in _digests(words, n):
+                least[w] = min(doc, least.get(w, doc))
+        return least
+
+    def send(batches):
         import pyarrow as pa
 
-        names = ["w1", "w2", "d1", "d2", "off", "least", "most"]
-        kinds = [*[pa.int64()] * 4, pa.int32(), pa.int64(), pa.int64()]
-        for batch in batches:
+        for (h, part_of), own in _groups(batches, 2):
+            parts = max(1, own[0][0] // (2 * BUCKET))
+            out: dict[int, list] = {}
+            for w, doc in own_least([x[1:] for x in own]).items():
+                out.setdefault(int.from_bytes(w[:4], "little") % parts, []).append((w, doc))
+            columns = [[h] * len(out), list(out), [part_of] * len(out), [b"".join(w for w, _ in x) for x in out.values()], [[doc for _, doc in x] for x in out.values()]]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["h", "part", "slice", "keys", "docs"])
+
+    def answer(batches):
+        import pyarrow as pa
+
+        for (h, _), sent in _groups(batches, 2):
+            least: dict[bytes, int] = {}
+            for _, keys, docs in sent:
+                for k, doc in enumerate(docs):
+                    w = keys[16 * k : 16 * k + 16]
+                    least[w] = min(doc, least.get(w, doc))
             out = []
-            for d1, d2, n, least, most, words in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                out += [(*_signed(xxhash.xxh3_128_intdigest(w)), d1, d2, off, least, most) for off, w in enumerate(_windows(words, n))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names)
+            for slice_, keys, docs in sent:
+                less = [(w, least[w]) for k, doc in enumerate(docs) if least[w := keys[16 * k : 16 * k + 16]] < doc]
+                if less:
+                    out.append((h, slice_, b"".join(w for w, _ in less), [doc for _, doc in less]))
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], ["h", "slice", "keys", "docs"])
+
+    def settle(batches):
+        import pyarrow as pa
+
+        for _, own in _groups(batches, 2):
+            answers, kmers = [x for x in own if x[0] == 0], [x[3:] for x in own if x[0] == 1]
+            least = own_least([(n, doc, words) for _, _, n, doc, _, words in kmers])
+            for _, keys, docs, *_ in answers:
+                for k, doc in enumerate(docs):
+                    w = keys[16 * k : 16 * k + 16]
+                    if w in least:
+                        least[w] = min(doc, least[w])
+            yield _run_batch([r for d1, d2, n, _, most, words in kmers for r in _runs_of(d1, d2, [least[w] for w in _digests(words, n)], most)])
 
-    rows = rows.select("d1", "d2", "n", "least", "most", "words")
-    windows = stage_table(spark, rows.mapInArrow(run, "w1 long, w2 long, d1 long, d2 long, off int, least long, most long"), "windows")
-    least = stage_table(spark, windows.groupBy("w1", "w2").agg(F.min("least").alias("first")), "window-minima")
-    found = windows.drop("least").join(least, ["w1", "w2"]).where("first < most")
-    return found.select("d1", "d2", "off", F.lit(1).alias("len"), F.col("first").alias("least"))
+    sent = by(sliced.select("h", "slice", "crowd", "n", "least", "words"), "h", "slice").mapInArrow(send, "h long, part long, slice long, keys binary, docs array<long>")
+    answers = by(sent, "h", "part").mapInArrow(answer, "h long, slice long, keys binary, docs array<long>")
+    answers = answers.selectExpr("h", "slice", "0 as kind", "keys", "docs", "0L as d1", "0L as d2", "0 as n", "0L as least", "0L as most", "cast(null as binary) as words")
+    kmers = sliced.selectExpr("h", "slice", "1 as kind", "cast(null as binary) as keys", "cast(null as array<bigint>) as docs", "d1", "d2", "n", "least", "most", "words")
+    return by(answers.unionByName(kmers), "h", "slice", "kind").mapInArrow(settle, _RUNS)
 
 
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -219,9 +283,9 @@ def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     kmers = stage_table(spark, packed(docs.join(hs, "doc_id")), "super-k-mers")
     distinct = kmers.groupBy("d1", "d2").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("words").alias("words"))
     distinct = stage_table(spark, distinct, "distinct-super-k-mers")
-    crowded = stage_table(spark, distinct.groupBy("h").count().where(F.col("count") > BUCKET).select("h"), "crowded")
+    crowded = stage_table(spark, distinct.groupBy("h").agg(F.count("*").alias("crowd")).where(F.col("crowd") > BUCKET), "crowded")
     runs = sort_buckets(distinct.join(crowded, "h", "left_anti"))
-    runs = stage_table(spark, runs.unionByName(count_windows(spark, distinct.join(crowded, "h", "left_semi"))), "runs")
+    runs = stage_table(spark, runs.unionByName(merge_slices(spark, distinct.join(crowded, "h"))), "runs")
     hit = kmers.select("d1", "d2", "doc_id", "start").join(runs, ["d1", "d2"]).where("least < doc_id")
     begin = F.col("start") + F.col("off")
     span = F.struct(begin.alias("from"), (begin + F.col("len") + (WINDOW - 1)).alias("to"))
