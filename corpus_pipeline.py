@@ -4,8 +4,8 @@ Each stage's result is written as Parquet and read again as the next one's docs.
 of documents (doc_id, text, lang, source, n_chars, and whatever else docs has).
 
 * quality_rules: documents that the rules reject go.
-* simhash_dedup: of each class of near duplicates the row with the smallest doc_id stays. Rows of a class without any id are
-  told apart by their texts' hashes, and one stays.
+* simhash_dedup: of each class of near duplicates one row stays, that with the smallest doc_id; null ids come last, and
+  rows of equal ids go by a hash of all columns.
 * substring_dedup: repeated passages go from the texts; n_chars follows. No document goes.
 * decontamination: documents that contain a benchmark item go.
 * bpe: the tokens of each document: doc_id, n_tokens, ids_sha256, decoded_sha256.
@@ -25,26 +25,25 @@ from quillon.llm.queries import vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row number keeps the optimizer from moving the filter below the columns it reads, which would compute each of them many times over."""
-    judged = rules.judge(docs, table(spark, sf_dir, "labels")).withColumn("__row", F.monotonically_increasing_id())
-    return judged.where("kept and __row >= 0").select(docs.columns)
+    return rules.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays: the one that names it. Only ids and fingerprints are compared, texts stay put until the end."""
-    classes = simhash_dedup.near_duplicates(spark, docs).select("doc_id", "component_id")
-    stays = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stays.withColumnRenamed("doc_id", "__stays"), F.col("doc_id").eqNullSafe(F.col("__stays")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each class stays. Rows are told apart by two 64-bit hashes of all their columns, which texts meet in the end."""
+    marked = docs.withColumns({f"__k{n}": F.xxhash64(F.lit(n), *docs.columns) for n in (1, 2)})
+    classes = simhash_dedup.near_duplicates(spark, marked, keep=[F.col("__k1"), F.col("__k2")])
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__k1", "__k2")
+    stays = classes.groupBy("root").agg(F.min(order).alias("first")).select("first.__k1", "first.__k2")
+    kept = marked.join(stage_table(spark, stays, "stays"), ["__k1", "__k2"], "left_semi")
+    return kept.dropDuplicates(["__k1", "__k2"]).select(docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = substring_dedup.deduplicate(spark, docs)
-    kept = found.where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
-    joined = docs.join(kept, F.col("doc_id") == F.col("__id"), "left")
-    text = F.coalesce("__kept", "text")
-    made = {"text": text} | ({"n_chars": F.when(F.col("__kept").isNotNull(), F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return joined.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    made = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

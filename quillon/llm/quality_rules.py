@@ -26,6 +26,14 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
 
+def settled(value: Column) -> Column:
+    """value, as an expression that the optimizer neither copies into its users nor moves a filter below.
+
+    Else a filter on a result would have the words split again for each word that a lambda function looks at.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def base_columns(text: str, w: str) -> dict[str, Column]:
     """The counts, from a text column without nulls and its array of words."""
     full = F.col(text)
@@ -46,15 +54,9 @@ def with_repeat_words(df: DataFrame, w: str, name: str) -> DataFrame:
     together. Neighbours with the same upper bits are compared word by word.
     """
     df = df.withColumn("__bits", F.ceil(F.log2(F.size(w) + F.lit(1.0))).cast("int"))
-    df = df.withColumn(
-        "__keys",
-        F.sort_array(
-            F.expr(
-                f"transform(slice({w}, 1, greatest(size({w}) - 2, 0)), (x, i) -> "
-                f"shiftleft(xxhash64(x, get({w}, i + 1), get({w}, i + 2)), __bits) | cast(i as bigint))"
-            )
-        ),
-    )
+    first = f"slice({w}, 1, greatest(size({w}) - 2, 0))"
+    keys = F.expr(f"transform({first}, (x, i) -> shiftleft(xxhash64(x, get({w}, i + 1), get({w}, i + 2)), __bits) | cast(i as bigint))")
+    df = df.withColumn("__keys", settled(F.sort_array(keys)))
 
     def equal(x: Column, y: Column) -> Column:
         p, q = (v.bitwiseAND(F.expr("shiftleft(1L, __bits) - 1L")).cast("int") for v in (x, y))
@@ -66,7 +68,7 @@ def with_repeat_words(df: DataFrame, w: str, name: str) -> DataFrame:
     def repeated(x: Column, i: Column) -> Column:
         return equal(x, F.get(F.col("__keys"), i - 1)) | equal(x, F.get(F.col("__keys"), i + 1))
 
-    df = df.withColumn("__at", F.sort_array(F.transform(F.filter("__keys", repeated), lambda x: x.bitwiseAND(F.expr("shiftleft(1L, __bits) - 1L")))))
+    df = df.withColumn("__at", settled(F.sort_array(F.transform(F.filter("__keys", repeated), lambda x: x.bitwiseAND(F.expr("shiftleft(1L, __bits) - 1L"))))))
     width = F.expr("transform(__at, (p, i) -> least(3L, coalesce(get(__at, i + 1) - p, 3L)))")
     return df.withColumn(name, F.aggregate(width, F.lit(0).cast("long"), lambda a, x: a + x)).drop("__bits", "__keys", "__at")
 
@@ -101,7 +103,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, m
     A column of docs that has the name of one of these is replaced.
     """
     ratios = F.split(F.lit(",".join(f"{x:.5f}" for x in log_ratios(docs, labels, max_target))), ",").cast("array<double>")
-    df = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__words", words(F.col("__text")))
+    df = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__words", settled(words(F.col("__text"))))
     df = df.withColumns(base_columns("__text", "__words"))
     df = with_repeat_words(df, "__words", "n_repeat_words")
 
@@ -109,6 +111,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, m
         a, b = _grams(word)
         return total + F.get(ratios, a.cast("int")) + F.get(ratios, b.cast("int"))
 
-    df = df.withColumn("llr", F.aggregate("__words", F.lit(0.0), add) / F.greatest(F.lit(1), 2 * F.col("n_words")))
+    df = df.withColumn("llr", settled(F.aggregate("__words", F.lit(0.0), add) / F.greatest(F.lit(1), 2 * F.col("n_words"))))
     df = df.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("__text", "__words")

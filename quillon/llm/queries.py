@@ -17,11 +17,11 @@ def vocabulary(name: str) -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("fp")
+    return simhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents")).drop("root")
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicate(spark, table(spark, sf_dir, "documents"), text=False)
+    return substring_dedup.deduplicate(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), text=False)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stage_table
 from .components import components
@@ -29,18 +30,18 @@ from .fingerprint import simhash
 BITS, DISTANCE = 64, 4
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long; one pass without a shuffle."""
+def fingerprints(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
+    """The columns ``keep`` of docs with fp, the fingerprint's bits as a signed long; one pass without a shuffle."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp = np.array([simhash(x) for x in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([simhash(x) for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = docs.select(*keep, F.col(text).alias("__text"))
+    return rows.mapInArrow(run, T.StructType([*[f for f in rows.schema if f.name != "__text"], T.StructField("fp", T.LongType())]))
 
 
 def _sums(fps: DataFrame, size: int, count) -> np.ndarray:
@@ -221,13 +222,16 @@ def links(spark: SparkSession, fps: DataFrame, distance: int = DISTANCE) -> Data
     return ask.join(have.hint("shuffle_hash"), near).select(F.col("q.fp").alias("a"), F.col("d.fp").alias("b")).distinct()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, fingerprint, component_id) for each row of docs; component_id is the smallest doc_id reachable."""
-    prints = stage_table(spark, fingerprints(docs, doc_id, text), "fingerprints")
+def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", distance: int = DISTANCE, keep: list[Column] | None = None) -> DataFrame:
+    """(doc_id, the columns keep, fingerprint, component_id, root) for each row of docs.
+
+    component_id is the smallest doc_id reachable; root is a fingerprint (as a long) that stands for the class.
+    """
+    prints = stage_table(spark, fingerprints(docs, [F.col("doc_id"), *(keep or [])], text), "fingerprints")
     distinct = stage_table(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     roots = components(spark, links(spark, distinct.select("fp"), distance))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return prints.join(classes, "fp").select("doc_id", "fp", hexed.alias("fingerprint"), "component_id")
+    classes = rooted.join(least, "root").select("fp", "component_id", "root")
+    own = [c for c in prints.columns if c != "fp"]
+    return prints.join(classes, "fp").select(*own, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")

@@ -25,6 +25,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordChunk, as_bytes, mix, stage_table, text_chunks
 
@@ -293,20 +294,22 @@ def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, *, text: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) for each row of docs (doc_id, text).
+    """docs (doc_id, text, ...) without text, with n_words, n_removed, kept_sha256 and, if text, kept.
 
-    kept is the text as it was if no word goes, else the kept words joined by single spaces.
+    kept is the text as it was if no word goes, else the kept words joined by single spaces. A column of docs that has the
+    name of one of these is replaced.
     """
-    gone = removals(spark, docs)
-    rows = docs.select("doc_id", "text").join(gone, "doc_id", "left")
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType())] * text
+    fields = [f for f in docs.schema if f.name not in {"text", *(m.name for m in made)}]
+    gone = removals(spark, docs).withColumnsRenamed({"doc_id": "__id", "gone": "__gone"})
+    rows = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").select(*[f.name for f in fields], "text", "__gone")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             total, removed, sums, kept = [], [], [], []
-            for x, ranges in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for x, ranges in zip(as_bytes(batch.column(len(fields))), batch.column(len(fields) + 1).to_pylist(), strict=True):
                 words = (x or b"").split()
                 n = len(words)
                 if ranges:
@@ -320,7 +323,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, text: bool = True) -> D
                 sums.append(hashlib.sha256(joined).hexdigest())
                 if text:
                     kept.append(joined if ranges else x)
-            made = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())] + [pa.array(kept, pa.binary()).cast(pa.string())] * text
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept"] * text])
+            out = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())] + [pa.array(kept, pa.binary()).cast(pa.string())] * text
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *out], [*[f.name for f in fields], *[m.name for m in made]])
 
-    return rows.mapInArrow(run, f"doc_id {doc_type}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
+    return rows.mapInArrow(run, T.StructType(fields + made))
