@@ -13,7 +13,7 @@ Consecutive windows that share their minimiser form a super-k-mer, which is pack
 4. A document's word goes if a window that covers it has a smaller doc_id somewhere.
 
 Null and empty texts have no words. Texts shorter than a window lose nothing. Rows with a null doc_id neither lose words
-nor make others lose any, having no place in the order; rows that repeat a doc_id are judged alike and don't affect each other.
+nor make others lose any, having no place in the order; rows that repeat a doc_id are judged one by one and don't affect each other.
 Windows are judged on the input, not on what is left. Other columns don't take part.
 """
 
@@ -79,7 +79,7 @@ def minimisers(docs: DataFrame) -> DataFrame:
                 new = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])] if len(h) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(ids[k + text[new]])], ["h", "doc_id"])
 
-    return docs.mapInArrow(run, "h long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long")
 
 
 def _signed(digest: int) -> tuple[int, int]:
@@ -87,7 +87,7 @@ def _signed(digest: int) -> tuple[int, int]:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(d1, d2, h, n, doc_id, start, words) of the super-k-mers of docs (doc_id, text, hs) whose minimiser is in hs.
+    """(d1, d2, h, n, doc_id, tag, start, words) of the super-k-mers of docs (doc_id, tag, text, hs) whose minimiser is in hs.
 
     words is null where the task has sent the string before.
     """
@@ -97,7 +97,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
         seen: set[int] = set()
         for batch in batches:
-            ids, wanted = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            ids, wanted, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             texts = [b" ".join(x.split()) if x else b"" for x in as_bytes(batch.column(1))]
             for k, j, chunk in text_chunks(texts):
                 text, at, n, h = super_kmers(chunk)
@@ -120,10 +120,10 @@ def packed(docs: DataFrame) -> DataFrame:
                         seen.clear()
                     seen.add(digest)
                 start = at - chunk.first[text]
-                columns = [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(h), pa.array(n.astype(np.int32)), pa.array(ids[k + text]), pa.array(start.astype(np.int32)), pa.array(strings, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "h", "n", "doc_id", "start", "words"])
+                columns = [pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(h), pa.array(n.astype(np.int32)), pa.array(ids[k + text]), pa.array(tags[k + text]), pa.array(start.astype(np.int32)), pa.array(strings, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "h", "n", "doc_id", "tag", "start", "words"])
 
-    return docs.select("doc_id", "text", "hs").mapInArrow(run, "d1 long, d2 long, h long, n int, doc_id long, start int, words binary")
+    return docs.select("doc_id", "text", "hs", "tag").mapInArrow(run, "d1 long, d2 long, h long, n int, doc_id long, tag long, start int, words binary")
 
 
 def _windows(words: bytes, n: int) -> list[bytes]:
@@ -276,8 +276,11 @@ def merge_slices(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(doc_id, gone): for each document that loses words, array<struct<from, to>> of word ranges, to exclusive."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, tag, gone): for each document that loses words, array<struct<from, to>> of word ranges, to exclusive.
+
+    tag is a hash of the text, which tells rows of the same doc_id apart.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
     own = stage_table(spark, minimisers(docs), "minimisers")
     shared = stage_table(spark, own.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "shared-minimisers")
     hs = own.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
@@ -287,10 +290,10 @@ def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     crowded = stage_table(spark, distinct.groupBy("h").agg(F.count("*").alias("crowd")).where(F.col("crowd") > BUCKET), "crowded")
     runs = sort_buckets(distinct.join(crowded, "h", "left_anti"))
     runs = stage_table(spark, runs.unionByName(merge_slices(spark, distinct.join(crowded, "h"))), "runs")
-    hit = kmers.select("d1", "d2", "doc_id", "start").join(runs, ["d1", "d2"]).where("least < doc_id")
+    hit = kmers.select("d1", "d2", "doc_id", "tag", "start").join(runs, ["d1", "d2"]).where("least < doc_id")
     begin = F.col("start") + F.col("off")
     span = F.struct(begin.alias("from"), (begin + F.col("len") + (WINDOW - 1)).alias("to"))
-    return hit.groupBy("doc_id").agg(F.collect_list(span).alias("gone"))
+    return hit.groupBy("doc_id", "tag").agg(F.collect_list(span).alias("gone"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, *, text: bool = True) -> DataFrame:
@@ -301,8 +304,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, text: bool = True) -> D
     """
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType())] * text
     fields = [f for f in docs.schema if f.name not in {"text", *(m.name for m in made)}]
-    gone = removals(spark, docs).withColumnsRenamed({"doc_id": "__id", "gone": "__gone"})
-    rows = docs.join(gone, F.col("doc_id") == F.col("__id"), "left").select(*[f.name for f in fields], "text", "__gone")
+    gone = removals(spark, docs).withColumnsRenamed({"doc_id": "__id", "tag": "__tag", "gone": "__gone"})
+    rows = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__tag")), "left").select(*[f.name for f in fields], "text", "__gone")
 
     def run(batches):
         import pyarrow as pa
