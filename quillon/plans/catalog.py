@@ -12,6 +12,7 @@ from quillon.functions import sdr
 from quillon.functions.kernels import csv
 from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, topology, windows
 from quillon.operators.encoders import finance, probability, signal, spatial, vision
+from quillon.plans.hash_sql import s_bytes, s_draws, s_finalised, s_first, s_fnv, s_level_states, s_unsigned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,7 +219,22 @@ encoded("enc_category", "events", ["event_id"], lambda: E.CategoryEncoder(EVENT_
 encoded("enc_boolean", "lineitem", LINE, lambda: E.BooleanEncoder(7).encode(F.col("l_returnflag") == "R"), s_block("case when l_returnflag = 'R' then 0 else 7 end", 7))
 encoded("enc_ordinal", "orders", ["o_orderkey"], lambda: E.OrdinalEncoder(PRIORITIES, 80, 15, strict=False).encode(F.col("o_orderpriority")), s_run(f"{s_index(PRIORITIES, 'o_orderpriority')} / 4.0", 80, 15))
 encoded("enc_passthrough", "customer", ["c_custkey"], lambda: E.PassThroughEncoder(2048).encode(F.transform(F.array(F.lit(7), F.lit(3), F.lit(7)), lambda x: (x * F.col("c_custkey") % 2048).cast("int"))), "list_sort(list_distinct([7 * c_custkey % 2048, 3 * c_custkey % 2048, 7 * c_custkey % 2048]))")
-encoded("enc_grid", "customer", ["c_custkey"], lambda: E.GridCellEncoder().encode(F.col("c_acctbal") / 100, (F.col("c_custkey") % 97).cast("double")), None)
+
+
+def s_pmod(x: str, n: float) -> str:
+    return f"case when ({x}) % {n} < 0 then (({x}) % {n} + {n}) % {n} else ({x}) % {n} end"
+
+
+def _s_grid(x: str, y: str) -> str:
+    bits = []
+    for k in range(4):
+        scale, c, s = 1.5**k, math.cos(k * math.pi / 6), math.sin(k * math.pi / 6)
+        down, across = (f"cast(least(floor({s_pmod(f'({v}) / {scale!r}::double', 4.0)}), 3) as bigint)" for v in (f"{x} * {s!r}::double + {y} * {c!r}::double", f"{x} * {c!r}::double - {y} * {s!r}::double"))
+        bits.append(f"{down} * 4 + {across} + {16 * k}")
+    return f"[{', '.join(bits)}]"
+
+
+encoded("enc_grid", "customer", ["c_custkey"], lambda: E.GridCellEncoder().encode(F.col("c_acctbal") / 100, (F.col("c_custkey") % 97).cast("double")), _s_grid("(c_acctbal::double / 100)", "(c_custkey % 97)::double"))
 
 DATE = dict(season_width=5, day_of_week_width=2, weekend_width=2, custom_width=3, holiday_width=2, time_of_day_width=4, custom_days=["Monday", "Friday"], holidays=[(12, 25), (7, 4)])
 
@@ -248,19 +264,74 @@ def enc_date_orders(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", csv(E.DateEncoder(**DATE).encode(F.col("o_orderdate"))).alias("bits"))
 
 
-encoded("enc_hierarchy", "part", ["p_partkey"], lambda: E.HierarchicalCategoryEncoder(" ").encode(F.col("p_type")), None)
-encoded("enc_set", "documents", ["doc_id"], lambda: E.SetEncoder().encode(F.slice(F.split("text", " "), 1, 20)), None)
+@query("enc_hierarchy", f"""with kinds as (select distinct p_type, string_split(p_type, ' ') as parts from part),
+  steps as (select p_type, unnest(range(least(len(parts), 5))) as level, parts from kinds),
+  states as (select p_type, level, {s_fnv(s_bytes("array_to_string(parts[1:level + 1], ' ')"), s_level_states(5) + "[level + 1]")} as h from steps),
+  draws as (select p_type, level, {s_draws("h", 50, 80)} as d from states),
+  bits as (select p_type, list_sort(flatten(list(list_transform({s_first("d", 10)}, lambda b: b + 50 * level)))) as bits from draws group by p_type)
+  select p_partkey, {s_csv("bits")} as bits from part left join bits using (p_type)""")
+def enc_hierarchy(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", csv(E.HierarchicalCategoryEncoder(" ").encode(F.col("p_type"))).alias("bits"))
+
+
+#: No text has so many elements or n-grams: all of a text counts.
+ALL = 1 << 30
+
+
+@query("enc_set", f"""with each as (select doc_id, unnest(list_distinct(string_split(text, ' '))) as w from documents),
+  draws as (select w, {s_draws("h", 2048, 5)} as d from (select w, {s_fnv(s_bytes("w"))} as h from (select distinct w from each))),
+  bits as (select doc_id, list_sort(list_distinct(flatten(list(d)))) as bits from each join draws using (w) group by doc_id)
+  select doc_id, {s_csv("bits")} as bits from documents left join bits using (doc_id)""")
+def enc_set(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", csv(E.SetEncoder(max_elements=ALL).encode(F.array_distinct(F.split("text", " ")))).alias("bits"))
+
+
 encoded("enc_simhash", "conversations", ["conv_id", "turn"], lambda: E.SimHashDocumentEncoder(400, 21).encode(F.col("text")), None)
-encoded("enc_ngram", "conversations", ["conv_id", "turn"], lambda: E.NGramEncoder().encode(F.col("text")), None)
+
+
+_S_GRAM = "(({h}) * 1099511628211::uhugeint + {i}::uhugeint) % 18446744073709551616::uhugeint"
+_S_GRAM_1 = _S_GRAM.format(h="h", i=0)
+_S_GRAM_2 = _S_GRAM.format(h=_S_GRAM_1, i=1)
+_S_GRAM_3 = _S_GRAM.format(h=_S_GRAM_2, i=2)
+
+
+@query("enc_ngram", f"""with each as (select distinct conv_id, turn, unnest(list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3))) as g from conversations where text is not null),
+  hashes as (select g, {s_fnv(s_bytes("g"))} as h from (select distinct g from each)),
+  grams as (select g, list_transform([{_S_GRAM_1}, {_S_GRAM_2}, {_S_GRAM_3}], lambda x: cast(x % 2048::uhugeint as bigint)) as d from hashes),
+  bits as (select conv_id, turn, list_sort(list_distinct(flatten(list(d)))) as bits from each join grams using (g) group by conv_id, turn)
+  select conv_id, turn, case when text is not null then {s_csv("coalesce(bits, [])")} end as bits from conversations left join bits using (conv_id, turn)""")
+def enc_ngram(spark, sf):
+    return t(spark, sf, "conversations").select("conv_id", "turn", csv(E.NGramEncoder(max_grams=ALL).encode(F.col("text"))).alias("bits"))
+
+
 encoded("enc_character", "part", ["p_partkey"], lambda: E.CharacterEncoder().encode(F.substring("p_name", 1, 1)), s_block("case when instr(' !\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~', p_name[1]) > 0 then instr(' !\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~', p_name[1]) - 1 else 95 end * 21", 21))
-encoded("enc_coordinate", "supplier", ["s_suppkey"], lambda: E.CoordinateEncoder(2, 1000, 21, 10.0).encode(F.col("s_acctbal"), F.col("s_suppkey").cast("double")), None)
+
+
+def _s_cells(tries: int, *values: str, size: int = 1000) -> str:
+    """Hashes of whole numbers, below size; one of the values is index, which counts the tries."""
+    own = ", ".join("cast(index as uhugeint)" if v == "index" else v for v in values)
+    return f"list_transform(range({tries}), lambda index: cast({s_fnv(f'[{own}]')} % {size}::uhugeint as bigint))"
+
+
+@query("enc_coordinate", f"""with draws as (select s_suppkey, {_s_cells(400, "index", s_unsigned("cast(round(s_acctbal::double / 10.0) as bigint)"), s_unsigned("cast(round(s_suppkey::double / 10.0) as bigint)"))} as d from supplier)
+  select s_suppkey, {s_csv(f"list_sort({s_first('d', 21)})")} as bits from draws""")
+def enc_coordinate(spark, sf):
+    bits = E.CoordinateEncoder(2, 1000, 21, 10.0).encode(F.col("s_acctbal"), F.col("s_suppkey").cast("double"))
+    return t(spark, sf, "supplier").select("s_suppkey", csv(bits).alias("bits"))
 
 
 def _place() -> tuple[Column, Column]:
     return (F.col("s_suppkey") % 160 - 80) + F.lit(0.25), (F.col("s_suppkey") * 7 % 340 - 170) + F.lit(0.5)
 
 
-encoded("enc_geospatial", "supplier", ["s_suppkey"], lambda: E.GeospatialEncoder(num_scales=2).encode(*_place()), None)
+@query("enc_geospatial", f"""with place as (select s_suppkey, s_suppkey % 160 - 80 + 0.25::double as lat, s_suppkey * 7 % 340 - 170 + 0.5::double as lon from supplier),
+  metres as (select s_suppkey, radians(lat) * 6371000.0::double as y, radians(lon) * 6371000.0::double * cos(radians(lat)) as x from place),
+  cells as (select s_suppkey, cast(floor(y / 100.0) as bigint) as y0, cast(floor(x / 100.0) as bigint) as x0, cast(floor(y / 200.0) as bigint) as y1, cast(floor(x / 200.0) as bigint) as x1 from metres),
+  draws as (select s_suppkey, {_s_cells(126, s_unsigned("y0"), s_unsigned("x0"), "0::uhugeint", "index")} as a, {_s_cells(126, s_unsigned("y1"), s_unsigned("x1"), "1::uhugeint", "index")} as b from cells),
+  merged as (select s_suppkey, list_concat({s_first("a", 10)}, b) as d from draws)
+  select s_suppkey, {s_csv(f"list_sort({s_first('d', 21)})")} as bits from merged""")
+def enc_geospatial(spark, sf):
+    return t(spark, sf, "supplier").select("s_suppkey", csv(E.GeospatialEncoder(num_scales=2).encode(*_place())).alias("bits"))
 
 
 @query("haversine", """select s_suppkey, round(2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(48.5) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(48.5)) * pow(sin(radians(9.25 - lon) / 2), 2)))), 3) as metres
@@ -275,11 +346,18 @@ encoded("enc_llm_embedding", "embeddings", ["vec_id"], lambda: E.LlmEmbeddingEnc
 encoded("enc_graph_node", "embeddings", ["vec_id"], lambda: E.GraphNodeEncoder().encode(F.col("embedding"), F.col("label"), F.col("vec_id") % 10 / F.lit(10.0)), None)
 encoded("enc_patch", "embeddings", ["vec_id"], lambda: E.PatchEncoder().encode(F.col("embedding")), None)
 encoded("enc_ip", "customer", ["c_custkey"], lambda: E.IpAddressEncoder().encode(F.concat_ws(".", F.lit("10"), *[(F.col("c_custkey") * k % 256).cast("string") for k in (1, 3, 7)])), s_runs(("10 / 255.0", 32, 8), ("c_custkey % 256 / 255.0", 32, 8), ("c_custkey * 3 % 256 / 255.0", 32, 8), ("c_custkey * 7 % 256 / 255.0", 32, 8)))
-encoded("enc_mac", "customer", ["c_custkey"], lambda: E.MacAddressEncoder().encode(F.concat_ws(":", F.lit("00"), F.lit("1B"), *[F.lpad(F.hex(F.col("c_custkey") * k % 256), 2, "0") for k in (1, 3, 7, 11)])), None)
-encoded("enc_color", "customer", ["c_custkey"], lambda: E.ColorEncoder().encode_rgb(*[F.col("c_custkey") * k % 256 / F.lit(255.0) for k in (1, 3, 7)]), None)
+encoded("enc_mac", "customer", ["c_custkey"], lambda: E.MacAddressEncoder().encode(F.concat_ws(":", F.lit("00"), F.lit("1B"), *[F.lpad(F.hex(F.col("c_custkey") * k % 256), 2, "0") for k in (1, 3, 7, 11)])), f"list_concat({s_runs(*[(f'{x} / 255.0', 32, 8) for x in ('0', '27', *(f'c_custkey * {k} % 256' for k in (1, 3, 7, 11)))])}, list_sort(list_transform({s_first(s_draws(s_fnv('[0::uhugeint, 27::uhugeint, cast(c_custkey % 256 as uhugeint)]'), 64, 16), 16)}, lambda b: b + 192)))")
+_S_RGB = [f"(c_custkey * {k} % 256 / 255.0::double)" for k in (1, 3, 7)]
+_S_TOP, _S_LOW = f"greatest({', '.join(_S_RGB)})", f"least({', '.join(_S_RGB)})"
+_S_WIDE = f"({_S_TOP} - {_S_LOW})"
+_S_HUE = f"(case when {_S_WIDE} = 0 then 0.0 when {_S_TOP} = {_S_RGB[0]} then {s_pmod(f'({_S_RGB[1]} - {_S_RGB[2]}) / {_S_WIDE}', 6.0)} when {_S_TOP} = {_S_RGB[1]} then ({_S_RGB[2]} - {_S_RGB[0]}) / {_S_WIDE} + 2.0 else ({_S_RGB[0]} - {_S_RGB[1]}) / {_S_WIDE} + 4.0 end * 60.0)"
+encoded("enc_color", "customer", ["c_custkey"], lambda: E.ColorEncoder().encode_rgb(*[F.col("c_custkey") * k % 256 / F.lit(255.0) for k in (1, 3, 7)]), f"flatten([{s_block(f'cast(round({_S_HUE} / 360.0 * 100.0) as bigint) % 100', 21)}, {s_run(f'(case when {_S_TOP} = 0 then 0.0 else ({_S_TOP} - {_S_LOW}) / {_S_TOP} end)', 50, 10, 120)}, {s_run(_S_TOP, 50, 10, 170)}])")
 encoded("enc_color_hsv", "customer", ["c_custkey"], lambda: E.ColorEncoder().encode((F.col("c_custkey") * 11 % 360).cast("double"), F.col("c_custkey") * 3 % 101 / F.lit(100.0), F.col("c_custkey") * 7 % 101 / F.lit(100.0)), f"flatten([{s_block('cast(round(c_custkey * 11 % 360 / 360.0 * 100.0) as bigint) % 100', 21)}, {s_run('c_custkey * 3 % 101 / 100.0', 50, 10, 120)}, {s_run('c_custkey * 7 % 101 / 100.0', 50, 10, 170)}])")
-encoded("enc_pitch", "customer", ["c_custkey"], lambda: E.PitchEncoder().encode(signal.frequency_of_midi((F.col("c_custkey") % 100 + 12.25).cast("double"))), None)
-encoded("enc_edge", "customer", ["c_custkey"], lambda: E.EdgeOrientationEncoder().encode_gradient((F.col("c_custkey") % 17 - 8) / F.lit(10.0), (F.col("c_custkey") % 13 - 6) / F.lit(10.0)), None)
+encoded("enc_pitch", "customer", ["c_custkey"], lambda: E.PitchEncoder().encode(signal.frequency_of_midi((F.col("c_custkey") % 100 + 12.25).cast("double"))), f"flatten([{s_block('cast(round((c_custkey % 100 + 12.25) % 12.0 / 12.0 * 100.0) as bigint) % 100', 21)}, {s_run('least(floor((c_custkey % 100 + 12.25) / 12.0) - 1, 8) / 8.0', 72, 8, 120)}])")
+_S_DX, _S_DY = "((c_custkey % 17 - 8) / 10.0::double)", "((c_custkey % 13 - 6) / 10.0::double)"
+_S_STEEP = f"sqrt({_S_DX} * {_S_DX} + {_S_DY} * {_S_DY})"
+_S_TURN = f"(({s_pmod(f'atan2({_S_DY}, {_S_DX})', math.pi)}) / {math.pi!r}::double * 8.0)"
+encoded("enc_edge", "customer", ["c_custkey"], lambda: E.EdgeOrientationEncoder().encode_gradient((F.col("c_custkey") % 17 - 8) / F.lit(10.0), (F.col("c_custkey") % 13 - 6) / F.lit(10.0)), f"case when {_S_STEEP} < 0.01 then [] else list_concat({s_block(f'cast(round(({_S_TURN} - floor({_S_TURN})) * 15.0) as bigint) + cast(floor({_S_TURN}) % 8 as bigint) * 20', 5)}, {s_run(s_share(_S_STEEP, 0.01, 1.0), 40, 10, 160)}) end")
 
 
 @query("enc_accelerometer", f"""with v as (select c_custkey, c_custkey % 17 / 4.0 - 2 as x, c_custkey % 13 / 4.0 - 1.5 as y, c_custkey % 11 / 4.0 - 1 as z from customer), m as (select *, sqrt(x * x + y * y + z * z) as m from v)
@@ -299,7 +377,14 @@ def enc_price(spark, sf):
     return t(spark, sf, "lineitem").select(*LINE, csv(e.encode(F.col("l_extendedprice"), F.col("l_discount") * 100 - 5)).alias("bits"))
 
 
-encoded("enc_currency_pair", "nation", ["n_nationkey"], lambda: E.CurrencyPairEncoder().encode(F.concat(F.rpad(F.substring(F.regexp_replace(F.upper("n_name"), "[^A-Z]", ""), 1, 3), 3, "X"), F.lit("/USD")), F.col("n_nationkey") + F.lit(0.5)), None)
+@query("enc_currency_pair", f"""with recursive pairs as (select n_nationkey, rpad(substr(regexp_replace(upper(n_name), '[^A-Z]', '', 'g'), 1, 3), 3, 'X') as base, n_nationkey + 0.5 as rate from nation),
+  states as (select base as code, {s_fnv(s_bytes("base"))} as h from (select distinct base from pairs union select 'USD')),
+  {s_finalised("states", "code", 64, 16)}
+  select n_nationkey, {s_csv(f"flatten([list_sort(b.bits), list_transform(list_sort(q.bits), lambda x: x + 64), {s_run(f'(ln(rate) - ({math.log(1e-4)!r})) / {math.log(1e4) - math.log(1e-4)!r}', 100, 21, 128)}])")} as bits
+  from pairs join picked b on b.code = base join picked q on q.code = 'USD'""")
+def enc_currency_pair(spark, sf):
+    code = F.rpad(F.substring(F.regexp_replace(F.upper("n_name"), "[^A-Z]", ""), 1, 3), 3, "X")
+    return t(spark, sf, "nation").select("n_nationkey", csv(E.CurrencyPairEncoder().encode(F.concat(code, F.lit("/USD")), F.col("n_nationkey") + F.lit(0.5))).alias("bits"))
 
 
 @query("enc_order_book", f"""with v as (select s_suppkey, [s_suppkey % 7 * 100000.0, s_suppkey % 5 * 200000.0] as b, [s_suppkey % 11 * 90000.0, s_suppkey % 3 * 300000.0] as a, 100.0 as bid, 100.0 + s_suppkey % 9 * 0.5 as ask from supplier),
@@ -384,7 +469,12 @@ def enc_hrv(spark, sf):
     return user_windows(spark, sf).select("user_id", "win", csv(E.HrvEncoder().encode(signal.hrv_metrics(rr))).alias("bits"))
 
 
-@query("enc_ecg")
+_S_ECG = [s_run(f"({s_clamp(f'u[{k + 1}]', -250.0, 250.0)} + 250.0) / 500.0", 10, 3, 10 * k) for k in range(10)]
+_S_ECG += [s_run(f"({s_clamp(f'list_{f}(u)', -250.0, 250.0)} + 250.0) / 500.0", 12, 3, 100 + 12 * k) for k, f in enumerate(("max", "min", "avg"))]
+_S_ECG += [s_run("least(list_stddev_pop(u) / 500.0, 1.0)", 12, 3, 136), s_run("len(list_filter(range(1, 10), lambda k: (u[k] >= 0) <> (u[k + 1] >= 0))) / 10.0", 12, 3, 148)]
+
+
+@query("enc_ecg", f"with {_S_WINDOWS}, v as (select user_id, win, list_transform(s, lambda x: x - 100.0) as u from w) select user_id, win, {s_csv('flatten([' + ', '.join(_S_ECG) + '])')} as bits from v")
 def enc_ecg(spark, sf):
     e = E.EcgEncoder(10, minimum=-250.0, maximum=250.0)
     return user_windows(spark, sf).select("user_id", "win", csv(e.encode(F.transform("samples", lambda x: x - 100.0))).alias("bits"))
