@@ -79,4 +79,4 @@ QUERIES = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL = {"op6_decontamination": decontamination.oracle_sql()}
+ORACLE_SQL = {"op2_substring": substring_dedup.oracle_sql(), "op6_decontamination": decontamination.oracle_sql()}

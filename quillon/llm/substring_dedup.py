@@ -330,3 +330,15 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, text: bool = True) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *out], [*[f.name for f in fields], *[m.name for m in made]])
 
     return rows.mapInArrow(run, T.StructType(fields + made))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for deduplicate(documents, text=False)."""
+    return rf"""with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+        digests as (select doc_id, list_transform(range(1, len(w) - {WINDOW - 2}), lambda i: md5(array_to_string(w[i : i + {WINDOW - 1}], ' '))) as d from t where len(w) >= {WINDOW}),
+        windows as (select doc_id, unnest(d) as digest, unnest(range(1, len(d) + 1)) as i from digests),
+        later as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by digest) as least from windows) where least < doc_id),
+        gone as (select distinct doc_id, unnest(range(i, i + {WINDOW})) as k from later),
+        words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from t),
+        kept as (select doc_id, string_agg(word, ' ' order by k) as kept, count(*) as n_kept from words anti join gone using (doc_id, k) group by doc_id)
+        select doc_id, len(w) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join kept using (doc_id)"""

@@ -285,6 +285,13 @@ def test_probabilities_add_up():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_substring_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    mine = queries.op2_substring(spark, sf).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, mine)) == sorted(con.sql(queries.ORACLE_SQL["op2_substring"]).fetchall()) and any(r["n_removed"] for r in mine)
+
+
 # ---- 6
 
 def test_decontamination(spark, sf):
