@@ -11,6 +11,8 @@ from .encoders.signal import ecg_stats
 
 #: Weights of the feature distance (fixed values).
 WEIGHTS = {"p2p": 2.0, "std": 3.0, "max_derivative": 4.0, "min_derivative": 4.0, "energy": 2.0, "zero_crossings": 0.5, "max": 1.5}
+#: Baselines of so many rows are broadcast.
+MAX_BROADCAST = 10_000
 
 
 def count_windows(df: DataFrame, series: list[str], order: list[str], value: str, n: int) -> DataFrame:
@@ -44,18 +46,25 @@ def baseline_statistics(base: DataFrame, stride_of: int = 50) -> DataFrame:
 
     base: (n, bits, f), n numbered from 0. The stride max(count / stride_of, 1) bounds the pairs by those of some 2 * stride_of rows.
     """
-    total = base.count()
+    total, top = base.agg(F.count("*"), F.max("n")).first()
     step = max(total // stride_of, 1)
     own = base.where(F.col("n") % step == 0)
-    i, j = own.alias("i"), base.alias("j")
-    pairs = i.join(j, (F.col("i.n") < F.col("j.n")) & ((F.col("j.n") - F.col("i.n") - 1) % step == 0))
+    partner = F.sequence(F.col("n") + 1, F.lit(top or 0).cast("long"), F.lit(step).cast("long"))
+    i = own.where(F.col("n") < (top or 0)).withColumn("n", F.col("n").cast("long")).withColumn("partner", F.explode(partner)).alias("i")
+    j = base.alias("j")
+    pairs = i.join(j, F.col("i.partner") == F.col("j.n"))
     rows = pairs.select(sdr.overlap(F.col("i.bits"), F.col("j.bits")).alias("o"), distance(F.col("i.f"), F.col("j.f")).alias("d"))
     return rows.agg(F.avg("o").alias("overlap_mean"), F.stddev_pop("o").alias("overlap_std"), F.avg("d").alias("distance_mean"), F.stddev_pop("d").alias("distance_std"))
 
 
 def hybrid_score(df: DataFrame, base: DataFrame, keys: list[str], mean: float, sd: float, expected: float) -> DataFrame:
-    """(keys, overlap, distance, score): df and base have bits and f. The baselines are a stated, bounded set."""
-    met = df.alias("x").join(F.broadcast(base.select("bits", "f").alias("b")))
+    """(keys, overlap, distance, score): df and base have bits and f.
+
+    The baselines are a stated set, which every row meets: broadcast up to MAX_BROADCAST rows, in blocks beyond.
+    """
+    own = base.select("bits", "f")
+    few = own.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    met = df.alias("x").join((F.broadcast(own) if few else own).alias("b"))
     best = met.groupBy(*[F.col(f"x.{k}") for k in keys]).agg(F.max(sdr.overlap(F.col("x.bits"), F.col("b.bits"))).alias("overlap"), F.min(distance(F.col("x.f"), F.col("b.f"))).alias("distance"))
     z = (F.col("distance") - mean) / sd if sd > 0 else F.lit(0.0)
     odd = F.greatest(F.lit(0.0), 1 - F.col("overlap") / expected)
