@@ -489,7 +489,7 @@ def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
 @query("hybrid_score")
 def hybrid_score(spark, sf):
     w = scored_windows(spark, sf)
-    base = w.where("win = 0 and user_id <= 20").withColumn("n", F.col("user_id") - 1)
+    base = windows.numbered(w.where("win = 0"), "user_id")
     s = windows.baseline_statistics(base).first()
     out = windows.hybrid_score(w, base, ["user_id", "win"], s["distance_mean"], s["distance_std"], 40.0)
     return out.select("user_id", "win", F.col("overlap").cast("long").alias("overlap"), r6(F.col("distance")).alias("distance"), r6(F.col("score")).alias("score"))

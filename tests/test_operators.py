@@ -303,6 +303,28 @@ def test_windows(spark):
     assert value(spark, windows.distance(windows.features(F.array(F.lit(1.0), F.lit(2.0))), windows.features(F.array(F.lit(1.0), F.lit(2.0)))))[0] == 0
 
 
+def test_hybrid_score_meets_every_baseline(spark, tmp_path, monkeypatch):
+    from quillon.plans import catalog
+
+    draw = random.Random(5)
+    rows = [(u, k, 1000 * u + k, draw.uniform(0, 500)) for u in [3 * j for j in range(1, 131)] for k in range(20)]
+    spark.createDataFrame(rows, "user_id long, ts long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(windows, "BLOCK", 50)  # several blocks on both sides
+    monkeypatch.setattr(windows, "RANGES", 7)
+    got = {(r.user_id, r.win): r for r in catalog.hybrid_score(spark, str(tmp_path)).collect()}
+    all_windows = {(r.user_id, r.win): (set(r.bits), r.f) for r in catalog.scored_windows(spark, str(tmp_path)).collect()}
+    base = [all_windows[k] for k in sorted(all_windows) if k[1] == 0]
+    apart = lambda f, g: sum(abs(f[k] - g[k]) * w for k, w in windows.WEIGHTS.items())
+    step = len(base) // 50
+    d = [apart(base[i][1], base[j][1]) for i in range(0, len(base), step) for j in range(i + 1, len(base), step)]
+    assert step == 2 and len(got) == len(all_windows) == 260
+    for key, (own, f) in all_windows.items():
+        overlap, near = max(len(own & b) for b, _ in base), min(apart(f, g) for _, g in base)
+        z = (near - np.mean(d)) / np.std(d)
+        score = 0.3 * max(0, 1 - overlap / 40) + 0.7 * max(0, z / (1 + abs(z)))
+        assert got[key].overlap == overlap and abs(got[key].distance - near) < 1e-5 and abs(got[key].score - score) < 1e-5
+
+
 def test_models(spark, tmp_path):
     t = spark.createDataFrame([(1, [1, 2])], "id int, bits array<int>")
     for path in (f"{tmp_path}/m", f"{tmp_path}/m.json"):
