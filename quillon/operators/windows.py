@@ -165,18 +165,108 @@ def heat_map(df: DataFrame, time: str, bits: str, size: int, bands: int = 256) -
     return rows.groupBy(time, F.floor(F.col("b") * bands / size).cast("int").alias("band")).agg(F.count("*").alias("n"))
 
 
-def fingerprint_points(samples: Column, side: int = 256) -> Column:
-    """array<struct<x, y, v>>: where a window's amplitude, slope and curvature fall on a square map, with energies as weights."""
-    f = features(samples)
-    span = F.greatest(f["p2p"], F.lit(1e-9))
-    y = F.transform(samples, lambda v: F.least(F.lit(side - 1), F.floor((v - f["min"]) / span * side).cast("int")))
-    x = F.transform(samples, lambda v, i: F.floor(i * F.lit(side) / F.size(samples)).cast("int"))
-    return F.zip_with(F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y"))), samples, lambda p, v: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.abs(v).alias("v")))
+def activation(samples: np.ndarray, side: int = 256) -> np.ndarray:
+    """(windows, y, x) activation of windows (one per row): the maximum of five layers.
+
+    The layers are the amplitude's trace, the slope's trace, the band of local energy (windowed RMS), dots of high curvature and
+    DFT magnitudes of four periods. Brushes have the reference's sizes for a side of 256, and scale with the side.
+    """
+    m, n = samples.shape
+    k = side / 256
+    act, w, at = np.zeros((m, side, side)), np.arange(m)[:, None], np.arange(n)
+    x = np.minimum((at / n * side).astype(int), side - 1)
+
+    def put(rows, y, x, v):
+        rows, y, x, v = np.broadcast_arrays(rows, y, x, v)
+        ok = (y >= 0) & (y < side) & (x >= 0) & (x < side) & (v > 0)
+        np.maximum.at(act, (rows[ok], y[ok], x[ok]), v[ok])
+
+    def scaled(v):
+        top = np.maximum(np.abs(v).max(axis=1, keepdims=True), 0.001)
+        return v / top
+
+    low, span = samples.min(axis=1, keepdims=True), np.maximum(np.ptp(samples, axis=1, keepdims=True), 0.001)
+    centre = ((1 - np.clip((samples - low) / span, 0, 1)) * 0.4 + 0.55) * side
+    reach = round(15 * k)
+    for dy in range(-reach, reach + 1):
+        put(w, centre.astype(int) + dy, x, np.exp(-2 * (dy / (20 * k)) ** 2) * 0.8)
+
+    slope = np.diff(samples, axis=1, prepend=samples[:, :1])
+    steep = scaled(slope)
+    y, reach = ((1 - (steep + 1) / 2) * 0.35 * side).astype(int), round(8 * k)
+    for dy in range(-reach, reach + 1):
+        put(w, y + dy, x, np.exp(-2 * (dy / (10 * k)) ** 2) * np.abs(steep) * 0.7)
+
+    squares = np.concatenate([np.zeros((m, 1)), np.cumsum(samples * samples, axis=1)], axis=1)
+    start, end = np.maximum(at - 5, 0), np.minimum(at + 5, n)
+    energy = scaled(np.sqrt((squares[:, end] - squares[:, start]) / (end - start)))
+    spread, band = (energy * 15 * k).astype(int), int(0.45 * side)
+    for dy in range(-int(15 * k), int(15 * k) + 1):
+        put(w, band + dy, x, np.where((energy > 0.3) & (abs(dy) <= spread), energy * (1 - abs(dy) / (spread + 1)) * 0.5, 0))
+
+    bend = np.diff(slope, axis=1, prepend=slope[:, :1])
+    sharp = np.abs(scaled(bend))
+    radius, largest = np.maximum((sharp * 8 * k).astype(int), 1), max(int(8 * k), 1)
+    for dy in range(-largest, largest + 1):
+        for dx in range(-largest, largest + 1):
+            far = np.hypot(dx, dy)
+            put(w, centre.astype(int) + dy, x + dx, np.where((sharp > 0.4) & (far <= radius), sharp * (1 - far / radius) * 0.6, 0))
+
+    for nth, period in enumerate((4, 8, 16, 32)):
+        for begin in range(0, n, period // 2):
+            chunk = samples[:, begin : begin + period]
+            c = chunk.shape[1]
+            if c < period // 2:
+                continue
+            strength = np.minimum(np.abs(np.fft.fft(chunk, axis=1))[:, : c // 2].sum(axis=1, keepdims=True) / c / span, 1)
+            at_x = min(int((2 * begin + c) // 2 / n * side), side - 1)
+            for dy in range(max(round(8 * k), 1)):
+                y = min(int((nth * 0.08 + 0.02) * side) + dy, side - 1)
+                put(w, y, at_x, strength * 0.4)
+                put(w, y, at_x - 1, strength * 0.3)
+                put(w, y, at_x + 1, strength * 0.3)
+    return act
+
+
+def fingerprint_points(df: DataFrame, keys: list[str], samples: str, side: int = 256) -> DataFrame:
+    """(keys, points) of each window, points an array<struct<x, y, v>> of the places with activation; see activation(). Windows that are null or empty, or have a null, give nothing."""
+    chunk = max((1 << 22) // (side * side), 1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            values = batch.column(len(keys)).to_pylist()
+            by_length: dict[int, list[int]] = {}
+            for r, v in enumerate(values):
+                if v and None not in v:
+                    by_length.setdefault(len(v), []).append(r)
+            for rows in by_length.values():
+                for k in range(0, len(rows), chunk):
+                    some = rows[k : k + chunk]
+                    act = activation(np.array([values[r] for r in some], float), side)
+                    w, y, x = np.nonzero(act)
+                    begin = np.searchsorted(w, np.arange(len(some) + 1)).astype(np.int32)
+                    points = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(act[w, y, x])], ["x", "y", "v"])
+                    own = [batch.column(c).take(pa.array(some)) for c in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*own, pa.ListArray.from_arrays(pa.array(begin), points)], [*keys, "points"])
+
+    point = T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("v", T.DoubleType())])
+    rows = df.select(*keys, F.transform(samples, lambda v: v.cast("double")).alias("samples"))
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[k] for k in keys], T.StructField("points", T.ArrayType(point))]))
+
+
+def sparse_bits(points: Column, side: int, threshold: float) -> Column:
+    """The places y * side + x of a window's points above the threshold, sorted."""
+    return F.array_sort(F.transform(F.filter(points, lambda p: p["v"] > threshold), lambda p: p["y"] * side + p["x"]))
 
 
 def fingerprint(df: DataFrame, keys: list[str], points: str) -> DataFrame:
-    """(keys, x, y, v): mean activation of each place, with the peak at 1."""
-    rows = df.select(*keys, F.explode(points).alias("p")).groupBy(*keys, "p.x", "p.y").agg(F.avg("p.v").alias("m"))
+    """(keys, x, y, v): mean activation of each place over all windows, with the peak at 1.
+
+    All places of a key share its number of windows, so that the sums have the same ratios as the means.
+    """
+    rows = df.select(*keys, F.explode(points).alias("p")).groupBy(*keys, "p.x", "p.y").agg(F.sum("p.v").alias("m"))
     return rows.select(*keys, "x", "y", (F.col("m") / F.greatest(F.max("m").over(Window.partitionBy(*keys)), F.lit(1e-12))).alias("v"))
 
 

@@ -520,8 +520,8 @@ def scatter_columns(spark, sf):
 
 @query("fingerprint")
 def fingerprint(spark, sf):
-    w = user_windows(spark, sf).select("user_id", windows.fingerprint_points(F.col("samples"), 64).alias("p"))
-    return windows.fingerprint(w, ["user_id"], "p").select("user_id", "x", "y", r6(F.col("v")).alias("v"))
+    w = windows.fingerprint_points(user_windows(spark, sf), ["user_id"], "samples", 64)
+    return windows.fingerprint(w, ["user_id"], "points").select("user_id", "x", "y", r6(F.col("v")).alias("v"))
 
 
 # ---- the synapse graph, pooling, classification: a synapse table by arithmetic ---------------------------------------------

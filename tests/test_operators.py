@@ -325,6 +325,78 @@ def test_hybrid_score_meets_every_baseline(spark, tmp_path, monkeypatch):
         assert got[key].overlap == overlap and abs(got[key].distance - near) < 1e-5 and abs(got[key].score - score) < 1e-5
 
 
+def brute_activation(samples, side):
+    """The five layers of one window, place by place, for a side of 256."""
+    n, act = len(samples), {}
+
+    def put(y, x, v):
+        if 0 <= y < side and 0 <= x < side and v > 0:
+            act[x, y] = max(act.get((x, y), 0), v)
+
+    low, span = min(samples), max(max(samples) - min(samples), 0.001)
+    slope = [0.0] + [b - a for a, b in zip(samples, samples[1:])]
+    bend = [0.0] + [b - a for a, b in zip(slope, slope[1:])]
+    rms = [math.sqrt(sum(v * v for v in samples[max(i - 5, 0) : i + 5]) / len(samples[max(i - 5, 0) : i + 5])) for i in range(n)]
+    top_slope, top_bend, top_rms = (max(max(map(abs, v)), 0.001) for v in (slope, bend, rms))
+    for i in range(n):
+        x = min(int(i / n * side), side - 1)
+        centre = ((1 - (samples[i] - low) / span) * 0.4 + 0.55) * side
+        for dy in range(-15, 16):
+            put(int(centre) + dy, x, math.exp(-2 * (dy / 20) ** 2) * 0.8)
+        for dy in range(-8, 9):
+            put(int((1 - (slope[i] / top_slope + 1) / 2) * 0.35 * side) + dy, x, math.exp(-2 * (dy / 10) ** 2) * abs(slope[i]) / top_slope * 0.7)
+        e, spread = rms[i] / top_rms, int(rms[i] / top_rms * 15)
+        for dy in range(-spread, spread + 1):
+            put(int(0.45 * side) + dy, x, e * (1 - abs(dy) / (spread + 1)) * 0.5 if e > 0.3 else 0)
+        c = abs(bend[i]) / top_bend
+        radius = int(c * 8)
+        for dy in range(-radius, radius + 1):
+            for dx in range(-radius, radius + 1):
+                if c > 0.4 and dx * dx + dy * dy <= radius * radius:
+                    put(int(centre) + dy, x + dx, c * (1 - math.hypot(dx, dy) / radius) * 0.6)
+    for nth, period in enumerate((4, 8, 16, 32)):
+        for begin in range(0, n, period // 2):
+            chunk = samples[begin : begin + period]
+            m = len(chunk)
+            if m < period // 2:
+                continue
+            parts = [(sum(v * math.cos(2 * math.pi * k * j / m) for j, v in enumerate(chunk)), sum(v * math.sin(2 * math.pi * k * j / m) for j, v in enumerate(chunk))) for k in range(m // 2)]
+            mag = min(sum(math.hypot(*p) for p in parts) / m / span, 1)
+            x = min(int((begin + begin + m) // 2 / n * side), side - 1)
+            for dy in range(8):
+                for dx, v in ((0, 0.4), (-1, 0.3), (1, 0.3)):
+                    put(min(int((nth * 0.08 + 0.02) * side) + dy, side - 1), x + dx, mag * v)
+    return act
+
+
+def test_fingerprint_layers(spark):
+    draw = random.Random(3)
+    rows = [(u, [draw.uniform(-50, 300) for _ in range(n)]) for u, n in ((1, 10), (1, 10), (2, 23), (2, 40))] + [(3, [7.0] * 10)]
+    df = spark.createDataFrame([*rows, (4, None), (4, []), (4, [1.0, None])], "user_id long, samples array<double>")
+    points = windows.fingerprint_points(df, ["user_id"], "samples")
+    want = [(u, brute_activation(s, 256)) for u, s in rows]
+    got = [(r.user_id, {(p.x, p.y): p.v for p in r.points}) for r in points.collect()]
+    same = lambda a, b: a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert len(got) == len(want) and all(any(u == v and same(a, b) for v, b in got) for u, a in want)
+    bits = [set(r.b) for r in points.select(windows.sparse_bits(F.col("points"), 256, 0.3).alias("b")).collect()]
+    assert all({y * 256 + x for (x, y), v in a.items() if v > 0.3} in bits for _, a in want)
+    maps = {}
+    for r in windows.fingerprint(points, ["user_id"], "points").collect():
+        maps.setdefault(r.user_id, {})[r.x, r.y] = r.v
+    for u in (1, 2, 3):
+        total = {}
+        for a in (a for v, a in want if v == u):
+            for k, v in a.items():
+                total[k] = total.get(k, 0) + v
+        assert same(maps[u], {k: v / max(total.values()) for k, v in total.items()})
+
+
+def test_fingerprint_tells_frequencies_apart(spark):
+    slow, fast = [0.0, 1.0, 2.0, 3.0, 2.0, 1.0, 0.0, 1.0, 2.0, 3.0], [0.0, 3.0, 1.0, 2.0, 0.0, 3.0, 1.0, 2.0, 1.0, 2.0]
+    act = windows.activation(np.array([slow, fast]), 64)
+    assert sorted(slow) == sorted(fast) and (np.abs(act[0] - act[1])[:29] > 0.1).any()  # above the amplitude's layer
+
+
 def test_models(spark, tmp_path):
     t = spark.createDataFrame([(1, [1, 2])], "id int, bits array<int>")
     for path in (f"{tmp_path}/m", f"{tmp_path}/m.json"):
