@@ -7,7 +7,7 @@ of documents (doc_id, text, lang, source, n_chars, and whatever else docs has).
 * simhash_dedup: of each class of near duplicates one row stays, that with the smallest doc_id; null ids come last, and
   rows of equal ids go by a hash of all columns.
 * substring_dedup: repeated passages go from the texts; n_chars follows. No document goes.
-* decontamination: documents that contain a benchmark item go.
+* decontamination: documents that contain a benchmark item go, row by row: null and repeated ids make no difference.
 * bpe: the tokens of each document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
 Empty tables pass through. A null text fails the quality rules. Rows that repeat a doc_id within a class: one stays.
@@ -47,8 +47,13 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hit = decontamination.contained(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stage_table(spark, hit, "contaminated"), F.col("doc_id") == F.col("__id"), "left_anti")
+    """The rows that contain no item. Rows are told apart by two 64-bit hashes of all their columns, as in simhash."""
+    key = F.struct(*[F.xxhash64(F.lit(n), *docs.columns).alias(f"k{n}") for n in (1, 2)])
+    marked = docs.withColumn("__row", key)
+    hit = decontamination.contained(marked, table(spark, sf_dir, "benchmark"), doc_id="__row").select("doc_id.k1", "doc_id.k2").distinct()
+    hit = stage_table(spark, hit, "contaminated")
+    same = (F.col("__row.k1") == hit["k1"]) & (F.col("__row.k2") == hit["k2"])
+    return marked.join(hit, same, "left_anti").select(docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,12 @@ def test_odd_rows(spark, sf, name):
     assert stage(name)(spark, spark.createDataFrame([], SCHEMA), sf).count() == 0
     if name == "substring_dedup":
         assert stage(name)(spark, df, sf).count() == len(ODD)
+
+
+def test_decontamination_goes_by_row(spark, sf):
+    item = common.table(spark, sf, "benchmark").where("length(text) > 100").orderBy("item_id").first().text
+    clean = " ".join(f"clean{k}" for k in range(60))
+    rows = [(None, item), (1, item), (1, clean), (None, clean), (2, clean), (2, clean), (3, None)]
+    after = stage("decontamination")(spark, docs(spark, rows), sf)
+    assert Counter(map(tuple, after.select("doc_id", "text").collect())) == Counter([(1, clean), (None, clean), (2, clean), (2, clean), (3, None)])
+    assert after.columns == docs(spark, rows).columns
