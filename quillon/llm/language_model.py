@@ -1,19 +1,29 @@
-"""LM scoring: a log-bilinear neural model with noise-contrastive estimation, and an add-0.1 unigram base.
+"""LM scoring: a log-bilinear neural model of words with noise-contrastive estimation, and an add-0.1 unigram base.
 
-Tokens are ASCII-lower-cased words and one end per text. Token counts are taken over all training rows. The model
-predicts a *unit*: one of the ``UNITS`` most frequent tokens, the end, or one of ``CLASSES`` classes of the other words
-by their last two bytes. The context is the last ``CONTEXT`` units; its vector is the sum of their vectors, each scaled by weights of its
-place; a unit's score is the dot product with the unit's vector, plus its bias. Training is noise-contrastive, by
-mini-batches in numpy with noise words shared by a batch; every partition of the training texts trains a copy of the
-parameters, and the copies are averaged by their tokens, EPOCHS times. Scoring normalises over all units by batched
-matrix products, so that a token's log-probability is that of its unit plus that of the word within its class, which
-is its add-0.1 share of the class with one place for all unknown words. The probabilities of a context add up to 1.
+Tokens are ASCII-lower-cased words and one end per text. Token counts are taken over all training rows. The *units* of
+the model are the most frequent words: all with MIN_COUNT tokens or more, up to ROOT * sqrt(N) of N training tokens, so
+their number grows with the input; HEAD bounds it, which bounds what is broadcast. The SINGLES most frequent ones and
+the end are classes of their own. The other words form classes by their last two bytes (a frequent ending is split by a
+hash, rare ones share a class), so that a class has about as many units as there are classes; one more unit of each
+class, its *rest*, stands for its words that are no units.
 
-Words meet their counts by 64-bit hashes. The counts of the ``HEAD`` most frequent words are broadcast, which bounds it; all
-others are joined by a shuffle, in which no word is hotter than the least of the head.
+The context is the last CONTEXT units. Its vector is the sum of their vectors, each scaled by weights of its place. A
+token's probability is that of its class in the context, times that of its unit within the class in the context, and
+for the rest that of the word within the rest, which is its add-0.1 share with one place for all unknown words. Both
+levels are normalised over all their members by batched matrix products, so the probabilities of a context add up to 1.
+
+Training is noise-contrastive at both levels, by mini-batches of consecutive tokens in numpy: noise classes are shared by
+a batch, noise units are drawn from the token's own class. The training rows are dealt to ROUNDS by a hash, each row to
+one round. In a round every partition trains a copy of the parameters on its rows, and the round ends with the copies'
+mean, a vector's copies weighted by how often each partition has used it; the first, small rounds keep the copies of the
+later ones from drifting apart.
+
+Words meet their counts by 64-bit hashes. The counts of the HEAD most frequent words are broadcast; all others are
+joined by a shuffle, in which no word is hotter than the least of the head.
 
 Null and empty texts have one token, the end. Rows are told apart by their place in the input, so repeated rows and
-null ids are scored row by row; a null doc_id counts as the empty text for the fold. With no training rows N and V are 0.
+null ids are scored row by row; a null doc_id counts as the empty text for the fold. With no training rows N and V are
+0. Other columns of docs take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,32 +34,36 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, mix, stage_table, text_chunks
 
-UNITS, CLASSES = 191, 64
-WIDTH, CONTEXT = 16, 5
+#: Numbers of a vector; the last one is the bias.
+WIDTH = 24
+CONTEXT = 5
 HEAD = 1 << 18
-NOISE, BATCH, RATE, EPOCHS = 48, 2048, 0.05, 1
+MIN_COUNT, ROOT = 16, 4
+SINGLES, ENDINGS = 255, 64
+NOISE, NOISE_UNITS, BATCH, RATE = 48, 4, 512, 0.1
+#: The first size of context vectors; and the sixteenths of the training rows that each round learns from.
+SPREAD, ROUNDS = 0.5, (1, 1, 2, 4, 8)
 ADD = 0.1
-#: The end's hash; and the ids of the end and of the place before a text among the units.
+#: The end's hash.
 END = 1
-SIZE = UNITS + 1 + CLASSES
+#: Endings are told apart by their last two bytes.
+KINDS = 1 << 16
 _LOG10 = np.log(10.0)
 #: Tokens that one matrix product takes.
 ROWS = 4096
 
 
 def _tokens(texts: list[bytes | None]):
-    """For runs of texts: (from, to, token hashes with an end each, class of each token, first token of each text)."""
+    """For runs of texts: (from, to, token hashes with an end each, kind of each token, first token of each text)."""
     for k, j, chunk in text_chunks([x and x.lower() for x in texts]):
         first = chunk.first + np.arange(len(chunk.first))
         n = first[-1]
-        ends = first[1:] - 1
         inner = np.ones(n, bool)
-        inner[ends] = False
+        inner[first[1:] - 1] = False
         h, kind = np.full(n, END, np.uint64), np.zeros(n, np.int64)
         h[inner] = chunk.hashes() if len(chunk.starts) else 0
         before = np.where(chunk.ends - chunk.starts > 1, chunk.buffer[chunk.ends - 2], 0)
-        two = chunk.buffer[chunk.ends - 1].astype(np.int64) * 257 + before
-        kind[inner] = two * 40503 % 65521 % CLASSES
+        kind[inner] = chunk.buffer[chunk.ends - 1].astype(np.int64) * 256 + before
         yield k, j, h.view(np.int64), kind, first
 
 
@@ -69,43 +83,95 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "h long, kind int, c long").groupBy("h").agg(F.first("kind").alias("kind"), F.sum("c").alias("c"))
 
 
+def deal_kinds(units: np.ndarray, n: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first class, number of classes) of each kind and the number of classes, from each kind's units and tokens.
+
+    A class takes ``size`` units or a share of 1 / ENDINGS of the tokens, or so.
+    """
+    load = units / size + ENDINGS * n / max(1, n.sum())
+    base, splits, made, shared, filled = np.zeros(KINDS, np.int64), np.ones(KINDS, np.int64), 0, -1, 0.0
+    for k, x in enumerate(load.tolist()):
+        if x > 1:
+            base[k], splits[k] = made, round(x)
+            made += round(x)
+        else:
+            if shared < 0 or filled + x > 1:
+                shared, filled, made = made, 0.0, made + 1
+            base[k], filled = shared, filled + x
+    return base, splits, made
+
+
 class Vocabulary:
-    """The head's hashes (sorted), counts and units; totals of the classes."""
+    """The head's counts and units by hash, the classes' units, and what the rest of each class amounts to."""
 
-    def __init__(self, head: list[tuple[int, int, int]], n: int, v: int, class_n: np.ndarray, class_v: np.ndarray):
+    def __init__(self, h: np.ndarray, c: np.ndarray, kind: np.ndarray, n: int, v: int, kind_n: np.ndarray):
+        """The head (by falling counts), N, V, and the number of tokens of each kind."""
         self.n, self.v = n, v
-        top = {h: k for k, h in enumerate([h for h, _, _ in head if h != END][:UNITS])} | {END: UNITS}
-        order = sorted(head)
-        self.h = np.array([r[0] for r in order], np.int64)
-        self.c = np.array([r[1] for r in order], np.int64)
-        self.unit = np.array([top.get(r[0], -1) for r in order], np.int64)
-        for h, c, kind in head:  # units of their own leave their class
-            if h in top and h != END:
-                class_n[kind] -= c
-                class_v[kind] -= 1
-        self.class_total = class_n + ADD * (class_v + 1)
-        self.unit_count = np.concatenate([np.zeros(UNITS + 1), class_n]).astype(float)
-        for h, c, _ in head:
-            if h in top:
-                self.unit_count[top[h]] = c
+        word = np.flatnonzero(h != END)
+        used = word[: min(int((c[word] >= MIN_COUNT).sum()), int(ROOT * n**0.5))]
+        single, other = used[:SINGLES], used[SINGLES:]
+        self.end = len(single)
+        self.base, self.splits, made = deal_kinds(np.bincount(kind[other], minlength=KINDS), kind_n, max(64.0, len(used) ** 0.5))
+        self.base += self.end + 1
+        of = self.class_of(h[other], kind[other])
+        other = other[np.argsort(of, kind="stable")]
+        of = np.sort(of)
+        self.classes = self.end + 1 + made
+        size = np.bincount(of, minlength=self.classes) + 1
+        self.start = np.concatenate([[0], np.cumsum(size)])  # of a class's units, the first is the rest
+        self.units = int(self.start[-1])
+        self.class_of_unit = np.repeat(np.arange(self.classes), size)
+        unit = np.full(len(h), -1, np.int64)
+        unit[single] = np.arange(self.end)
+        unit[h == END] = self.end
+        unit[other] = np.arange(len(other)) + of + 1
+        self.unit_count = np.zeros(self.units)
+        self.unit_count[unit[unit >= 0]] = c[unit >= 0]
+        self.rest = np.ones(self.classes)
+        order = np.argsort(h.view(np.uint64))
+        self.h, self.c, self.unit = h[order], c[order], unit[order]
+        self.bucket = np.searchsorted(self.h.view(np.uint64) >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
+
+    def add_rests(self, number: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
+        """Tells the classes' totals: class number, tokens and words, units included."""
+        of = self.class_of_unit[self.unit[self.unit >= 0]]
+        total, words = np.zeros(self.classes), np.zeros(self.classes)
+        total[number], words[number] = n, v
+        total -= np.bincount(of, self.c[self.unit >= 0], self.classes)
+        words -= np.bincount(of, minlength=self.classes)
+        many = slice(self.end + 1, None)
+        self.unit_count[self.start[:-1][many]] = total[many]
+        self.rest[many] = total[many] + ADD * (words[many] + 1)
+
+    def class_of(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The class of words that are none of their own."""
+        return self.base[kind] + (h >> 32) % self.splits[kind]
 
     def look_up(self, h: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count in the head or -1, unit) of each token."""
-        if not len(self.h):
-            return np.full(len(h), -1), np.where(h == END, UNITS, UNITS + 1 + kind)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        known = self.h[at] == h
-        unit = np.where(known, self.unit[at], -1)
-        unit = np.where(unit >= 0, unit, np.where(h == END, UNITS, UNITS + 1 + kind))
-        return np.where(known, self.c[at], -1), unit
+        slot = (h.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+        at, stop = self.bucket[slot], self.bucket[slot + 1]
+        count, unit = np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            place = at[left]
+            hit = self.h[place] == h[left]
+            count[left[hit]], unit[left[hit]] = self.c[place[hit]], self.unit[place[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < stop[left]]
+        none = np.flatnonzero(unit < 0)
+        unit[none] = self.start[self.class_of(h[none], kind[none])]
+        ends = none[h[none] == END]  # no training text has one
+        unit[ends] = self.end
+        return count, unit
 
 
 def vocabulary(all_counts: DataFrame) -> Vocabulary:
     total = all_counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    by_class = all_counts.where(F.col("h") != END).groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    class_n, class_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in by_class:
-        class_n[r["kind"]], class_v[r["kind"]] = r["n"], r["v"]
+    kind_n = np.zeros(KINDS)
+    for r in all_counts.where(F.col("h") != END).groupBy("kind").agg(F.sum("c").alias("n")).collect():  # KINDS rows at most
+        kind_n[r["kind"]] = r["n"]
     level = F.floor(64 * F.log2("c")).cast("int")
     room, least = HEAD, 0
     for r in sorted(all_counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # 64 levels for each doubling
@@ -114,126 +180,182 @@ def vocabulary(all_counts: DataFrame) -> Vocabulary:
             break
         room -= r["count"]
     head = all_counts.where((level >= least) | (F.col("h") == END)).select("h", "c", "kind").toArrow()  # HEAD + 1 rows at most
-    rows = sorted(zip(*(head.column(k).to_pylist() for k in range(3)), strict=True), key=lambda r: (-r[1], r[0]))
-    return Vocabulary(rows, total["n"] or 0, total["v"], class_n, class_v)
-
-
-def contexts(units: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The CONTEXT units before each token, nearest first; places before the text are SIZE."""
-    place = np.arange(len(units)) - np.repeat(first[:-1], np.diff(first))
-    out = np.full((len(units), CONTEXT), SIZE, np.int64)
-    for k in range(CONTEXT):
-        out[k + 1 :, k] = units[: -k - 1]
-        out[place <= k, k] = SIZE
-    return out
-
-
-def _by_index(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """The sum of the rows of each index."""
+    h, c, kind = (head.column(k).to_numpy().astype(np.int64) for k in range(3))
+    order = np.lexsort((h, -c))
+    words = Vocabulary(h[order], c[order], kind[order], total["n"] or 0, total["v"], kind_n)
+    kinds = all_counts.sparkSession.createDataFrame(list(zip(range(KINDS), words.base.tolist(), words.splits.tolist(), strict=True)), "kind int, base long, splits long")
+    number = F.expr("base + pmod(shiftright(h, 32), splits)").alias("number")
+    sums = all_counts.where(F.col("h") != END).join(F.broadcast(kinds), "kind").groupBy(number).agg(F.sum("c"), F.count("*")).toArrow()  # a row for each class
+    words.add_rests(*(sums.column(k).to_numpy() for k in range(3)))
+    return words
+
+
+def sequence(unit: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(units with CONTEXT times ``start`` before each text, place of each token in it)."""
+    place = np.arange(len(unit)) + CONTEXT * (1 + np.repeat(np.arange(len(first) - 1), np.diff(first)))
+    out = np.full(len(unit) + CONTEXT * (len(first) - 1), start, np.int64)
+    out[place] = unit
+    return out, place
+
+
+def _by_index(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct indices, sums of their rows)."""
     order = np.argsort(index, kind="stable")
     index = index[order]
     begin = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-    out = np.zeros((size, rows.shape[1]), np.float32)
-    out[index[begin]] = np.add.reduceat(rows[order], begin, axis=0)
-    return out
+    return index[begin], np.add.reduceat(rows[order], begin, axis=0)
+
+
+def log_sum_exp(s: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials; s is used up."""
+    top = np.zeros((len(s), 1), s.dtype) if s.size and np.abs(s[:, 0]).max() < 40 and s.max() < 60 else s.max(axis=1, keepdims=True)
+    if top.any():
+        s -= top
+    np.exp(s, out=s)
+    return np.log(s.sum(axis=1)) + top[:, 0]
 
 
 class Model:
-    """Parameters in one flat vector: context vectors, unit vectors, place weights, biases."""
+    """Four tables of vectors: of units as context, of classes, of units in their class, and the weights of places."""
 
-    shapes = ((SIZE + 1, WIDTH), (SIZE, WIDTH), (CONTEXT, WIDTH), (SIZE,))
-    length = sum(int(np.prod(s)) for s in shapes)
+    names = ("context", "kind", "unit", "place")
 
-    def __init__(self, flat: np.ndarray):
-        self.flat, at, views = flat.astype(np.float32), 0, []
-        for s in self.shapes:
-            n = int(np.prod(s))
-            views.append(self.flat[at : at + n].reshape(s))
-            at += n
-        self.context, self.unit, self.place, self.bias = views
+    def __init__(self, tables: list[np.ndarray], start: np.ndarray):
+        self.tables, self.start = tables, start
+        self.context, self.kind, self.unit, self.place = tables
+        self.class_of_unit = np.repeat(np.arange(len(start) - 1), np.diff(start))
 
     @classmethod
-    def start(cls, unit_count: np.ndarray) -> Model:
+    def new(cls, words: Vocabulary) -> Model:
+        """Random context vectors; biases that give each class and unit its share of the training tokens."""
         draw = np.random.default_rng(11)
-        m = cls(draw.normal(0, 0.1, cls.length))
-        m.place[:] = 1.0 / CONTEXT
-        m.bias[:] = np.log((unit_count + ADD) / (unit_count + ADD).sum())
-        return m
-
-    def hidden(self, ctx: np.ndarray) -> np.ndarray:
-        return sum(self.context[ctx[:, k]] * self.place[k] for k in range(CONTEXT))
-
-    def train(self, ctx: np.ndarray, units: np.ndarray, noise: np.ndarray, draw: np.random.Generator, scale: list[np.ndarray]) -> None:
-        """One noise-contrastive AdaGrad step; the normaliser is taken as 1, as usual for this loss."""
-        q = self.hidden(ctx)
-        other = draw.choice(SIZE, NOISE, p=noise)
-        log_noise = np.log(noise * NOISE).astype(np.float32)
-        b = len(units)
-        good = (q * self.unit[units]).sum(axis=1) + self.bias[units] - log_noise[units]
-        bad = q @ self.unit[other].T + (self.bias[other] - log_noise[other])
-        e = (1 / (1 + np.exp(np.clip(good, -20, 20)))).astype(np.float32)  # 1 - P(data)
-        f = (-1 / (1 + np.exp(-np.clip(bad, -20, 20)))).astype(np.float32)
-        dq = e[:, None] * self.unit[units] + f @ self.unit[other]
-        both = _by_index(units, np.column_stack([e[:, None] * q, e]), SIZE)
-        d_unit, d_bias = both[:, :-1].copy(), both[:, -1].copy()
-        np.add.at(d_unit, other, f.T @ q)
-        np.add.at(d_bias, other, f.sum(axis=0))
-        d_context, d_place = np.zeros_like(self.context), np.zeros_like(self.place)
+        context = draw.normal(0, SPREAD, (words.units + 1, WIDTH)).astype(np.float32)
+        kind, unit = (np.zeros((n, WIDTH), np.float32) for n in (words.classes, words.units))
+        c = words.unit_count + ADD
+        by_class = np.add.reduceat(c, words.start[:-1])
+        kind[:, -1], unit[:, -1] = np.log(by_class / c.sum()), np.log(c / by_class[words.class_of_unit])
+        return cls([context, kind, unit, np.full((CONTEXT, WIDTH), 1.0 / CONTEXT, np.float32)], words.start)
+
+    def hidden(self, seq: np.ndarray) -> np.ndarray:
+        """The vectors of the contexts of seq[CONTEXT:]; their last number is 1, which the biases go with."""
+        e = self.context[seq]
+        n = len(seq) - CONTEXT
+        q = e[CONTEXT - 1 : CONTEXT - 1 + n] * self.place[0]
+        for k in range(1, CONTEXT):
+            q += e[CONTEXT - 1 - k : CONTEXT - 1 - k + n] * self.place[k]
+        q[:, -1] = 1
+        return q
+
+    def train(self, seq: np.ndarray, noise: np.ndarray, draw: np.random.Generator, scale: list[np.ndarray], used: list[np.ndarray]) -> None:
+        """One noise-contrastive AdaGrad step on the tokens of seq[CONTEXT:]; normalisers are taken as 1, as usual for this loss."""
+        start = len(self.context) - 1
+        at = np.flatnonzero(seq[CONTEXT:] != start)
+        if not len(at):
+            return
+        all_q = self.hidden(seq)
+        q, unit = all_q[at], seq[CONTEXT:][at]
+        kind = self.class_of_unit[unit]
+
+        other = np.searchsorted(noise, draw.random(NOISE))
+        log_noise = np.log(np.diff(noise, prepend=0.0) * NOISE).astype(np.float32)
+        own = self.kind[kind]
+        e = _gap(np.einsum("bw,bw->b", q, own) - log_noise[kind])
+        f = _gap(q @ self.kind[other].T - log_noise[other]) - 1
+        dq = e[:, None] * own + f @ self.kind[other]
+        d_kind = _by_index(np.concatenate([kind, other]), np.concatenate([e[:, None] * q, f.T @ q]))
+
+        size = self.start[kind + 1] - self.start[kind]
+        many = np.flatnonzero(size > 1)
+        q2, u, size = q[many], unit[many], size[many]
+        v = self.start[kind[many]][:, None] + (draw.random((len(many), NOISE_UNITS)) * size[:, None]).astype(np.int64)
+        log_share = np.log(NOISE_UNITS / size).astype(np.float32)
+        own, others = self.unit[u], self.unit[v]
+        e = _gap(np.einsum("bw,bw->b", q2, own) - log_share)
+        f = _gap(np.einsum("bw,bkw->bk", q2, others) - log_share[:, None]) - 1
+        dq[many] += e[:, None] * own + np.einsum("bk,bkw->bw", f, others)
+        d_unit = _by_index(np.concatenate([u, v.ravel()]), np.concatenate([e[:, None] * q2, (f[:, :, None] * q2[:, None, :]).reshape(-1, WIDTH)])) if len(many) else (u, q2)
+
+        all_q[:] = 0
+        all_q[at] = dq
+        all_q[:, -1] = 0
+        n, e = len(all_q), self.context[seq]
+        back, d_place = np.zeros_like(e), np.zeros_like(self.place)
         for k in range(CONTEXT):
-            s = _by_index(ctx[:, k], dq, SIZE + 1)
-            d_context += s * self.place[k]
-            d_place[k] = (s * self.context).sum(axis=0)
-        for p, d, g in zip((self.context, self.unit, self.place, self.bias), (d_context, d_unit, d_place, d_bias), scale, strict=True):
-            d /= b / 16
-            g += d * d
-            p += RATE * d / np.sqrt(g)
-
-    def log_probs(self, ctx: np.ndarray, units: np.ndarray) -> np.ndarray:
-        """The natural log-probability of each unit, normalised over all units."""
-        out = np.empty(len(units))
-        for k in range(0, len(units), ROWS):
-            s = self.hidden(ctx[k : k + ROWS]) @ self.unit.T
-            s += self.bias
-            top = s.max(axis=1)
-            own = s[np.arange(len(s)), units[k : k + ROWS]]
-            s -= top[:, None]
-            np.exp(s, out=s)
-            out[k : k + ROWS] = own - top - np.log(s.sum(axis=1))
+            part = slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n)
+            back[part] += all_q * self.place[k]
+            d_place[k] = (all_q * e[part]).sum(axis=0)
+        d_context = _by_index(seq, back)
+        for p, (rows, d), g, times in zip(self.tables, (d_context, d_kind, d_unit, (np.arange(CONTEXT), d_place)), scale, used, strict=True):
+            g[rows] += d * d
+            p[rows] += RATE * d / np.sqrt(g[rows])
+            times[rows] += 1
+
+    def log_probs(self, seq: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The natural log-probability of the unit at each place of seq, normalised over all units."""
+        out, q, units = np.empty(len(place)), np.empty((len(place), WIDTH), np.float32), seq[place]
+        kind = self.class_of_unit[units]
+        for k in range(0, len(place), ROWS):
+            part = slice(k, k + ROWS)
+            begin = place[k]
+            q[part] = self.hidden(seq[begin - CONTEXT : place[part][-1] + 1])[place[part] - begin]
+            s = q[part] @ self.kind.T
+            own = s[np.arange(len(s)), kind[part]]
+            out[part] = own - log_sum_exp(s)
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(len(self.start)))
+        for c in np.flatnonzero((np.diff(self.start) > 1) & (np.diff(cuts) > 0)).tolist():
+            vectors = self.unit[self.start[c] : self.start[c + 1]]
+            for k in range(cuts[c], cuts[c + 1], ROWS):
+                at = order[k : min(k + ROWS, cuts[c + 1])]
+                s = q[at] @ vectors.T
+                own = s[np.arange(len(s)), units[at] - self.start[c]]
+                out[at] += own - log_sum_exp(s)
         return out
 
 
-def train(spark: SparkSession, docs: DataFrame, words: Vocabulary, text: str = "text", epochs: int = EPOCHS) -> Model:
-    """Averages, epoch by epoch, the copies that all partitions of docs train."""
-    model = Model.start(words.unit_count)
-    noise = np.sqrt(words.unit_count + 1)
-    noise /= noise.sum()
-    for epoch in range(epochs):
-        shared = spark.sparkContext.broadcast((words, model.flat))
+def _gap(x: np.ndarray) -> np.ndarray:
+    """1 - sigmoid(x)."""
+    return 1 / (1 + np.exp(np.clip(x, -20, 20)))
+
+
+def train(spark: SparkSession, docs: DataFrame, words: Vocabulary, text: str = "text", rounds: tuple[int, ...] = ROUNDS) -> Model:
+    """Averages, round by round, the copies that all partitions of docs train."""
+    model = Model.new(words)
+    by_class = np.add.reduceat(words.unit_count, words.start[:-1])
+    noise = np.cumsum(np.sqrt(by_class + 1))
+    noise /= noise[-1]
+    first_row = np.concatenate([[0], np.cumsum([len(t) for t in model.tables])])
+    vector = [f"v{k}" for k in range(WIDTH)]
+    deal, begin = F.pmod(F.xxhash64(text), F.lit(sum(rounds))), 0
+    for number, size in enumerate(rounds):
+        shared = spark.sparkContext.broadcast((words, model))
 
-        def run(batches, epoch=epoch, shared=shared):
+        def run(batches, number=number, shared=shared):
             import pyarrow as pa
 
-            words, flat = shared.value
-            own, draw, seen = Model(flat), np.random.default_rng(epoch), 0
-            scale = [np.full(s, 1e-2, np.float32) for s in Model.shapes]
+            words, old = shared.value
+            own, draw = Model([t.copy() for t in old.tables], old.start), np.random.default_rng(number)
+            scale = [np.full(t.shape, 0.1, np.float32) for t in own.tables]
+            used = [np.zeros(len(t), np.int64) for t in own.tables]
             for batch in batches:
                 for _, _, h, kind, first in _tokens(as_bytes(batch.column(0))):
-                    unit = words.look_up(h, kind)[1]
-                    ctx = contexts(unit, first)
-                    order = draw.permutation(len(unit))
-                    for k in range(0, len(order), BATCH):
-                        at = order[k : k + BATCH]
-                        own.train(ctx[at], unit[at], noise, draw, scale)
-                    seen += len(unit)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(Model.length, dtype=np.int32)), pa.array(own.flat.astype(float) * seen), pa.array(np.full(Model.length, seen))], ["k", "v", "w"])
-
-        parts = docs.select(text).mapInArrow(run, "k int, v double, w long")
-        mean = parts.groupBy("k").agg((F.sum("v") / F.sum("w")).alias("v")).toArrow()  # Model.length rows
-        if mean.num_rows:
-            flat = np.zeros(Model.length)
-            flat[mean.column("k").to_numpy()] = mean.column("v").to_numpy()
-            model = Model(flat)
+                    seq, _ = sequence(words.look_up(h, kind)[1], first, words.units)
+                    for k in draw.permutation(range(CONTEXT, len(seq), BATCH)).tolist():
+                        own.train(seq[k - CONTEXT : k + BATCH], noise, draw, scale, used)
+            for table, times, row in zip(own.tables, used, first_row, strict=False):
+                rows = np.flatnonzero(times)
+                yield pa.RecordBatch.from_arrays([pa.array((row + rows).astype(np.int32)), pa.array(times[rows]), *(pa.array(x) for x in table[rows].T)], ["k", "n", *vector])
+
+        parts = docs.where(deal.between(begin, begin + size - 1)).select(text).mapInArrow(run, f"k int, n long, {', '.join(f'{x} float' for x in vector)}")
+        mean = parts.groupBy("k").agg(*[(F.sum(F.col("n") * F.col(x)) / F.sum("n")).cast("float").alias(x) for x in vector]).toArrow()  # a row for each vector
+        rows, values = mean.column("k").to_numpy(), np.stack([mean.column(x).to_numpy() for x in vector], axis=1)
+        tables = []
+        for table, row in zip(model.tables, first_row, strict=False):
+            mine, table = (rows >= row) & (rows < row + len(table)), table.copy()
+            table[rows[mine] - row] = values[mine]
+            tables.append(table)
+        model, begin = Model(tables, words.start), begin + size
+        shared.unpersist()
     return model
 
 
@@ -242,15 +364,16 @@ def score(spark: SparkSession, docs: DataFrame, all_counts: DataFrame, words: Vo
 
     A text gives one row with the sums of its head words, and a row for each distinct other word, which meets its count.
     """
-    shared = spark.sparkContext.broadcast((words, model.flat))
+    shared = spark.sparkContext.broadcast((words, model))
     base_total = float(np.log10(words.n + ADD * (words.v + 1)))
 
     def run(batches):
         import pyarrow as pa
 
-        words, flat = shared.value
-        model, own_class = Model(flat), np.arange(SIZE) > UNITS
-        class_log = np.concatenate([np.zeros(UNITS + 1), np.log10(words.class_total)])
+        words, model = shared.value
+        is_rest = np.zeros(words.units, bool)
+        is_rest[words.start[:-1][words.end + 1 :]] = True
+        rest_log = np.where(is_rest, np.log10(words.rest)[words.class_of_unit], 0)
 
         def rows(row, ids, head, h, n, known, base, lm):
             return pa.RecordBatch.from_arrays([pa.array(row), ids, pa.array(np.full(len(row), head)), pa.array(h), pa.array(n), pa.array(known), pa.array(base), pa.array(lm)], _PARTS)
@@ -260,7 +383,7 @@ def score(spark: SparkSession, docs: DataFrame, all_counts: DataFrame, words: Vo
             for k, j, h, kind, first in _tokens(as_bytes(batch.column(2))):
                 c, unit = words.look_up(h, kind)
                 head, known = c >= 0, np.log10(np.maximum(c, 0) + ADD)
-                lm = model.log_probs(contexts(unit, first), unit) / _LOG10 - class_log[unit] + np.where(head & own_class[unit], known, 0)
+                lm = model.log_probs(*sequence(unit, first, words.units)) / _LOG10 - rest_log[unit] + np.where(head & is_rest[unit], known, 0)
                 base = np.where(head, known, 0) - base_total
                 sums = [np.add.reduceat(x, first[:-1]) for x in (head.astype(np.int64), base, lm)]  # each text has an end at least
                 uid = row[k:j]

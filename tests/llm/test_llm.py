@@ -266,7 +266,8 @@ def test_language_model(spark, sf, table):
     got = queries.op5_language_model(spark, sf).collect()
     same_scores(got, brute_base_score([(r.doc_id, r.text) for r in table.collect()]))
     held = [r for r in got if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    gain = (sum(r.score for r in held) - sum(r.base_score for r in held)) / sum(r.n_tokens for r in held)
+    assert gain * math.log2(10) > 0.2  # bits a token; the table is small
 
 
 def test_language_model_tail(spark, monkeypatch):
@@ -277,12 +278,66 @@ def test_language_model_tail(spark, monkeypatch):
     assert language_model.fit_and_score(spark, docs(spark, []), F.lit(True)).count() == 0
 
 
-def test_probabilities_add_up():
+def small_words():
+    """A vocabulary of 60 words in few classes, with counts 60 to 1, the last 20 of them no units."""
+    draw = np.random.default_rng(3)
+    h = np.concatenate([draw.integers(-(2**62), 2**62, 60), [language_model.END]])
+    c, kind = np.r_[np.arange(60, 0, -1), 70], np.r_[np.arange(60) % 3, 0]
+    order = np.argsort(-c)
+    kind_n = np.bincount(kind[:60], c[:60], language_model.KINDS)
+    words = language_model.Vocabulary(h[order], c[order], kind[order], int(c.sum()), 61, kind_n)
+    of = words.class_of(h[:60], kind[:60])
+    words.add_rests(np.arange(words.classes), np.bincount(of, c[:60], words.classes), np.bincount(of, minlength=words.classes))
+    return words, h, c, kind
+
+
+def test_probabilities_add_up(monkeypatch):
+    """The scores of a small model by double loops; and all words, known or not, add up to 1."""
+    monkeypatch.setattr(language_model, "SINGLES", 5)
+    words, h, c, kind = small_words()
+    assert np.diff(words.start).max() > 1 and 5 < (words.unit >= 0).sum() < 61
     draw = np.random.default_rng(0)
-    m = language_model.Model(draw.normal(size=language_model.Model.length))
-    ctx = draw.integers(0, language_model.SIZE + 1, (5, language_model.CONTEXT))
-    total = sum(np.exp(m.log_probs(ctx, np.full(5, u))) for u in range(language_model.SIZE))
-    assert np.allclose(total, 1, atol=1e-4)
+    m = language_model.Model.new(words)
+    for t in m.tables:
+        t += draw.normal(0, 0.5, t.shape)
+    texts = [h[[3, 17, 55, 2, 2, 40, 60]], h[[60]], h[[59, 12, 60]]]
+    kinds = [kind[[3, 17, 55, 2, 2, 40, 60]], kind[[60]], kind[[59, 12, 60]]]
+    first = np.r_[0, np.cumsum([len(x) for x in texts])]
+    count, unit = words.look_up(np.concatenate(texts), np.concatenate(kinds))
+    assert count.tolist() == [c[h.tolist().index(x)] for x in np.concatenate(texts)]
+    got = m.log_probs(*language_model.sequence(unit, first, words.units))
+    for t in range(3):
+        own = unit[first[t] : first[t + 1]].tolist()
+        for k in range(len(own)):
+            q = sum(m.context[own[k - 1 - j] if k > j else words.units].astype(float) * m.place[j] for j in range(language_model.CONTEXT))
+            q[-1] = 1
+            of_class = [math.exp(q @ x) for x in m.kind]
+            first_level = {x: v / sum(of_class) for x, v in enumerate(of_class)}
+            total, answer = 0.0, None
+            for x in range(words.classes):
+                members = range(words.start[x], words.start[x + 1])
+                inner = {u: math.exp(q @ m.unit[u]) for u in members}
+                for u in members:
+                    p = first_level[x] * inner[u] / sum(inner.values())
+                    total += p
+                    answer = p if u == own[k] else answer
+            assert abs(total - 1) < 1e-6 and abs(got[first[t] + k] - math.log(answer)) < 1e-4
+    seen = {u: 0.0 for u in words.start[:-1][words.end + 1 :].tolist()}  # of each rest: shares of its words, and of one unknown
+    for x, n, k in zip(h[:60], c[:60], kind[:60], strict=True):
+        u = int(words.look_up(np.array([x]), np.array([k]))[1][0])
+        if u in seen:
+            seen[u] += (n + 0.1) / words.rest[words.class_of_unit[u]]
+    assert all(abs(v + 0.1 / words.rest[words.class_of_unit[u]] - 1) < 1e-9 for u, v in seen.items())
+
+
+def test_language_model_learns_order(spark):
+    """Words that only their neighbours tell: far better than by their counts."""
+    draw = random.Random(9)
+    turn = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(turn[(at + j) % 400] for j in range(60))) for k in range(1500) for at in [draw.randrange(400)]]
+    held_out = common.fold(F.col("doc_id"), 10) == 0
+    got = language_model.fit_and_score(spark, docs(spark, rows), ~held_out).where(held_out).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert -got.b / got.n > 2.5 and -got.s / got.n < 0.8 * -got.b / got.n
 
 
 def test_substring_sql(spark, sf):
