@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from .common import as_bytes, mix, stage_table, text_chunks
 
 #: Numbers of a vector; the last one is the bias.
-WIDTH = 24
+WIDTH = 16
 CONTEXT = 5
 HEAD = 1 << 18
-MIN_COUNT, ROOT = 16, 4
-SINGLES, ENDINGS = 255, 64
-NOISE, NOISE_UNITS, BATCH, RATE = 48, 4, 512, 0.1
+MIN_COUNT, ROOT = 16, 2
+SINGLES, ENDINGS = 127, 64
+NOISE, NOISE_UNITS, BATCH, RATE = 48, 4, 1024, 0.1
 #: The first size of context vectors; and the sixteenths of the training rows that each round learns from.
-SPREAD, ROUNDS = 0.5, (1, 1, 2, 4, 8)
+SPREAD, ROUNDS = 0.5, (1, 3, 12)
 ADD = 0.1
 #: The end's hash.
 END = 1
@@ -50,7 +50,7 @@ END = 1
 KINDS = 1 << 16
 _LOG10 = np.log(10.0)
 #: Tokens that one matrix product takes.
-ROWS = 4096
+ROWS = 512
 
 
 def _tokens(texts: list[bytes | None]):
@@ -128,17 +128,17 @@ class Vocabulary:
         self.unit_count = np.zeros(self.units)
         self.unit_count[unit[unit >= 0]] = c[unit >= 0]
         self.rest = np.ones(self.classes)
+        of = self.class_of(h[used], kind[used])  # words of a class of their own have left this one
+        self.left = np.bincount(of, c[used], self.classes), np.bincount(of, minlength=self.classes)
         order = np.argsort(h.view(np.uint64))
         self.h, self.c, self.unit = h[order], c[order], unit[order]
         self.bucket = np.searchsorted(self.h.view(np.uint64) >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
 
     def add_rests(self, number: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
-        """Tells the classes' totals: class number, tokens and words, units included."""
-        of = self.class_of_unit[self.unit[self.unit >= 0]]
-        total, words = np.zeros(self.classes), np.zeros(self.classes)
-        total[number], words[number] = n, v
-        total -= np.bincount(of, self.c[self.unit >= 0], self.classes)
-        words -= np.bincount(of, minlength=self.classes)
+        """Tells the totals of class_of(): class number, tokens and words, units included."""
+        total, words = (-x.astype(float) for x in self.left)
+        total[number] += n
+        words[number] += v
         many = slice(self.end + 1, None)
         self.unit_count[self.start[:-1][many]] = total[many]
         self.rest[many] = total[many] + ADD * (words[many] + 1)
@@ -198,21 +198,24 @@ def sequence(unit: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarra
     return out, place
 
 
+def _sorted_sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct indices, sums of their rows); equal indices are neighbours."""
+    begin = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    return index[begin], np.add.reduceat(rows, begin, axis=0)
+
+
 def _by_index(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct indices, sums of their rows)."""
     order = np.argsort(index, kind="stable")
-    index = index[order]
-    begin = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-    return index[begin], np.add.reduceat(rows[order], begin, axis=0)
+    return _sorted_sums(index[order], rows[order])
 
 
-def log_sum_exp(s: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of each row's exponentials; s is used up."""
-    top = np.zeros((len(s), 1), s.dtype) if s.size and np.abs(s[:, 0]).max() < 40 and s.max() < 60 else s.max(axis=1, keepdims=True)
-    if top.any():
-        s -= top
+def log_sum_exp(s: np.ndarray, bound: float) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials; s is used up, and no number in it is above bound."""
+    top = s.max(axis=1) if bound > 60 else np.float32(0)
+    if bound > 60:
+        s -= top[:, None]
     np.exp(s, out=s)
-    return np.log(s.sum(axis=1)) + top[:, 0]
+    return np.log(s @ np.ones(s.shape[1], s.dtype)) + top
 
 
 class Model:
@@ -224,6 +227,8 @@ class Model:
         self.tables, self.start = tables, start
         self.context, self.kind, self.unit, self.place = tables
         self.class_of_unit = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        many = np.flatnonzero(np.diff(start) > 1)
+        self.singles = int(many[0]) if len(many) else len(start)  # the first classes have one unit each
 
     @classmethod
     def new(cls, words: Vocabulary) -> Model:
@@ -247,69 +252,84 @@ class Model:
         return q
 
     def train(self, seq: np.ndarray, noise: np.ndarray, draw: np.random.Generator, scale: list[np.ndarray], used: list[np.ndarray]) -> None:
-        """One noise-contrastive AdaGrad step on the tokens of seq[CONTEXT:]; normalisers are taken as 1, as usual for this loss."""
+        """One noise-contrastive step on the tokens of seq[CONTEXT:]; normalisers are taken as 1, as usual for this loss.
+
+        Tokens are taken in the order of their units, which is that of their classes too, so that equal ones are neighbours.
+        """
         start = len(self.context) - 1
-        at = np.flatnonzero(seq[CONTEXT:] != start)
+        order = np.argsort(seq, kind="stable")
+        at = order[(order >= CONTEXT) & (seq[order] != start)] - CONTEXT
         if not len(at):
             return
         all_q = self.hidden(seq)
-        q, unit = all_q[at], seq[CONTEXT:][at]
+        q, unit = all_q[at], seq[at + CONTEXT]
         kind = self.class_of_unit[unit]
 
+        def step(table: int, rows: np.ndarray, d: np.ndarray) -> None:
+            """AdaGrad with one scale for each vector."""
+            scale[table][rows] += np.einsum("rw,rw->r", d, d) / WIDTH
+            self.tables[table][rows] += d * (RATE / np.sqrt(scale[table][rows]))[:, None]
+            used[table][rows] += 1
+
         other = np.searchsorted(noise, draw.random(NOISE))
         log_noise = np.log(np.diff(noise, prepend=0.0) * NOISE).astype(np.float32)
-        own = self.kind[kind]
+        own, others = self.kind[kind], self.kind[other]
         e = _gap(np.einsum("bw,bw->b", q, own) - log_noise[kind])
-        f = _gap(q @ self.kind[other].T - log_noise[other]) - 1
-        dq = e[:, None] * own + f @ self.kind[other]
-        d_kind = _by_index(np.concatenate([kind, other]), np.concatenate([e[:, None] * q, f.T @ q]))
-
-        size = self.start[kind + 1] - self.start[kind]
-        many = np.flatnonzero(size > 1)
-        q2, u, size = q[many], unit[many], size[many]
-        v = self.start[kind[many]][:, None] + (draw.random((len(many), NOISE_UNITS)) * size[:, None]).astype(np.int64)
-        log_share = np.log(NOISE_UNITS / size).astype(np.float32)
-        own, others = self.unit[u], self.unit[v]
-        e = _gap(np.einsum("bw,bw->b", q2, own) - log_share)
-        f = _gap(np.einsum("bw,bkw->bk", q2, others) - log_share[:, None]) - 1
-        dq[many] += e[:, None] * own + np.einsum("bk,bkw->bw", f, others)
-        d_unit = _by_index(np.concatenate([u, v.ravel()]), np.concatenate([e[:, None] * q2, (f[:, :, None] * q2[:, None, :]).reshape(-1, WIDTH)])) if len(many) else (u, q2)
+        f = _gap(q @ others.T - log_noise[other]) - 1
+        dq = e[:, None] * own + f @ others
+        step(1, *_sorted_sums(kind, e[:, None] * q))
+        step(1, *_by_index(other, f.T @ q))
+
+        cut = int(np.searchsorted(kind, self.singles))
+        if cut < len(kind):
+            q2, u, kind = q[cut:], unit[cut:], kind[cut:]
+            new = np.r_[True, kind[1:] != kind[:-1]]
+            begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+            size = self.start[kind[begin] + 1] - self.start[kind[begin]]
+            v = self.start[kind[begin]][:, None] + (draw.random((len(begin), NOISE_UNITS)) * size[:, None]).astype(np.int64)
+            log_share = np.log(NOISE_UNITS / size).astype(np.float32)[group]
+            own, others = self.unit[u], self.unit[v][group]
+            e = _gap(np.einsum("bw,bw->b", q2, own) - log_share)
+            f = _gap(np.einsum("bw,bkw->bk", q2, others) - log_share[:, None]) - 1
+            dq[cut:] += e[:, None] * own + np.einsum("bk,bkw->bw", f, others)
+            bad = np.add.reduceat((f[:, :, None] * q2[:, None, :]).reshape(len(q2), -1), begin, axis=0)
+            step(2, *_sorted_sums(u, e[:, None] * q2))
+            step(2, *_by_index(v.ravel(), bad.reshape(-1, WIDTH)))
 
         all_q[:] = 0
         all_q[at] = dq
         all_q[:, -1] = 0
         n, e = len(all_q), self.context[seq]
-        back, d_place = np.zeros_like(e), np.zeros_like(self.place)
+        back, d_place = np.zeros_like(e), np.empty_like(self.place)
         for k in range(CONTEXT):
             part = slice(CONTEXT - 1 - k, CONTEXT - 1 - k + n)
             back[part] += all_q * self.place[k]
-            d_place[k] = (all_q * e[part]).sum(axis=0)
-        d_context = _by_index(seq, back)
-        for p, (rows, d), g, times in zip(self.tables, (d_context, d_kind, d_unit, (np.arange(CONTEXT), d_place)), scale, used, strict=True):
-            g[rows] += d * d
-            p[rows] += RATE * d / np.sqrt(g[rows])
-            times[rows] += 1
+            d_place[k] = np.einsum("bw,bw->w", all_q, e[part])
+        step(0, *_sorted_sums(seq[order], back[order]))
+        step(3, np.arange(CONTEXT), d_place)
 
     def log_probs(self, seq: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The natural log-probability of the unit at each place of seq, normalised over all units."""
-        out, q, units = np.empty(len(place)), np.empty((len(place), WIDTH), np.float32), seq[place]
+        out, units = np.empty(len(place)), seq[place]
         kind = self.class_of_unit[units]
+        q = self.hidden(seq)[place - CONTEXT]
+        longest = float(np.sqrt(np.einsum("bw,bw->b", q, q).max(initial=0)))
+        norm = [np.sqrt(np.einsum("bw,bw->b", t, t)) for t in (self.kind, self.unit)]
         for k in range(0, len(place), ROWS):
             part = slice(k, k + ROWS)
-            begin = place[k]
-            q[part] = self.hidden(seq[begin - CONTEXT : place[part][-1] + 1])[place[part] - begin]
             s = q[part] @ self.kind.T
             own = s[np.arange(len(s)), kind[part]]
-            out[part] = own - log_sum_exp(s)
+            out[part] = own - log_sum_exp(s, longest * norm[0].max())
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(len(self.start)))
         for c in np.flatnonzero((np.diff(self.start) > 1) & (np.diff(cuts) > 0)).tolist():
-            vectors = self.unit[self.start[c] : self.start[c + 1]]
+            members = slice(self.start[c], self.start[c + 1])
+            bound = longest * norm[1][members].max()
             for k in range(cuts[c], cuts[c + 1], ROWS):
                 at = order[k : min(k + ROWS, cuts[c + 1])]
-                s = q[at] @ vectors.T
+                s = q[at] @ self.unit[members].T
                 own = s[np.arange(len(s)), units[at] - self.start[c]]
-                out[at] += own - log_sum_exp(s)
+                out[at] += own - log_sum_exp(s, bound)
         return out
 
 
@@ -335,7 +355,7 @@ def train(spark: SparkSession, docs: DataFrame, words: Vocabulary, text: str = "
 
             words, old = shared.value
             own, draw = Model([t.copy() for t in old.tables], old.start), np.random.default_rng(number)
-            scale = [np.full(t.shape, 0.1, np.float32) for t in own.tables]
+            scale = [np.full(len(t), 0.1, np.float32) for t in own.tables]
             used = [np.zeros(len(t), np.int64) for t in own.tables]
             for batch in batches:
                 for _, _, h, kind, first in _tokens(as_bytes(batch.column(0))):
