@@ -205,6 +205,51 @@ def test_quality_odd(spark):
     assert none.count() == 0 and quality_rules.judge(docs(spark, rows), labels.limit(0)).where("llr <> 0").count() == 0
 
 
+def brute_ratios(rows, labels):
+    """The mean log ratio of each text, from word and pair counts in dictionaries."""
+    size, good = quality_rules.BUCKETS, {k for k, q in labels if q == 1 and k is not None}
+    signed = lambda x: (x + 2**63) % 2**64 - 2**63
+    raw, aim, grams = [Counter(), Counter()], [Counter(), Counter()], []
+    for k, x in rows:
+        h = [xxhash.xxh64_intdigest(w, 42) for w in words(x)]
+        pairs = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42)) for a, b in zip(h, h[1:], strict=False)]
+        own = [[signed(v) % size for v in x] for x in (h, pairs)]
+        grams.append(own)
+        for f in range(2):
+            raw[f].update(own[f])
+            aim[f].update(own[f] if k in good else [])
+    if not (aim[0] or aim[1]):
+        return [0.0] * len(rows)
+
+    def ratio(f, b):
+        return math.log((aim[f][b] + 1) / (sum(aim[f].values()) + size)) - math.log((raw[f][b] + 1) / (sum(raw[f].values()) + size))
+
+    return [sum(ratio(f, b) for f in range(2) for b in own[f]) / max(1, 2 * len(own[0]) - 1) for own in grams]
+
+
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_quality_ratios(spark, sf, table, monkeypatch, broadcast):
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", broadcast)
+    rows = [(r.doc_id, r.text) for r in table.collect()] + ODD
+    labels = common.table(spark, sf, "labels")
+    want = brute_ratios(rows, [(r.doc_id, r.quality) for r in labels.collect()])
+    got = quality_rules.judge(docs(spark, rows), labels).collect()
+    key = lambda r: (str(r[0]), str(r[1]), r[2])
+    a, b = sorted([(r.doc_id, r.text, r.llr) for r in got], key=key), sorted([(k, x, v) for (k, x), v in zip(rows, want, strict=True)], key=key)
+    assert len(a) == len(b) and all(x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-4 for x, y in zip(a, b, strict=True))
+    assert all(r.kept == (not r.base_failed and r.llr >= quality_rules.THRESHOLD) for r in got)
+
+
+def test_repeat_words_clash(spark):
+    """Windows whose hashes clash all the time are still told apart."""
+    draw = random.Random(3)
+    rows = [(k, " ".join(draw.choices("abcdef", k=draw.randint(0, 80)))) for k in range(60)] + ODD
+    df = docs(spark, rows).withColumn("w", common.words(F.col("text"))).withColumn("g", F.expr("transform(w, x -> xxhash64(x))"))
+    for bits in (1, 4, 64):
+        got = quality_rules.with_repeat_words(df, "w", "g", "n", bits).select("doc_id", "text", "n").collect()
+        assert Counter((r.doc_id, r.n) for r in got) == Counter((k, brute_base(x)[4]) for k, x in rows)
+
+
 # ---- 4
 
 def test_importance(spark, sf):
