@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one if it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset: a temporary one in local mode, else an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = spark.conf.get("quillon.scratch.dir", None)
         if not folder:
             folder = tempfile.mkdtemp(prefix="quillon-")
@@ -35,11 +37,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
+#: The folders of stage tables that are still there, by session.
+_STAGES: dict[int, list[str]] = {}
+
+
+def stage_table(spark: SparkSession, df: DataFrame, name: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
+
+    The stage tables ``done`` are removed once df is written: nothing else may read them. What is left when the caller
+    has used a result goes by ``remove_stage_tables``.
+    """
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STAGES.setdefault(id(spark.sparkContext), []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    for old in done:
+        _remove(spark, old.stage_path)
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _STAGES[id(spark.sparkContext)].remove(path)
+
+
+def remove_stage_tables(spark: SparkSession) -> None:
+    """Removes all stage tables of this session. Results that haven't been written or collected can't be read any more."""
+    for path in list(_STAGES.get(id(spark.sparkContext), ())):
+        _remove(spark, path)
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -26,4 +26,4 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage_table(spark, small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        now = stage_table(spark, small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges", done=(now,))

@@ -11,7 +11,8 @@ are verified on the texts, by exact shingle containment.
 
 Items are broadcast if there are at most ``BROADCAST_ITEMS`` rows of sketches, else joined by a shuffle. Null and empty
 texts and items have no shingles and are never part of a result; rows with a null id take no part. Rows that repeat a
-doc_id or an item_id give one pair, with the most shingles that any of them shares. Empty tables give no rows.
+doc_id or an item_id give one pair, with the most shingles that any of them shares. Empty tables give no rows. Other
+columns take no part, whatever their names. To judge rows instead of ids, name a column that tells the rows apart.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ proportion to their weights. The k-th largest key is found exactly by counting i
 The raw counts cover all documents. The target takes at most ``max_target`` labelled rows, those with the smallest hash
 of doc_id, which bounds what is broadcast. Null and empty texts have no n-grams and log-weight 0. Rows that tie with
 the k-th key, such as repeated rows, are all selected. No rows give no rows. k is a fraction of the rows, rounded up.
+Other columns of docs take no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -143,11 +144,12 @@ class Encoder:
         self.t = tables
         self.ids: dict[str, bytes] = {}
         self.decoded: dict[str, str] = {}
+        self.hint = os.path.commonprefix(list(tables.special))  # each text with a special token has this
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(tables.special, key=len, reverse=True))) + ")") if tables.special else None
 
     def words(self, text: str) -> list[str]:
         """The text cut at white space; special tokens are words of their own, marked by a leading line feed."""
-        if self.special is not None and "<|" in text and self.special.search(text):
+        if self.special is not None and self.hint in text and self.special.search(text):
             out: list[str] = []
             for k, part in enumerate(self.special.split(text)):
                 out += ["\n" + part] if k % 2 else self._cut(part)

@@ -58,7 +58,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie_tokens.token_counts(spark, table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), [F.col("doc_id")])
+    docs = table(spark, sf_dir, "documents")
+    return trie_tokens.token_counts(spark, docs, trie_tokens.learn(spark, docs, vocabulary("piece_bpe_32k.model")), [F.col("doc_id")])
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

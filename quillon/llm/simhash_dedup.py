@@ -11,7 +11,8 @@ Copies share a fingerprint and are counted once: only distinct fingerprints are
 document finds its class by its fingerprint.
 
 Null and empty texts have fingerprint 0 and are linked like any other. A null doc_id takes part, but never names a class; a class
-with null ids only has a null component. Repeated rows are kept. Empty tables give no rows.
+with null ids only has a null component. Repeated rows are kept. Empty tables give no rows. Other columns of docs take no
+part unless they are named in ``keep``; a kept column must not be called fp, fingerprint, component_id or root.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .components import components
 from .fingerprint import simhash
 
 BITS, DISTANCE = 64, 4
+#: Parts in which a class of fingerprints meets its least id.
+SALTS = 16
 
 
 def fingerprints(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
@@ -230,8 +233,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", di
     prints = stage_table(spark, fingerprints(docs, [F.col("doc_id"), *(keep or [])], text), "fingerprints")
     distinct = stage_table(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     roots = components(spark, links(spark, distinct.select("fp"), distance))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id", "root")
+    member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least_id", "root")
+    rooted = stage_table(spark, rooted, "rooted-fingerprints")
+    # A class may hold a third of all fingerprints: its members meet its least id in SALTS parts. Others are their own class.
+    linked = rooted.where("root is not null")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"])
+    alone = rooted.where("root is null").select("fp", F.col("least_id").alias("component_id"), F.col("fp").alias("root"))
+    classes = linked.select("fp", "component_id", "root").unionByName(alone)
     own = [c for c in prints.columns if c != "fp"]
     return prints.join(classes, "fp").select(*own, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")

@@ -31,7 +31,9 @@ from .common import WordChunk, as_bytes, mix, stage_table, text_chunks
 
 WINDOW, RUN = 50, 8
 #: Distinct strings of a bucket that one task sorts.
-BUCKET = 64
+BUCKET = 512
+#: Strings of a slice of a larger bucket.
+SLICE = 64
 #: Digests that a task remembers so as not to send a string twice.
 SEEN = 400_000
 
@@ -208,12 +210,12 @@ def _digests(words: bytes, n: int) -> list[bytes]:
 
 
 def merge_slices(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The same for crowded minimisers, whose super-k-mers (with crowd, their number) are dealt into slices of BUCKET or so.
+    """The same for crowded minimisers, whose super-k-mers (with crowd, their number) are dealt into slices of SLICE or so.
 
     A slice finds its distinct windows and sends each one's 128-bit digest and least doc_id to a part of the minimiser, many
     in one row. A part finds the least of all slices and answers the slices that had a greater one.
     """
-    sliced = rows.withColumn("slice", F.expr(f"pmod(d1, cast(ceil(crowd / {BUCKET}) as bigint))"))
+    sliced = rows.withColumn("slice", F.expr(f"pmod(d1, cast(ceil(crowd / {SLICE}) as bigint))"))
     sliced = stage_table(spark, sliced.select("h", "slice", "crowd", "d1", "d2", "n", "least", "most", "words"), "slices")
 
     def by(df: DataFrame, *keys: str) -> DataFrame:
@@ -230,7 +232,7 @@ def merge_slices(spark: SparkSession, rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for (h, part_of), own in _groups(batches, 2):
-            parts = max(1, own[0][0] // (2 * BUCKET))
+            parts = max(1, own[0][0] // 128)
             out: dict[int, list] = {}
             for w, doc in own_least([x[1:] for x in own]).items():
                 out.setdefault(int.from_bytes(w[:4], "little") % parts, []).append((w, doc))

@@ -6,10 +6,12 @@ where it mentions none, a neutral mention is put in. The loss adds the squared c
 text to counterfactual, so that the model can't lean on the mention of a group. Each word's feature has the size of its
 log-odds between the labels (add-one smoothed), so that words without a link to the label hardly get a weight.
 
-Fitting takes at most ``max_rows`` labelled rows, those with the smallest hash of doc_id, which bounds what the driver
-holds: only hashed words travel to it. Scoring covers every row. Labels, language, source and doc_id are never inputs
-of a score. Null and empty texts have no words and get the score of the bias alone. With no labelled rows, or labels of
-one kind, all scores are that label's smoothed rate. If a doc_id has several labels, the greatest counts. Rows are never merged.
+Fitting takes at most ``max_rows`` labelled rows with at most ``max_words`` distinct words in all, those with the smallest
+hash of doc_id, which bounds what the driver holds: only hashed words travel to it. Scoring covers every row. Labels,
+language, source and doc_id are never inputs of a score. Null and empty texts have no words and get the score of the bias
+alone. With no labelled rows, or labels of one kind, all scores are that label's smoothed rate. If a doc_id has several
+labels, the greatest counts; if it has several texts, the one with the smallest hash is learned. In scoring, rows are
+never merged; other columns take no part unless they are named in ``keep``, and must not be called score or predicted.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold
+from .common import fold, stage_table
 
 FEATURES = 1 << 18
-MAX_ROWS = 12_000
+MAX_ROWS, MAX_WORDS = 12_000, 20_000_000
 #: A feature counts if so many fitted rows have it.
 MIN_ROWS = 4
 STEPS, RATE, RIDGE, FAIRNESS = 150, 0.1, 5e-4, 1.0
@@ -113,12 +115,13 @@ def train(ids: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[np.ndarra
     return Model(weight, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS, groups: tuple[tuple[str, ...], ...] = IDENTITY) -> Model:
     """Learns from labelled rows of docs (doc_id, text) and labels (doc_id, toxic)."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = marks.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first"))
+    rows = rows.select("doc_id", "first.text", "toxic")
 
     def run(batches):
         import pyarrow as pa
@@ -134,7 +137,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, groups:
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, kind), pa.array(off, kind), pa.array(on, kind)], ["doc_id", "toxic", "ids", "off", "on"])
 
-    got = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "doc_id long, toxic int, ids array<int>, off array<int>, on array<int>").toArrow().sort_by("doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = rows.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, f"doc_id {kind}, toxic int, ids array<int>, off array<int>, on array<int>")
+    made = stage_table(docs.sparkSession, made, "labelled-words")
+    so_far = F.sum(F.size("ids").cast("long")).over(Window.orderBy(order, "doc_id"))  # max_rows rows at most
+    fits = made.select("doc_id", so_far.alias("words")).where(F.col("words") <= max_words).select("doc_id")
+    got = made.join(F.broadcast(fits), "doc_id").toArrow().sort_by("doc_id")
 
     def lists(name: str) -> list[np.ndarray]:
         c = got.column(name).combine_chunks()

@@ -1,27 +1,36 @@
 """Token counts of texts under a unigram segmentation, by dynamic programming shared along a trie.
 
-The pieces and their order come from a public vocabulary file; the log-probability of the piece of rank r is
--ln(r + 1) - ln(ln(V)) or so (Zipf's law), a byte of a character without a piece costs ``BYTE_LOG_PROB``. A pre-token is a word
-with the word mark before it; its segmentation is the one of greatest total, and of those the one with the fewest tokens.
+The pieces come from a public vocabulary file, which has their order only. Their log-probabilities are learned from the
+texts: they begin as -ln(r + 1) - ln(ln(V)) or so for the piece of rank r (Zipf's law), then ``ROUNDS`` times all distinct
+words are segmented, the pieces counted, each word as often as the texts have it, and the probabilities set to the
+pieces' add-one shares. A byte of a character without a piece costs ``BYTE_LOG_PROB``. A pre-token is a word with the word
+mark before it; its segmentation is the one of greatest total, and of those the one with the fewest tokens.
 
 The best (total, tokens) of a prefix depends on that prefix alone. So a task puts its distinct pre-tokens in a trie (in
 sorted order, the trie's depth-first order, so that one path is held at a time), computes each prefix's state once, and
 stores the count at each terminal. Texts then add up their words' counts.
 
-Null and empty texts have 0 tokens. Rows are never merged; other columns pass through.
+Null and empty texts have 0 tokens. Rows are never merged. Other columns take no part unless they are named in ``keep``; a
+kept column must not be called n_words or n_tokens. Empty tables give no rows, and learning from them leaves Zipf's law.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stage_table
+
 MARK = "▁"
 BYTE_LOG_PROB = -16.0
+ROUNDS = 1
 #: Words whose counts a task remembers; beyond this it forgets them all, which bounds its memory.
 CACHE_WORDS = 1_000_000
 
@@ -29,9 +38,14 @@ CACHE_WORDS = 1_000_000
 class Unigram:
     """Pieces with log-probabilities; byte pieces (<0xNN>), control and unknown pieces are left out."""
 
-    def __init__(self, pieces: list[str]):
-        norm = math.log(sum(1 / (r + 1) for r in range(max(1, len(pieces)))))
-        self.log_prob = {p: -math.log(r + 1) - norm for r, p in enumerate(pieces)}
+    def __init__(self, pieces: list[str], counts: dict[str, int] | None = None):
+        """Shares by Zipf's law, or by counts, with one added to each."""
+        if counts is None:
+            norm = math.log(sum(1 / (r + 1) for r in range(max(1, len(pieces)))))
+            self.log_prob = {p: -math.log(r + 1) - norm for r, p in enumerate(pieces)}
+        else:
+            total = math.log(sum(counts.values()) + len(pieces))
+            self.log_prob = {p: math.log(counts.get(p, 0) + 1) - total for p in pieces}
         self.longest = max(map(len, pieces), default=1)
 
     @classmethod
@@ -42,26 +56,43 @@ class Unigram:
         keep = [k for k in range(s.get_piece_size()) if not (s.is_byte(k) or s.is_control(k) or s.is_unknown(k))]
         return cls([s.id_to_piece(k) for k in sorted(keep, key=lambda k: (-s.get_score(k), k))])
 
-    def states(self, text: str, states: list[tuple[float, int]], start: int) -> None:
-        """Extends the states of text[:start] to those of all of text. A state is (-total, tokens) of the best cut."""
+    def states(self, text: str, states: list[tuple[float, int, int]], start: int) -> None:
+        """Extends the states of text[:start] to those of all of text: (-total, tokens, -start of the last piece) of the best cut.
+
+        Of equal cuts, that with the shorter last piece is taken. The last piece of a character without one is its bytes.
+        """
         piece = self.log_prob.get
         for end in range(start + 1, len(text) + 1):
-            total, tokens = states[end - 1]
+            total, tokens, _ = states[end - 1]
             size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-            best = (total - size * BYTE_LOG_PROB, tokens + size)
+            best = (total - size * BYTE_LOG_PROB, tokens + size, 1 - end)
             for at in range(max(0, end - self.longest), end):
                 p = piece(text[at:end])
                 if p is not None:
-                    total, tokens = states[at]
-                    new = (total - p, tokens + 1)
+                    total, tokens, _ = states[at]
+                    new = (total - p, tokens + 1, -at)
                     if new < best:
                         best = new
             states.append(best)
 
     def counts(self, words: set[str]) -> dict[str, int]:
         """The tokens of each word, computed along the trie of all of them."""
-        out: dict[str, int] = {}
-        path, states = MARK, [(0.0, 0)]
+        return {word: states[-1][1] for word, states in self.walk(words)}
+
+    def pieces(self, words: dict[str, int]) -> Counter:
+        """How often the segmentations of the words use each piece; words: how often there is each word."""
+        out: Counter = Counter()
+        for word, states in self.walk(words):
+            text, end = MARK + word, len(word) + 1
+            while end:
+                at = -states[end][2]
+                out[text[at:end]] += words[word]
+                end = at
+        return out
+
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[tuple[float, int, int]]]]:
+        """The words in sorted order, each with its states, which are good until the next one."""
+        path, states = MARK, [(0.0, 0, 0)]
         self.states(path, states, 0)
         for word in sorted(words):
             text = MARK + word
@@ -71,8 +102,46 @@ class Unigram:
             del states[shared + 1 :]
             self.states(text, states, shared)
             path = text
-            out[word] = states[-1][1]
-        return out
+            yield word, states
+
+
+def _words(text: bytes | None) -> list[str]:
+    """The words of a text, with empty ones between them."""
+    return (text or b"").decode("utf-8", "replace").translate(_BREAKS).split(" ")
+
+
+def learn(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram, text: str = "text", rounds: int = ROUNDS) -> Unigram:
+    """The vocabulary with log-probabilities from all texts of docs. The driver gathers a count for each piece."""
+    model = Unigram.from_file(vocabulary) if isinstance(vocabulary, str) else vocabulary
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found: Counter = Counter()
+            for x in batch.column(0).cast(pa.binary()).to_pylist():
+                found.update(_words(x))
+            found.pop("", None)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+
+    words = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = stage_table(spark, words, "word-counts")
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+
+        def segment(batches, shared=shared):
+            import pyarrow as pa
+
+            found: Counter = Counter()
+            for batch in batches:
+                found.update(shared.value.pieces(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))))
+            known = {p: n for p, n in found.items() if p in shared.value.log_prob}
+            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array(list(known.values()), pa.int64())], ["piece", "n"])
+
+        used = words.mapInArrow(segment, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece
+        if used:
+            model = Unigram(list(model.log_prob), {r["piece"]: r["n"] for r in used})
+    return model
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram, keep: list[Column], text: str = "text") -> DataFrame:
@@ -88,12 +157,12 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram
 
         model, known = shared.value, {}
         for batch in batches:
-            texts = [x or b"" for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             n_words, n_tokens, k = [], [], 0
             while k < len(texts):
                 group, fresh = [], set()
                 while k < len(texts) and len(fresh) < CACHE_WORDS // 2:
-                    group.append(words := texts[k].decode("utf-8", "replace").translate(_BREAKS).split(" "))
+                    group.append(words := _words(texts[k]))
                     fresh.update(words)
                     k += 1
                 fresh.discard("")
