@@ -7,6 +7,12 @@ from collections import deque
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import series
+
+#: Weights of so many rows travel to every task, more are joined by a shuffle.
+BROADCAST_WEIGHTS = 2_000_000
 
 
 class Classifier:
@@ -48,33 +54,107 @@ class Classifier:
                 self.weights[s][past] += self.alpha * error
 
 
-def learn_series(df: DataFrame, alpha: float = 0.001, steps: tuple[int, ...] = (1,)) -> DataFrame:
-    """(series, step, bit, bucket, w): the weights after each series' rows (series, seq, bits, bucket), in order."""
+#: A classifier's state: its weights other than 0, how many bits and buckets it knows, and the patterns it remembers.
+STATE = "step array<int>, bit array<int>, bucket array<int>, w array<double>, n_bits int, n_buckets int, history array<array<int>>"
+
+
+class _Series:
+    """A classifier as series.run takes it: rows have bits, bucket and reset."""
+
+    def __init__(self, alpha: float, steps: tuple[int, ...], state: dict | None):
+        self.c = c = Classifier(alpha, steps)
+        if state is not None:
+            c._room(state["n_bits"], state["n_buckets"])
+            for s, b, k, w in zip(*(state[x] for x in ("step", "bit", "bucket", "w")), strict=True):
+                if s in c.weights:
+                    c.weights[s][b, k] = w
+            c.history.extend(np.array(x, np.int64) for x in state["history"])
+
+    def step(self, row: dict) -> tuple:
+        if row["reset"]:
+            self.c.reset()
+        self.c.learn(np.asarray(row["bits"], np.int64), row["bucket"])
+        return ()
+
+    def export(self) -> tuple:
+        found = [(s, *np.nonzero(w), w) for s, w in self.c.weights.items()]
+        columns = [np.concatenate([x]) for x in ([s for s, b, _, _ in found for _ in b], *(np.concatenate(x) for x in zip(*[(b, k, w[b, k]) for _, b, k, w in found], strict=True)))]
+        shape = next(iter(self.c.weights.values())).shape
+        return *(c.tolist() for c in columns), *shape, [x.tolist() for x in self.c.history]
+
+
+def train(df: DataFrame, alpha: float = 0.001, steps: tuple[int, ...] = (1,), state: DataFrame | None = None) -> DataFrame:
+    """The state of each series (series, STATE) after its rows (series, seq, bits, bucket and optionally reset), in order.
+
+    reset forgets the patterns before the row, not the weights. Rows without bits or bucket take no part.
+    """
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in df.columns else F.lit(False)
+    rows = df.where("bits is not null and bucket is not null").select("series", "seq", "bits", F.col("bucket").cast("int").alias("bucket"), reset.alias("reset"))
+    return series.run(rows, lambda s: _Series(alpha, steps, s), "none int", STATE, state, final=True)
+
+
+def weights(state: DataFrame) -> DataFrame:
+    """(series, step, bit, bucket, w) of states."""
+    return state.select("series", F.inline(F.arrays_zip("step", "bit", "bucket", "w")))
 
-    def run(pdf):
-        c = Classifier(alpha, steps)
-        for bits, bucket in pdf.sort_values("seq")[["bits", "bucket"]].itertuples(index=False):
-            c.learn(np.asarray(bits, np.int64), int(bucket))
-        out = [(pdf["series"].iloc[0], s, b, k, w[b, k]) for s, w in c.weights.items() for b, k in zip(*np.nonzero(w), strict=True)]
-        return type(pdf)(out, columns=["series", "step", "bit", "bucket", "w"])
 
-    rows = df.where("bits is not null and bucket is not null").select(F.col("series").cast("string").alias("series"), "seq", "bits", F.col("bucket").cast("int").alias("bucket"))
-    return rows.groupBy("series").applyInPandas(run, "series string, step int, bit int, bucket int, w double")
+def learn_series(df: DataFrame, alpha: float = 0.001, steps: tuple[int, ...] = (1,), state: DataFrame | None = None) -> DataFrame:
+    """(series, step, bit, bucket, w): the weights after each series' rows; see train()."""
+    return weights(train(df, alpha, steps, state))
 
 
-def infer(df: DataFrame, weights: DataFrame, keys: list[str], series: str | None = None) -> DataFrame:
-    """(keys, step, bucket, p): df has keys and bits; weights (step, bit, bucket, w), of each series if series names its column.
+def infer(df: DataFrame, weights: DataFrame, keys: list[str], by: str | None = None) -> DataFrame:
+    """(keys, step, bucket, p): df has keys and bits; weights (step, bit, bucket, w), of each series if ``by`` names its column.
 
-    Bits without weights count 0; every bucket that the weights know gets a probability.
+    Bits without weights count 0; every bucket that the weights know gets a probability. Up to BROADCAST_WEIGHTS weights
+    of all rows alike travel to the rows, which are then done without a shuffle; others are joined.
     """
-    on = [series] if series else []
+    if by is None and weights.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS:
+        return _infer_rows(df, weights, keys)
+    on = [by] if by else []
     grid = weights.select(*on, "step", "bucket").distinct()
     summed = df.select(*keys, F.explode("bits").alias("bit")).join(weights, [*on, "bit"]).groupBy(*keys, "step", "bucket").agg(F.sum("w").alias("z"))
-    every = df.select(*keys).join(grid, on) if on else df.select(*keys).join(grid)
+    if on:
+        every = df.select(*keys).join(grid, on)
+    else:  # as many rows as there are probabilities
+        each = grid.agg(F.collect_set(F.struct("step", "bucket")).alias("grid")).first()["grid"]
+        every = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(r["step"]).alias("step"), F.lit(r["bucket"]).alias("bucket")) for r in each])))
     z = every.join(summed, [*keys, "step", "bucket"], "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
-    by = Window.partitionBy(*keys, "step")
-    e = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(by)))
-    return e.select(*keys, "step", "bucket", (F.col("e") / F.sum("e").over(by)).alias("p"))
+    own = Window.partitionBy(*keys, "step")
+    e = z.withColumn("e", F.exp(F.col("z") - F.max("z").over(own)))
+    return e.select(*keys, "step", "bucket", (F.col("e") / F.sum("e").over(own)).alias("p"))
+
+
+def _infer_rows(df: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    got = weights.select("step", "bit", "bucket", F.col("w").cast("double")).toArrow()
+    step, bit, bucket, w = (got.column(k).to_numpy() for k in range(4))
+    tables = []
+    for s in np.unique(step).tolist():
+        own = step == s
+        known, place = np.unique(bucket[own], return_inverse=True)
+        dense = np.zeros((int(bit.max()) + 2, len(known)))  # the last row is that of unknown bits
+        np.add.at(dense, (bit[own], place), w[own])
+        tables.append((s, known, dense))
+    shared, rows = df.sparkSession.sparkContext.broadcast(tables), df.select(*keys, "bits")
+    made = [T.StructField("step", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("p", T.DoubleType())]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            column, n = batch.column(len(keys)), batch.num_rows
+            bits = column.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(n), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            for s, known, dense in shared.value:
+                of = np.where((bits >= 0) & (bits < len(dense)), bits, len(dense) - 1)
+                z = np.stack([np.bincount(row, dense[of, k], n) for k in range(len(known))], axis=1)
+                e = np.exp(z - z.max(axis=1, keepdims=True))
+                e /= e.sum(axis=1, keepdims=True)
+                own = [c.take(pa.array(np.repeat(np.arange(n), len(known)))) for c in batch.columns[: len(keys)]]
+                columns = [np.full(e.size, s, np.int32), np.tile(known, n).astype(np.int32), e.ravel()]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, columns)], [*keys, *[m.name for m in made]])
+
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[k] for k in keys], *made]))
 
 
 def best(probabilities: DataFrame, keys: list[str]) -> DataFrame:

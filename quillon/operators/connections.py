@@ -6,12 +6,18 @@ a new table. Sequential learners hold a series' graph in arrays of their own (te
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPSILON = 1e-6
-#: Synapse tables of so many rows are broadcast to active inputs, larger ones are joined by a shuffle.
+#: Synapse tables of so many rows travel to every task, larger ones are joined by a shuffle.
 BROADCAST_SYNAPSES = 2_000_000
+#: Counts (row, segment) that a task holds at a time.
+CELLS = 1 << 22
+#: Parts in which new segments are numbered.
+PARTS = 256
 
 
 def clamp_permanence(p: Column) -> Column:
@@ -23,13 +29,87 @@ def active_inputs(df: DataFrame, keys: list[str], bits: str) -> DataFrame:
     return df.select(*keys, F.explode(bits).alias("presyn"))
 
 
-def activity(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, threshold: float, *, small: bool = False) -> DataFrame:
+def ranges(begin: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """All places from begin[k] up to begin[k + 1], for each k of ``of``, one after the other."""
+    n = begin[of + 1] - begin[of]
+    skip = np.concatenate([[0], np.cumsum(n)])
+    return np.arange(skip[-1]) + np.repeat(begin[of] - skip[:-1], n)
+
+
+class Graph:
+    """Synapses as arrays in the order of their inputs, small enough to travel to every task."""
+
+    def __init__(self, segment: np.ndarray, presyn: np.ndarray, perm: np.ndarray):
+        order = np.lexsort((segment, presyn))
+        self.segment, self.perm = segment[order].astype(np.int64), perm[order]
+        self.inputs = int(presyn.max()) + 1 if len(presyn) else 0
+        self.begin = np.searchsorted(presyn[order], np.arange(self.inputs + 1))
+        self.segments = int(segment.max()) + 1 if len(segment) else 0
+
+    @classmethod
+    def gather(cls, synapses: DataFrame, most: int | None = None) -> Graph | None:
+        """The graph, if it has at most BROADCAST_SYNAPSES synapses, else None."""
+        most = BROADCAST_SYNAPSES if most is None else most
+        if synapses.limit(most + 1).count() > most:
+            return None
+        rows = synapses.select("segment", "presyn", F.col("perm").cast("double")).toArrow()
+        return cls(*(rows.column(k).to_numpy() for k in range(3)))
+
+    def counts(self, column, segments: int, threshold: float):
+        """For runs of rows of an Arrow column of bit arrays: (from, to, connected, potential), arrays (row, segment)."""
+        lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        bits, first = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])
+        step = max(1, CELLS // max(1, segments))
+        for k in range(0, len(column), step):
+            j = min(k + step, len(column))
+            own, row = bits[first[k] : first[j]], np.repeat(np.arange(j - k), lengths[k:j])
+            known = (own >= 0) & (own < self.inputs)
+            own, row = own[known], row[known]
+            at = ranges(self.begin, own)
+            key = np.repeat(row, self.begin[own + 1] - self.begin[own]) * segments + self.segment[at]
+            size = (j - k) * segments
+            connected = np.bincount(key[self.perm[at] >= threshold], minlength=size)
+            yield k, j, connected.reshape(j - k, -1), np.bincount(key, minlength=size).reshape(j - k, -1)
+
+    def met(self, df: DataFrame, keys: list[str], bits: str, threshold: float) -> DataFrame:
+        """(keys, segment, connected, potential) where a row has a synapse of the segment; one pass without a shuffle."""
+        shared, rows = df.sparkSession.sparkContext.broadcast(self), df.select(*keys, F.col(bits).alias("__bits"))
+        made = [T.StructField("segment", T.IntegerType()), T.StructField("connected", T.LongType()), T.StructField("potential", T.LongType())]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for k, _, connected, potential in shared.value.counts(batch.column(len(keys)), max(1, shared.value.segments), threshold):
+                    row, segment = np.nonzero(potential)
+                    own = [c.take(pa.array(k + row)) for c in batch.columns[: len(keys)]]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(segment.astype(np.int32)), pa.array(connected[row, segment]), pa.array(potential[row, segment])], [*keys, *[m.name for m in made]])
+
+        return rows.mapInArrow(run, T.StructType([*[rows.schema[k] for k in keys], *made]))
+
+    def each(self, df: DataFrame, keys: list[str], bits: str, segments: int, choose, name: str) -> DataFrame:
+        """(keys, name): choose() makes arrays of ints of the counts (row, segment) of a run of rows; one pass without a shuffle."""
+        shared, rows = df.sparkSession.sparkContext.broadcast(self), df.select(*keys, F.col(bits).alias("__bits"))
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                found = [x for _, _, _, potential in shared.value.counts(batch.column(len(keys)), segments, -np.inf) for x in choose(potential)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found, pa.list_(pa.int32()))], [*keys, name])
+
+        return rows.mapInArrow(run, T.StructType([*[rows.schema[k] for k in keys], T.StructField(name, T.ArrayType(T.IntegerType()))]))
+
+
+def activity(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, threshold: float) -> DataFrame:
     """(keys, segment, connected, potential): the synapses of each segment on active inputs, at the threshold and in all.
 
-    small says that the synapses are known to be few (BROADCAST_SYNAPSES rows); they are then broadcast.
+    Up to BROADCAST_SYNAPSES synapses travel to the rows, which are then done without a shuffle; more are joined.
     """
-    table = F.broadcast(synapses) if small else synapses
-    met = active_inputs(df, keys, bits).join(table, "presyn")
+    graph = Graph.gather(synapses)
+    if graph is not None:
+        return graph.met(df, keys, bits, threshold)
+    met = active_inputs(df, keys, bits).join(synapses, "presyn")
     return met.groupBy(*keys, "segment").agg(F.count_if(F.col("perm") >= threshold).alias("connected"), F.count("*").alias("potential"))
 
 
@@ -55,15 +135,61 @@ def make_room(segments: DataFrame, synapses: DataFrame, most: int) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("have") - (most - 1)).select("segment")
 
 
-def adapt(synapses: DataFrame, active: DataFrame, segments: DataFrame, increment: float, decrement: float, *, prune: bool = False) -> DataFrame:
-    """Raises the synapses of the given segments (segment) on active cells (presyn), lowers the others."""
+def adapt(synapses: DataFrame, active: DataFrame, segments: DataFrame, increment: float, decrement: float, *, prune: bool = False, series: bool = False) -> DataFrame:
+    """Raises the synapses of the given segments (segment) on active cells (presyn), lowers the others.
+
+    prune drops synapses that come to 0. With series, synapses have a column change, what was added the last time (0 at
+    first, or after ``forget``): a change of the same sign as the last one isn't made, and 0 is noted for it.
+    """
     own = synapses.join(segments.select("segment").distinct().withColumn("__own", F.lit(True)), "segment", "left")
     own = own.join(active.select("presyn").distinct().withColumn("__on", F.lit(True)), "presyn", "left")
-    step = F.when(F.col("__own").isNull(), F.lit(0.0)).when(F.col("__on"), F.lit(increment)).otherwise(F.lit(-decrement))
-    out = own.select("segment", "presyn", clamp_permanence(F.col("perm") + step).alias("perm"))
+    step = F.when(F.col("__on"), F.lit(increment)).otherwise(F.lit(-decrement))
+    if series:
+        step = F.when(F.signum(step) == F.signum("change"), F.lit(0.0)).otherwise(step)
+    moved = F.when(F.col("__own"), clamp_permanence(F.col("perm") + step)).otherwise(F.col("perm"))
+    last = [F.when(F.col("__own"), step).otherwise(F.col("change")).alias("change")] * series
+    out = own.select("segment", "presyn", moved.alias("perm"), *last)
     return out.where(F.col("perm") > EPSILON) if prune else out
 
 
+def forget(synapses: DataFrame) -> DataFrame:
+    """Synapses whose last changes are forgotten: what a reset does to a series."""
+    return synapses.withColumn("change", F.lit(0.0))
+
+
+def weak_segments(segments: DataFrame, synapses: DataFrame, least: int) -> DataFrame:
+    """(segment) of those with fewer than least synapses, for destroy_segments()."""
+    sizes = segments.join(synapses.groupBy("segment").agg(F.count("*").alias("n")), "segment", "left")
+    return sizes.where(F.coalesce("n", F.lit(0)) < least).select("segment")
+
+
+def create_segments(segments: DataFrame, synapses: DataFrame, cells: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Segments with one more for each of the distinct cells (cell), and synapses; at the maximum, a cell's smallest segments go first."""
+    new = cells.select("cell").distinct()
+    segments, synapses = destroy_segments(segments, synapses, make_room(segments.join(new, "cell", "left_semi").select("segment", "cell"), synapses, most))
+    top = segments.agg(F.coalesce(F.max("segment"), F.lit(-1))).first()[0]
+    # places within ranges of cells, so that no task has to see all new cells
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("cell"))
+    ranged = new.withColumn("__part", F.pmod(F.xxhash64("cell"), F.lit(PARTS)))
+    before, at = [], top
+    for r in sorted(ranged.groupBy("__part").count().collect()):  # PARTS rows at most
+        before.append((r["__part"], at))
+        at += r["count"]
+    starts = new.sparkSession.createDataFrame(before, "__part long, __before long")
+    made = ranged.join(F.broadcast(starts), "__part").select((F.col("__before") + place).cast(segments.schema["segment"].dataType).alias("segment"), "cell")
+    return segments.select("segment", "cell").unionByName(made), synapses
+
+
+def compare(segments: DataFrame) -> DataFrame:
+    """segments with their place among those of their cell: their order is (cell, place)."""
+    return segments.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy("segment")) - 1)
+
+
+def same_graph(a: tuple[DataFrame, DataFrame], b: tuple[DataFrame, DataFrame]) -> bool:
+    """Whether two graphs (segments, synapses) have equal segments and synapses, in any order of rows."""
+    return all(x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty() for x, y in zip(a, b, strict=True))
+
+
 def bump(synapses: DataFrame, segments: DataFrame, delta: float) -> DataFrame:
     """Adds delta to all synapses of the given segments."""
     own = synapses.join(segments.select("segment").distinct().withColumn("__own", F.lit(True)), "segment", "left")
@@ -90,9 +216,17 @@ def destroy_weakest(synapses: DataFrame, n: int, keep: DataFrame | None = None)
     return safe.withColumn("__rank", rank).where((F.col("__rank") > n) | F.col("__keep").isNotNull()).select("segment", "presyn", "perm")
 
 
-def grow(synapses: DataFrame, wanted: DataFrame, initial: float, seed: int = 0) -> DataFrame:
-    """Adds synapses: wanted(segment, presyn, n) has candidates and how many each segment takes, drawn by a hash."""
+def grow(synapses: DataFrame, wanted: DataFrame, initial: float, seed: int = 0, most: int | None = None) -> DataFrame:
+    """Adds synapses: wanted(segment, presyn, n) has candidates and how many each segment takes, drawn by a hash.
+
+    With ``most``, a segment that would have more loses its weakest old synapses first, and takes no more than that.
+    """
     free = wanted.join(synapses, ["segment", "presyn"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("segment").orderBy(F.xxhash64(F.lit(seed), "segment", "presyn"), "presyn"))
-    new = free.withColumn("__rank", rank).where("__rank <= n").select("segment", "presyn", F.lit(initial).alias("perm"))
+    new = free.withColumn("__rank", rank).where(F.col("__rank") <= (F.col("n") if most is None else F.least("n", F.lit(most)))).select("segment", "presyn", F.lit(initial).alias("perm"))
+    if most is not None:
+        strong = F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("perm"), "presyn"))
+        more = new.groupBy("segment").agg(F.count("*").alias("__new"))
+        ranked = synapses.withColumn("__rank", strong).join(more, "segment", "left")
+        synapses = ranked.where(F.col("__new").isNull() | (F.col("__rank") <= F.lit(most) - F.col("__new"))).select("segment", "presyn", "perm")
     return create_synapses(synapses, new)

@@ -10,13 +10,13 @@ from dataclasses import dataclass
 from math import prod
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.errors import require
 
-from . import topology
-from .connections import active_inputs
+from . import series, topology
+from .connections import BROADCAST_SYNAPSES, Graph, active_inputs, adapt, bump, ranges
 
 
 @dataclass(frozen=True)
@@ -38,6 +38,7 @@ class PoolerParams:
     seed: int = 1
     wrap: bool = True
     update_every: int = 50
+    inhibition_radius: int = 8
 
     def __post_init__(self):
         require(bool(self.inputs) and bool(self.columns) and min(self.inputs + self.columns) > 0, "dimensions", "must be positive")
@@ -72,13 +73,66 @@ def initial_synapses(spark: SparkSession, p: PoolerParams) -> DataFrame:
     return rows.withColumn("perm", perm)
 
 
-def overlaps(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, p: PoolerParams, *, small: bool = False) -> DataFrame:
-    """(keys, column, overlap) of the columns with an overlap; small as in connections.activity."""
-    connected = synapses.where(F.col("perm") >= p.connected).select("presyn", F.col("segment").alias("column"))
-    met = active_inputs(df, keys, bits).join(F.broadcast(connected) if small else connected, "presyn")
+def overlaps(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, p: PoolerParams) -> DataFrame:
+    """(keys, column, overlap) of the columns with an overlap. Few synapses travel to the rows, else they are joined."""
+    connected = synapses.where(F.col("perm") >= p.connected)
+    graph = Graph.gather(connected)
+    if graph is not None:
+        found = graph.met(df, keys, bits, -np.inf)
+        return found.select(*keys, F.col("segment").alias("column"), F.col("potential").alias("overlap"))
+    met = active_inputs(df, keys, bits).join(connected.select("presyn", F.col("segment").alias("column")), "presyn")
     return met.groupBy(*keys, "column").agg(F.count("*").alias("overlap"))
 
 
+def pool(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, p: PoolerParams, boosts: DataFrame | None = None) -> DataFrame:
+    """(keys, active): the active columns of each row, by the inhibition that p names. Null bits are no bits.
+
+    boosts (column, boost) multiply the overlaps that compete, 1 where there is none; the stimulus threshold is for the
+    overlaps themselves. If the synapses are few, each row is done on its own, without a shuffle; else overlaps are
+    joined and gathered, and boosts can't be had.
+    """
+    graph = Graph.gather(synapses.where(F.col("perm") >= p.connected))
+    boost = np.ones(p.num_columns)
+    if boosts is not None:
+        require(graph is not None, "boosts", f"need at most {BROADCAST_SYNAPSES} connected synapses")
+        got = boosts.select("column", F.col("boost").cast("double")).toArrow()  # a row for each column
+        boost[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    if graph is None:
+        found = overlaps(df, synapses, keys, bits, p)
+        if p.global_inhibition:
+            return inhibit_globally(found, df, keys, p)
+        near = topology.neighbor_table(df.sparkSession, p.columns, p.inhibition_radius, wrap=p.wrap)
+        won = inhibit_locally(found, keys, near, p).groupBy(*keys).agg(F.array_sort(F.collect_list("column")).alias("active"))
+        return df.select(*keys).join(won, keys, "left").withColumn("active", F.coalesce("active", F.array().cast("array<int>")))
+    near = None if p.global_inhibition else neighbours(p.columns, p.inhibition_radius, p.wrap)
+
+    def winners(overlap: np.ndarray) -> list[np.ndarray]:
+        if near is None:
+            order = np.argsort(-(overlap * boost), axis=1, kind="stable")[:, : p.winners]
+            good = np.take_along_axis(overlap, order, axis=1) >= p.stimulus_threshold
+            return [np.sort(o[g]) for o, g in zip(order, good, strict=True)]
+        padded = np.pad(overlap * boost, ((0, 0), (0, 1)))  # the last one is that of no neighbour
+        stronger = sum((padded[:, of] > padded[:, :-1]).astype(np.int32) for of in near.T)
+        room = np.ceil(((near < p.num_columns).sum(axis=1) + 1) * p.effective_density)
+        return [np.flatnonzero(x) for x in (overlap >= max(1, p.stimulus_threshold)) & (stronger < room)]
+
+    return graph.each(df, keys, bits, p.num_columns, winners, "active")
+
+
+def neighbours(dims: tuple[int, ...], radius: int, wrap: bool) -> np.ndarray:
+    """The neighbours of each cell of a grid, without itself, in a row each; the number of cells stands for none."""
+    at, n = np.stack(np.unravel_index(np.arange(prod(dims)), dims)), prod(dims)
+    steps = np.stack(np.meshgrid(*[np.arange(-radius, radius + 1)] * len(dims), indexing="ij")).reshape(len(dims), -1)
+    to = at[:, :, None] + steps[:, None, :]
+    size = np.array(dims)[:, None, None]
+    inside = np.ones(to.shape[1:], bool) if wrap else ((to >= 0) & (to < size)).all(axis=0)
+    cell = np.where(inside, np.ravel_multi_index(tuple(to % size), dims), n)
+    cell[cell == np.arange(n)[:, None]] = n
+    cell.sort(axis=1)
+    cell[:, 1:][cell[:, 1:] == cell[:, :-1]] = n  # a wrapped neighbourhood has no repeats
+    return cell
+
+
 def inhibit_globally(found: DataFrame, records: DataFrame, keys: list[str], p: PoolerParams) -> DataFrame:
     """(keys, active): the winners by overlap, then by column. Columns without overlap compete too, last and in order."""
     k = p.winners
@@ -103,32 +157,52 @@ def inhibit_locally(found: DataFrame, keys: list[str], neighbors: DataFrame, p:
     return stronger.where(F.col("stronger") < F.ceil((F.coalesce("area", F.lit(0)) + 1) * p.effective_density)).select(*keys, "column")
 
 
+#: A pooler's state: its synapses, and what it knows of each column.
+STATE = "segment array<int>, presyn array<int>, perm array<double>, boost array<double>, overlap_duty array<double>, active_duty array<double>, min_duty array<double>, iteration long"
+
+
 class Pooler:
-    """One series' pooler, on arrays: perm and pool are (columns, inputs); pool marks potential synapses."""
+    """One series' pooler. Its synapses lie in arrays in the order of their inputs; memory goes with their number."""
 
-    def __init__(self, p: PoolerParams):
+    def __init__(self, p: PoolerParams, state: dict | None = None):
         self.p = p
-        n, m, draw = p.num_columns, prod(p.inputs), np.random.default_rng(p.seed)
-        self.pool = np.zeros((n, m), bool)
-        at, size = np.stack(np.unravel_index(np.arange(n), p.columns)), np.array(p.inputs)[:, None]
+        n = p.num_columns
+        if state is None:
+            segment, presyn, self.perm = self._draw()
+            self.boost, self.overlap_duty, self.active_duty, self.min_duty = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n)
+            self.iteration = 0
+        else:
+            segment, presyn, self.perm = (np.array(state[k]) for k in ("segment", "presyn", "perm"))
+            self.boost, self.overlap_duty, self.active_duty, self.min_duty = (np.array(state[k], float) for k in ("boost", "overlap_duty", "active_duty", "min_duty"))
+            self.iteration = state["iteration"]
+        order = np.lexsort((segment, presyn))
+        self.segment, self.presyn, self.perm = segment[order].astype(np.int64), presyn[order].astype(np.int64), self.perm[order]
+        self.of_input = np.searchsorted(self.presyn, np.arange(prod(p.inputs) + 1))  # where each input's synapses begin
+        self.by_column = np.argsort(self.segment, kind="stable")
+        self.of_column = np.searchsorted(self.segment[self.by_column], np.arange(n + 1))
+        self.near = None if p.global_inhibition else self._near(self._radius())
+
+    def _draw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, presyn, perm) of the first synapses."""
+        p, draw, pools = self.p, np.random.default_rng(self.p.seed), []
+        at, size = np.stack(np.unravel_index(np.arange(p.num_columns), p.columns)), np.array(p.inputs)[:, None]
         centre = np.minimum(((at + 0.5) * size / np.array(p.columns)[:, None]).astype(int), size - 1)
-        for c in range(n):
+        for c in range(p.num_columns):
             spans = [np.unique(np.arange(x - p.potential_radius, x + p.potential_radius + 1) % d) if p.wrap else np.arange(max(0, x - p.potential_radius), min(d, x + p.potential_radius + 1)) for x, d in zip(centre[:, c], p.inputs, strict=True)]
             cells = np.ravel_multi_index([g.ravel() for g in np.meshgrid(*spans, indexing="ij")], p.inputs)
-            self.pool[c, draw.choice(cells, max(1, int(len(cells) * p.potential_share + 0.5)), replace=False)] = True
-        low = draw.random((n, m)) < 0.5
-        self.perm = np.where(self.pool, np.where(low, p.connected + draw.random((n, m)) * p.increment / 4, p.connected * draw.random((n, m))), 0.0)
-        self.boost, self.overlap_duty, self.active_duty, self.min_duty = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n)
-        self.iteration = 0
-        self.near = None if p.global_inhibition else self._near(self._radius())
+            pools.append(draw.choice(cells, max(1, int(len(cells) * p.potential_share + 0.5)), replace=False))
+        presyn = np.concatenate(pools)
+        low, u = draw.random(len(presyn)) < 0.5, draw.random(len(presyn))
+        return np.repeat(np.arange(p.num_columns), [len(x) for x in pools]), presyn, np.where(low, p.connected + u * p.increment / 4, p.connected * u)
 
     def _radius(self) -> int:
         """From the average span of connected inputs, scaled to columns."""
-        spans = []
-        for d, size in enumerate(self.p.inputs):
-            at = np.unravel_index(np.arange(self.perm.shape[1]), self.p.inputs)[d]
-            on = self.pool & (self.perm >= self.p.connected)
-            spans.append(np.where(on.any(1), np.where(on, at, -1).max(1) - np.where(on, at, size).min(1) + 1, 0))
+        on, n, spans = self.perm >= self.p.connected, self.p.num_columns, []
+        for x in np.unravel_index(self.presyn[on], self.p.inputs):
+            least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+            np.minimum.at(least, self.segment[on], x)
+            np.maximum.at(most, self.segment[on], x)
+            spans.append(np.where(most >= 0, most - np.minimum(least, most) + 1, 0))
         ratio = prod(c / i for c, i in zip(self.p.columns, self.p.inputs, strict=False))
         return max(1, int((np.mean(spans) * ratio - 1) / 2 + 0.5))
 
@@ -141,12 +215,15 @@ class Pooler:
         np.fill_diagonal(near, False)
         return near
 
+    def overlap(self, bits: np.ndarray) -> np.ndarray:
+        """The connected synapses on active inputs of each column: only those inputs' synapses are looked at."""
+        at = ranges(self.of_input, bits)
+        return np.bincount(self.segment[at[self.perm[at] >= self.p.connected]], minlength=self.p.num_columns)
+
     def compute(self, bits: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
         """(active columns, overlaps)."""
-        p = self.p
-        x = np.zeros(self.perm.shape[1], bool)
-        x[bits] = True
-        overlap = ((self.perm >= p.connected) & self.pool)[:, x].sum(axis=1)
+        p, bits = self.p, np.unique(bits)
+        overlap = self.overlap(bits)
         boosted = overlap * self.boost
         if p.global_inhibition:
             order = np.argsort(-boosted, kind="stable")[: p.winners]
@@ -155,19 +232,22 @@ class Pooler:
             stronger = (self.near & (boosted[None, :] > boosted[:, None])).sum(axis=1)
             active = np.flatnonzero((overlap >= max(1, p.stimulus_threshold)) & (stronger < np.ceil((self.near.sum(axis=1) + 1) * p.effective_density)))
         if learn:
-            self._learn(x, overlap, active)
+            self._learn(bits, overlap, active)
         return active, overlap
 
-    def _learn(self, x: np.ndarray, overlap: np.ndarray, active: np.ndarray) -> None:
+    def _learn(self, bits: np.ndarray, overlap: np.ndarray, active: np.ndarray) -> None:
         p = self.p
         self.iteration += 1
-        self.perm[active] = np.where(self.pool[active], np.clip(self.perm[active] + np.where(x, p.increment, -p.decrement), 0, 1), 0)
-        on = np.zeros(p.num_columns)
-        on[active] = 1
+        on = np.zeros(prod(p.inputs), bool)
+        on[bits] = True
+        at = self.by_column[ranges(self.of_column, active)]
+        self.perm[at] = np.clip(self.perm[at] + np.where(on[self.presyn[at]], p.increment, -p.decrement), 0, 1)
+        won = np.zeros(p.num_columns)
+        won[active] = 1
         self.overlap_duty = (self.overlap_duty * (p.period - 1) + (overlap > 0)) / p.period
-        self.active_duty = (self.active_duty * (p.period - 1) + on) / p.period
-        weak = self.overlap_duty < self.min_duty
-        self.perm[weak] = np.where(self.pool[weak], np.clip(self.perm[weak] + p.connected / 10, 0, 1), 0)
+        self.active_duty = (self.active_duty * (p.period - 1) + won) / p.period
+        at = self.by_column[ranges(self.of_column, np.flatnonzero(self.overlap_duty < self.min_duty))]
+        self.perm[at] = np.clip(self.perm[at] + p.connected / 10, 0, 1)
         if p.boost > 0:
             target = p.effective_density if self.near is None else (self.near @ self.active_duty) / np.maximum(1, self.near.sum(axis=1))
             self.boost = np.exp(p.boost * (target - self.active_duty))
@@ -179,25 +259,107 @@ class Pooler:
                 self.min_duty = p.min_share_overlap * np.where(self.near | np.eye(p.num_columns, dtype=bool), self.overlap_duty, 0).max(axis=1)
 
     def synapses(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        segment, presyn = np.nonzero(self.pool)
-        return segment, presyn, self.perm[segment, presyn]
+        """(segment, presyn, perm), column by column."""
+        return self.segment[self.by_column], self.presyn[self.by_column], self.perm[self.by_column]
+
+    def export(self) -> tuple:
+        arrays = (self.segment, self.presyn, self.perm, self.boost, self.overlap_duty, self.active_duty, self.min_duty)
+        return *(x.tolist() for x in arrays), self.iteration
+
+
+FIELDS = "active array<int>, max_overlap int"
+
+
+class _Series:
+    """A pooler as series.run takes it: rows have bits."""
+
+    def __init__(self, p: PoolerParams, learn: bool, state: dict | None):
+        self.pooler, self.learn = Pooler(p, state), learn
+
+    def step(self, row: dict) -> tuple:
+        active, overlap = self.pooler.compute(np.asarray(row["bits"] or [], np.int64), self.learn)
+        return active.tolist(), int(overlap.max())
+
+    def export(self) -> tuple:
+        return self.pooler.export()
+
 
+def run_series(df: DataFrame, p: PoolerParams, learn: bool = True, state: DataFrame | None = None) -> DataFrame:
+    """(series, seq, active, max_overlap): df has series, seq and bits. One series is one task's work, in order.
 
-def run_series(df: DataFrame, p: PoolerParams, learn: bool = True) -> DataFrame:
-    """(series, seq, active, max_overlap): df has series, seq and bits. One series is one task's work, in order."""
+    A series goes on from its row of ``state``, if that is given.
+    """
+    return series.run(df.select("series", "seq", "bits"), lambda s: _Series(p, learn, s), FIELDS, STATE, state)
 
-    def run(pdf):
-        pooler, out = Pooler(p), []
-        for seq, bits in pdf.sort_values("seq")[["seq", "bits"]].itertuples(index=False):
-            active, overlap = pooler.compute(np.asarray(bits if bits is not None else [], int), learn)
-            out.append((pdf["series"].iloc[0], seq, active.tolist(), int(overlap.max())))
-        return type(pdf)(out, columns=["series", "seq", "active", "max_overlap"])
 
-    rows = df.select(F.col("series").cast("string").alias("series"), F.col("seq").cast("long").alias("seq"), "bits")
-    return rows.groupBy("series").applyInPandas(run, "series string, seq long, active array<int>, max_overlap int")
+def train(df: DataFrame, p: PoolerParams, state: DataFrame | None = None) -> DataFrame:
+    """The state of each series (series, STATE) after its rows, for run_series, synapses or model_io.save."""
+    return series.run(df.select("series", "seq", "bits"), lambda s: _Series(p, True, s), FIELDS, STATE, state, final=True)
+
+
+def synapses(state: DataFrame) -> DataFrame:
+    """(series, segment, presyn, perm) of states: of one series, what overlaps() takes."""
+    return state.select("series", F.inline(F.arrays_zip("segment", "presyn", "perm")))
+
+
+def columns(state: DataFrame) -> DataFrame:
+    """(series, column, boost, overlap_duty, active_duty, min_duty) of states."""
+    each = F.arrays_zip(F.sequence(F.lit(0), F.size("boost") - 1).alias("column"), "boost", "overlap_duty", "active_duty", "min_duty")
+    return state.select("series", F.inline(each))
 
 
 def winners_by_rank(found: DataFrame, keys: list[str], k: int) -> DataFrame:
     """(keys, column, overlap) of the k greatest overlaps, ties to the lower column: the exploded form."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("overlap"), "column"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+# ---- one step of learning, on tables ---------------------------------------------------------------------------------
+
+
+def adapt_columns(synapses: DataFrame, active: DataFrame, columns: DataFrame, p: PoolerParams) -> DataFrame:
+    """Synapses after a record: those of active columns (column) rise on active inputs (presyn) and fall elsewhere."""
+    return adapt(synapses, active, columns.select(F.col("column").alias("segment")), p.increment, p.decrement)
+
+
+def duty_cycles(df: DataFrame, keys: list[str], order: list[str], active: str, period: int) -> DataFrame:
+    """(keys, column, duty) of the columns active in any row: their moving averages after all rows of each key, from 0.
+
+    A row makes duty ((period - 1) * duty + x) / period, where x is 1 for active columns. Written out, a row that is i
+    rows before the last one has the weight ((period - 1) / period) ** i / period: a window and a sum, in any number of tasks.
+    """
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])) - 1
+    rows = df.select(*keys, active, (F.pow(F.lit((period - 1) / period), back) / period).alias("__weight"))
+    return rows.select(*keys, F.explode(active).alias("column"), "__weight").groupBy(*keys, "column").agg(F.sum("__weight").alias("duty"))
+
+
+def boost_factors(duty: Column, target: Column, strength: float) -> Column:
+    return F.exp(F.lit(float(strength)) * (target - duty))
+
+
+def minimum_duty(columns: DataFrame, p: PoolerParams) -> DataFrame:
+    """columns (column, overlap_duty) with min_duty, a share of the greatest one: of all, or with local inhibition of the neighbourhood."""
+    if p.global_inhibition:
+        return columns.join(F.broadcast(columns.agg((F.max("overlap_duty") * p.min_share_overlap).alias("min_duty"))))  # one row
+    near = topology.neighbor_table(columns.sparkSession, p.columns, p.inhibition_radius, wrap=p.wrap, with_centre=True)
+    most = near.join(columns.select(F.col("column").alias("nbr"), "overlap_duty"), "nbr").groupBy(F.col("cell").alias("column")).agg((F.max("overlap_duty") * p.min_share_overlap).alias("min_duty"))
+    return columns.join(most, "column")
+
+
+def bump_weak(synapses: DataFrame, columns: DataFrame, p: PoolerParams) -> DataFrame:
+    """Synapses after columns (column, overlap_duty, min_duty) below their minimum got connected / 10 on all of theirs."""
+    weak = columns.where("overlap_duty < min_duty").select(F.col("column").alias("segment"))
+    return bump(synapses, weak, p.connected / 10)
+
+
+def inhibition_radius(synapses: DataFrame, p: PoolerParams) -> DataFrame:
+    """One row (radius): from the average span of each column's connected inputs, over columns and dimensions; 1 at least."""
+    on, spans = synapses.where(F.col("perm") >= p.connected), []
+    for d, n in enumerate(p.inputs):
+        x = F.floor(F.col("presyn") / prod(p.inputs[d + 1 :])) % n
+        spans.append((F.max(x) - F.min(x) + 1).alias(f"s{d}"))
+    each = on.groupBy("segment").agg(*spans)
+    total = each.agg(F.coalesce(F.sum(sum(F.col(f"s{d}") for d in range(len(p.inputs)))), F.lit(0)).alias("t"))
+    ratio = prod(c / i for c, i in zip(p.columns, p.inputs, strict=False))
+    span = F.col("t") / (p.num_columns * len(p.inputs))
+    return total.select(F.greatest(F.lit(1), F.floor((span * ratio - 1) / 2 + 0.5).cast("int")).alias("radius"))

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from quillon.errors import require
 
+from . import series
+from .series import generator_state, restored_generator
+
 
 @dataclass(frozen=True)
 class MemoryParams:
@@ -39,87 +42,138 @@ class MemoryParams:
         return prod(self.columns) * self.cells_per_column
 
 
+#: A memory's state: the cell of each segment (-1: gone), the synapses, the last tick, and the generator of random choices.
+STATE = "cell_of array<int>, segment array<int>, presyn array<int>, perm array<double>, active array<int>, winners array<int>, draw string"
+
+
 class Memory:
-    """One series' memory. Synapses lie in growing arrays (segment, presyn, perm); those of segment -1 are gone."""
+    """One series' memory. A segment is a row of presyn and perm, with its synapses at the left and -1 behind them."""
 
-    def __init__(self, p: MemoryParams):
+    def __init__(self, p: MemoryParams, state: dict | None = None):
         self.p = p
         self.draw = np.random.default_rng(p.seed)
-        self.cell_of: list[int] = []
+        self.cells, self.free = np.full(64, -1, np.int64), []
+        self.size = np.zeros(64, np.int64)
+        self.presyn, self.perm = np.full((64, 8), -1, np.int32), np.zeros((64, 8))
+        self.used = 0
         self.segments_of: dict[int, list[int]] = {}
-        self.segment, self.presyn, self.perm, self.used = np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024), 0
         self.reset()
+        if state is not None:
+            self._restore(state)
 
     def reset(self) -> None:
         """Forgets the last tick, not what was learned."""
         self.active = self.winners = np.zeros(0, np.int64)
 
+    # ---- state
+
+    def export(self) -> tuple:
+        at = np.arange(self.presyn.shape[1]) < self.size[: self.used, None]
+        segment = np.nonzero(at)[0]
+        parts = (self.cells[: self.used], segment, self.presyn[: self.used][at], self.perm[: self.used][at], self.active, self.winners)
+        return *(x.tolist() for x in parts), generator_state(self.draw)
+
+    def _restore(self, state: dict) -> None:
+        cells = state["cell_of"]
+        self._room(len(cells), int(np.bincount(state["segment"] or [0]).max()))
+        self.used = len(cells)
+        self.cells[: self.used] = cells
+        self.free = [s for s, c in enumerate(cells) if c < 0]
+        for s, c in enumerate(cells):
+            if c >= 0:
+                self.segments_of.setdefault(c, []).append(s)
+        for s, x, v in zip(state["segment"], state["presyn"], state["perm"], strict=True):
+            self.presyn[s, self.size[s]], self.perm[s, self.size[s]] = x, v
+            self.size[s] += 1
+        self.active, self.winners = (np.array(state[k], np.int64) for k in ("active", "winners"))
+        self.draw = restored_generator(state["draw"])
+
     # ---- graph
 
-    def _of(self, s: int) -> np.ndarray:
-        return np.flatnonzero(self.segment[: self.used] == s)
+    def _room(self, segments: int, synapses: int) -> None:
+        """Makes room for so many segments and synapses of a segment."""
+        n, m = self.presyn.shape
+        more = (max(n, 2 * segments if segments > n else 0), max(m, min(self.p.max_synapses, 2 * synapses) if synapses > m else 0, synapses))
+        if more != (n, m):
+            grown = ((0, more[0] - n), (0, more[1] - m))
+            self.presyn, self.perm = np.pad(self.presyn, grown, constant_values=-1), np.pad(self.perm, grown)
+            self.cells, self.size = np.pad(self.cells, grown[0], constant_values=-1), np.pad(self.size, grown[0])
+
+    def synapses_of(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """(presyn, perm) of a segment, as views."""
+        return self.presyn[s, : self.size[s]], self.perm[s, : self.size[s]]
+
+    def _keep(self, s: int, stays: np.ndarray) -> None:
+        presyn, perm = (x[stays] for x in self.synapses_of(s))
+        self.presyn[s], self.perm[s] = -1, 0
+        self.presyn[s, : len(presyn)], self.perm[s, : len(perm)] = presyn, perm
+        self.size[s] = len(presyn)
+
+    def destroy_segment(self, s: int) -> None:
+        self._keep(s, np.zeros(self.size[s], bool))
+        self.segments_of[int(self.cells[s])].remove(s)
+        self.cells[s] = -1
+        self.free.append(s)
 
     def create_segment(self, cell: int) -> int:
+        """A new segment of the cell; at the maximum, those with the fewest synapses go first. Ids of the gone are used again."""
         own = self.segments_of.setdefault(cell, [])
         while len(own) >= self.p.max_segments:
-            least = min(own, key=lambda s: (len(self._of(s)), s))
-            self.segment[self._of(least)] = -1
-            self.cell_of[least] = -1
-            own.remove(least)
-        self.cell_of.append(cell)
-        own.append(len(self.cell_of) - 1)
-        return own[-1]
+            self.destroy_segment(min(own, key=lambda s: (self.size[s], s)))
+        if not self.free:
+            self._room(self.used + 1, 0)
+            self.free.append(self.used)
+            self.used += 1
+        s = self.free.pop()
+        self.cells[s] = cell
+        own.append(s)
+        return s
 
     def grow(self, s: int, candidates: np.ndarray, count: int) -> None:
-        own = self._of(s)
-        new = np.setdiff1d(candidates, self.presyn[own])
+        """Synapses on count of the candidates that have none; over the maximum, the weakest old ones go."""
+        new = np.setdiff1d(candidates, self.synapses_of(s)[0])
         if len(new) > count:
             new = self.draw.choice(new, count, replace=False)
-        over = len(own) + len(new) - self.p.max_synapses
+        new = new[: self.p.max_synapses]
+        over = self.size[s] + len(new) - self.p.max_synapses
         if over > 0:
-            self.segment[own[np.argsort(self.perm[own], kind="stable")[:over]]] = -1
-        if self.used + len(new) > len(self.segment):
-            keep = self.segment[: self.used] >= 0
-            n = int(keep.sum())
-            room = max(1024, 2 * (n + len(new)))
-            for name in ("segment", "presyn", "perm"):
-                old = getattr(self, name)
-                fresh = np.empty(room, old.dtype)
-                fresh[:n] = old[: self.used][keep]
-                setattr(self, name, fresh)
-            self.used = n
-        at = slice(self.used, self.used + len(new))
-        self.segment[at], self.presyn[at], self.perm[at] = s, new, self.p.initial
-        self.used += len(new)
-
-    def adapt(self, s: int, cells: np.ndarray) -> None:
-        own = self._of(s)
-        on = np.isin(self.presyn[own], cells)
-        self.perm[own] = np.clip(self.perm[own] + np.where(on, self.p.increment, -self.p.decrement), 0, 1)
+            stays = np.ones(self.size[s], bool)
+            stays[np.argsort(self.synapses_of(s)[1], kind="stable")[:over]] = False
+            self._keep(s, stays)
+        n = int(self.size[s])
+        self._room(0, n + len(new))
+        self.presyn[s, n : n + len(new)], self.perm[s, n : n + len(new)] = new, self.p.initial
+        self.size[s] = n + len(new)
+
+    def adapt(self, s: int, on: np.ndarray) -> None:
+        """Raises the synapses on cells that are on (by cell), lowers the others."""
+        presyn, perm = self.synapses_of(s)
+        perm[:] = np.clip(perm + np.where(on[presyn], self.p.increment, -self.p.decrement), 0, 1)
+
+    def _on(self, cells: np.ndarray) -> np.ndarray:
+        on = np.zeros(self.p.num_cells + 1, bool)  # the last one is that of -1
+        on[cells] = True
+        return on
 
     def activity(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(connected, potential) synapses on active cells of each segment."""
-        n = len(self.cell_of)
-        on = np.zeros(self.p.num_cells, bool)
-        on[cells] = True
-        hit = (self.segment[: self.used] >= 0) & on[self.presyn[: self.used]]
-        s = self.segment[: self.used][hit]
-        return np.bincount(s[self.perm[: self.used][hit] >= self.p.connected], minlength=n), np.bincount(s, minlength=n)
+        hit = self._on(cells)[self.presyn[: self.used]]
+        return (hit & (self.perm[: self.used] >= self.p.connected)).sum(axis=1), hit.sum(axis=1)
 
     # ---- a tick
 
     def predicted(self) -> np.ndarray:
         """Cells that the last tick predicts for the next one."""
         connected, _ = self.activity(self.active)
-        return np.unique(np.array(self.cell_of, np.int64)[connected >= self.p.activation]) if self.cell_of else np.zeros(0, np.int64)
+        return np.unique(self.cells[: self.used][(connected >= self.p.activation) & (self.cells[: self.used] >= 0)])
 
     def compute(self, columns: np.ndarray, learn: bool = True) -> dict:
         p, k = self.p, self.p.cells_per_column
-        before, reward = self.winners, self.winners if self.p.reinforce_on == "winner" else self.active
+        before, reward = self.winners, self._on(self.winners if self.p.reinforce_on == "winner" else self.active)
         connected, potential = self.activity(self.active)
-        cells = np.array(self.cell_of, np.int64)
-        active_segments = np.flatnonzero(connected >= p.activation)
-        matching = np.flatnonzero(potential >= p.min_threshold)
+        cells = self.cells[: self.used].copy()
+        active_segments = np.flatnonzero((connected >= p.activation) & (cells >= 0))
+        matching = np.flatnonzero((potential >= p.min_threshold) & (cells >= 0))
         by_cell: dict[int, list[int]] = {}
         for s in active_segments.tolist():
             by_cell.setdefault(int(cells[s]), []).append(s)
@@ -129,10 +183,11 @@ class Memory:
             c = int(cells[s]) // k
             if c not in best or (potential[s], -int(cells[s]), -s) > (potential[best[c]], -int(cells[best[c]]), -best[c]):
                 best[c] = s
+        columns = np.unique(columns)
         hits = np.intersect1d(columns, predicted // k)
         active, winners = [], []
-        for c in np.sort(columns).tolist():
-            own = predicted[(predicted >= c * k) & (predicted < (c + 1) * k)].tolist()
+        for c in columns.tolist():
+            own = predicted[np.searchsorted(predicted, c * k) : np.searchsorted(predicted, (c + 1) * k)].tolist()
             if own:
                 active += own
                 winners += own
@@ -155,39 +210,62 @@ class Memory:
                 if learn and len(before):
                     self.grow(self.create_segment(cell), before, p.max_new)
         if learn and p.predicted_decrement > 0:
-            for s in matching.tolist():
-                if cells[s] // k not in set(columns.tolist()):
-                    own = self._of(s)
-                    self.perm[own] = np.maximum(0, self.perm[own] - p.predicted_decrement)
+            wrong = matching[~np.isin(cells[matching] // k, columns)]
+            self.perm[wrong] = np.maximum(0, self.perm[wrong] - p.predicted_decrement)
         self.active, self.winners = np.array(active, np.int64), np.array(winners, np.int64)
         anomaly = 1 - len(hits) / len(columns) if len(columns) else 0.0
         return {
             "active_cells": active, "winner_cells": winners, "predicted_cells": predicted.tolist(), "anomaly": anomaly,
-            "n_segments": int((np.array(self.cell_of) >= 0).sum()) if self.cell_of else 0, "n_synapses": int((self.segment[: self.used] >= 0).sum()),
+            "n_segments": self.used - len(self.free), "n_synapses": int(self.size[: self.used].sum()),
         }
 
 
-SCHEMA = "series string, seq long, active_cells array<int>, winner_cells array<int>, predicted_cells array<int>, anomaly double, n_segments long, n_synapses long"
+FIELDS = "active_cells array<int>, winner_cells array<int>, predicted_cells array<int>, anomaly double, n_segments long, n_synapses long"
+SCHEMA = "series string, seq long, " + FIELDS
+
+
+class _Series:
+    """A memory as series.run takes it: rows have cols and reset."""
+
+    def __init__(self, p: MemoryParams, learn: bool, state: dict | None):
+        self.memory, self.learn = Memory(p, state), learn
+
+    def step(self, row: dict) -> tuple:
+        if row["reset"]:
+            self.memory.reset()
+        return tuple(self.memory.compute(np.asarray(row["cols"] or [], np.int64), self.learn).values())
 
+    def export(self) -> tuple:
+        return self.memory.export()
 
-def run_series(df: DataFrame, p: MemoryParams, learn: bool = True) -> DataFrame:
+
+def _rows(df: DataFrame) -> DataFrame:
+    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in df.columns else F.lit(False)
+    return df.select("series", "seq", "cols", reset.alias("reset"))
+
+
+def run_series(df: DataFrame, p: MemoryParams, learn: bool = True, state: DataFrame | None = None) -> DataFrame:
     """One row per tick: df has series, seq, cols (active columns) and optionally reset (before the tick).
 
-    predicted_cells are those that were expected for this tick. One series is one task's work, in the order of seq.
+    predicted_cells are those that were expected for this tick. One series is one task's work, in the order of seq; it
+    goes on from its row of ``state``, if that is given.
     """
+    return series.run(_rows(df), lambda s: _Series(p, learn, s), FIELDS, STATE, state)
 
-    def run(pdf):
-        memory, out = Memory(p), []
-        for seq, cols, reset in pdf.sort_values("seq")[["seq", "cols", "reset"]].itertuples(index=False):
-            if reset:
-                memory.reset()
-            tick = memory.compute(np.asarray(cols if cols is not None else [], np.int64), learn)
-            out.append((pdf["series"].iloc[0], seq, *tick.values()))
-        return type(pdf)(out, columns=["series", "seq", *tick])
 
-    reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in df.columns else F.lit(False)
-    rows = df.select(F.col("series").cast("string").alias("series"), F.col("seq").cast("long").alias("seq"), "cols", reset.alias("reset"))
-    return rows.groupBy("series").applyInPandas(run, SCHEMA)
+def train(df: DataFrame, p: MemoryParams, state: DataFrame | None = None) -> DataFrame:
+    """The state of each series (series, STATE) after its rows, for run_series, synapses or model_io.save."""
+    return series.run(_rows(df), lambda s: _Series(p, True, s), FIELDS, STATE, state, final=True)
+
+
+def segments(state: DataFrame) -> DataFrame:
+    """(series, segment, cell) of states."""
+    return state.select("series", F.posexplode("cell_of").alias("segment", "cell")).where("cell >= 0")
+
+
+def synapses(state: DataFrame) -> DataFrame:
+    """(series, segment, presyn, perm) of states."""
+    return state.select("series", F.inline(F.arrays_zip("segment", "presyn", "perm")))
 
 
 def column_of(cell, cells_per_column: int):

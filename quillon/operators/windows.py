@@ -130,10 +130,26 @@ def hybrid_score(df: DataFrame, base: DataFrame, keys: list[str], mean: float |
 
 
 def percentile(df: DataFrame, value: str, share: float) -> DataFrame:
-    """One row: the value at place floor(n * share) of the sorted values."""
-    n = df.where(F.col(value).isNotNull()).count()
-    at = min(int(n * share), max(0, n - 1))
-    return df.where(F.col(value).isNotNull()).agg(F.percentile(value, F.lit(at / (n - 1) if n > 1 else 0.0)).alias("value"))
+    """One row: the value at place floor(n * share) of the sorted finite values, found by counts in ever finer bins; null if there are none.
+
+    The driver sees RANGES counts at a time, and no task more than its rows.
+    """
+    c = F.col(value)
+    known = df.where(c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c) < float("inf")))
+    n, low, high = known.agg(F.count("*"), F.min(value), F.max(value)).first()
+    left = min(int(n * share), max(0, n - 1))
+    while n and low < high:
+        width = F.lit(float(high - low) / RANGES)
+        bins = known.where(c.between(low, high)).groupBy(F.least(F.floor((c - F.lit(low)) / width), F.lit(RANGES - 1)).alias("bin"))
+        before = (low, high)
+        for r in sorted(bins.agg(F.count("*").alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).collect(), key=lambda r: r["bin"]):
+            if left < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            left -= r["n"]
+        if (low, high) == before:  # neighbouring numbers, which no bin tells apart
+            low = high = low if left < known.where(c == F.lit(low)).count() else high
+    return df.sparkSession.createDataFrame([(float(low) if n else None,)], "value double")
 
 
 def detected(high: Column, mean: Column, p99: Column, normal_high: float, normal_mean: float, normal_p99: float) -> Column:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import sdr
 from quillon.functions.kernels import csv
-from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, topology, windows
+from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, ticks, topology, windows
 from quillon.operators.encoders import finance, probability, signal, spatial, vision
 from quillon.plans.hash_sql import s_bytes, s_draws, s_finalised, s_first, s_fnv, s_level_states, s_unsigned
 
@@ -304,7 +305,14 @@ def enc_ngram(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", csv(E.NGramEncoder(max_grams=ALL).encode(F.col("text"))).alias("bits"))
 
 
-encoded("enc_character", "part", ["p_partkey"], lambda: E.CharacterEncoder().encode(F.substring("p_name", 1, 1)), s_block("case when instr(' !\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~', p_name[1]) > 0 then instr(' !\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~', p_name[1]) - 1 else 95 end * 21", 21))
+_S_PRINTABLE = "instr(' !\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~', c)"
+
+
+@query("enc_character", f"select p_partkey, cast(pos as integer) as pos, {s_csv(s_block(f'case when {_S_PRINTABLE} > 0 then {_S_PRINTABLE} - 1 else 95 end * 21', 21))} as bits from (select p_partkey, unnest(range(len(p_name))) as pos, p_name[pos + 1] as c from part)")
+def enc_character(spark, sf):
+    each = t(spark, sf, "part").select("p_partkey", F.posexplode(F.filter(F.split("p_name", ""), lambda c: c != "")).alias("pos", "c"))
+    return each.select("p_partkey", "pos", csv(E.CharacterEncoder().encode(F.col("c"))).alias("bits"))
+
 
 
 def _s_cells(tries: int, *values: str, size: int = 1000) -> str:
@@ -495,10 +503,11 @@ def hybrid_score(spark, sf):
     return out.select("user_id", "win", F.col("overlap").cast("long").alias("overlap"), r6(F.col("distance")).alias("distance"), r6(F.col("score")).alias("score"))
 
 
-@query("baseline_overlap", f"""with {_S_WINDOWS}, b as (select user_id, flatten(list_transform(range(10), lambda k: list_transform(range(4), lambda i: i + k * 16 + cast(round({s_share('s[k + 1]', 0.0, 500.0)} * 12.0) as bigint)))) as bits from w where win = 0 and user_id <= 20)
-  select round(avg(o), 6) as overlap_mean, round(stddev_pop(o), 6) as overlap_std from (select len(list_intersect(i.bits, j.bits)) as o from b i join b j on i.user_id < j.user_id)""")
+@query("baseline_overlap", f"""with {_S_WINDOWS}, b as (select user_id, flatten(list_transform(range(10), lambda k: list_transform(range(4), lambda i: i + k * 16 + cast(round({s_share('s[k + 1]', 0.0, 500.0)} * 12.0) as bigint)))) as bits from w where win = 0),
+  c as (select bits, row_number() over (order by user_id) - 1 as n, greatest(count(*) over () // 50, 1) as step from b)
+  select round(avg(o), 6) as overlap_mean, round(stddev_pop(o), 6) as overlap_std from (select len(list_intersect(i.bits, j.bits)) as o from c i join c j on i.n < j.n and i.n % i.step = 0 and j.n % j.step = 1 % j.step)""")
 def baseline_overlap(spark, sf):
-    base = scored_windows(spark, sf).where("win = 0 and user_id <= 20").withColumn("n", F.col("user_id") - 1)
+    base = windows.numbered(scored_windows(spark, sf).where("win = 0"), "user_id")
     return windows.baseline_statistics(base).select(r6(F.col("overlap_mean")).alias("overlap_mean"), r6(F.col("overlap_std")).alias("overlap_std"))
 
 
@@ -544,7 +553,7 @@ def event_bits(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("conn_activity", f"with {_S_SYN}, {_S_BITS} select event_id, cast(segment as integer) as segment, cast(count(*) filter (perm >= 0.5) as bigint) as connected, cast(count(*) as bigint) as potential from a join syn using (presyn) group by event_id, segment")
 def conn_activity(spark, sf):
-    return connections.activity(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", 0.5, small=True)
+    return connections.activity(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", 0.5)
 
 
 @query("conn_adapt", f"with {_S_SYN} select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(greatest(least(max(perm) + case when segment % 3 <> 0 then 0 when presyn % 5 = 0 then 0.1 else -0.05 end, 1), 0), 6) as perm from syn group by segment, presyn")
@@ -561,29 +570,214 @@ def conn_competition(spark, sf):
     return connections.compete(own, 0.5, 5, 15).select("segment", "presyn", r6(F.col("perm")).alias("perm"))
 
 
+_S_UNIQUE = f"with {_S_SYN}, {_S_BITS}, n as (select presyn, count(*) as n from a group by presyn), often as (select presyn from n where n >= (select avg(n) from n))"
+
+
+def synapses_out(df: DataFrame) -> DataFrame:
+    return df.select("segment", "presyn", r6(F.col("perm")).alias("perm"))
+
+
+def frequent_bits(spark: SparkSession, sf: str) -> DataFrame:
+    """(presyn): the bits that events have at least as often as the mean bit."""
+    n = event_bits(spark, sf).select(F.explode("bits").alias("presyn")).groupBy("presyn").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.avg("n").alias("mean")))).where("n >= mean").select("presyn")
+
+
+@query("conn_adapt_series", f"""{_S_UNIQUE}, d as (select segment, presyn, perm, ((segment + presyn) % 3 - 1) * 0.05::double as change, case when presyn in (select presyn from often) then 0.1::double else -0.05::double end as step from syn),
+  m as (select segment, presyn, case when sign(step) = sign(change) then 0::double else step end as step, perm, change from d)
+  select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(case when segment % 3 = 0 then greatest(least(perm + step, 1), 0) else perm end, 6) as perm, round(case when segment % 3 = 0 then step else change end, 6) + 0.0 as change
+  from m where case when segment % 3 = 0 then greatest(least(perm + step, 1), 0) else perm end > 1e-6""")
+def conn_adapt_series(spark, sf):
+    own = synapse_table(spark).withColumn("change", ((F.col("segment") + F.col("presyn")) % 3 - 1) * 0.05)
+    out = connections.adapt(own, frequent_bits(spark, sf), own.where("segment % 3 = 0"), 0.1, 0.05, prune=True, series=True)
+    return out.select("segment", "presyn", r6(F.col("perm")).alias("perm"), r6(F.col("change")).alias("change"))
+
+
+@query("conn_grow", f"""{_S_UNIQUE}, w as (select segment, presyn from (select range as segment, presyn from range({N_COLUMNS}), often) anti join syn using (segment, presyn)), more as (select segment, count(*) as k from w group by segment),
+  r as (select *, row_number() over (partition by segment order by perm desc, presyn) as rn from syn), kept as (select segment, presyn, perm from r left join more using (segment) where k is null or rn <= (select count(*) from often) - k)
+  select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(perm, 6) as perm from (select * from kept union all select segment, presyn, 0.21::double from w)""")
+def conn_grow(spark, sf):
+    """Every segment takes all frequent bits that it lacks; of its old synapses the strongest stay, as many as there is room for."""
+    often = frequent_bits(spark, sf)
+    n = often.count()
+    wanted = spark.range(N_COLUMNS).select(F.col("id").cast("int").alias("segment")).join(F.broadcast(often)).withColumn("n", F.lit(n))
+    return synapses_out(connections.grow(synapse_table(spark), wanted, 0.21, most=n))
+
+
+@query("conn_bump", f"with {_S_SYN} select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(greatest(least(perm + case when segment % 4 = 1 then 0.3 else 0 end, 1), 0), 6) as perm from syn")
+def conn_bump(spark, sf):
+    own = synapse_table(spark)
+    return synapses_out(connections.bump(own, own.where("segment % 4 = 1"), 0.3))
+
+
+@query("conn_raise", f"with {_S_SYN}, r as (select *, row_number() over (partition by segment order by perm desc, presyn) as rn from syn) select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(case when rn <= 30 then greatest(perm, 0.5) else perm end, 6) as perm from r")
+def conn_raise(spark, sf):
+    return synapses_out(connections.raise_to_threshold(synapse_table(spark), 0.5, 30))
+
+
+@query("conn_weakest", f"{_S_UNIQUE}, r as (select syn.*, o.presyn is not null as safe, row_number() over (partition by segment order by o.presyn is not null, perm, syn.presyn) as rn from syn left join often o using (presyn)) select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(perm, 6) as perm from r where rn > 12 or safe")
+def conn_weakest(spark, sf):
+    return synapses_out(connections.destroy_weakest(synapse_table(spark), 12, frequent_bits(spark, sf)))
+
+
+def segment_table(spark: SparkSession) -> DataFrame:
+    return spark.range(N_COLUMNS).select(F.col("id").cast("int").alias("segment"), (F.col("id") % 100).cast("int").alias("cell"))
+
+
+_S_GRAPH = f"{_S_SYN}, seg as (select c as segment, c % 100 as cell from range({N_COLUMNS}) t(c)), few as (select * from syn where perm >= (segment % 5) * 0.1)"
+
+
+@query("conn_destroy", f"with {_S_GRAPH} select cast(cell as integer) as cell, cast(segment as integer) as segment, cast(count(presyn) as bigint) as synapses from seg left join (select * from few where presyn % 6 <> 0) s using (segment) where segment not in (select segment from few group by segment having count(*) < 27) group by cell, segment")
+def conn_destroy(spark, sf):
+    segments, few = segment_table(spark), synapse_table(spark).where("perm >= (segment % 5) * 0.1")
+    gone = connections.weak_segments(segments, few, 27)
+    segments, few = connections.destroy_segments(segments, few, gone)
+    few = connections.destroy_synapses(few, few.where("presyn % 6 = 0").select("segment", "presyn"))
+    return segments.join(few, "segment", "left").groupBy("cell", "segment").agg(F.count("presyn").alias("synapses"))
+
+
+@query("conn_create_segments", f"""with {_S_GRAPH}, sizes as (select segment, cell, count(presyn) as n from seg left join few using (segment) group by all), new as (select range * 5 as cell from range(24)),
+  r as (select *, count(*) over (partition by cell) as have, row_number() over (partition by cell order by n, segment) as rn from sizes), kept as (select * from r where cell not in (select cell from new) or rn > have - 2),
+  every as (select cell, segment, n from kept union all select cell, 1000, 0 from new)
+  select cast(cell as integer) as cell, cast(count(*) as bigint) as segments, cast(sum(n) as bigint) as synapses, string_agg(case when segment < 1000 then segment end, ',' order by segment) as old from every group by cell""")
+def conn_create_segments(spark, sf):
+    cells = spark.range(24).select((F.col("id") * 5).cast("int").alias("cell"))
+    segments, few = connections.create_segments(segment_table(spark), synapse_table(spark).where("perm >= (segment % 5) * 0.1"), cells, 3)
+    n = segments.join(few.groupBy("segment").agg(F.count("*").alias("n")), "segment", "left")
+    old = F.array_sort(F.collect_list(F.when(F.col("segment") < N_COLUMNS, F.col("segment"))))
+    return n.groupBy("cell").agg(F.count("*").alias("segments"), F.sum(F.coalesce("n", F.lit(0))).alias("synapses"), F.when(F.size(old) > 0, csv(old)).alias("old"))
+
+
+@query("conn_compare", f"with {_S_GRAPH} select cast(cell as integer) as cell, cast(segment as integer) as segment, cast(row_number() over (partition by cell order by segment) - 1 as integer) as place from seg")
+def conn_compare(spark, sf):
+    return connections.compare(segment_table(spark)).select("cell", "segment", "place")
+
+
 _S_OV = f"with {_S_SYN}, {_S_BITS}, o as (select event_id, segment as col, count(*) as overlap from a join syn using (presyn) where perm >= 0.5 group by event_id, segment)"
 
 
 @query("sp_overlaps", f'{_S_OV} select event_id, cast(col as integer) as "column", cast(overlap as bigint) as overlap from o')
 def sp_overlaps(spark, sf):
-    return spatial_pooler.overlaps(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", POOLER, small=True)
+    return spatial_pooler.overlaps(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", POOLER)
 
 
 @query("sp_inhibit_global", f"""{_S_OV}, every as (select event_id, col, coalesce(overlap, 0) as overlap from (select event_id, c as col from events cross join range({N_COLUMNS}) t(c)) left join o using (event_id, col)),
   r as (select event_id, col, row_number() over (partition by event_id order by overlap desc, col) as rn from every) select event_id, string_agg(col, ',' order by col) as active from r where rn <= 10 group by event_id""")
 def sp_inhibit_global(spark, sf):
-    e = event_bits(spark, sf)
-    found = spatial_pooler.overlaps(e, synapse_table(spark), ["event_id"], "bits", POOLER, small=True)
-    return spatial_pooler.inhibit_globally(found, e, ["event_id"], POOLER).select("event_id", csv(F.col("active")).alias("active"))
+    return spatial_pooler.pool(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", POOLER).select("event_id", csv(F.col("active")).alias("active"))
 
 
 @query("sp_inhibit_local", f"""{_S_OV}, n as (select c as col, x as nbr from range({N_COLUMNS}) t(c), range({N_COLUMNS}) u(x) where abs(c - x) <= 8 and c <> x), area as (select col, count(*) as area from n group by col),
   g as (select o.event_id, o.col, area, count(*) filter (p.overlap > o.overlap) as stronger from o join n using (col) join area using (col) left join o p on p.event_id = o.event_id and p.col = n.nbr group by o.event_id, o.col, area)
   select event_id, cast(col as integer) as "column" from g where stronger < ceil((area + 1) * 0.04)""")
 def sp_inhibit_local(spark, sf):
+    p = replace(POOLER, global_inhibition=False, inhibition_radius=8, wrap=False)
+    return spatial_pooler.pool(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", p).select("event_id", F.explode("active").alias("column"))
+
+
+# ---- one step of pooler learning; one tick of a temporal memory -----------------------------------------------------------
+
+_S_WON = f"""every as (select event_id, col, coalesce(overlap, 0) as overlap from (select event_id, c as col from events cross join range({N_COLUMNS}) t(c)) left join o using (event_id, col)),
+  r as (select event_id, col, row_number() over (partition by event_id order by overlap desc, col) as rn from every), won as (select event_id, col from r where rn <= 10)"""
+
+
+@query("sp_inhibit_boosted", f"""{_S_OV}, every as (select event_id, col, coalesce(overlap, 0) * exp(2.0 * (0.04 - (col % 10) / 100.0)) as boosted from (select event_id, c as col from events cross join range({N_COLUMNS}) t(c)) left join o using (event_id, col)),
+  r as (select event_id, col, row_number() over (partition by event_id order by boosted desc, col) as rn from every) select event_id, string_agg(col, ',' order by col) as active from r where rn <= 10 group by event_id""")
+def sp_inhibit_boosted(spark, sf):
+    columns = spark.range(N_COLUMNS).select(F.col("id").cast("int").alias("column"))
+    boosts = columns.withColumn("boost", spatial_pooler.boost_factors(F.col("column") % 10 / F.lit(100.0), F.lit(0.04), 2.0))
+    return spatial_pooler.pool(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", POOLER, boosts).select("event_id", csv(F.col("active")).alias("active"))
+
+
+@query("sp_duty_cycles", f"""{_S_OV}, {_S_WON}, b as (select event_id, user_id, row_number() over (partition by user_id order by ts desc, event_id desc) - 1 as back from events),
+  d as (select user_id, col, sum(pow(0.99, back) / 100) as duty from won join b using (event_id) group by user_id, col)
+  select user_id, cast(col as integer) as "column", round(duty, 6) as duty, round(exp(2.0 * (0.04 - duty)), 6) as boost from d""")
+def sp_duty_cycles(spark, sf):
+    e = t(spark, sf, "events").select("event_id", "user_id", "ts", VALUE.encode(F.col("value")).alias("bits"))
+    won = spatial_pooler.pool(e, synapse_table(spark), ["user_id", "ts", "event_id"], "bits", POOLER)
+    duty = spatial_pooler.duty_cycles(won, ["user_id"], ["ts", "event_id"], "active", 100)
+    return duty.select("user_id", "column", r6(F.col("duty")).alias("duty"), r6(spatial_pooler.boost_factors(F.col("duty"), F.lit(0.04), 2.0)).alias("boost"))
+
+
+_S_OVERLAP_DUTY = f"{_S_OV}, d as (select c as col, (select count(*) from o where o.col = c) / (select count(*) from events) as duty from range({N_COLUMNS}) t(c))"
+
+
+def overlap_duty(spark: SparkSession, sf: str) -> DataFrame:
+    """(column, overlap_duty): the share of events that a column overlaps."""
     e = event_bits(spark, sf)
-    found = spatial_pooler.overlaps(e, synapse_table(spark), ["event_id"], "bits", POOLER, small=True)
-    return spatial_pooler.inhibit_locally(found, ["event_id"], topology.neighbor_table(spark, (N_COLUMNS,), 8), POOLER)
+    n = spatial_pooler.overlaps(e, synapse_table(spark), ["event_id"], "bits", POOLER).groupBy("column").agg(F.count("*").alias("n"))
+    every = spark.range(N_COLUMNS).select(F.col("id").cast("int").alias("column"))
+    return every.join(n, "column", "left").select("column", (F.coalesce("n", F.lit(0)) / F.lit(e.count())).alias("overlap_duty"))
+
+
+@query("sp_minimum_duty", f"{_S_OVERLAP_DUTY} select cast(a.col as integer) as \"column\", round(any_value(a.duty), 6) as overlap_duty, round(0.9 * max(b.duty), 6) as min_duty from d a join d b on abs(a.col - b.col) <= 8 group by a.col")
+def sp_minimum_duty(spark, sf):
+    p = replace(POOLER, min_share_overlap=0.9, global_inhibition=False, inhibition_radius=8, wrap=False)
+    return spatial_pooler.minimum_duty(overlap_duty(spark, sf), p).select("column", *[r6(F.col(c)).alias(c) for c in ("overlap_duty", "min_duty")])
+
+
+@query("sp_bump_weak", f"{_S_OVERLAP_DUTY}, weak as (select col as segment from d where duty < 0.9 * (select max(duty) from d)) select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(least(perm + case when segment in (select segment from weak) then 0.05 else 0 end, 1), 6) as perm from syn")
+def sp_bump_weak(spark, sf):
+    p = replace(POOLER, min_share_overlap=0.9)
+    return synapses_out(spatial_pooler.bump_weak(synapse_table(spark), spatial_pooler.minimum_duty(overlap_duty(spark, sf), p), p))
+
+
+@query("sp_adapt", f"{_S_UNIQUE} select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(case when segment % 3 <> 0 then perm else greatest(least(perm + case when presyn in (select presyn from often) then 0.05 else -0.008 end, 1), 0) end, 6) as perm from syn")
+def sp_adapt(spark, sf):
+    columns = spark.range(N_COLUMNS).where("id % 3 = 0").select(F.col("id").cast("int").alias("column"))
+    return synapses_out(spatial_pooler.adapt_columns(synapse_table(spark), frequent_bits(spark, sf), columns, POOLER))
+
+
+@query("sp_radius", f"with {_S_SYN}, s as (select segment, max(presyn) - min(presyn) + 1 as span from syn where perm >= 0.5 group by segment) select cast(greatest(1, floor((sum(span) / {N_COLUMNS} * {N_COLUMNS} / {N_INPUTS} - 1) / 2 + 0.5)) as integer) as radius from s")
+def sp_radius(spark, sf):
+    return spatial_pooler.inhibition_radius(synapse_table(spark), POOLER)
+
+
+TICK = temporal_memory.MemoryParams(columns=(64,), cells_per_column=4, activation=3, min_threshold=3, max_new=6)
+_S_TICK = f"""with seg as (select s as segment, (s * 37) % 256 as cell from range(160) t(s)), tsy as (select s as segment, (s * 31 + i * 17) % 256 as presyn, ((s * 7 + i * 13) % 100) / 100.0 as perm from range(160) t(s), range(24) u(i)),
+  rec as (select event_id, list_transform({_S_VALUE}, lambda b: b * 7 % 256) as before, list_distinct(list_transform({_S_VALUE}, lambda b: b * 5 % 64)) as cols from events),
+  b as (select event_id, unnest(before) as presyn from rec), ec as (select event_id, unnest(cols) as col from rec),
+  act as (select event_id, segment, cell, cell // 4 as col, count(*) filter (perm >= 0.5) as connected, count(*) as potential from b join tsy using (presyn) join seg using (segment) group by all),
+  pc as (select distinct event_id, cell, col from act where connected >= 3),
+  best as (select event_id, col, segment, cell, potential from (select *, row_number() over (partition by event_id, col order by potential desc, cell, segment) as rn from act where potential >= 3) where rn = 1)"""
+
+
+def tick_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records of events, and the segments and synapses of a graph by arithmetic."""
+    s, i = F.col("id").cast("int"), F.col("i")
+    segments = spark.range(160).select(s.alias("segment"), (s * 37 % 256).alias("cell"))
+    rows = spark.range(160).select("id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
+    synapses = rows.select(s.alias("segment"), ((s * 31 + i * 17) % 256).alias("presyn"), ((s * 7 + i * 13) % 100 / F.lit(100.0)).alias("perm"))
+    e = event_bits(spark, sf)
+    return e.select("event_id", F.transform("bits", lambda b: b * 7 % 256).alias("before"), F.transform("bits", lambda b: b * 5 % 64).alias("cols")), segments, synapses
+
+
+@query("tm_segments", f"{_S_TICK} select event_id, cast(segment as integer) as segment, cast(cell as integer) as cell, cast(connected as bigint) as connected, cast(potential as bigint) as potential, connected >= 3 as active, potential >= 3 as matching from act where potential >= 3")
+def tm_segments(spark, sf):
+    return ticks.segment_activity(*tick_tables(spark, sf), ["event_id"], TICK).where("matching or active")
+
+
+@query("tm_predictive", f"{_S_TICK} select event_id, string_agg(cell, ',' order by cell) as cells from pc group by event_id")
+def tm_predictive(spark, sf):
+    return ticks.predictive_cells(ticks.segment_activity(*tick_tables(spark, sf), ["event_id"], TICK), ["event_id"]).select("event_id", csv(F.col("cells")).alias("cells"))
+
+
+@query("tm_tick", f"""{_S_TICK}, own as (select event_id, col, list(cell order by cell) as own from pc group by all), pred as (select event_id, list(cell order by cell) as cells from pc group by event_id),
+  least as (select cell // 4 as col, cell, row_number() over (partition by cell // 4 order by n, cell) as rn from (select c as cell, count(segment) as n from range(256) t(c) left join seg on seg.cell = c group by c)),
+  j as (select event_id, col, own, best.cell as bc, least.cell as lc from ec left join own using (event_id, col) left join best using (event_id, col) left join least using (col) where least.rn = 1),
+  made as (select event_id, list_sort(flatten(list(coalesce(own, range(col * 4, col * 4 + 4))))) as active, list_sort(flatten(list(coalesce(own, [coalesce(bc, lc)])))) as win, 1 - count(own) / count(*) as anomaly from j group by event_id)
+  select event_id, {s_csv('active')} as active_cells, {s_csv('win')} as winner_cells, {s_csv('coalesce(cells, [])')} as predicted_cells, round(anomaly, 6) + 0.0 as anomaly from made left join pred using (event_id)""")
+def tm_tick(spark, sf):
+    out = ticks.compute(*tick_tables(spark, sf), ["event_id"], TICK)
+    return out.select("event_id", *[csv(F.col(c)).alias(c) for c in ("active_cells", "winner_cells", "predicted_cells")], r6(F.col("anomaly")).alias("anomaly"))
+
+
+@query("tm_changes", f"""{_S_TICK}, pcol as (select distinct event_id, col from pc), m as (select act.event_id, act.segment, act.connected, act.potential, ec.col is not null as now, pcol.col is null and best.segment is not null as is_best
+    from act left join ec using (event_id, col) left join pcol using (event_id, col) left join best on best.event_id = act.event_id and best.segment = act.segment)
+  select event_id, cast(segment as integer) as segment, case when now then 'adapt' else 'punish' end as change, cast(case when now and is_best then greatest(0, 6 - potential) else 0 end as bigint) as grow
+  from m where (now and (connected >= 3 or is_best)) or (not now and potential >= 3)""")
+def tm_changes(spark, sf):
+    return ticks.changes(*tick_tables(spark, sf), ["event_id"], TICK)
 
 
 def user_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -597,19 +791,19 @@ def sp_learn(spark, sf):
     return spatial_pooler.run_series(user_series(spark, sf), p).select("series", "seq", csv(F.col("active")).alias("active"), "max_overlap")
 
 
-MEMORY = temporal_memory.MemoryParams(columns=(64,), cells_per_column=4, activation=3, min_threshold=2, max_new=6, initial=0.3)
+MEMORY = temporal_memory.MemoryParams(columns=(256,), cells_per_column=4, activation=8, min_threshold=5, max_new=15, initial=0.3)
 
 
 @query("tm_run")
 def tm_run(spark, sf):
-    s = user_series(spark, sf).withColumn("cols", windows.scatter_columns(F.slice("bits", 1, 6), 64))
+    s = user_series(spark, sf).withColumn("cols", windows.scatter_columns(F.col("bits"), 256))
     ticks = temporal_memory.run_series(s, MEMORY)
     return ticks.select("series", "seq", r6(F.col("anomaly")).alias("anomaly"), "n_segments", "n_synapses", F.size("active_cells").alias("active"))
 
 
 @query("cell_statistics")
 def cell_statistics(spark, sf):
-    s = user_series(spark, sf).withColumn("cols", windows.scatter_columns(F.slice("bits", 1, 6), 64))
+    s = user_series(spark, sf).withColumn("cols", windows.scatter_columns(F.col("bits"), 256))
     return windows.cell_statistics(temporal_memory.run_series(s, MEMORY)).select("cell", "active", "correct", "anomalous", r6(F.col("rate")).alias("rate"), r6(F.col("accuracy")).alias("accuracy"))
 
 

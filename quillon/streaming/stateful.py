@@ -3,7 +3,9 @@
 Each is a learner class with a step; a micro-batch's rows of a series are taken in the order of seq, the learner is
 restored from the state store, run, and stored again. Rows that arrive after later ones of the same series have been
 taken are dropped and counted in the column late of the next output row, so that results don't depend on restarts.
-With a watermark on the input, states of series without rows for ``timeout`` are dropped.
+Without a ``timeout`` states are kept for ever. With one (in seconds; the input needs a watermark), a state goes when the
+watermark has passed its last row's arrival by that time; late rows that are still uncounted then come in a last row,
+whose seq is that of the last row taken and whose other fields are null.
 """
 
 from __future__ import annotations
@@ -21,17 +23,21 @@ from quillon.operators.anomaly import ERFC, Likelihood
 from quillon.operators.classifier import Classifier
 
 
-def keyed(df: DataFrame, make: Callable, step: Callable, fields: str) -> DataFrame:
+def keyed(df: DataFrame, make: Callable, step: Callable, fields: str, timeout: float | None = None) -> DataFrame:
     """Runs step(learner, row) -> tuple over the rows of each series; df has series, seq and whatever step reads.
 
     fields is the schema of the tuple. Output: series, seq, the fields, late.
     """
+    names = [x.strip().split()[0] for x in _split(fields)]
 
     def run(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
         if state.hasTimedOut:
+            _, last, late = pickle.loads(zlib.decompress(state.get[0]))
             state.remove()
+            if late:
+                yield pd.DataFrame([(key[0], last, *[None] * len(names), late)], columns=["series", "seq", *names, "late"])
             return
         learner, last, late = pickle.loads(zlib.decompress(state.get[0])) if state.exists else (make(), None, 0)
         rows = [r for f in frames for r in f.itertuples(index=False)]
@@ -43,10 +49,12 @@ def keyed(df: DataFrame, make: Callable, step: Callable, fields: str) -> DataFra
             out.append((key[0], r.seq, *step(learner, r), late))
             last, late = r.seq, 0
         state.update((zlib.compress(pickle.dumps((learner, last, late))),))
-        names = [x.strip().split()[0] for x in _split(fields)]
+        if timeout is not None:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(1000 * timeout) + 1)
         yield pd.DataFrame(out, columns=["series", "seq", *names, "late"])
 
-    return df.groupBy("series").applyInPandasWithState(run, f"series string, seq long, {fields}, late long", "model binary", "append", GroupStateTimeout.NoTimeout)
+    kind = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.EventTimeTimeout
+    return df.groupBy("series").applyInPandasWithState(run, f"series string, seq long, {fields}, late long", "model binary", "append", kind)
 
 
 def _split(fields: str) -> list[str]:
@@ -66,7 +74,7 @@ class _Last:
     value: float | None = None
 
 
-def delta(df: DataFrame) -> DataFrame:
+def delta(df: DataFrame, timeout: float | None = None) -> DataFrame:
     """delta: value minus the one before it, 0 at first."""
 
     def step(last: _Last, row) -> tuple[float]:
@@ -74,7 +82,7 @@ def delta(df: DataFrame) -> DataFrame:
         last.value = float(row.value)
         return (change,)
 
-    return keyed(df, _Last, step, "delta double")
+    return keyed(df, _Last, step, "delta double", timeout)
 
 
 def _erfc(x: float) -> float:
@@ -99,33 +107,38 @@ class LikelihoodState:
         return 0.5 if self.i < self.p.learning else 1 - 0.5 * _erfc((score - self.mean) / np.sqrt(self.var) / np.sqrt(2))
 
 
-def likelihood(df: DataFrame, p: Likelihood) -> DataFrame:
-    return keyed(df, lambda: LikelihoodState(p), lambda s, row: (s.step(float(row.value)),), "likelihood double")
+def likelihood(df: DataFrame, p: Likelihood, timeout: float | None = None) -> DataFrame:
+    return keyed(df, lambda: LikelihoodState(p), lambda s, row: (s.step(float(row.value)),), "likelihood double", timeout)
 
 
-def pooler(df: DataFrame, p: spatial_pooler.PoolerParams, learn: bool = True) -> DataFrame:
+def pooler(df: DataFrame, p: spatial_pooler.PoolerParams, learn: bool = True, timeout: float | None = None) -> DataFrame:
     def step(s: spatial_pooler.Pooler, row) -> tuple:
-        active, overlap = s.compute(np.asarray(row.bits, int), learn)
+        active, overlap = s.compute(np.asarray(row.bits if row.bits is not None else [], np.int64), learn)
         return active.tolist(), int(overlap.max())
 
-    return keyed(df, lambda: spatial_pooler.Pooler(p), step, "active array<int>, max_overlap int")
+    return keyed(df, lambda: spatial_pooler.Pooler(p), step, spatial_pooler.FIELDS, timeout)
 
 
-def memory(df: DataFrame, p: temporal_memory.MemoryParams, learn: bool = True) -> DataFrame:
+def memory(df: DataFrame, p: temporal_memory.MemoryParams, learn: bool = True, timeout: float | None = None) -> DataFrame:
+    """df may have a column reset: the last tick is forgotten before the row."""
+
     def step(s: temporal_memory.Memory, row) -> tuple:
-        return tuple(s.compute(np.asarray(row.cols, np.int64), learn).values())
+        if getattr(row, "reset", None):
+            s.reset()
+        return tuple(s.compute(np.asarray(row.cols if row.cols is not None else [], np.int64), learn).values())
 
-    fields = temporal_memory.SCHEMA.removeprefix("series string, seq long, ")
-    return keyed(df, lambda: temporal_memory.Memory(p), step, fields)
+    return keyed(df, lambda: temporal_memory.Memory(p), step, temporal_memory.FIELDS, timeout)
 
 
-def classifier(df: DataFrame, alpha: float = 0.001, steps: tuple[int, ...] = (1,)) -> DataFrame:
-    """probabilities of the first step's buckets before each row is learned."""
+def classifier(df: DataFrame, alpha: float = 0.001, steps: tuple[int, ...] = (1,), timeout: float | None = None) -> DataFrame:
+    """probabilities of the first step's buckets before each row is learned; df may have a column reset, as in batch."""
 
     def step(c: Classifier, row) -> tuple:
+        if getattr(row, "reset", None):
+            c.reset()
         bits = np.asarray(row.bits, np.int64)
         p = c.infer(bits, steps[0]).tolist()
         c.learn(bits, int(row.bucket))
         return (p,)
 
-    return keyed(df, lambda: Classifier(alpha, steps), step, "p array<double>")
+    return keyed(df, lambda: Classifier(alpha, steps), step, "p array<double>", timeout)
