@@ -3,9 +3,9 @@
 Each is a learner class with a step; a micro-batch's rows of a series are taken in the order of seq, the learner is
 restored from the state store, run, and stored again. Rows that arrive after later ones of the same series have been
 taken are dropped and counted in the column late of the next output row, so that results don't depend on restarts.
-Without a ``timeout`` states are kept for ever. With one (in seconds; the input needs a watermark), a state goes when the
-watermark has passed its last row's arrival by that time; late rows that are still uncounted then come in a last row,
-whose seq is that of the last row taken and whose other fields are null.
+Without a ``timeout`` states are kept for ever. With one (in seconds; the input needs a watermark on its column ts), a state
+goes when the watermark has passed its newest row by that time; late rows that are still uncounted then come in a last
+row, whose seq is that of the last row taken and whose other fields are null.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillon.operators import spatial_pooler, temporal_memory
@@ -50,10 +51,13 @@ def keyed(df: DataFrame, make: Callable, step: Callable, fields: str, timeout: f
             last, late = r.seq, 0
         state.update((zlib.compress(pickle.dumps((learner, last, late))),))
         if timeout is not None:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + int(1000 * timeout) + 1)
+            newest = max([state.getCurrentWatermarkMs(), *(r.newest for r in rows if r.newest == r.newest)])
+            state.setTimeoutTimestamp(int(newest) + int(1000 * timeout) + 1)
         yield pd.DataFrame(out, columns=["series", "seq", *names, "late"])
 
     kind = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.EventTimeTimeout
+    if timeout is not None:
+        df = df.withColumn("newest", F.unix_millis("ts"))
     return df.groupBy("series").applyInPandasWithState(run, f"series string, seq long, {fields}, late long", "model binary", "append", kind)
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.errors import DimensionMismatch, InvalidDimensions, SdrError
 from quillon.functions import kernels, sdr, sql
-from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, topology, windows
+from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, ticks, topology, windows
 from quillon.operators.encoders import finance, probability, signal, spatial, text, vision
 from quillon.sources import ecg, model_io
 
@@ -261,6 +262,277 @@ def test_memory_by_series(spark):
     assert len(out) == 80 and max(late) == 0.0
 
 
+class PlainMemory:
+    """A temporal memory by dictionaries and loops, for as many new synapses as there are candidates."""
+
+    def __init__(self, p):
+        self.p, self.graph, self.cell, self.next = p, {}, {}, 0
+        self.active = self.winners = frozenset()
+
+    def tick(self, columns):
+        p, k = self.p, self.p.cells_per_column
+        connected = {s: sum(c in self.active and v >= p.connected for c, v in own.items()) for s, own in self.graph.items()}
+        potential = {s: sum(c in self.active for c in own) for s, own in self.graph.items()}
+        on = sorted(s for s in self.graph if connected[s] >= p.activation)
+        matching = sorted(s for s in self.graph if potential[s] >= p.min_threshold)
+        predicted = {self.cell[s] for s in on}
+        reward, before = self.winners, sorted(self.winners)
+        active, winners = set(), set()
+
+        def adapt(s):
+            for c in self.graph[s]:
+                self.graph[s][c] = min(1.0, max(0.0, self.graph[s][c] + (p.increment if c in reward else -p.decrement)))
+
+        def grow(s, n):
+            new = [c for c in before if c not in self.graph[s]]
+            assert len(new) <= n or n <= 0
+            for c in new if n > 0 else []:
+                self.graph[s][c] = p.initial
+
+        for col in sorted(columns):
+            cells = range(col * k, col * k + k)
+            own = predicted & set(cells)
+            if own:
+                active |= own
+                winners |= own
+                for s in on:
+                    if self.cell[s] in own:
+                        adapt(s)
+                continue
+            active |= set(cells)
+            near = [s for s in matching if self.cell[s] in cells]
+            if near:
+                best = min(near, key=lambda s: (-potential[s], self.cell[s], s))
+                winners.add(self.cell[best])
+                adapt(best)
+                grow(best, p.max_new - potential[best])
+            else:
+                cell = min(cells, key=lambda c: (sum(x == c for x in self.cell.values()), c))
+                winners.add(cell)
+                if before:
+                    self.graph[self.next], self.cell[self.next] = {}, cell
+                    grow(self.next, p.max_new)
+                    self.next += 1
+        for s in matching:
+            if self.cell[s] // k not in columns:
+                for c in self.graph[s]:
+                    self.graph[s][c] = max(0.0, self.graph[s][c] - p.predicted_decrement)
+        score = 1 - len({c // k for c in predicted} & set(columns)) / len(columns) if columns else 0.0
+        self.active, self.winners = frozenset(active), frozenset(winners)
+        return sorted(active), sorted(winners), sorted(predicted), score
+
+
+MEMORY = temporal_memory.MemoryParams(columns=(30,), cells_per_column=3, activation=3, min_threshold=2, initial=0.45, max_new=40, predicted_decrement=0.02)
+
+
+def column_series(n, seed):
+    draw = random.Random(seed)
+    steps = [sorted(draw.sample(range(30), 5)) for _ in range(6)]
+    return [steps[k % 6] if draw.random() < 0.8 else sorted(draw.sample(range(30), draw.randint(0, 6))) for k in range(n)]
+
+
+def test_memory_against_plain_loops():
+    m, plain = temporal_memory.Memory(MEMORY), PlainMemory(MEMORY)
+    for cols in column_series(150, 1):
+        tick = m.compute(np.array(cols, np.int64))
+        assert (sorted(tick["active_cells"]), sorted(tick["winner_cells"]), tick["predicted_cells"], tick["anomaly"]) == plain.tick(cols)
+        assert tick["n_segments"] == len(plain.graph) and tick["n_synapses"] == sum(map(len, plain.graph.values()))
+    for s, own in plain.graph.items():
+        presyn, perm = m.synapses_of(s)
+        assert {c: round(v, 9) for c, v in zip(presyn.tolist(), perm.tolist(), strict=True)} == {c: round(v, 9) for c, v in own.items()}
+
+
+def test_memory_limits():
+    p = temporal_memory.MemoryParams(columns=(20,), cells_per_column=1, max_segments=2, max_synapses=4, max_new=3, activation=1, min_threshold=1, connected=0.2)
+    m = temporal_memory.Memory(p)
+    for s in range(3):
+        m.grow(m.create_segment(5), np.arange(6, 9 + s), 9)
+    assert sorted(m.size[: m.used].tolist()) == [4, 4] and m.used == 2  # the smallest went, its id is used again
+    m.perm[0, :2] = 0.9
+    m.grow(0, np.array([15, 16]), 9)
+    assert m.size[0] == 4 and {15, 16} < set(m.synapses_of(0)[0].tolist()) and (m.synapses_of(0)[1] == 0.9).sum() == 2
+
+
+def test_ticks_against_the_learner(spark):
+    """What one tick gives on a learner's graph, as tables."""
+    m = temporal_memory.Memory(MEMORY)
+    data = column_series(60, 4)
+    for cols in data:
+        m.compute(np.array(cols, np.int64))
+    state = dict(zip([f.split()[0] for f in temporal_memory.STATE.split(", ")], m.export(), strict=True))
+    graph = spark.createDataFrame([("s", *m.export())], "series string, " + temporal_memory.STATE)
+    segments, synapses = temporal_memory.segments(graph).drop("series"), temporal_memory.synapses(graph).drop("series")
+    records = [(k, sorted(random.Random(k).sample(range(90), 15)), data[k]) for k in range(40)]
+    df = spark.createDataFrame(records, "id int, before array<int>, cols array<int>")
+    got = {r.id: r for r in ticks.compute(df, segments, synapses, ["id"], MEMORY).collect()}
+    change = ticks.changes(df, segments, synapses, ["id"], MEMORY).collect()
+    for k, before, cols in records:
+        one = temporal_memory.Memory(MEMORY, state)
+        one.active = np.array(before)
+        tick = one.compute(np.array(cols, np.int64), learn=False)
+        assert (got[k].active_cells, got[k].winner_cells, got[k].predicted_cells) == (sorted(tick["active_cells"]), sorted(tick["winner_cells"]), tick["predicted_cells"])
+        assert abs(got[k].anomaly - tick["anomaly"]) < 1e-12
+        _, potential = temporal_memory.Memory(MEMORY, state).activity(np.array(before))
+        own = {r.segment: (r.change, r.grow) for r in change if r.id == k}
+        assert {s for s, (c, _) in own.items() if c == "punish"} == {s for s in np.flatnonzero(potential >= 2).tolist() if m.cells[s] // 3 not in cols}
+
+
+def test_memory_goes_on(spark, tmp_path):
+    """Learning in two halves, saved and loaded between them, gives the rows of learning at once."""
+    p = temporal_memory.MemoryParams(columns=(30,), cells_per_column=3, activation=3, min_threshold=2, initial=0.45, max_new=4)
+    rows = [(s, k, cols, k in (40, 70)) for s in "abc" for k, cols in enumerate(column_series(100, ord(s)))]
+    df = spark.createDataFrame(rows, "series string, seq long, cols array<int>, reset boolean")
+    at_once = temporal_memory.run_series(df, p).where("seq >= 50").collect()
+    for kind in ("parquet", "json"):
+        model_io.save({"memory": temporal_memory.train(df.where("seq < 50"), p)}, f"{tmp_path}/{kind}", {"columns": [30]}, kind)
+        tables, params = model_io.load(spark, f"{tmp_path}/{kind}")
+        assert params == {"columns": [30]}
+        assert sorted(temporal_memory.run_series(df.where("seq >= 50"), p, state=tables["memory"]).collect()) == sorted(at_once)
+    rest = temporal_memory.train(df.where("seq >= 50"), p, tables["memory"])
+    assert sorted(rest.collect()) == sorted(temporal_memory.train(df, p).collect())
+    assert temporal_memory.synapses(rest).count() > 0 and temporal_memory.train(df.limit(0), p, tables["memory"]).count() == 3
+
+
+def plain_pooler(p, synapses, rows):
+    """(active, overlaps) by loops over (segment, presyn) -> perm, with global inhibition."""
+    perm, n = dict(synapses), p.num_columns
+    boost, seen, won, least = [1.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
+    for t, bits in enumerate(rows, 1):
+        overlap = [sum(perm.get((c, i), -1) >= p.connected for i in bits) for c in range(n)]
+        active = sorted(sorted(range(n), key=lambda c: (-overlap[c] * boost[c], c))[: p.winners])
+        yield active, overlap
+        for (c, i), v in list(perm.items()):
+            if c in active:
+                perm[c, i] = min(1.0, max(0.0, v + (p.increment if i in bits else -p.decrement)))
+        for c in range(n):
+            seen[c] = (seen[c] * (p.period - 1) + (overlap[c] > 0)) / p.period
+            won[c] = (won[c] * (p.period - 1) + (c in active)) / p.period
+        for (c, i), v in list(perm.items()):
+            if seen[c] < least[c]:
+                perm[c, i] = min(1.0, v + p.connected / 10)
+        boost = [math.exp(p.boost * (p.effective_density - d)) for d in won]
+        if t % p.update_every == 0:
+            least = [p.min_share_overlap * max(seen)] * n
+
+
+POOLER = spatial_pooler.PoolerParams(inputs=(60,), columns=(40,), potential_radius=20, boost=3.0, density=0.1, period=20, update_every=7, min_share_overlap=0.9, increment=0.03)
+
+
+def bit_rows(n, seed):
+    draw = random.Random(seed)
+    return [sorted(draw.sample(range(60), draw.randint(0, 12))) for _ in range(n)]
+
+
+def test_pooler_against_plain_loops():
+    s = spatial_pooler.Pooler(POOLER)
+    first = {(c, i): v for c, i, v in zip(*(x.tolist() for x in s.synapses()), strict=True)}
+    for bits, (active, overlap) in zip(bit_rows(60, 2), plain_pooler(POOLER, first, bit_rows(60, 2)), strict=True):
+        got = s.compute(np.array(bits, np.int64), True)
+        assert (got[0].tolist(), got[1].tolist()) == (active, overlap)
+
+
+@pytest.mark.parametrize("local", [False, True])
+def test_pooler_goes_on(spark, tmp_path, local):
+    p = replace(POOLER, global_inhibition=not local)
+    rows = [(s, k, bits) for s in "ab" for k, bits in enumerate(bit_rows(40, ord(s)))]
+    df = spark.createDataFrame(rows, "series string, seq long, bits array<int>")
+    at_once = spatial_pooler.run_series(df, p).where("seq >= 20").collect()
+    model_io.save({"pooler": spatial_pooler.train(df.where("seq < 20"), p)}, f"{tmp_path}/m")
+    state = model_io.load(spark, f"{tmp_path}/m")[0]["pooler"]
+    if not local:  # a local pooler's radius is taken anew from its synapses
+        assert sorted(spatial_pooler.run_series(df.where("seq >= 20"), p, state=state).collect()) == sorted(at_once)
+    one = state.where("series = 'a'")
+    e = df.where("series = 'a'").select("seq", "bits")
+    trained = spatial_pooler.Pooler(p, one.first().asDict())
+    want = {k: trained.overlap(np.array(b, np.int64)).tolist() for s, k, b in rows if s == "a"}
+    got = {k: [0] * 40 for k in want}
+    for r in spatial_pooler.overlaps(e, spatial_pooler.synapses(one), ["seq"], "bits", p).collect():
+        got[r.seq][r.column] = r.overlap
+    assert got == want and spatial_pooler.columns(state).count() == 80
+
+
+@pytest.mark.parametrize("limit", [10**6, 10])
+def test_pooling_with_and_without_a_join(spark, monkeypatch, limit):
+    """Synapses that travel to the rows and synapses that are joined give the same."""
+    monkeypatch.setattr(connections, "BROADCAST_SYNAPSES", limit)
+    p = replace(POOLER, inhibition_radius=4, boost=0.0)
+    s = spatial_pooler.Pooler(p)
+    syn = spark.createDataFrame(list(zip(*(x.tolist() for x in s.synapses()), strict=True)), "segment int, presyn int, perm double")
+    rows = bit_rows(30, 7) + [None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, bits array<int>")
+    got = {r.id: r.active for r in spatial_pooler.pool(df, syn, ["id"], "bits", p).collect()}
+    assert got == {k: s.compute(np.array(b or [], np.int64), False)[0].tolist() for k, b in enumerate(rows)}
+    for wrap in (False, True):
+        q = replace(p, global_inhibition=False, wrap=wrap)
+        got = {r.id: r.active for r in spatial_pooler.pool(df, syn, ["id"], "bits", q).collect()}
+        for k, bits in enumerate(rows):
+            o = s.overlap(np.array(bits or [], np.int64)).tolist()
+            near = lambda c: [x for x in range(40) if x != c and (min(abs(c - x), 40 - abs(c - x)) if wrap else abs(c - x)) <= 4]  # noqa: E731, B023
+            assert got[k] == [c for c in range(40) if o[c] > 0 and sum(o[x] > o[c] for x in near(c)) < math.ceil((len(near(c)) + 1) * 0.1)]
+    act = {(r.id, r.segment): (r.connected, r.potential) for r in connections.activity(df, syn, ["id"], "bits", p.connected).collect()}
+    own = {(c, i): v for c, i, v in zip(*(x.tolist() for x in s.synapses()), strict=True)}
+    want = {}
+    for k, bits in enumerate(rows):
+        for c in range(40):
+            hit = [own[c, i] for i in bits or [] if (c, i) in own]
+            if hit:
+                want[k, c] = (sum(v >= p.connected for v in hit), len(hit))
+    assert act == want
+
+
+def test_classifier_goes_on(spark):
+    draw = random.Random(5)
+    rows = [(s, k, sorted(draw.sample(range(50), 6)), draw.randrange(4), k == 13) for s in "ab" for k in range(40)]
+    df = spark.createDataFrame(rows, "series string, seq long, bits array<int>, bucket int, reset boolean")
+    w = {}  # independent loops
+    for s in "ab":
+        past, buckets = [], 1
+        for _, _, bits, bucket, reset in (r for r in rows if r[0] == s):
+            past, buckets = ([] if reset else past) + [bits], max(buckets, bucket + 1)
+            for step in (0, 2):
+                if len(past) > step:
+                    z = [sum(w.get((s, step, b, k), 0.0) for b in past[-1 - step]) for k in range(buckets)]
+                    e = [math.exp(v - max(z)) for v in z]
+                    for b in past[-1 - step]:
+                        for k in range(buckets):
+                            w[s, step, b, k] = w.get((s, step, b, k), 0.0) + 0.1 * ((k == bucket) - e[k] / sum(e))
+    got = {(r.series, r.step, r.bit, r.bucket): r.w for r in classifier.learn_series(df, 0.1, (0, 2)).collect()}
+    assert all(abs(got.get(k, 0.0) - v) < 1e-9 for k, v in w.items()) and got.keys() <= w.keys()
+    half = classifier.train(df.where("seq < 20"), 0.1, (0, 2))
+    again = {(r.series, r.step, r.bit, r.bucket): r.w for r in classifier.learn_series(df.where("seq >= 20"), 0.1, (0, 2), half).collect()}
+    assert again.keys() == got.keys() and all(abs(again[k] - v) < 1e-12 for k, v in got.items())
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_infer(spark, monkeypatch, limit):
+    monkeypatch.setattr(classifier, "BROADCAST_WEIGHTS", limit)
+    w = {(s, b, k): ((b * 13 + k * 7 + s) % 50) / 20 - 1 for s in (0, 3) for b in range(20) for k in (1, 2, 5)}
+    weights = spark.createDataFrame([(*k, v) for k, v in w.items()], "step int, bit int, bucket int, w double")
+    rows = [(1, [0, 3, 19]), (2, [25, 4]), (3, []), (4, None)]
+    got = {(r.id, r.step, r.bucket): r.p for r in classifier.infer(spark.createDataFrame(rows, "id int, bits array<int>"), weights, ["id"]).collect()}
+    assert len(got) == 4 * 6
+    for (i, s, k), v in got.items():
+        z = {x: sum(w.get((s, b, x), 0.0) for b in dict(rows)[i] or []) for x in (1, 2, 5)}
+        assert abs(v - math.exp(z[k]) / sum(map(math.exp, z.values()))) < 1e-12
+
+
+def test_graph_operations(spark):
+    syn = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.02), (0, 3, 0.4), (1, 1, 0.9)], "segment int, presyn int, perm double").withColumn("change", F.lit(0.1))
+    active, segs = spark.createDataFrame([(1,)], "presyn int"), spark.createDataFrame([(0,)], "segment int")
+    once = connections.adapt(syn, active, segs, 0.1, 0.05, series=True, prune=True)
+    assert {(r.segment, r.presyn): (round(r.perm, 9), r.change) for r in once.collect()} == {(0, 1): (0.5, 0.0), (0, 3): (0.35, -0.05), (1, 1): (0.9, 0.1)}
+    again = connections.adapt(connections.forget(once), active, segs, 0.1, 0.05, series=True)
+    assert {(r.segment, r.presyn): round(r.perm, 9) for r in again.collect()} == {(0, 1): 0.6, (0, 3): 0.3, (1, 1): 0.9}
+    plain = syn.drop("change")
+    wanted = spark.createDataFrame([(0, c, 2) for c in (3, 7, 8, 9)], "segment int, presyn int, n int")
+    grown = {(r.segment, r.presyn): r.perm for r in connections.grow(plain, wanted, 0.2, most=3).collect()}
+    assert len(grown) == 4 and grown[0, 1] == 0.5 and (0, 2) not in grown and sum(v == 0.2 for v in grown.values()) == 2
+    table = spark.createDataFrame([(0, 5), (1, 5)], "segment int, cell int")
+    more, left = connections.create_segments(table, plain, spark.createDataFrame([(5,), (6,), (5,)], "cell int"), 2)
+    assert sorted((r.cell, r.segment == 0) for r in more.collect()) == [(5, False), (5, True), (6, False)] and left.count() == 3
+    assert connections.same_graph((table, plain), (table.orderBy("cell"), plain)) and not connections.same_graph((table, plain), (table, left))
+
+
 def test_classifier(spark):
     c = classifier.Classifier(0.1, (0,))
     a, b = np.arange(5), np.arange(50, 55)
