@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, ascii_lower
+from .common import ascii_lower, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BROADCAST_ITEMS = 200_000
@@ -28,17 +28,33 @@ BROADCAST_ITEMS = 200_000
 
 def shingles(text: Column, size: int = SHINGLE) -> Column:
     """array<string> of the shingles of a text, repeats included."""
-    plain = F.trim(F.regexp_replace(ascii_lower(text), GAP, " "))
-    runs = F.regexp_extract_all(plain, F.lit(f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{size - 1}}}))"), 1)
-    return F.when(F.coalesce(plain, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(runs) > 0, runs).otherwise(F.array(plain))
+    w = words(ascii_lower(text))
+
+    def all_of(own: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(own) - (size - 1)), lambda i: F.array_join(F.slice(own, i, F.lit(size)), " "))
+        return F.when(F.size(own) >= size, runs).when(F.size(own) > 0, F.array(F.array_join(own, " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(w), all_of)[0]  # the words are split once
+
+
+def shingle_hashes(text: Column, size: int = SHINGLE) -> Column:
+    """array<long>: a hash for each shingle, from the hashes of its words; equal shingles have equal hashes."""
+    h = F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w))
+
+    def all_of(own: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(own) - size), lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(size)]))
+        whole = F.aggregate(own, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x))
+        return F.when(F.size(own) >= size, runs).when(F.size(own) > 0, F.array(whole)).otherwise(F.array().cast("array<long>"))
+
+    return F.transform(F.array(h), all_of)[0]
 
 
 def item_table(items: DataFrame, item_id: str, text: str) -> DataFrame:
     """(item_id, shingles, n_item, least, sketch): least is the number of shared shingles that containment takes."""
-    own = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.array_distinct(shingles(F.col(text))).alias("shingles"))
+    own = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.array_distinct(shingles(F.col(text))).alias("shingles"), F.array_distinct(shingle_hashes(F.col(text))).alias("hashes"))
     own = own.withColumn("n_item", F.size("shingles")).where("n_item > 0")
     upper = F.pow(F.lit(2.0), F.ceil(F.log2("n_item")))
-    sketch = F.slice(F.sort_array(F.transform("shingles", lambda s: F.xxhash64(s))), 1, F.least("n_item", (F.floor((1 - THRESHOLD) * upper + 1e-9) + 1).cast("int")))
+    sketch = F.slice(F.sort_array("hashes"), 1, F.least("n_item", (F.floor((1 - THRESHOLD) * upper + 1e-9) + 1).cast("int")))
     return own.withColumn("sketch", sketch).withColumn("least", F.ceil(THRESHOLD * F.col("n_item") - 1e-9))
 
 
@@ -51,8 +67,9 @@ def contained(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item
     small = F.broadcast if size["n"] <= BROADCAST_ITEMS else (lambda df: df)
     top = size["top"] if size["n"] else -(1 << 63)
 
-    hashes = docs.select("doc_id", F.explode(shingles(F.col("text"))).alias("s")).select("doc_id", F.xxhash64("s").alias("h")).where(F.col("h") <= top)
-    found = hashes.join(small(sketches), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"))
+    low = F.filter(shingle_hashes(F.col("text")), lambda h: h <= F.lit(top))
+    hashes = docs.select("doc_id", F.explode(F.array_distinct(low)).alias("h"))
+    found = hashes.join(small(sketches), "h").select("doc_id", "item_id").distinct()
     by_doc = found.groupBy("doc_id").agg(F.collect_list("item_id").alias("items"))
     texts = docs.join(by_doc, "doc_id").select("doc_id", "items", F.array_distinct(shingles(F.col("text"))).alias("own"))
     pairs = texts.select("doc_id", "own", F.explode("items").alias("item_id")).join(small(table.select("item_id", "shingles", "n_item", "least")), "item_id")
