@@ -6,9 +6,10 @@ words are segmented, the pieces counted, each word as often as the texts have it
 pieces' add-one shares. A byte of a character without a piece costs ``BYTE_LOG_PROB``. A pre-token is a word with the word
 mark before it; its segmentation is the one of greatest total, and of those the one with the fewest tokens.
 
-The best (total, tokens) of a prefix depends on that prefix alone. So a task puts its distinct pre-tokens in a trie (in
-sorted order, the trie's depth-first order, so that one path is held at a time), computes each prefix's state once, and
-stores the count at each terminal. Texts then add up their words' counts.
+The best (total, tokens) of a prefix depends on that prefix alone. So a task puts its distinct pre-tokens in a trie,
+computes each prefix's state once, all prefixes of a length at a time in numpy (``Trie``), and reads the count at each
+terminal. Texts then add up their words' counts. Words of more than LONG characters, whose prefixes hardly any other
+word shares, are done one by one in sorted order, holding one path at a time, with the same result.
 
 Null and empty texts have 0 tokens. Rows are never merged. Other columns take no part unless they are named in ``keep``; a
 kept column must not be called n_words or n_tokens. Empty tables give no rows, and learning from them leaves Zipf's law.
@@ -30,6 +31,9 @@ from .common import stage_table
 
 MARK = "▁"
 BYTE_LOG_PROB = -16.0
+#: Longer words are no part of a task's trie.
+LONG = 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 ROUNDS = 1
 #: Words whose counts a task remembers; beyond this it forgets them all, which bounds its memory.
 CACHE_WORDS = 1_000_000
@@ -47,6 +51,8 @@ class Unigram:
             total = math.log(sum(counts.values()) + len(pieces))
             self.log_prob = {p: math.log(counts.get(p, 0) + 1) - total for p in pieces}
         self.longest = max(map(len, pieces), default=1)
+        self.names = list(self.log_prob)
+        self.tables = self._tables()
 
     @classmethod
     def from_file(cls, path: str) -> Unigram:
@@ -75,18 +81,44 @@ class Unigram:
                         best = new
             states.append(best)
 
+    def _tables(self) -> list[tuple[np.ndarray, ...]]:
+        """For each length: the hashes of its pieces in order, their numbers and log-probabilities, and which upper bits they have."""
+        by_length: list[list[int]] = [[] for _ in range(self.longest + 1)]
+        for k, p in enumerate(self.names):
+            by_length[len(p)].append(k)
+        out = []
+        for length, own in enumerate(by_length):
+            h = np.zeros(len(own), np.uint64)
+            code = np.frombuffer("".join(self.names[k] for k in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), length) if length else None
+            for j in range(length):
+                h = h * _BASE + code[:, j]
+            order = np.argsort(h)
+            number = np.array(own, np.int64)[order]
+            maybe = np.zeros(1 << 16, bool)
+            maybe[(h >> np.uint64(48)).astype(np.int64)] = True
+            out.append((h[order], number, np.array([self.log_prob[self.names[k]] for k in number.tolist()]), maybe))
+        return out
+
     def counts(self, words: set[str]) -> dict[str, int]:
         """The tokens of each word, computed along the trie of all of them."""
-        return {word: states[-1][1] for word, states in self.walk(words)}
+        short = sorted(w for w in words if len(w) <= LONG)
+        out = dict(zip(short, Trie(self, short).tokens().tolist(), strict=True)) if short else {}
+        out.update((word, states[-1][1]) for word, states in self.walk([w for w in words if len(w) > LONG]))
+        return out
 
     def pieces(self, words: dict[str, int]) -> Counter:
         """How often the segmentations of the words use each piece; words: how often there is each word."""
+        short = sorted(w for w in words if len(w) <= LONG)
         out: Counter = Counter()
-        for word, states in self.walk(words):
+        if short:
+            used = Trie(self, short).use(np.array([words[w] for w in short], float))
+            out.update({self.names[k]: int(used[k]) for k in np.flatnonzero(used).tolist()})
+        for word, states in self.walk([w for w in words if len(w) > LONG]):
             text, end = MARK + word, len(word) + 1
             while end:
                 at = -states[end][2]
-                out[text[at:end]] += words[word]
+                if text[at:end] in self.log_prob:
+                    out[text[at:end]] += words[word]
                 end = at
         return out
 
@@ -105,9 +137,88 @@ class Unigram:
             yield word, states
 
 
+class Trie:
+    """The trie of sorted words with the word mark before them, one array a depth, and the best cut of each prefix.
+
+    parent: the node above; total, tokens: -log-probability and tokens of the best cut; size, piece, before: length and
+    number (-1: bytes) of its last piece, and the node where that begins. at: of each word that is so long, its node.
+    """
+
+    def __init__(self, model: Unigram, words: list[str]):
+        text = MARK + MARK.join(words)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.array([len(w) + 1 for w in words], np.int64)
+        begin = np.cumsum(length) - length
+        word, node = np.arange(len(words)), np.zeros(len(words), np.int64)
+        self.last, self.length = np.zeros(len(words), np.int64), length
+        zero = np.zeros(1, np.int64)
+        self.total, self.count, self.parent, self.hash = [np.zeros(1)], [zero], [zero], [np.zeros(1, np.uint64)]
+        self.size, self.piece, self.before = [zero], [zero - 1], [zero]
+        for depth in range(1, int(length.max()) + 1):
+            stays = length[word] >= depth
+            word, node = word[stays], node[stays]
+            c = code[begin[word] + depth - 1]
+            new = np.r_[True, (node[1:] != node[:-1]) | (c[1:] != c[:-1])]
+            self._add(model, node[new], c[new])
+            node = np.cumsum(new) - 1
+            ends = length[word] == depth
+            self.last[word[ends]] = node[ends]
+
+    def _add(self, model: Unigram, parent: np.ndarray, c: np.ndarray) -> None:
+        """The nodes of the next depth, with their best cuts."""
+        depth = len(self.total)
+        h = self.hash[-1][parent] * _BASE + c
+        octets = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+        total, count = self.total[-1][parent] - octets * BYTE_LOG_PROB, self.count[-1][parent] + octets
+        size, piece, before = np.ones(len(c), np.int64), np.full(len(c), -1), parent.copy()
+        above = parent
+        for n in range(1, min(model.longest, depth) + 1):
+            if n > 1:
+                above = self.parent[depth - n + 1][above]
+            hashes, number, log_prob, maybe = model.tables[n]
+            if not len(hashes):
+                continue
+            own = h - self.hash[depth - n][above] * np.uint64(pow(int(_BASE), n, 1 << 64))
+            hit = np.flatnonzero(maybe[(own >> np.uint64(48)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(hashes, own[hit]), len(hashes) - 1)
+            good = hashes[at] == own[hit]
+            at, hit = at[good], hit[good]
+            to = above[hit]
+            t, k = self.total[depth - n][to] - log_prob[at], self.count[depth - n][to] + 1
+            less = (t < total[hit]) | ((t == total[hit]) & (k < count[hit]))
+            better = hit[less]
+            total[better], count[better], size[better], piece[better], before[better] = t[less], k[less], n, number[at[less]], to[less]
+        for rows, made in ((self.total, total), (self.count, count), (self.parent, parent), (self.hash, h), (self.size, size), (self.piece, piece), (self.before, before)):
+            rows.append(made)
+
+    def tokens(self) -> np.ndarray:
+        """The number of tokens of each word."""
+        out = np.zeros(len(self.last), np.int64)
+        for depth in np.unique(self.length).tolist():
+            own = self.length == depth
+            out[own] = self.count[depth][self.last[own]]
+        return out
+
+    def use(self, weight: np.ndarray) -> np.ndarray:
+        """How often each piece is used, each word as often as its weight says."""
+        flow = [np.zeros(len(t)) for t in self.total]
+        for depth in np.unique(self.length).tolist():
+            own = self.length == depth
+            flow[depth] += np.bincount(self.last[own], weight[own], len(flow[depth]))
+        used = np.zeros(1 + max((int(p.max()) for p in self.piece), default=-1))
+        for depth in range(len(flow) - 1, 0, -1):
+            on = np.flatnonzero(flow[depth])
+            w, size, piece, before = flow[depth][on], self.size[depth][on], self.piece[depth][on], self.before[depth][on]
+            known = piece >= 0
+            used += np.bincount(piece[known], w[known], len(used))
+            for n in np.unique(size).tolist():
+                flow[depth - n] += np.bincount(before[size == n], w[size == n], len(flow[depth - n]))
+        return used
+
+
 def _words(text: bytes | None) -> list[str]:
-    """The words of a text, with empty ones between them."""
-    return (text or b"").decode("utf-8", "replace").translate(_BREAKS).split(" ")
+    """The words of a text; one empty word if there are none."""
+    return b" ".join((text or b"").split()).decode("utf-8", "replace").split(" ")
 
 
 def learn(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram, text: str = "text", rounds: int = ROUNDS) -> Unigram:
@@ -135,8 +246,7 @@ def learn(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram, text:
             found: Counter = Counter()
             for batch in batches:
                 found.update(shared.value.pieces(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))))
-            known = {p: n for p, n in found.items() if p in shared.value.log_prob}
-            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array(list(known.values()), pa.int64())], ["piece", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["piece", "n"])
 
         used = words.mapInArrow(segment, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece
         if used:
@@ -161,7 +271,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram
             n_words, n_tokens, k = [], [], 0
             while k < len(texts):
                 group, fresh = [], set()
-                while k < len(texts) and len(fresh) < CACHE_WORDS // 2:
+                while k < len(texts) and len(fresh) < CACHE_WORDS // 4:
                     group.append(words := _words(texts[k]))
                     fresh.update(words)
                     k += 1
@@ -179,5 +289,3 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram
     fields = [f for f in rows.schema if f.name != "__text"]
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
-
-_BREAKS = dict.fromkeys(range(0x09, 0x0E), " ")

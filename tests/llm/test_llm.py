@@ -546,6 +546,17 @@ def test_tokens_by_brute_force(spark):
     draw = random.Random(7)
     ws = {"".join(draw.choices("abcéz", k=draw.randint(1, 9))) for _ in range(400)}
     assert model.counts(ws) == {w: brute(w) for w in ws}
+    long = "abab" * 40 + "z"
+    assert model.counts({long, "ab"}) == {long: brute(long), "ab": brute("ab")}
+    times = {w: draw.randint(1, 5) for w in ws} | {long: 3}
+    used = Counter()
+    for w, states in model.walk(times):
+        end = len(w) + 1
+        while end:
+            at = -states[end][2]
+            used[("▁" + w)[at:end]] += times[w] * (("▁" + w)[at:end] in model.log_prob)
+            end = at
+    assert +used == model.pieces(times)
     rows = [*ODD, (30, " ".join(sorted(ws)))]
     got = Counter((r.doc_id, r.n_words, r.n_tokens) for r in trie_tokens.token_counts(spark, docs(spark, rows), model, [F.col("doc_id")]).collect())
     cut = lambda x: [w for w in re.split(r"[ \t-\r]+", x or "") if w]
