@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -159,6 +160,7 @@ class CharacterEncoder(Encoder):
         return self.within(at >= 0, block(at * F.lit(self.step), self.width), "unknown character")
 
 
+@functools.cache
 def lcg_planes(count: int, dim: int, seed: int) -> np.ndarray:
     """Planes whose values come from one linear congruential sequence: its upper 31 bits over half of 2**32 - 1, less one.
 
@@ -171,6 +173,13 @@ def lcg_planes(count: int, dim: int, seed: int) -> np.ndarray:
     return out.reshape(count, dim)
 
 
+@functools.cache
+def hashed_planes(count: int, dim: int, seed: int) -> np.ndarray:
+    """Planes whose values come from the hashes of seed, plane and place."""
+    plane, place = np.meshgrid(np.arange(count), np.arange(dim), indexing="ij")
+    return (fnv_numbers(seed, plane, place) >> np.uint64(32)).astype(float) / 0xFFFFFFFF * 2 - 1
+
+
 def _rows(column, dim: int | None) -> list[np.ndarray | None]:
     out = []
     for r in column:
@@ -271,9 +280,7 @@ class LlmEmbeddingEncoder(Encoder):
         require(0 < self.main_width <= self.main_bits, "magnitude_bits", "leave room for the main bits")
 
     def planes(self, dim: int) -> np.ndarray:
-        plane, place = np.meshgrid(np.arange(self.num_planes), np.arange(dim), indexing="ij")
-        h = fnv_numbers(self.seed, plane, place)
-        return (h >> np.uint64(32)).astype(float) / 0xFFFFFFFF * 2 - 1
+        return hashed_planes(self.num_planes, dim, self.seed)
 
     def state(self, v: np.ndarray, planes: np.ndarray, start: int = 0) -> int:
         per_band = self.num_planes // self.num_bands

@@ -13,7 +13,7 @@ from quillon.functions import sdr
 from quillon.functions.kernels import csv
 from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, ticks, topology, windows
 from quillon.operators.encoders import finance, probability, signal, spatial, vision
-from quillon.plans.hash_sql import s_bytes, s_draws, s_finalised, s_first, s_fnv, s_level_states, s_unsigned
+from quillon.plans.hash_sql import s_bytes, s_draws, s_finalised, s_first, s_fnv, s_lcg_planes, s_level_states, s_rotated, s_signs, s_unsigned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,7 +287,13 @@ def enc_set(spark, sf):
     return t(spark, sf, "documents").select("doc_id", csv(E.SetEncoder(max_elements=ALL).encode(F.array_distinct(F.split("text", " ")))).alias("bits"))
 
 
-encoded("enc_simhash", "conversations", ["conv_id", "turn"], lambda: E.SimHashDocumentEncoder(400, 21).encode(F.col("text")), None)
+@query("enc_simhash", f"""with tok as (select conv_id, turn, unnest(string_split_regex(lower(text), '\\s+')) as tok from conversations), n as (select conv_id, turn, tok, count(*) as n from tok where tok <> '' group by all),
+  h as (select tok, level, {s_fnv(s_bytes('tok'), 'state')} as h from (select distinct tok from n), (select unnest({s_level_states(7)}) as state, unnest(range(7)) as level)),
+  b as (select tok, place, case when (h // cast(pow(2.0::double, place % 64) as uhugeint)) % 2::uhugeint = 1::uhugeint then 1 else -1 end as sign from h join (select range as place from range(400)) on place // 64 = level),
+  sums as (select conv_id, turn, place, sum(n * sign) as total from n join b using (tok) group by all), r as (select *, row_number() over (partition by conv_id, turn order by total desc, place) as rn from sums)
+  select conv_id, turn, string_agg(place, ',' order by place) as bits from r where rn <= 21 group by all""")
+def enc_simhash(spark, sf):
+    return t(spark, sf, "conversations").where("length(trim(text)) > 0").select("conv_id", "turn", csv(E.SimHashDocumentEncoder(400, 21).encode(F.col("text"))).alias("bits"))
 
 
 _S_GRAM = "(({h}) * 1099511628211::uhugeint + {i}::uhugeint) % 18446744073709551616::uhugeint"
@@ -349,10 +355,47 @@ def haversine(spark, sf):
     return t(spark, sf, "supplier").select("s_suppkey", F.round(spatial.haversine(lat, lon, F.lit(48.5), F.lit(9.25)), 3).alias("metres"))
 
 
-encoded("enc_word_embedding", "embeddings", ["vec_id"], lambda: E.WordEmbeddingEncoder(64).encode(F.col("embedding")), None)
-encoded("enc_llm_embedding", "embeddings", ["vec_id"], lambda: E.LlmEmbeddingEncoder(magnitude_bits=64).encode(F.col("embedding")), None)
-encoded("enc_graph_node", "embeddings", ["vec_id"], lambda: E.GraphNodeEncoder().encode(F.col("embedding"), F.col("label"), F.col("vec_id") % 10 / F.lit(10.0)), None)
-encoded("enc_patch", "embeddings", ["vec_id"], lambda: E.PatchEncoder().encode(F.col("embedding")), None)
+_S_VECTORS = "vec as (select vec_id, unnest(range(64)) as place, cast(unnest(embedding) as double) as x from embeddings)"
+
+
+def _s_picked(state: str, source: str, size: int, width: int, steps: int, more: str = "[]") -> str:
+    """Bits drawn from a state, as text; more is a list of further bits."""
+    return f"select vec_id, {s_csv(f'list_sort(list_concat({s_first(s_draws(state, size, steps), width)}, {more}))')} as bits from {source}"
+
+
+def _s_embedding(planes: int, seed: int, size: int, width: int, state: str = "state") -> str:
+    return f"with {s_lcg_planes(planes, 64, seed)}, {_S_VECTORS}, st as ({s_signs('vec', 'vec_id', 'planes')}), own as (select vec_id, label, {state} as state from st join embeddings using (vec_id)) {_s_picked('state', 'own', size, width, width)}"
+
+
+@query("enc_word_embedding", _s_embedding(64, 42, 2048, 41))
+def enc_word_embedding(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", csv(E.WordEmbeddingEncoder(64).encode(F.col("embedding"))).alias("bits"))
+
+
+@query("enc_patch", _s_embedding(64, 42, 1024, 41))
+def enc_patch(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", csv(E.PatchEncoder().encode(F.col("embedding"))).alias("bits"))
+
+
+_S_NODE = "(state + cast(label as uhugeint) * 5871781006564002453::uhugeint % 18446744073709551616::uhugeint + cast(cast(floor(vec_id % 10 / 10.0::double * 1000.0::double) as bigint) as uhugeint) * 2685821657736338717::uhugeint % 18446744073709551616::uhugeint) % 18446744073709551616::uhugeint"
+
+
+@query("enc_graph_node", _s_embedding(64, 42, 2048, 41, _S_NODE))
+def enc_graph_node(spark, sf):
+    bits = E.GraphNodeEncoder().encode(F.col("embedding"), F.col("label"), F.col("vec_id") % 10 / F.lit(10.0))
+    return t(spark, sf, "embeddings").select("vec_id", csv(bits).alias("bits"))
+
+
+_S_BANDS = ", ".join(f"w{k} as ({s_signs('vec', 'vec_id', 'planes', 32 * k, 32 * k + 32)})" for k in range(4))
+
+
+@query("enc_llm_embedding", f"""with planes as (select plane, place, cast({s_fnv('[42::uhugeint, cast(plane as uhugeint), cast(place as uhugeint)]')} // 4294967296::uhugeint as double) / 4294967295.0::double * 2.0::double - 1.0::double as w from (select range as plane from range(128)), (select range as place from range(64))),
+  {_S_VECTORS}, {_S_BANDS}, own as (select vec_id, xor(xor({s_rotated('w0.state', 0)}, {s_rotated('w1.state', 13)}), xor({s_rotated('w2.state', 26)}, {s_rotated('w3.state', 39)})) as state, (select sqrt(sum(x * x)) from vec where vec.vec_id = w0.vec_id) as length from w0 join w1 using (vec_id) join w2 using (vec_id) join w3 using (vec_id)),
+  m as (select *, cast(floor(least(1.0, ln(1.0 + length) / 5.0) * 63 + 0.5) as bigint) as bucket from own) {_s_picked('state', 'm', 1984, 25, 60, 'list_transform(range(16), lambda i: 1984 + (bucket + i) % 64)')}""")
+def enc_llm_embedding(spark, sf):
+    return t(spark, sf, "embeddings").select("vec_id", csv(E.LlmEmbeddingEncoder(magnitude_bits=64).encode(F.col("embedding"))).alias("bits"))
+
+
 encoded("enc_ip", "customer", ["c_custkey"], lambda: E.IpAddressEncoder().encode(F.concat_ws(".", F.lit("10"), *[(F.col("c_custkey") * k % 256).cast("string") for k in (1, 3, 7)])), s_runs(("10 / 255.0", 32, 8), ("c_custkey % 256 / 255.0", 32, 8), ("c_custkey * 3 % 256 / 255.0", 32, 8), ("c_custkey * 7 % 256 / 255.0", 32, 8)))
 encoded("enc_mac", "customer", ["c_custkey"], lambda: E.MacAddressEncoder().encode(F.concat_ws(":", F.lit("00"), F.lit("1B"), *[F.lpad(F.hex(F.col("c_custkey") * k % 256), 2, "0") for k in (1, 3, 7, 11)])), f"list_concat({s_runs(*[(f'{x} / 255.0', 32, 8) for x in ('0', '27', *(f'c_custkey * {k} % 256' for k in (1, 3, 7, 11)))])}, list_sort(list_transform({s_first(s_draws(s_fnv('[0::uhugeint, 27::uhugeint, cast(c_custkey % 256 as uhugeint)]'), 64, 16), 16)}, lambda b: b + 192)))")
 _S_RGB = [f"(c_custkey * {k} % 256 / 255.0::double)" for k in (1, 3, 7)]

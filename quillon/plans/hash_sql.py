@@ -57,3 +57,23 @@ def s_finalised(states: str, key: str, size: int, width: int, steps: int = 120)
     return f"""draws as (select {key}, 0 as n, h from {states} union all select {key}, n + 1, xor(h, {shift}) from {two}),
       seen as (select {key}, cast(h % {size}::uhugeint as bigint) as bit, min(n) as n from draws where n > 0 group by all),
       picked as (select {key}, list(bit order by n)[1:{width}] as bits from seen group by {key})"""
+
+
+def s_signs(vectors: str, key: str, planes: str, low: int = 0, high: int = 64) -> str:
+    """(key, state): bit i of state is 1 if the product of a vector with plane low + i isn't negative.
+
+    vectors: a table of (key, place, x); planes: one of (plane, place, w).
+    """
+    dots = f"select {key}, plane, sum(x * w) as dot from {vectors} join {planes} using (place) where plane >= {low} and plane < {high} group by all"
+    return f"select {key}, cast(sum(case when dot >= 0 then cast(pow(2.0::double, plane - {low}) as hugeint) else 0::hugeint end) as uhugeint) as state from ({dots}) group by {key}"
+
+
+def s_lcg_planes(count: int, dim: int, seed: int) -> str:
+    """CTEs steps and planes (plane, place, w): the values of encoders.text.lcg_planes."""
+    return f"""recursive steps as (select 0 as k, {seed}::uhugeint as s union all select k + 1, (s * {LCG_FACTOR}::uhugeint + 1::uhugeint) % {_MOD} from steps where k < {count * dim}),
+      planes as (select (k - 1) // {dim} as plane, (k - 1) % {dim} as place, cast(s // {1 << 33}::uhugeint as double) / 2147483647.5::double - 1.0::double as w from steps where k > 0)"""
+
+
+def s_rotated(x: str, turn: int) -> str:
+    """A 64-bit number turned left."""
+    return f"(({x} * {1 << turn}::uhugeint) % {_MOD} + {x} // {1 << 64 - turn}::uhugeint)" if turn else x
