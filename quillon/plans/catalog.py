@@ -9,11 +9,12 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.functions import sdr
+from quillon.functions import draws, kernels, sdr
 from quillon.functions.kernels import csv
 from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, ticks, topology, windows
 from quillon.operators.encoders import finance, probability, signal, spatial, vision
 from quillon.plans.hash_sql import s_bytes, s_draws, s_finalised, s_first, s_fnv, s_lcg_planes, s_level_states, s_rotated, s_signs, s_unsigned
+from quillon.sources import ecg
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -954,10 +955,56 @@ def potential_pool(spark, sf):
     return spark.range(50).select(c.alias("col"), csv(topology.potential_pool(c, (50,), (200,), 6)).alias("pool"))
 
 
-@query("ecg_source")
+def s_uniform(name: str, *keys: str) -> str:
+    text = " || ':' || ".join([f"'{name}'", *(f"cast({k} as varchar)" for k in keys)])
+    return f"((cast('0x' || substr(md5({text}), 1, 8) as bigint) + 0.5::double) / 4294967296.0::double)"
+
+
+_ECG = [(name, name, k) for k, name in enumerate(ecg.RHYTHMS)]
+
+
+def _s_ecg() -> str:
+    """The samples of ecg.generate at its defaults, from the same tables of rhythms and waves."""
+    d = lambda x: f"{float(x)!r}::double"
+    rows = ", ".join(f"('{n}', {seed}, {d(72.0 * r.rate / 60.0)}, {d(r.irregularity)}, {d(r.st)}, {d(r.share)})" for n, k, seed in _ECG for r in [ecg.RHYTHMS[k]])
+    swing = " + ".join(f"hz * {d(0.05 * share / (2 * math.pi * f))} * ({d(math.cos(k))} - cos({d(2 * math.pi * f)} * t + {k}))" for k, (f, share) in enumerate(ecg.BANDS.values()))
+
+    def shape(wave: str, which: int) -> str:
+        plain = ecg.WAVES[wave][1 + which]
+        of = " ".join(f"when series = '{n}' then {d(plain * (r.heights, r.widths)[which].get(wave, 1.0))}" for n, r in ecg.RHYTHMS.items())
+        return f"(case when not odd then {d(plain)} {of} end)"
+
+    waves = " + ".join(f"{shape(w, 0)} * exp(-pow((phase - {d(place)}) / {shape(w, 1)}, 2.0::double) / 2)" for w, (place, _, _) in ecg.WAVES.items())
+    return f"""with r(series, seed, hz, irregularity, st, share) as (values {rows}), a as (select r.*, seq, seq / 250.0::double as t from r, range(1000) s(seq)),
+      b as (select *, hz * t + {swing} as x from a), c as (select *, cast(floor(x) as bigint) as beat from b),
+      e as (select *, x + ({s_uniform('turn', 'seed', 'beat')} - 0.5::double) * irregularity as y, {s_uniform('odd', 'seed', 'beat')} < share as odd from c), f as (select *, y - floor(y) as phase from e),
+      g as (select series, seq, case when odd and phase between 0.47::double and 0.6::double then st else 0.0::double end + {waves} + 0.05::double * sin({d(2 * math.pi * 0.15)} * t) + 0.02::double * ({s_uniform('noise', 'seed', 'seq')} - 0.5::double) as v from f)
+      select series, seq, round(v, 6) + 0.0::double as value from g"""
+
+
+@query("ecg_source", _s_ecg())
 def ecg_source(spark, sf):
-    from quillon.sources import ecg
+    return ecg.generate(spark, _ECG, 1000).select("series", "seq", r6(F.col("value")).alias("value"))
+
+
+_S_DRAWS = f"(sqrt(-2 * ln({s_uniform('n-length', 'c_custkey')})) * cos({2 * math.pi!r}::double * {s_uniform('n-angle', 'c_custkey')}))"
+
+
+@query("random_draws", f"""select c_custkey, round({s_uniform('u', 'c_custkey')}, 6) as uniform, cast(floor({s_uniform('b', 'c_custkey')} * 10) as bigint) as below, round(-2.0::double + {s_uniform('r', 'c_custkey')} * 5.0::double, 6) + 0.0 as between_, {s_uniform('c', 'c_custkey')} < 0.3 as chance,
+  round(1.0::double + 2.0::double * {_S_DRAWS}, 6) + 0.0 as normal, round(-ln({s_uniform('e', 'c_custkey')}) / 0.5::double, 6) + 0.0 as exponential,
+  array_to_string(list_transform(list_sort(list_transform(range(20), lambda x: {{'u': {s_uniform('s', 'c_custkey', 'x')}, 'x': x}})), lambda s: s.x)[1:5], ',') as sample from customer""")
+def random_draws(spark, sf):
+    k, items = "c_custkey", F.sequence(F.lit(0), F.lit(19))
+    cols = {"uniform": r6(draws.uniform("u", k)), "below": draws.below(10, "b", k), "between_": r6(draws.between(-2, 3, "r", k)), "chance": draws.chance(0.3, "c", k), "normal": r6(draws.normal(1, 2, "n", k)), "exponential": r6(draws.exponential(0.5, "e", k)), "sample": csv(draws.sample(items, 5, "s", k))}
+    return t(spark, sf, "customer").select(k, *[c.alias(n) for n, c in cols.items()])
+
+
+_S_MIXED = "[c_custkey * 7 % 50, c_custkey * 3 % 50, c_custkey % 50, c_custkey * 7 % 50]"
+
 
-    e = ecg.generate(spark, [("a", "normal", 1), ("b", "pvc", 2), ("c", "fibrillation", 3)], 1000)
-    w = windows.count_windows(e, ["series"], ["seq"], "value", 50)
-    return w.select("series", F.col("window").alias("win"), csv(E.EcgEncoder().encode(F.col("samples"))).alias("bits"))
+@query("sdr_construct", f"select c_custkey, {s_csv(f'list_sort(list_distinct({_S_MIXED}))')} as from_items, {s_csv(f'list_sort(list_distinct({_S_MIXED}))')} as sparse, '' as zero, {s_csv(f'list_sort(list_distinct({_S_MIXED}))')} = {s_csv('list_sort(list_distinct([c_custkey % 50, c_custkey * 3 % 50]))')} as equal, 'SDR( 5, 10 ) ' || array_to_string(list_sort(list_distinct({_S_MIXED})), ', ') as shown from customer")
+def sdr_construct(spark, sf):
+    k = F.col("c_custkey")
+    bits = kernels.normal(F.array(*[(k * n % 50).cast("int") for n in (7, 3, 1, 7)]))
+    other = kernels.normal(F.array(*[(k * n % 50).cast("int") for n in (1, 3)]))
+    return t(spark, sf, "customer").select("c_custkey", csv(bits).alias("from_items"), csv(sdr.checked(bits, 50)).alias("sparse"), csv(sdr.zero()).alias("zero"), (bits == other).alias("equal"), sdr.show(bits, sdr.Shape((5, 10))).alias("shown"))
