@@ -55,7 +55,7 @@ class Memory:
         self.cells, self.free = np.full(64, -1, np.int64), []
         self.size = np.zeros(64, np.int64)
         self.presyn, self.perm = np.full((64, 8), -1, np.int32), np.zeros((64, 8))
-        self.used = 0
+        self.used, self.mark = 0, np.zeros(p.num_cells, bool)
         self.segments_of: dict[int, list[int]] = {}
         self.reset()
         if state is not None:
@@ -130,10 +130,13 @@ class Memory:
         return s
 
     def grow(self, s: int, candidates: np.ndarray, count: int) -> None:
-        """Synapses on count of the candidates that have none; over the maximum, the weakest old ones go."""
-        new = np.setdiff1d(candidates, self.synapses_of(s)[0])
+        """Synapses on count of the distinct candidates that have none; over the maximum, the weakest old ones go."""
+        old = self.synapses_of(s)[0]
+        self.mark[old] = True
+        new = candidates[~self.mark[candidates]]
+        self.mark[old] = False
         if len(new) > count:
-            new = self.draw.choice(new, count, replace=False)
+            new = self.draw.permutation(new)[:count]
         new = new[: self.p.max_synapses]
         over = self.size[s] + len(new) - self.p.max_synapses
         if over > 0:
@@ -145,10 +148,10 @@ class Memory:
         self.presyn[s, n : n + len(new)], self.perm[s, n : n + len(new)] = new, self.p.initial
         self.size[s] = n + len(new)
 
-    def adapt(self, s: int, on: np.ndarray) -> None:
-        """Raises the synapses on cells that are on (by cell), lowers the others."""
-        presyn, perm = self.synapses_of(s)
-        perm[:] = np.clip(perm + np.where(on[presyn], self.p.increment, -self.p.decrement), 0, 1)
+    def adapt(self, segments: np.ndarray, on: np.ndarray) -> None:
+        """Raises the synapses of the segments on cells that are on (by cell), lowers the others; places without a synapse stay 0."""
+        moved = self.perm[segments] + np.where(on[self.presyn[segments]], self.p.increment, -self.p.decrement)
+        self.perm[segments] = np.minimum(np.maximum(moved, 0), 1)
 
     def _on(self, cells: np.ndarray) -> np.ndarray:
         on = np.zeros(self.p.num_cells + 1, bool)  # the last one is that of -1
@@ -185,33 +188,35 @@ class Memory:
                 best[c] = s
         columns = np.unique(columns)
         hits = np.intersect1d(columns, predicted // k)
-        active, winners = [], []
-        for c in columns.tolist():
-            own = predicted[np.searchsorted(predicted, c * k) : np.searchsorted(predicted, (c + 1) * k)].tolist()
-            if own:
+        bounds = np.searchsorted(predicted, np.stack([columns * k, (columns + 1) * k])).tolist()
+        active, winners, adapted, grown, made = [], [], [], [], []
+        for c, begin, end in zip(columns.tolist(), *bounds, strict=True):
+            if begin < end:
+                own = predicted[begin:end].tolist()
                 active += own
                 winners += own
-                if learn:
-                    for cell in own:
-                        for s in by_cell[cell]:
-                            self.adapt(s, reward)
+                adapted += [s for cell in own for s in by_cell[cell]]
                 continue
             active += range(c * k, (c + 1) * k)
             if c in best:
                 s = best[c]
                 winners.append(int(cells[s]))
-                if learn:
-                    self.adapt(s, reward)
-                    if p.max_new > potential[s]:
-                        self.grow(s, before, p.max_new - int(potential[s]))
+                adapted.append(s)
+                if p.max_new > potential[s]:
+                    grown.append((s, p.max_new - int(potential[s])))
             else:
-                cell = min(range(c * k, (c + 1) * k), key=lambda x: (len(self.segments_of.get(x, ())), x))
-                winners.append(cell)
-                if learn and len(before):
-                    self.grow(self.create_segment(cell), before, p.max_new)
-        if learn and p.predicted_decrement > 0:
-            wrong = matching[~np.isin(cells[matching] // k, columns)]
-            self.perm[wrong] = np.maximum(0, self.perm[wrong] - p.predicted_decrement)
+                made.append(min(range(c * k, (c + 1) * k), key=lambda x: (len(self.segments_of.get(x, ())), x)))
+                winners.append(made[-1])
+        if learn:
+            if adapted:
+                self.adapt(np.array(adapted), reward)
+            if p.predicted_decrement > 0:
+                wrong = matching[~np.isin(cells[matching] // k, columns)]
+                self.perm[wrong] = np.maximum(0, self.perm[wrong] - p.predicted_decrement)
+            for s, count in grown:
+                self.grow(s, before, count)
+            for cell in made if len(before) else ():
+                self.grow(self.create_segment(cell), before, p.max_new)
         self.active, self.winners = np.array(active, np.int64), np.array(winners, np.int64)
         anomaly = 1 - len(hits) / len(columns) if len(columns) else 0.0
         return {
