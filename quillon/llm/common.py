@@ -63,12 +63,25 @@ def _remove(spark: SparkSession, path: str) -> None:
     _STAGES[id(spark.sparkContext)].remove(path)
 
 
-def remove_stage_tables(spark: SparkSession) -> None:
-    """Removes all stage tables of this session. Results that haven't been written or collected can't be read any more."""
-    for path in list(_STAGES.get(id(spark.sparkContext), ())):
+def stage_paths(spark: SparkSession) -> set[str]:
+    """The folders of this session's stage tables."""
+    return set(_STAGES.get(id(spark.sparkContext), ()))
+
+
+def remove_stage_tables(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Removes this session's stage tables but those of ``keep``. Results that haven't been written or collected can't be read any more."""
+    for path in stage_paths(spark) - set(keep):
         _remove(spark, path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A name that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
