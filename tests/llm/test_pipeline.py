@@ -3,6 +3,8 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillon.llm import common, decontamination, quality_rules
 
@@ -76,3 +78,13 @@ def test_decontamination_goes_by_row(spark, sf):
     after = stage("decontamination")(spark, docs(spark, rows), sf)
     assert Counter(map(tuple, after.select("doc_id", "text").collect())) == Counter([(1, clean), (None, clean), (2, clean), (2, clean), (3, None)])
     assert after.columns == docs(spark, rows).columns
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_columns_that_are_called_like_results(spark, sf, name):
+    long = " ".join(f"word{k}" for k in range(70))
+    own = {c: F.lit(f"mine {c}") for c in "n_words kept n_removed kept_sha256 llr row_key row_key_1 fp component_id item_id __quality_words n_repeat_words base_failed".split() if c[:2] != "__"}
+    df = docs(spark, [(1, long), (2, long + " more"), (3, None)]).withColumns(own)
+    after = stage(name)(spark, df, sf)
+    assert after.columns == df.columns and dict(after.dtypes) == dict(df.dtypes)
+    assert all(r[c] == f"mine {c}" for r in after.collect() for c in own)
