@@ -14,8 +14,12 @@ from quillon.errors import require
 ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
-def score(active: Column, predicted: Column) -> Column:
-    """The share of active columns that weren't predicted; 0 without active ones."""
+MODES = ("pure", "active")
+
+
+def score(active: Column, predicted: Column, mode: str = "pure") -> Column:
+    """The share of active columns that weren't predicted; 0 without active ones. Both modes give the same score."""
+    require(mode in MODES, "mode", f"one of {', '.join(MODES)}")
     n = F.size(active)
     return F.when(n > 0, 1 - F.size(F.array_intersect(active, predicted)) / n).when(active.isNotNull(), F.lit(0.0))
 

@@ -113,6 +113,21 @@ def activity(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, thr
     return met.groupBy(*keys, "segment").agg(F.count_if(F.col("perm") >= threshold).alias("connected"), F.count("*").alias("potential"))
 
 
+def lookups(segments: DataFrame, synapses: DataFrame, threshold: float) -> DataFrame:
+    """(cell, segment, place, synapses, connected) of each segment: its place among its cell's, and how many synapses it has.
+
+    Other questions are filters: segments of a cell or of an input, inputs of a segment.
+    """
+    n = synapses.groupBy("segment").agg(F.count("*").alias("synapses"), F.count_if(F.col("perm") >= threshold).alias("connected"))
+    return compare(segments).join(n, "segment", "left").select("cell", "segment", "place", F.coalesce("synapses", F.lit(0)).alias("synapses"), F.coalesce("connected", F.lit(0)).alias("connected"))
+
+
+def update_permanences(synapses: DataFrame, new: DataFrame) -> DataFrame:
+    """Sets the permanences of new (segment, presyn, perm), clamped to 0 to 1; pairs without a synapse are left out."""
+    wanted = new.groupBy("segment", "presyn").agg(F.max("perm").alias("__new"))
+    return synapses.join(wanted, ["segment", "presyn"], "left").select("segment", "presyn", clamp_permanence(F.coalesce("__new", "perm")).alias("perm"))
+
+
 def create_synapses(synapses: DataFrame, new: DataFrame) -> DataFrame:
     """Adds synapses; a pair that a segment already has keeps the greater permanence."""
     both = synapses.unionByName(new)

@@ -185,7 +185,7 @@ def activation(samples: np.ndarray, side: int = 256) -> np.ndarray:
     """(windows, y, x) activation of windows (one per row): the maximum of five layers.
 
     The layers are the amplitude's trace, the slope's trace, the band of local energy (windowed RMS), dots of high curvature and
-    DFT magnitudes of four periods. Brushes have the reference's sizes for a side of 256, and scale with the side.
+    DFT magnitudes of four periods. Brushes have fixed sizes for a side of 256, and scale with the side.
     """
     m, n = samples.shape
     k = side / 256

@@ -14,7 +14,7 @@ from quillon.functions.kernels import csv
 from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, ticks, topology, windows
 from quillon.operators.encoders import finance, probability, signal, spatial, vision
 from quillon.plans.hash_sql import s_bytes, s_draws, s_finalised, s_first, s_fnv, s_lcg_planes, s_level_states, s_rotated, s_signs, s_unsigned
-from quillon.sources import ecg
+from quillon.sources import ecg, model_io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1016,3 +1016,53 @@ def sdr_construct(spark, sf):
     bits = kernels.normal(F.array(*[(k * n % 50).cast("int") for n in (7, 3, 1, 7)]))
     other = kernels.normal(F.array(*[(k * n % 50).cast("int") for n in (1, 3)]))
     return t(spark, sf, "customer").select("c_custkey", csv(bits).alias("from_items"), csv(sdr.checked(bits, 50)).alias("sparse"), csv(sdr.zero()).alias("zero"), (bits == other).alias("equal"), sdr.show(bits, sdr.Shape((5, 10))).alias("shown"))
+
+
+# ---- lookups, bits as JSON, statistics of ticks -----------------------------------------------------------------------------
+
+
+@query("conn_lookups", f"with {_S_GRAPH} select cast(cell as integer) as cell, cast(segment as integer) as segment, cast(row_number() over (partition by cell order by segment) - 1 as integer) as place, cast(count(presyn) as bigint) as synapses, cast(count(case when perm >= 0.5 then 1 end) as bigint) as connected from seg left join few using (segment) group by cell, segment")
+def conn_lookups(spark, sf):
+    return connections.lookups(segment_table(spark), synapse_table(spark).where("perm >= (segment % 5) * 0.1"), 0.5)
+
+
+@query("conn_update", f"with {_S_SYN} select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(case when (segment + presyn) % 3 = 0 then greatest(least(perm * 3 - 1, 1), 0) else perm end, 6) as perm from syn")
+def conn_update(spark, sf):
+    own = synapse_table(spark)
+    new = own.where("(segment + presyn) % 3 = 0").withColumn("perm", F.col("perm") * 3 - 1)
+    return synapses_out(connections.update_permanences(own, new.unionByName(spark.createDataFrame([(-1, -1, 0.5)], "segment int, presyn int, perm double"))))
+
+
+@query("sdr_json", f"select event_id, '{{\"dims\":[400],\"bits\":[' || {s_csv(_S_VALUE)} || ']}}' as json, {s_csv(_S_VALUE)} as back, 400 as size from events")
+def sdr_json(spark, sf):
+    e = event_bits(spark, sf).withColumn("json", model_io.to_json(F.col("bits"), 400))
+    back = model_io.from_json(F.col("json"))
+    return e.select("event_id", "json", csv(back["bits"]).alias("back"), back["dims"][0].alias("size"))
+
+
+@query("receptive_radius", "select c_nationkey, round(greatest(0.0, (pow(avg(c_custkey % 50 + 1), 0.5) - 1) / 2), 6) as radius from customer group by c_nationkey")
+def receptive_radius(spark, sf):
+    return t(spark, sf, "customer").groupBy("c_nationkey").agg(r6(topology.receptive_field_radius(F.col("c_custkey") % 50 + 1, 2)).alias("radius"))
+
+
+@query("classifier_best", f"{_S_PROB} select event_id, cast(bucket as integer) as bucket from (select event_id, bucket, row_number() over (partition by event_id order by round(p, 9) desc, bucket desc) as rn from p) where rn = 1")
+def classifier_best(spark, sf):
+    p = classifier.infer(event_bits(spark, sf), weight_table(spark), ["event_id"]).withColumn("p", F.round("p", 9))
+    return classifier.best(p, ["event_id"]).select("event_id", "bucket")
+
+
+_S_ANOMALIES = f"{_S_PAIRS}, a as (select user_id, (1 - len(list_intersect(bits, before)) / len(bits)) * 0.02 as x from p where before is not null), g as (select user_id, max(x) as high, avg(x) as mean, quantile_disc(x, 0.25) as low from a group by user_id)"
+
+
+@query("detected_groups", f"{_S_ANOMALIES} select user_id, high > -1.981 + 2.0 or mean > 0.012 * 1.3 or low > 0.015 * 1.2 or mean > 0.015 as found from g")
+def detected_groups(spark, sf):
+    a = pairs(spark, sf).where("before is not null").select("user_id", (anomaly.score(F.col("bits"), F.col("before")) * 0.02).alias("x"))
+    g = a.groupBy("user_id").agg(F.max("x").alias("high"), F.avg("x").alias("mean"), F.expr("percentile_disc(0.25) within group (order by x)").alias("low"))
+    return g.select("user_id", windows.detected(F.col("high") * 1.0, F.col("mean"), F.col("low"), -1.981, 0.012, 0.015).alias("found"))
+
+
+@query("cell_statistics_of_ticks", SQL["tm_tick"].replace(SQL["tm_tick"][SQL["tm_tick"].index("  select event_id, array_to_string(active"):], """, u as (select unnest(active) as cell, coalesce(cells, []) as cells, anomaly from made left join pred using (event_id))
+  select cast(cell as integer) as cell, cast(count(*) as bigint) as active, cast(count(*) filter (list_contains(cells, cell)) as bigint) as correct, cast(count(*) filter (anomaly > 0.5) as bigint) as anomalous, round(count(*) / (select count(*) from made), 6) as rate, round(count(*) filter (list_contains(cells, cell)) / count(*), 6) as accuracy from u group by cell"""))
+def cell_statistics_of_ticks(spark, sf):
+    stats = windows.cell_statistics(ticks.compute(*tick_tables(spark, sf), ["event_id"], TICK))
+    return stats.select("cell", "active", "correct", "anomalous", r6(F.col("rate")).alias("rate"), r6(F.col("accuracy")).alias("accuracy"))
