@@ -289,6 +289,34 @@ def test_importance_counts(spark):
     assert importance.resample(spark, docs(spark, []), labels).count() == 0
 
 
+def test_importance_weights_by_hand(spark, sf, table):
+    """Buckets, ratios and log-weights from words in plain Python integers."""
+    top, size = 2**64, importance.BUCKETS
+
+    def mixed(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % top
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB % top
+        return h ^ (h >> 31)
+
+    def grams(x):
+        h = [mixed(sum(int(common._BYTE[b]) * pow(common._BASE, k, top) for k, b in enumerate(w)) % top) for w in words((x or "").lower() if (x or "").isascii() else "".join(c.lower() if c.isascii() else c for c in x))]
+        return [v % size for v in h] + [mixed((a * 3 + b) % top) % size for a, b in zip(h, h[1:], strict=False)]
+
+    rows = [(r.doc_id, r.text) for r in table.collect()] + ODD[:-3]
+    labels = common.table(spark, sf, "labels")
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
+    own = [grams(x) for _, x in rows]
+    raw, aim = Counter(), Counter()
+    for (k, _), g in zip(rows, own, strict=True):
+        raw.update(g)
+        aim.update(g if k in good else [])
+    n, m = sum(raw.values()) + size, sum(aim.values()) + size
+    ratio = {b: math.log((aim[b] + 1) / m) - math.log((raw[b] + 1) / n) for b in raw}
+    want = sorted(((str(k), len(g), round(sum(ratio[b] for b in g), 5)) for (k, _), g in zip(rows, own, strict=True)))
+    got = sorted((str(r.doc_id), r.n_grams, round(r.log_weight, 5)) for r in importance.resample(spark, docs(spark, rows), labels).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 1e-3 for x, y in zip(got, want, strict=True))
+
+
 def test_kth_largest(spark):
     draw = random.Random(2)
     values = [round(draw.gauss(0, 5), 2) for _ in range(3000)] + [7.0] * 50
