@@ -351,6 +351,10 @@ def test_language_model(spark, sf, table):
     held = [r for r in got if r.held_out]
     gain = (sum(r.score for r in held) - sum(r.base_score for r in held)) / sum(r.n_tokens for r in held)
     assert gain * math.log2(10) > 0.2  # bits a token; the table is small
+    big = "/root/testdata/sf0.01"
+    if os.path.exists(big):
+        r = queries.op5_language_model(spark, big).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+        assert -r.s / r.n * math.log2(10) < 12.8 < 13.5 < -r.b / r.n * math.log2(10)
 
 
 def test_language_model_tail(spark, monkeypatch):
