@@ -312,6 +312,15 @@ def enc_ngram(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", csv(E.NGramEncoder(max_grams=ALL).encode(F.col("text"))).alias("bits"))
 
 
+@query("enc_ngram_words", f"""with w as (select conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') as w from conversations where text is not null),
+  each as (select distinct conv_id, turn, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) > 1),
+  hashes as (select g, {s_fnv(s_bytes("g"))} as h from (select distinct g from each)), grams as (select g, list_transform([{_S_GRAM_1}, {_S_GRAM_2}, {_S_GRAM_3}], lambda x: cast(x % 2048::uhugeint as bigint)) as d from hashes),
+  bits as (select conv_id, turn, list_sort(list_distinct(flatten(list(d)))) as bits from each join grams using (g) group by conv_id, turn)
+  select conv_id, turn, case when text is not null then {s_csv("coalesce(bits, [])")} end as bits from conversations left join bits using (conv_id, turn)""")
+def enc_ngram_words(spark, sf):
+    return t(spark, sf, "conversations").select("conv_id", "turn", csv(E.NGramEncoder(n=2, word_level=True, max_grams=ALL).encode(F.col("text"))).alias("bits"))
+
+
 _S_PRINTABLE = "instr(' !\"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~', c)"
 
 
@@ -398,6 +407,8 @@ def enc_llm_embedding(spark, sf):
 
 
 encoded("enc_ip", "customer", ["c_custkey"], lambda: E.IpAddressEncoder().encode(F.concat_ws(".", F.lit("10"), *[(F.col("c_custkey") * k % 256).cast("string") for k in (1, 3, 7)])), s_runs(("10 / 255.0", 32, 8), ("c_custkey % 256 / 255.0", 32, 8), ("c_custkey * 3 % 256 / 255.0", 32, 8), ("c_custkey * 7 % 256 / 255.0", 32, 8)))
+_S_GROUPS = ["8193 / 65535.0", "3512 / 65535.0", "c_custkey % 65536 / 65535.0", "0 / 65535.0", "c_custkey * 31 % 65536 / 65535.0", "0 / 65535.0", "0 / 65535.0", "c_custkey * 977 % 65536 / 65535.0"]
+encoded("enc_ip6", "customer", ["c_custkey"], lambda: E.IpAddressEncoder(ipv6=True).encode(F.concat(F.lit("2001:db8:"), *[F.concat(F.lower(F.hex(F.col("c_custkey") * k % 65536)), F.lit(end)) for k, end in ((1, ":0:"), (31, "::"), (977, ""))])), s_runs(*[(g, 32, 8) for g in _S_GROUPS]))
 encoded("enc_mac", "customer", ["c_custkey"], lambda: E.MacAddressEncoder().encode(F.concat_ws(":", F.lit("00"), F.lit("1B"), *[F.lpad(F.hex(F.col("c_custkey") * k % 256), 2, "0") for k in (1, 3, 7, 11)])), f"list_concat({s_runs(*[(f'{x} / 255.0', 32, 8) for x in ('0', '27', *(f'c_custkey * {k} % 256' for k in (1, 3, 7, 11)))])}, list_sort(list_transform({s_first(s_draws(s_fnv('[0::uhugeint, 27::uhugeint, cast(c_custkey % 256 as uhugeint)]'), 64, 16), 16)}, lambda b: b + 192)))")
 _S_RGB = [f"(c_custkey * {k} % 256 / 255.0::double)" for k in (1, 3, 7)]
 _S_TOP, _S_LOW = f"greatest({', '.join(_S_RGB)})", f"least({', '.join(_S_RGB)})"
@@ -497,6 +508,11 @@ def enc_spectrogram(spark, sf):
     return user_windows(spark, sf).select("user_id", "win", csv(E.SpectrogramEncoder(10, minimum=5.0, maximum=500.0, log_scale=False).encode(F.col("samples"))).alias("bits"))
 
 
+@query("enc_spectrogram_log", f"with {_S_WINDOWS} select user_id, win, array_to_string(flatten(list_transform(range(10), lambda k: case when s[k + 1] > 5.0 then list_transform(range(5), lambda i: i + k * 20 + cast(round(ln(least(s[k + 1], 500.0) / 5.0) / {math.log(100.0)!r} * 15.0) as bigint)) else [] end)), ',') as bits from w")
+def enc_spectrogram_log(spark, sf):
+    return user_windows(spark, sf).select("user_id", "win", csv(E.SpectrogramEncoder(10, minimum=5.0, maximum=500.0).encode(F.col("samples"))).alias("bits"))
+
+
 _S_FEATURES = """f as (select user_id, win, s, list_max(s) as mx, list_min(s) as mn, list_avg(s) as av, list_stddev_pop(s) as sd,
   list_transform(range(9), lambda k: s[k + 2] - s[k + 1]) as d, list_sum(list_transform(s, lambda x: x * x)) / 10 as en from w)"""
 
