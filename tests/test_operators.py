@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillon.errors import DimensionMismatch, InvalidDimensions, SdrError
@@ -262,6 +263,25 @@ def test_memory_by_series(spark):
     assert len(out) == 80 and max(late) == 0.0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of (width in bytes, number) pairs, as a signed number."""
+    h = 42
+    for width, v in values:
+        h = xxhash.xxh64_intdigest((v % 2 ** (8 * width)).to_bytes(width, "little"), h)
+    return (h + 2**63) % 2**64 - 2**63
+
+
+def test_random_bits_by_hand(spark):
+    keys = [3, 8, -5, 10**12]
+    df = spark.createDataFrame([(k, [1, 4, 9, 16, 25, 36]) for k in keys], "k long, bits array<int>")
+    got = df.select("k", sdr.randomize(F.col("k"), 50, 0.1, 7).alias("r"), sdr.add_noise(F.col("bits"), F.col("k"), 50, 0.5, 7).alias("n")).collect()
+    for r in got:
+        drawn = lambda pool, n, seed: sorted(pool, key=lambda b: (spark_hash((4, seed), (8, r.k), (4, b)), b))[:n]  # noqa: E731, B023
+        assert r.r == sorted(drawn(range(50), 5, 7))
+        old = [1, 4, 9, 16, 25, 36]
+        assert r.n == sorted([b for b in old if b not in drawn(old, 3, 7)] + drawn([b for b in range(50) if b not in old], 3, 8))
+
+
 class PlainMemory:
     """A temporal memory by dictionaries and loops, for as many new synapses as there are candidates."""
 
