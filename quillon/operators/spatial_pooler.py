@@ -207,13 +207,14 @@ class Pooler:
         return max(1, int((np.mean(spans) * ratio - 1) / 2 + 0.5))
 
     def _near(self, radius: int) -> np.ndarray:
-        at = np.stack(np.unravel_index(np.arange(self.p.num_columns), self.p.columns))
-        near = np.ones((self.p.num_columns,) * 2, bool)
-        for x, d in zip(at, self.p.columns, strict=True):
-            gap = np.abs(x[:, None] - x[None, :])
-            near &= (np.minimum(gap, d - gap) if self.p.wrap else gap) <= radius
-        np.fill_diagonal(near, False)
-        return near
+        return neighbours(self.p.columns, min(radius, max(self.p.columns)), self.p.wrap)
+
+    def _area(self) -> np.ndarray:
+        return (self.near < self.p.num_columns).sum(axis=1)
+
+    def _of_near(self, values: np.ndarray, none: float) -> np.ndarray:
+        """The values of each column's neighbours, and none where there is none."""
+        return np.append(values, none)[self.near]
 
     def overlap(self, bits: np.ndarray) -> np.ndarray:
         """The connected synapses on active inputs of each column: only those inputs' synapses are looked at."""
@@ -229,8 +230,8 @@ class Pooler:
             order = np.argsort(-boosted, kind="stable")[: p.winners]
             active = np.sort(order[overlap[order] >= p.stimulus_threshold])
         else:
-            stronger = (self.near & (boosted[None, :] > boosted[:, None])).sum(axis=1)
-            active = np.flatnonzero((overlap >= max(1, p.stimulus_threshold)) & (stronger < np.ceil((self.near.sum(axis=1) + 1) * p.effective_density)))
+            stronger = (self._of_near(boosted, -np.inf) > boosted[:, None]).sum(axis=1)
+            active = np.flatnonzero((overlap >= max(1, p.stimulus_threshold)) & (stronger < np.ceil((self._area() + 1) * p.effective_density)))
         if learn:
             self._learn(bits, overlap, active)
         return active, overlap
@@ -249,14 +250,14 @@ class Pooler:
         at = self.by_column[ranges(self.of_column, np.flatnonzero(self.overlap_duty < self.min_duty))]
         self.perm[at] = np.clip(self.perm[at] + p.connected / 10, 0, 1)
         if p.boost > 0:
-            target = p.effective_density if self.near is None else (self.near @ self.active_duty) / np.maximum(1, self.near.sum(axis=1))
+            target = p.effective_density if self.near is None else self._of_near(self.active_duty, 0.0).sum(axis=1) / np.maximum(1, self._area())
             self.boost = np.exp(p.boost * (target - self.active_duty))
         if self.iteration % p.update_every == 0:
             if self.near is None:
                 self.min_duty[:] = p.min_share_overlap * self.overlap_duty.max()
             else:
                 self.near = self._near(self._radius())
-                self.min_duty = p.min_share_overlap * np.where(self.near | np.eye(p.num_columns, dtype=bool), self.overlap_duty, 0).max(axis=1)
+                self.min_duty = p.min_share_overlap * np.maximum(self._of_near(self.overlap_duty, 0.0).max(axis=1), self.overlap_duty)
 
     def synapses(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(segment, presyn, perm), column by column."""

@@ -451,6 +451,28 @@ def test_pooler_against_plain_loops():
         assert (got[0].tolist(), got[1].tolist()) == (active, overlap)
 
 
+@pytest.mark.parametrize("wrap", [False, True])
+def test_local_pooler_by_hand(wrap):
+    """Neighbours, inhibition, boost and least duty with local inhibition, by loops over a grid."""
+    p = replace(POOLER, inputs=(6, 10), columns=(5, 8), potential_radius=2, global_inhibition=False, wrap=wrap, update_every=4)
+    s = spatial_pooler.Pooler(p)
+    for bits in bit_rows(12, 5):
+        radius = s._radius() if s.iteration % 4 == 0 else radius
+        gap = lambda a, b, d: min(abs(a - b), d - abs(a - b)) if wrap else abs(a - b)
+        near = {c: [x for x in range(40) if x != c and gap(c // 8, x // 8, 5) <= radius and gap(c % 8, x % 8, 8) <= radius] for c in range(40)}
+        boost = s.boost.tolist()
+        active, overlap = s.compute(np.array(bits, np.int64), True)
+        o = overlap.tolist()
+        assert active.tolist() == [c for c in range(40) if o[c] >= 1 and sum(o[x] * boost[x] > o[c] * boost[c] for x in near[c]) < math.ceil((len(near[c]) + 1) * 0.1)]
+        for c in range(40):
+            target = sum(s.active_duty[x] for x in near[c]) / max(1, len(near[c]))
+            assert abs(s.boost[c] - math.exp(3.0 * (target - s.active_duty[c]))) < 1e-12
+        if s.iteration % 4 == 0:
+            radius = s._radius()
+            near = {c: [x for x in range(40) if gap(c // 8, x // 8, 5) <= radius and gap(c % 8, x % 8, 8) <= radius] for c in range(40)}
+            assert all(abs(s.min_duty[c] - 0.9 * max(s.overlap_duty[x] for x in near[c])) < 1e-12 for c in range(40))
+
+
 @pytest.mark.parametrize("local", [False, True])
 def test_pooler_goes_on(spark, tmp_path, local):
     p = replace(POOLER, global_inhibition=not local)
