@@ -31,7 +31,7 @@ from .common import WordChunk, as_bytes, mix, stage_table, text_chunks
 
 WINDOW, RUN = 50, 8
 #: Distinct strings of a bucket that one task sorts.
-BUCKET = 512
+BUCKET = 256
 #: Strings of a slice of a larger bucket.
 SLICE = 64
 #: Digests that a task remembers so as not to send a string twice.

@@ -160,7 +160,7 @@ def test_substring(spark, sf, table):
     assert Counter(tuple(r) for r in got) == brute_substring(rows)
 
 
-@pytest.mark.parametrize("bucket", [512, 1])
+@pytest.mark.parametrize("bucket", [256, 1])
 def test_substring_shared_passages(spark, monkeypatch, bucket):
     monkeypatch.setattr(substring_dedup, "BUCKET", bucket)
     monkeypatch.setattr(substring_dedup, "SLICE", 8)
