@@ -40,7 +40,7 @@ CONTEXT = 5
 HEAD = 1 << 18
 MIN_COUNT, ROOT = 16, 2
 SINGLES, ENDINGS = 63, 32
-NOISE, NOISE_UNITS, BATCH, RATE = 32, 4, 1536, 0.1
+NOISE, NOISE_UNITS, BATCH, RATE = 32, 4, 2048, 0.1
 #: The first size of context vectors; and the sixteenths of the training rows that each round learns from.
 SPREAD, ROUNDS = 0.5, (1, 3, 12)
 ADD = 0.1
