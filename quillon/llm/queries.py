@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, language_id, language_model, pair_bpe, quality_rules, simhash_dedup, substring_dedup, toxicity, trie_tokens
+from . import decontamination, hard_negatives, importance, language_id, language_model, minhash_dedup, pair_bpe, quality_rules, simhash_dedup, substring_dedup, toxicity, trie_tokens, whitening
 from .common import fold, table
 
 
@@ -67,6 +67,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.encode(spark, docs, vocabulary("word_bpe_49k.json"), ids=False, decoded=False).drop("text")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of rows whose vec_id is divisible by 7 moves on by one of ten; anchors are the rows whose vec_id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(spark, rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring": op2_substring,
@@ -78,6 +93,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_bpe": op10_bpe,
+    "op11_minhash": op11_minhash,
+    "op12_whitening": op12_whitening,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE_SQL = {"op2_substring": substring_dedup.oracle_sql(), "op6_decontamination": decontamination.oracle_sql()}
+ORACLE_SQL = {"op2_substring": substring_dedup.oracle_sql(), "op6_decontamination": decontamination.oracle_sql(), "op13_hard_negatives": hard_negatives.oracle_sql()}
