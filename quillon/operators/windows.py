@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 from quillon.functions import sdr
 
 from .encoders.signal import ecg_stats
+from .nearest import nearest
 
 #: Weights of the feature distance (fixed values).
 WEIGHTS = {"p2p": 2.0, "std": 3.0, "max_derivative": 4.0, "min_derivative": 4.0, "energy": 2.0, "zero_crossings": 0.5, "max": 1.5}
-#: Rows and baselines that meet in one block; and rows of one numpy pass within it.
-BLOCK, PASS = 4096, 256
+#: When a group stands out (fixed values): its share of high scores, mean and 99th percentile over normal ones, and its mean at all.
+MORE_HIGH, MORE_MEAN, MORE_P99, MUCH = 2.0, 1.3, 1.2, 0.015
 #: Ranges of keys whose counts the driver gathers to number rows.
 RANGES = 4096
 
@@ -75,55 +76,15 @@ def numbered(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     return ranged.join(F.broadcast(starts), "__range").withColumn(name, place.cast("long")).drop("__range", "__before")
 
 
-def _matrix(column, of: np.ndarray) -> np.ndarray:
-    """0 and 1 by row and bit of the sorted bits ``of``, from an Arrow column of arrays of bits."""
-    out = np.zeros((len(column), len(of)), np.float32)
-    rows = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    bits = column.flatten().to_numpy(zero_copy_only=False)
-    if len(of) and len(bits):
-        at = np.minimum(np.searchsorted(of, bits), len(of) - 1)
-        known = of[at] == bits
-        out[rows[known], at[known]] = 1
-    return out
-
-
-def _nearest(left, right, keys: list[str]):
-    """The rows of left with their best overlap and least distance among the rows of right; a null takes no part."""
-    import pyarrow as pa
-
-    own, base = (t.combine_chunks() for t in (left, right))
-    mine, theirs = (t.column("bits").combine_chunks() for t in (own, base))
-    of = np.unique(theirs.flatten().to_numpy(zero_copy_only=False))
-    a, b = _matrix(mine, of), _matrix(theirs.drop_null(), of)
-    f, g = (np.column_stack([t.column(k).to_numpy() for k in WEIGHTS]).astype(float) * list(WEIGHTS.values()) for t in (own, base))
-    f_null, g = np.isnan(f).any(axis=1), g[~np.isnan(g).any(axis=1)]
-    overlap, near = np.zeros(len(a)), np.zeros(len(a))
-    for k in range(0, len(a), PASS):
-        if len(b):
-            overlap[k : k + PASS] = (a[k : k + PASS] @ b.T).max(axis=1)
-        if len(g):
-            total = np.zeros((len(f[k : k + PASS]), len(g)))
-            for c in range(len(WEIGHTS)):
-                total += np.abs(f[k : k + PASS, c, None] - g[None, :, c])
-            near[k : k + PASS] = total.min(axis=1)
-    no_overlap = mine.is_null().to_numpy(zero_copy_only=False) | (not len(b))
-    columns = [pa.array(overlap.astype(np.int32), mask=no_overlap), pa.array(near, mask=f_null | (not len(g)))]
-    return pa.table([*[own.column(k) for k in keys], *columns], [*keys, "overlap", "distance"])
-
-
 def hybrid_score(df: DataFrame, base: DataFrame, keys: list[str], mean: float | None, sd: float | None, expected: float) -> DataFrame:
-    """(keys, overlap, distance, score): df has bits and f, base has n, bits and f, with n numbered from 0.
+    """(keys, overlap, distance, score): df and base have bits and f; each row of df finds its best overlap and its least distance in base.
 
-    Every row meets every baseline, in blocks of BLOCK rows by BLOCK baselines; what goes on is one row for each row and block of baselines.
+    Both searches are exact; see nearest.nearest(). keys tell rows apart and aren't null. A null or unusable side gives a null.
     """
-    parts = [F.col(f"f.{k}").cast("double").alias(k) for k in WEIGHTS]
-    n_rows, top = df.count(), base.agg(F.max("n")).first()[0]
-    rows_by, base_by = max(-(-n_rows // BLOCK), 1), 0 if top is None else top // BLOCK + 1
-    own = df.select(*keys, "bits", *parts, F.pmod(F.xxhash64(*keys), F.lit(rows_by)).alias("__row"), F.explode(F.sequence(F.lit(0), F.lit(base_by - 1)) if base_by else F.array().cast("array<int>")).alias("__base"))
-    other = base.select(F.col("bits").alias("bits"), *parts, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows_by - 1).cast("long"))).alias("__row"), F.floor(F.col("n") / BLOCK).cast("int").alias("__base"))
-    made = T.StructType([*[df.schema[k] for k in keys], T.StructField("overlap", T.IntegerType()), T.StructField("distance", T.DoubleType())])
-    met = own.groupBy("__row", "__base").cogroup(other.groupBy("__row", "__base")).applyInArrow(lambda left, right: _nearest(left, right, keys), made)
-    best = met.groupBy(*keys).agg(F.max("overlap").alias("overlap"), F.min("distance").alias("distance"))
+    near = {}
+    for name, column in (("overlap", F.col("bits")), ("distance", F.array(*[F.col(f"f.{k}").cast("double") * w for k, w in WEIGHTS.items()]))):
+        near[name] = nearest(df.select(*keys, column.alias("value")), base.select(column.alias("value")), keys, "value", name).select(*keys, F.col("best").alias(name))
+    best = df.select(*keys).join(near["overlap"], keys, "left").join(near["distance"], keys, "left")
     z = (F.col("distance") - mean) / sd if sd and sd > 0 else F.lit(0.0)
     odd = F.greatest(F.lit(0.0), 1 - F.col("overlap") / expected)
     return best.withColumn("score", 0.3 * odd + 0.7 * F.greatest(F.lit(0.0), z / (1 + F.abs(z))))
@@ -154,7 +115,7 @@ def percentile(df: DataFrame, value: str, share: float) -> DataFrame:
 
 def detected(high: Column, mean: Column, p99: Column, normal_high: float, normal_mean: float, normal_p99: float) -> Column:
     """Whether a group of windows stands out from normal ones."""
-    return (high > normal_high + 2.0) | (mean > normal_mean * 1.3) | (p99 > normal_p99 * 1.2) | (mean > 0.015)
+    return (high > normal_high + MORE_HIGH) | (mean > normal_mean * MORE_MEAN) | (p99 > normal_p99 * MORE_P99) | (mean > MUCH)
 
 
 def scatter_columns(bits: Column, columns: int = 1024) -> Column:
