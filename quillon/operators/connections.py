@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocked
+
 EPSILON = 1e-6
 #: Synapse tables of so many rows travel to every task, larger ones are joined by a shuffle.
 BROADCAST_SYNAPSES = 2_000_000
@@ -104,13 +106,18 @@ class Graph:
 def activity(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, threshold: float) -> DataFrame:
     """(keys, segment, connected, potential): the synapses of each segment on active inputs, at the threshold and in all.
 
-    Up to BROADCAST_SYNAPSES synapses travel to the rows, which are then done without a shuffle; more are joined.
+    Up to BROADCAST_SYNAPSES synapses travel to the rows, which are then done without a shuffle; more are multiplied by blocks.
     """
     graph = Graph.gather(synapses)
     if graph is not None:
         return graph.met(df, keys, bits, threshold)
-    met = active_inputs(df, keys, bits).join(synapses, "presyn")
-    return met.groupBy(*keys, "segment").agg(F.count_if(F.col("perm") >= threshold).alias("connected"), F.count("*").alias("potential"))
+    return blocked.activity(df, synapses, keys, bits, threshold)
+
+
+def activity_sums(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, threshold: float, least: int) -> DataFrame:
+    """(segment, rows, connected, potential): how many rows reach ``least`` connected synapses of a segment, and the sums over those rows."""
+    reached = activity(df, synapses, keys, bits, threshold).where(F.col("connected") >= least)
+    return reached.groupBy("segment").agg(F.count("*").alias("rows"), F.sum("connected").alias("connected"), F.sum("potential").alias("potential"))
 
 
 def lookups(segments: DataFrame, synapses: DataFrame, threshold: float) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quillon.errors import require
 
-from . import series, topology
-from .connections import BROADCAST_SYNAPSES, Graph, active_inputs, adapt, bump, ranges
+from . import blocked, series, topology
+from .connections import Graph, adapt, bump, ranges
 
 
 @dataclass(frozen=True)
@@ -80,8 +80,8 @@ def overlaps(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, p:
     if graph is not None:
         found = graph.met(df, keys, bits, -np.inf)
         return found.select(*keys, F.col("segment").alias("column"), F.col("potential").alias("overlap"))
-    met = active_inputs(df, keys, bits).join(connected.select("presyn", F.col("segment").alias("column")), "presyn")
-    return met.groupBy(*keys, "column").agg(F.count("*").alias("overlap"))
+    found = blocked.activity(df, connected, keys, bits, p.connected)
+    return found.select(*keys, F.col("segment").alias("column"), F.col("potential").alias("overlap"))
 
 
 def pool(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, p: PoolerParams, boosts: DataFrame | None = None) -> DataFrame:
@@ -89,16 +89,18 @@ def pool(df: DataFrame, synapses: DataFrame, keys: list[str], bits: str, p: Pool
 
     boosts (column, boost) multiply the overlaps that compete, 1 where there is none; the stimulus threshold is for the
     overlaps themselves. If the synapses are few, each row is done on its own, without a shuffle; else overlaps are
-    joined and gathered, and boosts can't be had.
+    multiplied by blocks and gathered, and meet their boosts by a join.
     """
     graph = Graph.gather(synapses.where(F.col("perm") >= p.connected))
     boost = np.ones(p.num_columns)
-    if boosts is not None:
-        require(graph is not None, "boosts", f"need at most {BROADCAST_SYNAPSES} connected synapses")
+    if boosts is not None and graph is not None:
         got = boosts.select("column", F.col("boost").cast("double")).toArrow()  # a row for each column
         boost[got.column(0).to_numpy()] = got.column(1).to_numpy()
     if graph is None:
         found = overlaps(df, synapses, keys, bits, p)
+        if boosts is not None:
+            found = found.join(boosts.select("column", F.col("boost").cast("double").alias("boost")), "column", "left")
+            found = found.withColumn("strength", F.col("overlap") * F.coalesce("boost", F.lit(1.0))).drop("boost")
         if p.global_inhibition:
             return inhibit_globally(found, df, keys, p)
         near = topology.neighbor_table(df.sparkSession, p.columns, p.inhibition_radius, wrap=p.wrap)
@@ -134,10 +136,11 @@ def neighbours(dims: tuple[int, ...], radius: int, wrap: bool) -> np.ndarray:
 
 
 def inhibit_globally(found: DataFrame, records: DataFrame, keys: list[str], p: PoolerParams) -> DataFrame:
-    """(keys, active): the winners by overlap, then by column. Columns without overlap compete too, last and in order."""
+    """(keys, active): the winners by strength (the overlap, if found has no such column), then by column. Columns without overlap compete too, last and in order."""
     k = p.winners
-    order = F.array_sort(F.transform("all", lambda x: F.struct((-x["overlap"]).alias("o"), x["column"].alias("c"))))
-    top = found.where(F.col("overlap") >= p.stimulus_threshold).groupBy(*keys).agg(F.collect_list(F.struct("column", "overlap")).alias("all"))
+    found = with_strength(found)
+    order = F.array_sort(F.transform("all", lambda x: F.struct((-x["strength"]).alias("o"), x["column"].alias("c"))))
+    top = found.where(F.col("overlap") >= p.stimulus_threshold).groupBy(*keys).agg(F.collect_list(F.struct("column", "strength")).alias("all"))
     top = top.select(*keys, F.transform(order, lambda x: x["c"]).alias("ranked"))
     out = records.select(*keys).join(top, keys, "left").withColumn("ranked", F.coalesce("ranked", F.array().cast("array<int>")))
     if p.stimulus_threshold > 0:
@@ -147,13 +150,18 @@ def inhibit_globally(found: DataFrame, records: DataFrame, keys: list[str], p: P
     return out.select(*keys, F.array_sort(full).alias("active"))
 
 
+def with_strength(found: DataFrame) -> DataFrame:
+    return found if "strength" in found.columns else found.withColumn("strength", F.col("overlap").cast("double"))
+
+
 def inhibit_locally(found: DataFrame, keys: list[str], neighbors: DataFrame, p: PoolerParams) -> DataFrame:
     """(keys, column) of the columns with fewer stronger neighbours than their area allows; ties all win."""
+    found = with_strength(found)
     area = neighbors.groupBy("cell").agg(F.count("*").alias("area"))
-    other = found.select(*keys, F.col("column").alias("nbr"), F.col("overlap").alias("theirs"))
+    other = found.select(*keys, F.col("column").alias("nbr"), F.col("strength").alias("theirs"))
     own = found.where(F.col("overlap") >= max(1, p.stimulus_threshold)).join(area, F.col("column") == F.col("cell"), "left").drop("cell")
     near = own.join(neighbors.withColumnRenamed("cell", "column"), "column", "left").join(other, [*keys, "nbr"], "left")
-    stronger = near.groupBy(*keys, "column", "area").agg(F.count_if(F.col("theirs") > F.col("overlap")).alias("stronger"))
+    stronger = near.groupBy(*keys, "column", "area").agg(F.count_if(F.col("theirs") > F.col("strength")).alias("stronger"))
     return stronger.where(F.col("stronger") < F.ceil((F.coalesce("area", F.lit(0)) + 1) * p.effective_density)).select(*keys, "column")
 
 
