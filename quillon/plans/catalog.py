@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import draws, kernels, sdr
 from quillon.functions.kernels import csv
-from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, ticks, topology, windows
+from quillon.operators import anomaly, classifier, connections, encoders, metrics, ranges, slices, spatial_pooler, temporal_memory, ticks, topology, windows
 from quillon.operators.encoders import finance, probability, signal, spatial, vision
 from quillon.plans.hash_sql import s_bytes, s_draws, s_finalised, s_first, s_fnv, s_lcg_planes, s_level_states, s_rotated, s_signs, s_unsigned
-from quillon.sources import ecg, model_io
+from quillon.sources import model_io
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,6 +82,11 @@ def s_ring(v: str, top: float, size: int, width: int, offset: int = 0) -> str:
     return f"list_sort(list_transform(range({width}), lambda i: (i + {b}) % {size} + {offset}))"
 
 
+def s_uniform(name: str, *keys: str) -> str:
+    text = " || ':' || ".join([f"'{name}'", *(f"cast({k} as varchar)" for k in keys)])
+    return f"((cast('0x' || substr(md5({text}), 1, 8) as bigint) + 0.5::double) / 4294967296.0::double)"
+
+
 # ---- SDR algebra --------------------------------------------------------------------------------------------------------
 
 VALUE = encoders.ScalarEncoder(0.0, 500.0, 400, 21)
@@ -489,6 +494,16 @@ def enc_multi(spark, sf):
     return t(spark, sf, "events").select("event_id", csv(e.encode(F.col("value"), F.col("event_type"))).alias("bits"))
 
 
+_S_CLAMPED = s_clamp("value", 0.0, 1000.0)
+
+
+@query("enc_multi_one", f"""select event_id, {s_csv(f"flatten([{s_scalar('value', 0.0, 500.0, 400, 21)}, {s_block(f'cast(floor(least(({_S_CLAMPED}) / 1000.0 * 190.0, 189)) as bigint) + 400', 11)}])")} as bits from events""")
+def enc_multi_one(spark, sf):
+    """One value for two encoders of different resolution."""
+    e = E.MultiEncoder([("fine", VALUE), ("coarse", E.ScalarEncoder(0.0, 1000.0, 200, 11))])
+    return t(spark, sf, "events").select("event_id", csv(e.encode(F.col("value"))).alias("bits"))
+
+
 # ---- signals: windows of 10 events of a user --------------------------------------------------------------------------------
 
 _S_WINDOWS = """w as (select user_id, rn // 10 as win, list(value order by rn) as s from (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as rn from events) group by user_id, rn // 10 having count(*) = 10)"""
@@ -601,6 +616,14 @@ def fingerprint(spark, sf):
     return windows.fingerprint(w, ["user_id"], "points").select("user_id", "x", "y", r6(F.col("v")).alias("v"))
 
 
+@query("fingerprint_differences")
+def fingerprint_differences(spark, sf):
+    """The map of the users with an even number less that of the others."""
+    w = windows.fingerprint_points(user_windows(spark, sf), ["user_id"], "samples", 64)
+    maps = [windows.fingerprint(w.where(F.col("user_id") % 2 == k), [], "points") for k in range(2)]
+    return windows.fingerprint_difference(*maps).select("x", "y", r6(F.col("d")).alias("d"))
+
+
 # ---- the synapse graph, pooling, classification: a synapse table by arithmetic ---------------------------------------------
 
 N_COLUMNS, N_INPUTS, POOL = 256, 400, 40
@@ -624,6 +647,11 @@ def conn_activity(spark, sf):
     return connections.activity(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", 0.5)
 
 
+@query("conn_active_segments", f"with {_S_SYN}, {_S_BITS}, m as (select event_id, segment, count(*) filter (perm >= 0.5) as connected, count(*) as potential from a join syn using (presyn) group by event_id, segment) select cast(segment as integer) as segment, cast(count(*) as bigint) as rows, cast(sum(connected) as bigint) as connected, cast(sum(potential) as bigint) as potential from m where connected >= 3 group by segment")
+def conn_active_segments(spark, sf):
+    return connections.activity_sums(event_bits(spark, sf), synapse_table(spark), ["event_id"], "bits", 0.5, 3)
+
+
 @query("conn_adapt", f"with {_S_SYN} select cast(segment as integer) as segment, cast(presyn as integer) as presyn, round(greatest(least(max(perm) + case when segment % 3 <> 0 then 0 when presyn % 5 = 0 then 0.1 else -0.05 end, 1), 0), 6) as perm from syn group by segment, presyn")
 def conn_adapt(spark, sf):
     own = connections.create_synapses(synapse_table(spark).limit(0), synapse_table(spark))
@@ -848,6 +876,50 @@ def tm_changes(spark, sf):
     return ticks.changes(*tick_tables(spark, sf), ["event_id"], TICK)
 
 
+# The winners of the tick before are the cells active then whose number is even.
+_S_DELTAS = f"""{_S_TICK}, win as (select event_id, presyn from b where presyn % 2 = 0), pcol as (select distinct event_id, col from pc),
+  ch as (select act.event_id, act.segment, act.cell, ec.col is not null as now, case when ec.col is not null and pcol.col is null and best.segment is not null then greatest(0, 6 - act.potential) else 0 end as grow
+    from act left join ec using (event_id, col) left join pcol using (event_id, col) left join best on best.event_id = act.event_id and best.segment = act.segment
+    where (ec.col is not null and (act.connected >= 3 or (pcol.col is null and best.segment is not null))) or (ec.col is null and act.potential >= 3)),
+  adapted as (select ch.event_id, ch.segment, ch.cell, tsy.presyn, perm as was, greatest(least(perm + case when not now then -0.02::double when win.presyn is not null then 0.1::double else -0.1::double end, 1), 0) as perm from ch join tsy using (segment) left join win on win.event_id = ch.event_id and win.presyn = tsy.presyn),
+  known as (select distinct event_id, col from act where connected >= 3 or potential >= 3),
+  least as (select cell // 4 as col, cell, row_number() over (partition by cell // 4 order by n, cell) as rn from (select c as cell, count(segment) as n from range(256) t(c) left join seg on seg.cell = c group by c)),
+  made as (select event_id, 160 + row_number() over (partition by event_id order by col) - 1 as segment, least.cell, 6 as grow, true as new from ec anti join known using (event_id, col) join least using (col) where least.rn = 1 and event_id in (select event_id from win)),
+  growing as (select event_id, segment, cell, grow, false as new from ch where grow > 0 union all select * from made),
+  free as (select g.*, win.presyn, row_number() over (partition by g.event_id, g.segment order by {{draw}}, win.presyn) as place from growing g join win using (event_id) left join tsy on tsy.segment = g.segment and tsy.presyn = win.presyn where new or tsy.presyn is null),
+  grown as (select event_id, segment, cell, presyn, null::double as was, 0.21::double as perm, new from free where place <= grow),
+  more as (select event_id, segment, count(*) as more from grown where not new group by all),
+  old as (select a.*, more, count(*) over (partition by a.event_id, a.segment) + coalesce(more, 0) - 26 as excess, row_number() over (partition by a.event_id, a.segment order by perm, presyn) as weak from adapted a left join more using (event_id, segment)),
+  deltas as (select event_id, segment, cell, presyn, was, case when more is not null and weak <= excess then null else perm end as perm, false as new from old where was is distinct from case when more is not null and weak <= excess then null else perm end union all select * from grown)"""
+
+
+#: As TICK, with punishment and a maximum that growth meets.
+LEARNING_TICK = replace(TICK, predicted_decrement=0.02, max_synapses=26)
+
+
+def learning_ticks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    records, segments, synapses = tick_tables(spark, sf)
+    return records.withColumn("winners", F.filter("before", lambda c: c % 2 == 0)), segments, synapses
+
+
+@query("tm_deltas", _S_DELTAS.format(draw=s_uniform("grow", "g.event_id", "g.segment", "win.presyn")) + " select event_id, cast(segment as integer) as segment, cast(cell as integer) as cell, cast(presyn as integer) as presyn, round(was, 6) as was, round(perm, 6) + 0.0 as perm, new from deltas")
+def tm_deltas(spark, sf):
+    out = ticks.deltas(*learning_ticks(spark, sf), ["event_id"], LEARNING_TICK)
+    return out.select("event_id", "segment", "cell", "presyn", r6(F.col("was")).alias("was"), r6(F.col("perm")).alias("perm"), "new")
+
+
+@query("tm_next_tick", _S_DELTAS.format(draw=s_uniform("grow", "g.event_id", "g.segment", "win.presyn")) + """, seen as (select event_id, segment, cell, count(*) filter (perm >= 0.5) as connected, count(*) as potential from b join tsy using (presyn) join seg using (segment) group by all),
+  more2 as (select event_id, segment, cell, (perm is not null)::int - (was is not null)::int as potential, coalesce(perm >= 0.5, false)::int - coalesce(was >= 0.5, false)::int as connected from b join deltas using (event_id, presyn)),
+  both2 as (select event_id, segment, cell, sum(connected) as connected, sum(potential) as potential from (select event_id, segment, cell, connected, potential from seen union all select event_id, segment, cell, connected, potential from more2) group by all)
+  select event_id, cast(segment as integer) as segment, cast(cell as integer) as cell, cast(connected as bigint) as connected, cast(potential as bigint) as potential from both2 where potential >= 3""")
+def tm_next_tick(spark, sf):
+    """The segments that match when a record meets the same cells again, after what its first tick has taught."""
+    records, segments, synapses = learning_ticks(spark, sf)
+    taught = ticks.deltas(records, segments, synapses, ["event_id"], LEARNING_TICK)
+    act = ticks.segment_activity(records, segments, synapses, ["event_id"], LEARNING_TICK, deltas=taught)
+    return act.where("matching").select("event_id", "segment", "cell", "connected", "potential")
+
+
 def user_series(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return t(spark, sf, "events").select(F.col("user_id").cast("string").alias("series"), F.row_number().over(order).cast("long").alias("seq"), "value", "event_type", VALUE.encode(F.col("value")).alias("bits"))
@@ -931,6 +1003,87 @@ def anomaly_likelihood(spark, sf):
     return anomaly.Likelihood(20, 15, 10).add(s, "x", ["user_id"], ["ts", "event_id"]).select("event_id", r6(F.col("likelihood")).alias("likelihood"))
 
 
+# ---- one long series: all events by time, cut into slices ------------------------------------------------------------------
+
+
+def _s_long(sql: str) -> str:
+    """The SQL of a query by user, for all events as one series."""
+    return sql.replace("partition by user_id ", "").replace("list(value order by rn) as s from (select user_id, ", "list(value order by rn) as s from (select ")
+
+
+@query("enc_delta_long", _s_long(SQL["enc_delta"]))
+def enc_delta_long(spark, sf):
+    e = E.DeltaEncoder()
+    d = slices.delta(t(spark, sf, "events").select("event_id", "ts", "value"), "value", [], ["ts", "event_id"])
+    return d.select("event_id", r6(F.col("delta")).alias("delta"), csv(e.encode(F.col("delta"))).alias("bits"))
+
+
+@query("count_windows_long", "select cast(rn // 10 as bigint) as win, array_to_string(list(cast(round(value * 1000) as bigint) order by rn), ',') as samples from (select value, row_number() over (order by ts, event_id) - 1 as rn from events) group by rn // 10 having count(*) = 10")
+def count_windows_long(spark, sf):
+    w = slices.count_windows(t(spark, sf, "events"), [], ["ts", "event_id"], "value", 10)
+    return w.select(F.col("window").alias("win"), csv(F.transform("samples", lambda v: F.round(v * 1000).cast("long"))).alias("samples"))
+
+
+@query("anomaly_likelihood_long", _s_long(_s_likelihood(288, 100, 100)))
+def anomaly_likelihood_long(spark, sf):
+    s = t(spark, sf, "events").select("event_id", "ts", (F.col("value") / 500.0).alias("x"))
+    return slices.likelihood(s, "x", [], ["ts", "event_id"], anomaly.Likelihood(288, 100, 100)).select("event_id", r6(F.col("likelihood")).alias("likelihood"))
+
+
+@query("sdr_metrics_long", f"""with e as (select event_id, ts, {_S_VALUE} as bits from events), p as (select bits, lag(bits) over (order by ts, event_id) as before from e), q as (select len(bits) / 400 as s, len(list_intersect(bits, before)) as o, before from p)
+  select cast(count(*) as bigint) as num_samples, round(avg(s), 6) as sparsity_mean, round(stddev_pop(s), 6) + 0.0 as sparsity_std, round(avg(case when before is not null then o end), 6) as overlap_mean,
+  cast(min(case when before is not null then o end) as bigint) as overlap_min, cast(max(case when before is not null then o end) as bigint) as overlap_max from q""")
+def sdr_metrics_long(spark, sf):
+    e = t(spark, sf, "events").select("ts", "event_id", VALUE.encode(F.col("value")).alias("bits"))
+    m = slices.summary(e, "bits", 400, [], ["ts", "event_id"])
+    return m.select("num_samples", *[r6(F.col(c)).alias(c) for c in ("sparsity_mean", "sparsity_std", "overlap_mean")], *[F.col(c).cast("long").alias(c) for c in ("overlap_min", "overlap_max")])
+
+
+# ---- sessions: a reset flag, or a gap of twelve hours, begins a new one ------------------------------------------------------
+
+_S_SESSION = """b as (select event_id, user_id, ts, value, event_type, case when lag(ts) over o is null or event_type = 'signup' or ts - lag(ts) over o > interval 12 hours then 1 else 0 end as new from events window o as (partition by user_id order by ts, event_id)),
+  s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from b)"""
+
+
+def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    e = t(spark, sf, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    gap = F.col("ts") - F.col("before_.v0") > F.expr("interval '12' hour")
+    return slices.sessions(e, ["user_id"], ["ts", "event_id"], (F.col("event_type") == "signup") | gap, ["ts"])
+
+
+@query("session_delta", f"""with {_S_SESSION}, d as (select event_id, session, coalesce(value - lag(value) over (partition by user_id, session order by ts, event_id), 0.0) as delta from s)
+  select event_id, cast(session as bigint) as session, round(delta, 6) + 0.0 as delta, {s_csv(s_scalar("delta", -100.0, 100.0, 100, 10))} as bits from d""")
+def session_delta(spark, sf):
+    e = E.DeltaEncoder()
+    d = slices.delta(user_sessions(spark, sf), "value", ["user_id", "session"], ["ts", "event_id"])
+    return d.select("event_id", "session", r6(F.col("delta")).alias("delta"), csv(e.encode(F.col("delta"))).alias("bits"))
+
+
+@query("session_likelihood", f"with {_S_SESSION}, " + _s_likelihood(4, 3, 2).replace("with s as (select event_id, user_id, ts, value / 500.0 as x from events)", "xs as (select event_id, user_id, session, ts, value / 500.0 as x from s)").replace("var_pop(x) over l as v from s", "var_pop(x) over l as v from xs").replace("partition by user_id ", "partition by user_id, session "))
+def session_likelihood(spark, sf):
+    s = user_sessions(spark, sf).withColumn("x", F.col("value") / 500.0)
+    return slices.likelihood(s, "x", ["user_id", "session"], ["ts", "event_id"], anomaly.Likelihood(4, 3, 2)).select("event_id", r6(F.col("likelihood")).alias("likelihood"))
+
+
+# ---- joins by ranges --------------------------------------------------------------------------------------------------------
+
+
+@query("interval_overlaps", """with l as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, date_diff('day', timestamp '1970-01-01', l_shipdate) as low, date_diff('day', timestamp '1970-01-01', l_shipdate) + cast(floor(l_quantity) as bigint) as high from lineitem)
+  select a.l_orderkey, a.l_linenumber, a.l_partkey, a.l_suppkey, a.l_extendedprice, cast(count(b.l_orderkey) as bigint) as overlapping, max(case when b.l_orderkey is not null then least(a.high, b.high) - greatest(a.low, b.low) + 1 end) as greatest
+  from l a left join l b on a.l_partkey = b.l_partkey and a.low <= b.high and b.low <= a.high and (a.l_orderkey, a.l_linenumber, a.l_suppkey, a.l_extendedprice) <> (b.l_orderkey, b.l_linenumber, b.l_suppkey, b.l_extendedprice) group by all""")
+def interval_overlaps(spark, sf):
+    low = F.datediff("l_shipdate", F.lit("1970-01-01")).cast("long")
+    rows = t(spark, sf, "lineitem").select(*LINE, "l_partkey", "l_suppkey", "l_extendedprice", low.alias("low"), (low + F.floor("l_quantity")).alias("high"))
+    return ranges.overlaps(rows, ["l_partkey"], "low", "high", [*LINE, "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+@query("radius_neighbours", """with p as (select event_id, epoch_us(ts) / 3600000000.0::double as x, value as y from events)
+  select a.event_id, cast(count(b.event_id) as bigint) as neighbours from p a left join p b on (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 25.0::double and a.event_id <> b.event_id group by a.event_id""")
+def radius_neighbours(spark, sf):
+    e = t(spark, sf, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000.0)).alias("x"), "value")
+    return ranges.neighbours(e, "event_id", "x", "value", 5.0)
+
+
 # ---- metrics and topology -----------------------------------------------------------------------------------------------
 
 
@@ -957,6 +1110,18 @@ def activation_usage(spark, sf):
     return u.select(r6(F.col("entropy")).alias("entropy"), F.col("dead_bits").cast("long").alias("dead_bits"), r6(F.col("dead_ratio")).alias("dead_ratio"))
 
 
+@query("sdr_metrics_by_day", f"""with e as (select event_id, ts, {_S_VALUE} as bits from events), p as (select bits, lag(bits) over (order by ts, event_id) as before from e), q as (select len(bits) / 400 as s, len(list_intersect(bits, before)) as o, before from p),
+  {_S_COUNTS}, t as (select sum(n) as t from c), u as (select -sum(n / t * log2(n / t)) as entropy, 400 - count(*) as dead_bits from c, t)
+  select cast(count(*) as bigint) as num_samples, round(avg(s), 6) as sparsity_mean, round(avg(case when before is not null then o end), 6) as overlap_mean, cast(min(case when before is not null then o end) as bigint) as overlap_min,
+  cast(max(case when before is not null then o end) as bigint) as overlap_max, round(any_value(entropy), 6) as entropy, cast(any_value(dead_bits) as bigint) as dead_bits from q, u""")
+def sdr_metrics_by_day(spark, sf):
+    """Summaries of days, merged to those of all days."""
+    e = t(spark, sf, "events").select("ts", "event_id", VALUE.encode(F.col("value")).alias("bits"))
+    days = metrics.partial(e, "bits", 400, [], ["ts", "event_id"], F.to_date("ts"))
+    m = metrics.merged(days, 400, [])
+    return m.select("num_samples", *[r6(F.col(c)).alias(c) for c in ("sparsity_mean", "overlap_mean", "entropy")], *[F.col(c).cast("long").alias(c) for c in ("overlap_min", "overlap_max", "dead_bits")])
+
+
 @query("neighborhood", "with c as (select i, i // 20 as y, i % 20 as x from range(300) t(i)) select cast(a.i as integer) as cell, cast(b.i as integer) as nbr from c a join c b on abs(a.y - b.y) <= 2 and abs(a.x - b.x) <= 2 and a.i <> b.i")
 def neighborhood(spark, sf):
     return topology.neighbor_table(spark, (15, 20), 2)
@@ -979,38 +1144,6 @@ def potential_pool(spark, sf):
     return spark.range(50).select(c.alias("col"), csv(topology.potential_pool(c, (50,), (200,), 6)).alias("pool"))
 
 
-def s_uniform(name: str, *keys: str) -> str:
-    text = " || ':' || ".join([f"'{name}'", *(f"cast({k} as varchar)" for k in keys)])
-    return f"((cast('0x' || substr(md5({text}), 1, 8) as bigint) + 0.5::double) / 4294967296.0::double)"
-
-
-_ECG = [(name, name, k) for k, name in enumerate(ecg.RHYTHMS)]
-
-
-def _s_ecg() -> str:
-    """The samples of ecg.generate at its defaults, from the same tables of rhythms and waves."""
-    d = lambda x: f"{float(x)!r}::double"
-    rows = ", ".join(f"('{n}', {seed}, {d(72.0 * r.rate / 60.0)}, {d(r.irregularity)}, {d(r.st)}, {d(r.share)})" for n, k, seed in _ECG for r in [ecg.RHYTHMS[k]])
-    swing = " + ".join(f"hz * {d(0.05 * share / (2 * math.pi * f))} * ({d(math.cos(k))} - cos({d(2 * math.pi * f)} * t + {k}))" for k, (f, share) in enumerate(ecg.BANDS.values()))
-
-    def shape(wave: str, which: int) -> str:
-        plain = ecg.WAVES[wave][1 + which]
-        of = " ".join(f"when series = '{n}' then {d(plain * (r.heights, r.widths)[which].get(wave, 1.0))}" for n, r in ecg.RHYTHMS.items())
-        return f"(case when not odd then {d(plain)} {of} end)"
-
-    waves = " + ".join(f"{shape(w, 0)} * exp(-pow((phase - {d(place)}) / {shape(w, 1)}, 2.0::double) / 2)" for w, (place, _, _) in ecg.WAVES.items())
-    return f"""with r(series, seed, hz, irregularity, st, share) as (values {rows}), a as (select r.*, seq, seq / 250.0::double as t from r, range(1000) s(seq)),
-      b as (select *, hz * t + {swing} as x from a), c as (select *, cast(floor(x) as bigint) as beat from b),
-      e as (select *, x + ({s_uniform('turn', 'seed', 'beat')} - 0.5::double) * irregularity as y, {s_uniform('odd', 'seed', 'beat')} < share as odd from c), f as (select *, y - floor(y) as phase from e),
-      g as (select series, seq, case when odd and phase between 0.47::double and 0.6::double then st else 0.0::double end + {waves} + 0.05::double * sin({d(2 * math.pi * 0.15)} * t) + 0.02::double * ({s_uniform('noise', 'seed', 'seq')} - 0.5::double) as v from f)
-      select series, seq, round(v, 6) + 0.0::double as value from g"""
-
-
-@query("ecg_source", _s_ecg())
-def ecg_source(spark, sf):
-    return ecg.generate(spark, _ECG, 1000).select("series", "seq", r6(F.col("value")).alias("value"))
-
-
 _S_DRAWS = f"(sqrt(-2 * ln({s_uniform('n-length', 'c_custkey')})) * cos({2 * math.pi!r}::double * {s_uniform('n-angle', 'c_custkey')}))"
 
 

@@ -79,9 +79,11 @@ class _Last:
 
 
 def delta(df: DataFrame, timeout: float | None = None) -> DataFrame:
-    """delta: value minus the one before it, 0 at first."""
+    """delta: value minus the one before it, 0 at first. df may have a column reset: the value before is forgotten, as at the start of a session."""
 
     def step(last: _Last, row) -> tuple[float]:
+        if getattr(row, "reset", None):
+            last.value = None
         change = 0.0 if last.value is None else float(row.value) - last.value
         last.value = float(row.value)
         return (change,)
@@ -112,7 +114,14 @@ class LikelihoodState:
 
 
 def likelihood(df: DataFrame, p: Likelihood, timeout: float | None = None) -> DataFrame:
-    return keyed(df, lambda: LikelihoodState(p), lambda s, row: (s.step(float(row.value)),), "likelihood double", timeout)
+    """df may have a column reset: all that was learned is forgotten before the row, as at the start of a session."""
+
+    def step(s: LikelihoodState, row) -> tuple[float]:
+        if getattr(row, "reset", None):
+            s.__init__(p)
+        return (s.step(float(row.value)),)
+
+    return keyed(df, lambda: LikelihoodState(p), step, "likelihood double", timeout)
 
 
 def pooler(df: DataFrame, p: spatial_pooler.PoolerParams, learn: bool = True, timeout: float | None = None) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from quillon.errors import DimensionMismatch, InvalidDimensions, SdrError
 from quillon.functions import kernels, sdr, sql
-from quillon.operators import anomaly, classifier, connections, encoders, metrics, spatial_pooler, temporal_memory, ticks, topology, windows
+from quillon.operators import anomaly, blocked, classifier, connections, encoders, metrics, nearest, ranges, slices, spatial_pooler, temporal_memory, ticks, topology, windows
 from quillon.operators.encoders import finance, probability, signal, spatial, text, vision
-from quillon.sources import ecg, model_io
+from quillon.sources import model_io
 
 
 def value(spark, *columns):
@@ -397,6 +397,49 @@ def test_ticks_against_the_learner(spark):
         assert {s for s, (c, _) in own.items() if c == "punish"} == {s for s in np.flatnonzero(potential >= 2).tolist() if m.cells[s] // 3 not in cols}
 
 
+@pytest.mark.parametrize("limit", [10**6, 20])
+def test_deltas_against_the_learner(spark, limit):
+    """What records learn in a tick on one graph, and their next tick on the graph and its deltas, are those of learners with a copy each."""
+    p = replace(MEMORY, max_synapses=limit, reinforce_on="winner" if limit > 20 else "active")
+    m = temporal_memory.Memory(p)
+    data = column_series(60, 4)
+    for cols in data:
+        m.compute(np.array(cols, np.int64))
+    state = dict(zip([f.split()[0] for f in temporal_memory.STATE.split(", ")], m.export(), strict=True))
+    graph = spark.createDataFrame([("s", *m.export())], "series string, " + temporal_memory.STATE)
+    segments, synapses = temporal_memory.segments(graph).drop("series").cache(), temporal_memory.synapses(graph).drop("series").cache()
+    draw = random.Random(2)
+    records = []
+    for k in range(25):
+        before = sorted(draw.sample(range(90), 15))
+        records.append((k, before, [] if k == 3 else before[::3], data[k] if k != 4 else [], data[k + 1]))
+    df = spark.createDataFrame(records, "id int, before array<int>, winners array<int>, cols array<int>, then array<int>")
+    made = ticks.deltas(df, segments, synapses, ["id"], p).cache()
+    rows, learners, first = made.collect(), {}, []
+    for k, before, winners, cols, then in records:
+        one = learners[k] = temporal_memory.Memory(p, state)
+        one.active, one.winners = np.array(before, np.int64), np.array(winners, np.int64)
+        first.append((k, one.compute(np.array(cols, np.int64))["active_cells"], then))
+        graph, cell = {}, {}
+        for s in range(m.used):
+            graph[s], cell[s] = dict(zip(*(x.tolist() for x in m.synapses_of(s)), strict=True)), int(m.cells[s])
+        for r in (r for r in rows if r.id == k):
+            assert graph.setdefault(r.segment, {}).get(r.presyn) == r.was and r.perm != r.was and r.new == (r.segment >= m.used)
+            graph[r.segment][r.presyn], cell[r.segment] = r.perm, r.cell
+        mine = sorted((cell[s], sorted((c, round(v, 9)) for c, v in own.items() if v is not None)) for s, own in graph.items() if cell[s] >= 0)
+        theirs = sorted((int(one.cells[s]), sorted((c, round(v, 9)) for c, v in zip(*(x.tolist() for x in one.synapses_of(s)), strict=True))) for s in range(one.used) if one.cells[s] >= 0)
+        if limit > 20:
+            assert mine == theirs
+        else:  # which of many take part is drawn
+            assert [(c, len(x)) for c, x in mine] == [(c, len(x)) for c, x in theirs]
+    if limit > 20:
+        again = spark.createDataFrame(first, "id int, before array<int>, cols array<int>")
+        got = {r.id: r for r in ticks.compute(again, segments, synapses, ["id"], p, deltas=made).collect()}
+        for k, _, then in first:
+            tick = learners[k].compute(np.array(then, np.int64), learn=False)
+            assert (got[k].active_cells, got[k].winner_cells, got[k].predicted_cells) == (sorted(tick["active_cells"]), sorted(tick["winner_cells"]), tick["predicted_cells"])
+
+
 def test_memory_goes_on(spark, tmp_path):
     """Learning in two halves, saved and loaded between them, gives the rows of learning at once."""
     p = temporal_memory.MemoryParams(columns=(30,), cells_per_column=3, activation=3, min_threshold=2, initial=0.45, max_new=4)
@@ -504,6 +547,12 @@ def test_pooling_with_and_without_a_join(spark, monkeypatch, limit):
     df = spark.createDataFrame(list(enumerate(rows)), "id int, bits array<int>")
     got = {r.id: r.active for r in spatial_pooler.pool(df, syn, ["id"], "bits", p).collect()}
     assert got == {k: s.compute(np.array(b or [], np.int64), False)[0].tolist() for k, b in enumerate(rows)}
+    boost = [1.0 + (c * 7 % 5) / 4 for c in range(40)]
+    boosts = spark.createDataFrame(list(enumerate(boost)), "column int, boost double").where("boost <> 1")
+    got = {r.id: r.active for r in spatial_pooler.pool(df, syn, ["id"], "bits", p, boosts).collect()}
+    for k, bits in enumerate(rows):
+        o = s.overlap(np.array(bits or [], np.int64))
+        assert got[k] == sorted(sorted(range(40), key=lambda c: (-o[c] * boost[c], c))[: p.winners])  # noqa: B023
     for wrap in (False, True):
         q = replace(p, global_inhibition=False, wrap=wrap)
         got = {r.id: r.active for r in spatial_pooler.pool(df, syn, ["id"], "bits", q).collect()}
@@ -522,6 +571,26 @@ def test_pooling_with_and_without_a_join(spark, monkeypatch, limit):
     assert act == want
 
 
+@pytest.mark.parametrize("synapses_each, rows_each", [(7, 4), (40, 1000), (10**6, 3)])
+def test_blocked_products(spark, monkeypatch, synapses_each, rows_each):
+    """Blocks, parts of a hot input, and groups of rows; bits and inputs that the other side lacks."""
+    monkeypatch.setattr(blocked, "BLOCK_SYNAPSES", synapses_each)
+    monkeypatch.setattr(blocked, "GROUP_ROWS", rows_each)
+    monkeypatch.setattr(blocked, "CELLS", 20)
+    draw = random.Random(synapses_each)
+    syn = {(c, draw.choice([5, 5, *range(0, 300, 7)])): draw.random() for c in range(0, 90, 3) for _ in range(6)}
+    rows = [(k, draw.choice("ab"), sorted(draw.sample(range(310), 40)) if k % 5 else []) for k in range(20)] + [(99, "a", None)]
+    df = spark.createDataFrame(rows, "id int, s string, bits array<int>")
+    got = blocked.activity(df, spark.createDataFrame([(c, i, p) for (c, i), p in syn.items()], "segment int, presyn int, perm double"), ["s", "id"], "bits", 0.5)
+    want = {}
+    for k, s, bits in rows:
+        for (c, i), p in syn.items():
+            if i in (bits or []):
+                a, b = want.get((s, k, c), (0, 0))
+                want[s, k, c] = (a + (p >= 0.5), b + 1)
+    assert {(r.s, r.id, r.segment): (r.connected, r.potential) for r in got.collect()} == want
+
+
 def test_classifier_goes_on(spark):
     draw = random.Random(5)
     rows = [(s, k, sorted(draw.sample(range(50), 6)), draw.randrange(4), k == 13) for s in "ab" for k in range(40)]
@@ -609,7 +678,7 @@ def test_metrics(spark):
 
 
 def test_windows(spark):
-    e = ecg.generate(spark, [("n", "normal", 1)], 500)
+    e = spark.range(500).select(F.lit("n").alias("series"), F.col("id").alias("seq"), F.sin(F.col("id") / 7).alias("value"))
     w = windows.count_windows(e, ["series"], ["seq"], "value", 50)
     assert w.count() == 10
     f = w.select(windows.features(F.col("samples")).alias("f"))
@@ -623,7 +692,8 @@ def test_hybrid_score_meets_every_baseline(spark, tmp_path, monkeypatch):
     draw = random.Random(5)
     rows = [(u, k, 1000 * u + k, draw.uniform(0, 500)) for u in [3 * j for j in range(1, 131)] for k in range(20)]
     spark.createDataFrame(rows, "user_id long, ts long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
-    monkeypatch.setattr(windows, "BLOCK", 50)  # several blocks on both sides
+    monkeypatch.setattr(nearest, "BLOCK", 20)  # several blocks and groups of rows
+    monkeypatch.setattr(nearest, "ROWS", 30)
     monkeypatch.setattr(windows, "RANGES", 7)
     got = {(r.user_id, r.win): r for r in catalog.hybrid_score(spark, str(tmp_path)).collect()}
     all_windows = {(r.user_id, r.win): (set(r.bits), r.f) for r in catalog.scored_windows(spark, str(tmp_path)).collect()}

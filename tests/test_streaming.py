@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import encoders, spatial_pooler, temporal_memory
+from quillon.operators import encoders, slices, spatial_pooler, temporal_memory
 from quillon.operators.anomaly import Likelihood
 from quillon.operators.classifier import Classifier
 from quillon.streaming import stateful
@@ -45,6 +45,20 @@ def test_likelihood(spark, tmp_path):
     assert all(abs(got[r.series, r.seq] - r.likelihood) < 1e-9 for r in want)
 
 
+@pytest.mark.parametrize("kind", ["delta", "likelihood"])
+def test_sessions_in_a_stream(spark, tmp_path, kind):
+    """A stream with reset flags gives what the batch form gives by session."""
+    p, flag = Likelihood(3, 4, 2), F.col("seq") % 7 == 3
+    make = stateful.delta if kind == "delta" else lambda s: stateful.likelihood(s, p)
+    got = {(r.series, r.seq): r[kind] for r in stream(spark, tmp_path, 24, 3, lambda s: make(s.withColumn("reset", flag)))}
+    by_session = slices.sessions(spark.createDataFrame(rows(24), SCHEMA), ["series"], ["seq"], flag, [], slices=3)
+    keys = (["series", "session"], ["seq"])
+    want = slices.delta(by_session, "value", *keys, slices=3) if kind == "delta" else slices.likelihood(by_session, "value", *keys, p, slices=3)
+    want = want.select("series", "seq", "session", kind).collect()
+    assert len(got) == 48 and max(r.session for r in want) == 4
+    assert all(abs(got[r.series, r.seq] - r[kind]) < 1e-9 for r in want)
+
+
 def test_memory(spark, tmp_path):
     p = temporal_memory.MemoryParams(columns=(50,), cells_per_column=3, activation=2, min_threshold=1, initial=0.5)
     cols = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i + F.col("seq") % 4 * 10).cast("int"))
