@@ -100,22 +100,29 @@ def words(text: Column) -> Column:
 SPREAD_ROWS = 1000
 
 
-def spread_join(rows: DataFrame, partners: DataFrame, key: str, copies: str, by: list[str]) -> DataFrame:
-    """rows joined with the one row of ``partners`` that has their key, however many rows share a key.
+def hashable(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """The columns of df, all or some, in a form that hashes take: those that hold maps as JSON."""
+    return [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in columns or df.columns]
 
-    ``copies`` is a column of partners with the number of rows that have the key. A key of more than SPREAD_ROWS rows is
+
+def spread_join(rows: DataFrame, partners: DataFrame, key: str | list[str], copies: str, by: list[str | Column], total: int | None = None) -> DataFrame:
+    """rows joined with the rows of ``partners`` that have their key, however many rows share a key.
+
+    ``copies`` is a column of partners with the number of rows that have the key, and ``total`` their sum. A key of more than SPREAD_ROWS rows is
     dealt over as many salts as it needs, by a hash of the columns ``by``. Such keys are broadcast: the limit rises with the number of rows so that there
     are 100,000 of them at most. The column copies goes.
     """
-    total = partners.agg(F.sum(copies)).first()[0] or 0
+    if total is None:
+        total = partners.agg(F.sum(copies)).first()[0] or 0
     limit = max(SPREAD_ROWS, total // 100_000)
+    key = [key] if isinstance(key, str) else key
     salt, salts = unused("salt", [*rows.columns, *partners.columns]), unused("salts", [*rows.columns, *partners.columns])
     pieces = F.ceil(F.col(copies) / limit).cast("int")
-    heavy = partners.where(F.col(copies) > limit).select(key, pieces.alias(salts))
+    heavy = partners.where(F.col(copies) > limit).select(*key, pieces.alias(salts)).distinct()
     dealt = rows.join(F.broadcast(heavy), key, "left")
     dealt = dealt.withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.col(salts)).cast("int"), F.lit(0))).drop(salts)
     spread = partners.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop(copies)
-    return dealt.join(spread, [key, salt]).drop(salt)
+    return dealt.join(spread, [*key, salt]).drop(salt)
 
 
 # ---- numpy side: runs inside tasks --------------------------------------------------------------------------------
