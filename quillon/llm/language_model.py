@@ -2,7 +2,8 @@
 
 Tokens are ASCII-lower-cased words and one end per text. Token counts are taken over all training rows. The *units* of
 the model are the most frequent words: all with MIN_COUNT tokens or more, up to ROOT * sqrt(N) of N training tokens, so
-their number grows with the input; HEAD bounds it, which bounds what is broadcast. The SINGLES most frequent ones and
+their number grows with the input; the head bounds it, which bounds what is broadcast: some 150 bytes a word, 40 MB for HEAD
+words, which bind from 1.7e10 tokens on. A larger head is a parameter; words outside it are scored all the same. The SINGLES most frequent ones and
 the end are classes of their own. The other words form classes by their last two bytes (a frequent ending is split by a
 hash, rare ones share a class), so that a class has about as many units as there are classes; one more unit of each
 class, its *rest*, stands for its words that are no units.
@@ -13,10 +14,11 @@ for the rest that of the word within the rest, which is its add-0.1 share with o
 levels are normalised over all their members by batched matrix products, so the probabilities of a context add up to 1.
 
 Training is noise-contrastive at both levels, by mini-batches of consecutive tokens in numpy: noise classes are shared by
-a batch, noise units are drawn from the token's own class. The training rows are dealt to ROUNDS by a hash, each row to
-one round. In a round every partition trains a copy of the parameters on its rows, and the round ends with the copies'
-mean, a vector's copies weighted by how often each partition has used it; the first, small rounds keep the copies of the
-later ones from drifting apart.
+a batch, noise units are drawn from the token's own class. Copies of the model are trained side by side, each on some
+WORKER_TOKENS tokens; their number follows the tokens, not the partitions of docs, so that a copy makes as many steps
+at any size. The training rows are dealt to ROUNDS by a hash, each row to one round, and within a round to the copies.
+Each copy draws noise of its own. A round ends with the copies' mean change of each vector, weighted by how often each
+copy has used it; the first, small rounds keep the copies of the later ones from drifting apart.
 
 Words meet their counts by 64-bit hashes. The counts of the HEAD most frequent words are broadcast; all others are
 joined by a shuffle, in which no word is hotter than the least of the head.
@@ -29,6 +31,7 @@ null ids are scored row by row; a null doc_id counts as the empty text for the f
 from __future__ import annotations
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +43,15 @@ CONTEXT = 5
 HEAD = 1 << 18
 MIN_COUNT, ROOT = 16, 2
 SINGLES, ENDINGS = 63, 32
-NOISE, NOISE_UNITS, BATCH, RATE = 32, 4, 2048, 0.1
+NOISE, NOISE_UNITS, RATE = 32, 4, 0.1
+#: Tokens of a mini-batch: so few that a copy makes STEPS steps, between these bounds.
+BATCH, STEPS = (256, 3072), 1024
 #: The first size of context vectors; and the sixteenths of the training rows that each round learns from.
 SPREAD, ROUNDS = 0.5, (1, 3, 12)
+#: Tokens that a copy of the model is trained on, at least or so, and for each vector of the model.
+WORKER_TOKENS, TOKENS_A_VECTOR = 1 << 22, 64
+#: Tokens of a permutation of mini-batches.
+PASS_TOKENS = 1 << 19
 ADD = 0.1
 #: The end's hash.
 END = 1
@@ -167,19 +176,21 @@ class Vocabulary:
         return count, unit
 
 
-def vocabulary(all_counts: DataFrame) -> Vocabulary:
+def vocabulary(all_counts: DataFrame, most: int | None = None) -> Vocabulary:
+    """The vocabulary with a head of ``most`` words, by default HEAD; it bounds the units, too."""
+    most = most or HEAD
     total = all_counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     kind_n = np.zeros(KINDS)
     for r in all_counts.where(F.col("h") != END).groupBy("kind").agg(F.sum("c").alias("n")).collect():  # KINDS rows at most
         kind_n[r["kind"]] = r["n"]
     level = F.floor(64 * F.log2("c")).cast("int")
-    room, least = HEAD, 0
+    room, least = most, 0
     for r in sorted(all_counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # 64 levels for each doubling
         if r["count"] > room:
             least = r["level"] + 1
             break
         room -= r["count"]
-    head = all_counts.where((level >= least) | (F.col("h") == END)).select("h", "c", "kind").toArrow()  # HEAD + 1 rows at most
+    head = all_counts.where((level >= least) | (F.col("h") == END)).select("h", "c", "kind").toArrow()  # most + 1 rows at most
     h, c, kind = (head.column(k).to_numpy().astype(np.int64) for k in range(3))
     order = np.lexsort((h, -c))
     words = Vocabulary(h[order], c[order], kind[order], total["n"] or 0, total["v"], kind_n)
@@ -338,42 +349,74 @@ def _gap(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(x, -20, 20)))
 
 
-def train(spark: SparkSession, docs: DataFrame, words: Vocabulary, text: str = "text", rounds: tuple[int, ...] = ROUNDS) -> Model:
-    """Averages, round by round, the copies that all partitions of docs train."""
+def workers(tokens: int, vectors: int) -> int:
+    """The number of copies that are trained side by side: it follows the tokens, not the partitions they come in.
+
+    A copy of a large model takes more tokens, so that what copies send stays a part of the input.
+    """
+    return max(1, round(tokens / max(WORKER_TOKENS, TOKENS_A_VECTOR * vectors)))
+
+
+def batch_size(tokens: int, copies: int) -> int:
+    return int(min(max(tokens / copies / STEPS, BATCH[0]), BATCH[1]))
+
+
+def train(spark: SparkSession, docs: DataFrame, words: Vocabulary, text: str = "text", rounds: tuple[int, ...] = ROUNDS, copies: int | None = None) -> Model:
+    """Merges, round by round, the copies that the workers train on rows of docs dealt out anew by a hash."""
+    import pyarrow as pa
+
     model = Model.new(words)
+    copies = copies or workers(words.n, sum(len(t) for t in model.tables))
+    batch_tokens = batch_size(words.n, copies)
     by_class = np.add.reduceat(words.unit_count, words.start[:-1])
     noise = np.cumsum(np.sqrt(by_class + 1))
     noise /= noise[-1]
     first_row = np.concatenate([[0], np.cumsum([len(t) for t in model.tables])])
     vector = [f"v{k}" for k in range(WIDTH)]
-    deal, begin = F.pmod(F.xxhash64(text), F.lit(sum(rounds))), 0
+    deal, begin = F.xxhash64("doc_id", text), 0
+    known = spark.sparkContext.broadcast(words)
+
+    def as_units(batches):
+        """Each text as its units, with its hash."""
+        for batch in batches:
+            deals = batch.column(0)
+            for k, j, h, kind, first in _tokens(as_bytes(batch.column(1))):
+                unit = known.value.look_up(h, kind)[1].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([deals.slice(k, j - k), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(unit))], ["deal", "units"])
+
     for number, size in enumerate(rounds):
-        shared = spark.sparkContext.broadcast((words, model))
+        shared = spark.sparkContext.broadcast(model)
 
         def run(batches, number=number, shared=shared):
-            import pyarrow as pa
-
-            words, old = shared.value
-            own, draw = Model([t.copy() for t in old.tables], old.start), np.random.default_rng(number)
+            old = shared.value
+            own, draw = Model([t.copy() for t in old.tables], old.start), np.random.default_rng((number, TaskContext.get().partitionId()))
             scale = [np.full(len(t), 0.1, np.float32) for t in own.tables]
             used = [np.zeros(len(t), np.int64) for t in own.tables]
             for batch in batches:
-                for _, _, h, kind, first in _tokens(as_bytes(batch.column(0))):
-                    seq, _ = sequence(words.look_up(h, kind)[1], first, words.units)
-                    for k in draw.permutation(range(CONTEXT, len(seq), BATCH)).tolist():
-                        own.train(seq[k - CONTEXT : k + BATCH], noise, draw, scale, used)
-            for table, times, row in zip(own.tables, used, first_row, strict=False):
+                lists = batch.column(0)
+                first = lists.offsets.to_numpy().astype(np.int64)
+                unit = lists.flatten().to_numpy().astype(np.int64)
+                cuts = np.unique(np.r_[np.searchsorted(first, np.arange(0, len(unit), PASS_TOKENS) + first[0]), len(first) - 1])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    part = first[a : b + 1] - first[0]
+                    seq, _ = sequence(unit[part[0] : part[-1]], part - part[0], words_units)
+                    for k in draw.permutation(range(CONTEXT, len(seq), batch_tokens)).tolist():
+                        own.train(seq[k - CONTEXT : k + batch_tokens], noise, draw, scale, used)
+            for table, before, times, row in zip(own.tables, old.tables, used, first_row, strict=False):
                 rows = np.flatnonzero(times)
-                yield pa.RecordBatch.from_arrays([pa.array((row + rows).astype(np.int32)), pa.array(times[rows]), *(pa.array(x) for x in table[rows].T)], ["k", "n", *vector])
-
-        parts = docs.where(deal.between(begin, begin + size - 1)).select(text).mapInArrow(run, f"k int, n long, {', '.join(f'{x} float' for x in vector)}")
-        mean = parts.groupBy("k").agg(*[(F.sum(F.col("n") * F.col(x)) / F.sum("n")).cast("float").alias(x) for x in vector]).toArrow()  # a row for each vector
-        rows, values = mean.column("k").to_numpy(), np.stack([mean.column(x).to_numpy() for x in vector], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array((row + rows).astype(np.int32)), pa.array(times[rows]), *(pa.array(x) for x in (table[rows] - before[rows]).T)], ["k", "n", *vector])
+
+        words_units = words.units
+        mine = docs.select(deal.alias("deal"), F.col(text).alias("text")).where(F.pmod("deal", F.lit(sum(rounds))).between(begin, begin + size - 1))
+        dealt = mine.mapInArrow(as_units, "deal long, units array<int>").repartition(copies, "deal").select("units")
+        parts = dealt.mapInArrow(run, f"k int, n long, {', '.join(f'{x} float' for x in vector)}")
+        merged = parts.groupBy("k").agg(*[(F.sum(F.col("n") * F.col(x)) / F.sum("n")).cast("float").alias(x) for x in vector]).toArrow()  # a row for each vector
+        rows, values = merged.column("k").to_numpy(), np.stack([merged.column(x).to_numpy() for x in vector], axis=1)
         tables = []
         for table, row in zip(model.tables, first_row, strict=False):
             mine, table = (rows >= row) & (rows < row + len(table)), table.copy()
-            table[rows[mine] - row] = values[mine]
-            tables.append(table)
+            table[rows[mine] - row] += values[mine]
+            tables.append(table.astype(np.float32))
         model, begin = Model(tables, words.start), begin + size
         shared.unpersist()
     return model
@@ -431,11 +474,11 @@ def score(spark: SparkSession, docs: DataFrame, all_counts: DataFrame, words: Vo
 _PARTS = ["row", "doc_id", "head", "h", "n", "known", "base", "lm"]
 
 
-def fit_and_score(spark: SparkSession, docs: DataFrame, learning: Column) -> DataFrame:
-    """Scores of all rows of docs (doc_id, text) by a model of the rows where ``learning`` holds; train_tokens is N."""
+def fit_and_score(spark: SparkSession, docs: DataFrame, learning: Column, head: int | None = None) -> DataFrame:
+    """Scores of all rows of docs (doc_id, text) by a model of the rows where ``learning`` holds; train_tokens is N. For head see vocabulary()."""
     docs = docs.select("doc_id", "text")
     own = docs.where(learning)
     all_counts = stage_table(spark, counts(own), "token-counts")
-    words = vocabulary(all_counts)
+    words = vocabulary(all_counts, head)
     model = train(spark, own, words)
     return score(spark, docs, all_counts, words, model).withColumn("train_tokens", F.lit(words.n).cast("long"))
