@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, mix, stage_table, text_chunks
+from .common import as_bytes, mix, stage_table, text_chunks, unused
 
 BUCKETS = 10_000
 MAX_TARGET = 50_000
@@ -75,7 +75,7 @@ def log_ratios(docs: DataFrame, target: Column, text: str = "text") -> np.ndarra
 def weigh(spark: SparkSession, docs: DataFrame, ratios: np.ndarray, keep: list[Column], text: str = "text") -> DataFrame:
     """The columns ``keep`` of docs with n_grams and log_weight."""
     shared = spark.sparkContext.broadcast(ratios)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows = docs.select(*keep, F.col(text).alias(unused("text", docs.select(*keep).columns)))
 
     def run(batches):
         import pyarrow as pa
@@ -88,7 +88,7 @@ def weigh(spark: SparkSession, docs: DataFrame, ratios: np.ndarray, keep: list[C
                 w.append(np.diff(total[first]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(n)), pa.array(np.concatenate(w))], [*batch.schema.names[:-1], "n_grams", "log_weight"])
 
-    fields = [f for f in rows.schema if f.name != "__text"]
+    fields = rows.schema.fields[:-1]
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("n_grams", T.LongType()), T.StructField("log_weight", T.DoubleType())]))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage_table
+from .common import stage_table, unused
 
 SIZE = 3
 HASHES = 2
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filters:
 def predict(spark: SparkSession, docs: DataFrame, filters: Filters, keep: list[Column], text: str = "text") -> DataFrame:
     """The columns ``keep`` of docs with lang_pred and score; one pass without a shuffle."""
     shared = spark.sparkContext.broadcast(filters)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows = docs.select(*keep, F.col(text).alias(unused("text", docs.select(*keep).columns)))
 
     def run(batches):
         import pyarrow as pa
@@ -173,5 +173,5 @@ def predict(spark: SparkSession, docs: DataFrame, filters: Filters, keep: list[C
             made = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "lang_pred", "score"])
 
-    fields = [f for f in rows.schema if f.name != "__text"]
+    fields = rows.schema.fields[:-1]
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -24,13 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage_table
+from .common import hashable, spread_join, stage_table, unused
 from .components import components
 from .fingerprint import simhash
 
 BITS, DISTANCE = 64, 4
-#: Parts in which a class of fingerprints meets its least id.
-SALTS = 16
 
 
 def fingerprints(docs: DataFrame, keep: list[Column], text: str = "text") -> DataFrame:
@@ -43,8 +41,8 @@ def fingerprints(docs: DataFrame, keep: list[Column], text: str = "text") -> Dat
             fp = np.array([simhash(x) for x in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    return rows.mapInArrow(run, T.StructType([*[f for f in rows.schema if f.name != "__text"], T.StructField("fp", T.LongType())]))
+    rows = docs.select(*keep, F.col(text).alias(unused("text", docs.select(*keep).columns)))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def _sums(fps: DataFrame, size: int, count) -> np.ndarray:
@@ -222,7 +220,7 @@ def links(spark: SparkSession, fps: DataFrame, distance: int = DISTANCE) -> Data
     schema = "part int, signature long, fp long"
     ask, have = fps.select("fp").mapInArrow(probing, schema).alias("q"), fps.select("fp").mapInArrow(data, schema).alias("d")
     near = F.expr(f"q.part = d.part and q.signature = d.signature and q.fp > d.fp and bit_count(q.fp ^ d.fp) <= {distance}")
-    return ask.join(have.hint("shuffle_hash"), near).select(F.col("q.fp").alias("a"), F.col("d.fp").alias("b")).distinct()
+    return ask.join(have, near).select(F.col("q.fp").alias("a"), F.col("d.fp").alias("b")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", distance: int = DISTANCE, keep: list[Column] | None = None) -> DataFrame:
@@ -231,16 +229,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", di
     component_id is the smallest doc_id reachable; root is a fingerprint (as a long) that stands for the class.
     """
     prints = stage_table(spark, fingerprints(docs, [F.col("doc_id"), *(keep or [])], text), "fingerprints")
-    distinct = stage_table(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    distinct = stage_table(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "distinct-fingerprints")
     roots = components(spark, links(spark, distinct.select("fp"), distance))
     member = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least_id", "root")
+    rooted = distinct.join(member, distinct.fp == member.node, "left").select("fp", "least_id", "copies", "root")
     rooted = stage_table(spark, rooted, "rooted-fingerprints")
-    # A class may hold a third of all fingerprints: its members meet its least id in SALTS parts. Others are their own class.
     linked = rooted.where("root is not null")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    linked = linked.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"])
-    alone = rooted.where("root is null").select("fp", F.col("least_id").alias("component_id"), F.col("fp").alias("root"))
-    classes = linked.select("fp", "component_id", "root").unionByName(alone)
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    linked = spread_join(linked, least, "root", "members", by=["fp"])
+    alone = rooted.where("root is null").select("fp", F.col("least_id").alias("component_id"), F.col("fp").alias("root"), "copies")
+    classes = linked.select("fp", "component_id", "root", "copies").unionByName(alone)
     own = [c for c in prints.columns if c != "fp"]
-    return prints.join(classes, "fp").select(*own, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+    met = spread_join(prints, classes, "fp", "copies", by=hashable(prints, own))
+    return met.select(*own, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")

@@ -14,7 +14,8 @@ Consecutive windows that share their minimiser form a super-k-mer, which is pack
 
 Null and empty texts have no words. Texts shorter than a window lose nothing. Rows with a null doc_id neither lose words
 nor make others lose any, having no place in the order; rows that repeat a doc_id are judged one by one and don't affect each other.
-Windows are judged on the input, not on what is left. Other columns don't take part.
+Windows are judged on the input, not on what is left. Ids that aren't integers are numbered in their order first. Other
+columns pass through, whatever their names and types, but for those called like a result, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordChunk, as_bytes, mix, stage_table, text_chunks
+from .common import SPREAD_ROWS, WordChunk, as_bytes, mix, spread_join, stage_table, text_chunks, unused
 
 WINDOW, RUN = 50, 8
 #: Distinct strings of a bucket that one task sorts.
@@ -277,22 +278,32 @@ def merge_slices(spark: SparkSession, rows: DataFrame) -> DataFrame:
     return by(answers.unionByName(kmers), "h", "slice", "kind").mapInArrow(settle, _RUNS)
 
 
+def ordered_ids(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(id, number): a long for each distinct doc_id, in their order, whatever their type."""
+    ids = docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = ids.repartitionByRange(parts, "id").sortWithinPartitions("id")  # row numbers rise with the range, and within it
+    return stage_table(spark, ids.select("id", F.monotonically_increasing_id().alias("number")), "ordered-ids")
+
+
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, tag, gone): for each document that loses words, array<struct<from, to>> of word ranges, to exclusive.
 
-    tag is a hash of the text, which tells rows of the same doc_id apart.
+    docs: (doc_id long, text, tag), without null ids. tag is a hash of the text, which tells rows of the same doc_id apart.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag"))
     own = stage_table(spark, minimisers(docs), "minimisers")
-    shared = stage_table(spark, own.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "shared-minimisers")
-    hs = own.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    shared = stage_table(spark, own.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("times")).where("a < b").select("h", "times"), "shared-minimisers")
+    hs = spread_join(own, shared, "h", "times", by=["doc_id"]).groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
     kmers = stage_table(spark, packed(docs.join(hs, "doc_id")), "super-k-mers")
-    distinct = kmers.groupBy("d1", "d2").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("words").alias("words"))
+    distinct = kmers.groupBy("d1", "d2").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("words").alias("words"), F.count("*").alias("times"))
     distinct = stage_table(spark, distinct, "distinct-super-k-mers")
     crowded = stage_table(spark, distinct.groupBy("h").agg(F.count("*").alias("crowd")).where(F.col("crowd") > BUCKET), "crowded")
     runs = sort_buckets(distinct.join(crowded, "h", "left_anti"))
     runs = stage_table(spark, runs.unionByName(merge_slices(spark, distinct.join(crowded, "h"))), "runs")
-    hit = kmers.select("d1", "d2", "doc_id", "tag", "start").join(runs, ["d1", "d2"]).where("least < doc_id")
+    total = kmers.count()
+    often = distinct.where(F.col("times") > max(SPREAD_ROWS, total // 100_000)).select("d1", "d2", "times")  # 100,000 rows at most
+    runs = runs.join(F.broadcast(often), ["d1", "d2"], "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    hit = spread_join(kmers.select("d1", "d2", "doc_id", "tag", "start"), runs, ["d1", "d2"], "times", by=["doc_id", "start"], total=total).where("least < doc_id")
     begin = F.col("start") + F.col("off")
     span = F.struct(begin.alias("from"), (begin + F.col("len") + (WINDOW - 1)).alias("to"))
     return hit.groupBy("doc_id", "tag").agg(F.collect_list(span).alias("gone"))
@@ -305,9 +316,18 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, text: bool = True) -> D
     name of one of these is replaced.
     """
     made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept", T.StringType())] * text
-    fields = [f for f in docs.schema if f.name not in {"text", *(m.name for m in made)}]
-    gone = removals(spark, docs).withColumnsRenamed({"doc_id": "__id", "tag": "__tag", "gone": "__gone"})
-    rows = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__tag")), "left").select(*[f.name for f in fields], "text", "__gone")
+    fields = [f for f in docs.schema if f.name.lower() not in {"text", *(m.name for m in made)}]
+    names = [f.name for f in fields]
+    number, tag, away = (unused(c, docs.columns) for c in ("id_number", "text_tag", "gone_words"))
+    numbered = docs.withColumn(tag, F.xxhash64("text"))
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        numbered = numbered.withColumn(number, F.col("doc_id").cast("long"))
+    else:
+        ids = ordered_ids(spark, docs)
+        numbered = numbered.join(ids.withColumnsRenamed({"id": unused("id_value", docs.columns), "number": number}), F.col("doc_id") == F.col(unused("id_value", docs.columns)), "left")
+    gone = removals(spark, numbered.select(F.col(number).alias("doc_id"), "text", F.col(tag).alias("tag")).where("doc_id is not null"))
+    same = (numbered[number] == gone["doc_id"]) & (numbered[tag] == gone["tag"])
+    rows = numbered.join(gone, same, "left").select(*[numbered[c] for c in names], numbered["text"], gone["gone"].alias(away))
 
     def run(batches):
         import pyarrow as pa
@@ -329,7 +349,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, text: bool = True) -> D
                 if text:
                     kept.append(joined if ranges else x)
             out = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(sums, pa.string())] + [pa.array(kept, pa.binary()).cast(pa.string())] * text
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *out], [*[f.name for f in fields], *[m.name for m in made]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], *out], [*names, *[m.name for m in made]])
 
     return rows.mapInArrow(run, T.StructType(fields + made))
 

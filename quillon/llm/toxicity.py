@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, stage_table
+from .common import fold, stage_table, unused
 
 FEATURES = 1 << 18
 MAX_ROWS, MAX_WORDS = 12_000, 20_000_000
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_ROWS, max_wor
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The columns ``keep`` of docs with score and predicted; one pass without a shuffle."""
     shared = spark.sparkContext.broadcast(model)  # FEATURES weights
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows = docs.select(*keep, F.col(text).alias(unused("text", docs.select(*keep).columns)))
 
     def run(batches):
         import pyarrow as pa
@@ -165,7 +165,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[Column]
             made = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "score", "predicted"])
 
-    fields = [f for f in rows.schema if f.name != "__text"]
+    fields = rows.schema.fields[:-1]
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage_table
+from .common import stage_table, unused
 
 MARK = "▁"
 BYTE_LOG_PROB = -16.0
@@ -260,7 +260,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram
     ``vocabulary`` is the path of a vocabulary file, which only the driver reads; its pieces are broadcast.
     """
     shared = spark.sparkContext.broadcast(Unigram.from_file(vocabulary) if isinstance(vocabulary, str) else vocabulary)
-    rows = docs.select(*keep, F.col(text).alias("__text"))
+    rows = docs.select(*keep, F.col(text).alias(unused("text", docs.select(*keep).columns)))
 
     def run(batches):
         import pyarrow as pa
@@ -286,6 +286,6 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: str | Unigram
             made = [pa.array(np.array(n_words, np.int64)), pa.array(np.array(n_tokens, np.int64))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "n_words", "n_tokens"])
 
-    fields = [f for f in rows.schema if f.name != "__text"]
+    fields = rows.schema.fields[:-1]
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 

@@ -357,6 +357,30 @@ def test_language_model(spark, sf, table):
         assert -r.s / r.n * math.log2(10) < 12.8 < 13.5 < -r.b / r.n * math.log2(10)
 
 
+def held_out_bits(df):
+    r = df.where("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    return -r.s / r.n * math.log2(10)
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    held_out = common.fold(F.col("doc_id"), 10) == 0
+    table = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    bits = [held_out_bits(language_model.fit_and_score(spark, table.repartition(n), ~held_out).withColumn("held_out", held_out)) for n in (1, 24)]
+    assert max(bits) < 12.85 and max(bits) - min(bits) < 0.15
+
+
+def test_language_model_workers(spark, monkeypatch):
+    """Their number follows tokens and vectors; several of them train one model."""
+    assert language_model.workers(0, 10) == language_model.workers(1 << 22, 1000) == 1
+    assert language_model.workers(1 << 30, 1000) == 256 and language_model.workers(1 << 30, 1 << 20) == 16
+    monkeypatch.setattr(language_model, "WORKER_TOKENS", 10_000)
+    held_out = common.fold(F.col("doc_id"), 10) == 0
+    table = common.table(spark, "/root/testdata/sf0.001", "documents")
+    got = language_model.fit_and_score(spark, table, ~held_out).withColumn("held_out", held_out)
+    r = got.where("held_out").agg(F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert held_out_bits(got) < -r.b / r.n * math.log2(10)
+
+
 def test_language_model_tail(spark, monkeypatch):
     monkeypatch.setattr(language_model, "HEAD", 8)  # nearly all words meet their counts by the shuffle
     held_out = common.fold(F.col("doc_id"), 10) == 0
@@ -655,3 +679,42 @@ def test_bpe_forgets(monkeypatch):
     want = list(pair_bpe.Encoder(tables)(texts))
     monkeypatch.setattr(pair_bpe, "CACHE_WORDS", 20)
     assert list(pair_bpe.Encoder(tables)(texts)) == want
+
+
+# ---- names and types of other columns
+
+CLASHES = "__id __tag __gone __text __hash id_number text_tag id_value gone tag number c0 c1 n digest sketch node v salt salts copies fp root least_id __target".split()
+
+
+def with_clashes(df):
+    """df with columns called like inner ones, a map, and a column whose name needs quotes."""
+    return df.withColumns({c: F.lit(f"mine {c}") for c in CLASHES}).withColumn("kinds", F.create_map(F.lit("a"), F.lit(1))).withColumn("a b", F.lit(2))
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op12_whitening", "op13_hard_negatives")])
+def test_other_columns(spark, tmp_path, name):
+    """Each operator gives the same rows whatever other columns documents have."""
+    rows = [(k, " ".join(f"word{(k // 2 * 7 + j) % 90}" for j in range(60))) for k in range(12)] + [(20, None), (21, "")]
+    plain = docs(spark, rows).drop("h", "row")
+    for folder, df in (("plain", plain), ("clash", with_clashes(plain))):
+        df.write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame([(k, k % 2, k % 3 == 0) for k in range(12)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int")).write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    a, b = (queries.QUERIES[name](spark, f"{tmp_path}/{folder}") for folder in ("plain", "clash"))
+    plain_columns = [c for c in a.columns if c != "score"]
+    assert set(a.columns) <= set(b.columns)
+    assert Counter(map(str, a.select(plain_columns).collect())) == Counter(map(str, b.select(plain_columns).collect()))
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "timestamp"])
+def test_substring_ids_of_any_type(spark, kind):
+    """Words go from the document with the greater id, by the order of its type."""
+    passage, ids = [f"p{k}" for k in range(60)], [3, 20, 100]
+    rows = [(k, " ".join([f"a{k}x{j}" for j in range(5)] + passage)) for k in ids] + [(None, " ".join(passage)), (7, None)]
+    made = docs(spark, rows)
+    typed = with_clashes(made.withColumn("doc_id", F.timestamp_seconds("doc_id") if kind == "timestamp" else F.col("doc_id").cast(kind)))
+    out = substring_dedup.deduplicate(spark, typed)
+    assert set(CLASHES) <= set(out.columns) and out.where("`__id` = 'mine __id'").count() == len(rows)
+    gone = {str(r.doc_id): r.n_removed for r in out.collect()}
+    first = {"string": "100", "decimal(20,2)": "3.00", "timestamp": "1970-01-01 00:00:03"}[kind]
+    assert sorted(gone.values()) == [0, 0, 0, 60, 60] and gone[first] == 0

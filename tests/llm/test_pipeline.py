@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quillon.llm import common, decontamination, quality_rules
 
-from .test_llm import ODD, SCHEMA, brute_base, brute_simhash, brute_substring, docs
+from .test_llm import CLASHES, ODD, SCHEMA, brute_base, brute_simhash, brute_substring, docs, with_clashes
 
 
 def stage(name):
@@ -88,3 +88,14 @@ def test_columns_that_are_called_like_results(spark, sf, name):
     after = stage(name)(spark, df, sf)
     assert after.columns == df.columns and dict(after.dtypes) == dict(df.dtypes)
     assert all(r[c] == f"mine {c}" for r in after.collect() for c in own)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_columns_of_any_name_and_type(spark, sf, name):
+    long = " ".join(f"word{k}" for k in range(70))
+    df = with_clashes(docs(spark, [(1, long), (2, long + " more"), (3, None)]))
+    after = stage(name)(spark, df, sf)
+    if name != "bpe":
+        assert after.columns == df.columns and dict(after.dtypes) == dict(df.dtypes)
+        assert all(r[c] == f"mine {c}" for r in after.collect() for c in CLASHES)
+    assert after.count() >= (0 if name == "quality_rules" else 1)
