@@ -11,7 +11,7 @@ of documents (doc_id, text, lang, source, n_chars, and whatever else docs has).
 * bpe: the tokens of each document: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
 Empty tables pass through. A null text fails the quality rules. Rows that repeat a doc_id within a class: one stays. Other
-columns pass through, whatever their names.
+columns pass through, whatever their names and types (those with maps are compared as JSON).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import decontamination, pair_bpe, simhash_dedup, substring_dedup
 from quillon.llm import quality_rules as rules
-from quillon.llm.common import remove_stage_tables, stage_paths, stage_table, table, unused
+from quillon.llm.common import hashable, remove_stage_tables, stage_paths, stage_table, table, unused
 from quillon.llm.queries import vocabulary
 
 
@@ -40,7 +40,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays. Rows are told apart by two 64-bit hashes of all their columns, which texts meet in the end."""
     keys = [unused(f"row_key_{n}", docs.columns) for n in (1, 2)]
-    marked = docs.withColumns({k: F.xxhash64(F.lit(n), *docs.columns) for n, k in enumerate(keys, 1)})
+    marked = docs.withColumns({k: F.xxhash64(F.lit(n), *hashable(docs)) for n, k in enumerate(keys, 1)})
     classes = simhash_dedup.near_duplicates(spark, marked, keep=[F.col(k) for k in keys])
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", *keys)
     stays = classes.groupBy("root").agg(F.min(order).alias("first")).select(*[F.col("first")[k].alias(k) for k in keys])
@@ -59,7 +59,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that contain no item. Rows are told apart by two 64-bit hashes of all their columns, as in simhash."""
-    key = F.struct(*[F.xxhash64(F.lit(n), *docs.columns).alias(f"k{n}") for n in (1, 2)])
+    key = F.struct(*[F.xxhash64(F.lit(n), *hashable(docs)).alias(f"k{n}") for n in (1, 2)])
     row = unused("row_key", docs.columns)
     marked = docs.withColumn(row, key)
     hit = decontamination.contained(marked, table(spark, sf_dir, "benchmark"), doc_id=row).select("doc_id.k1", "doc_id.k2").distinct()
