@@ -52,8 +52,8 @@ WORDS = 8
 PARITIES = [f"o{k}" for k in range(WORDS)]
 #: A pivot's link is looked for if the two meet in this share of the lists that one of them needs.
 PIVOT_SHARE = 0.15
-#: Up to so many list keys or nodes are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1 << 20
+#: Up to so many list keys or nodes, some 100 MB, are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 21
 #: Texts that are read at a time.
 TEXTS = 500
 _PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
