@@ -844,7 +844,8 @@ def tick_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     segments = spark.range(160).select(s.alias("segment"), (s * 37 % 256).alias("cell"))
     rows = spark.range(160).select("id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
     synapses = rows.select(s.alias("segment"), ((s * 31 + i * 17) % 256).alias("presyn"), ((s * 7 + i * 13) % 100 / F.lit(100.0)).alias("perm"))
-    e = event_bits(spark, sf)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: small tables mean much work here
+    e = t(spark, sf, "events").select("event_id", "value").repartition(parts, "event_id").select("event_id", VALUE.encode(F.col("value")).alias("bits"))
     return e.select("event_id", F.transform("bits", lambda b: b * 7 % 256).alias("before"), F.transform("bits", lambda b: b * 5 % 64).alias("cols")), segments, synapses
 
 
@@ -915,8 +916,8 @@ def tm_deltas(spark, sf):
 def tm_next_tick(spark, sf):
     """The segments that match when a record meets the same cells again, after what its first tick has taught."""
     records, segments, synapses = learning_ticks(spark, sf)
-    taught = ticks.deltas(records, segments, synapses, ["event_id"], LEARNING_TICK)
-    act = ticks.segment_activity(records, segments, synapses, ["event_id"], LEARNING_TICK, deltas=taught)
+    taught = ticks.learned(records, segments, synapses, ["event_id"], LEARNING_TICK)
+    act = ticks.segment_activity(taught, segments, synapses, ["event_id"], LEARNING_TICK, deltas="deltas")
     return act.where("matching").select("event_id", "segment", "cell", "connected", "potential")
 
 
