@@ -16,8 +16,8 @@ from . import blocked
 EPSILON = 1e-6
 #: Synapse tables of so many rows travel to every task, larger ones are joined by a shuffle.
 BROADCAST_SYNAPSES = 2_000_000
-#: Counts (row, segment) that a task holds at a time.
-CELLS = 1 << 22
+#: Counts (row, segment) that a task holds at a time; few enough for a core's cache, with a row's keys and lists beside them.
+CELLS = 1 << 18
 #: Parts in which new segments are numbered.
 PARTS = 256
 
