@@ -1,12 +1,18 @@
-"""Joins by ranges as equality joins: overlapping intervals by dyadic buckets, points within a radius by grid cells."""
+"""Joins by ranges without nested loops: overlapping intervals by dyadic buckets, points within a radius by strips of the plane."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Points of a cell that meet their neighbours in one task, or so; cells that may be split at most, which bounds what is broadcast.
-CELL_ROWS, SPLIT_CELLS = 256, 100_000
+#: Points of a strip, or so; strips at most; points of a tile that one task counts.
+STRIP_ROWS, MAX_STRIPS, CELL_ROWS = 200_000, 1024, 1_000_000
+#: Searching a row costs a point as much as so many comparisons; points that search at a time; pairs compared at a time.
+SEARCH_COST, QUERY_ROWS, PAIRS = 40.0, 1 << 14, 1 << 16
 
 
 def dyadic_nodes(low: Column, high: Column, levels: int) -> Column:
@@ -58,26 +64,146 @@ def overlaps(df: DataFrame, group: list[str], low: str, high: str, keys: list[st
     return df.select(*keys).join(found, keys, "left").withColumn("overlapping", F.coalesce("overlapping", F.lit(0)))
 
 
+def strip_counts(x: np.ndarray, y: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+    """For each point of ``own`` (places) the points within the radius, itself included.
+
+    Points lie in rows of y, sorted by x. In each row those that are near enough at any y of the row are counted by two
+    binary searches; only those between the row's least and greatest reach are compared one by one.
+    """
+    if not len(own) or not len(x):
+        return np.zeros(len(own), np.int64)
+    # Rows so high that searching them costs about as much as comparing what is left between their reaches.
+    low, wide = y.min(), int(np.ptp(x) / radius) + 1
+    _, crowd = np.unique(np.floor((y - low) / radius).astype(np.int64) * wide + np.floor((x - x.min()) / radius).astype(np.int64), return_counts=True)
+    density = float((crowd.astype(float) ** 2).sum()) / len(x) / (radius * radius)  # as a point sees it on average
+    height = min(radius, max(math.sqrt(SEARCH_COST / density), radius / 256))
+    row = np.floor((y - low) / height).astype(np.int64)
+    order = np.lexsort((x, row))
+    sx, sy, begin = x[order], y[order], np.searchsorted(row[order], np.arange(int(row.max()) + 2))
+    out = np.zeros(len(own), np.int64)
+    own_row, square, slack = row[own], radius * radius, 1e-9
+    by_row = np.lexsort((x[own], own_row))
+    reach = int(math.ceil(radius / height)) + 1
+    starts = np.flatnonzero(np.r_[True, np.diff(own_row[by_row]) != 0])
+    for a, b in zip(starts, np.r_[starts[1:], len(by_row)], strict=True):
+        r = int(own_row[by_row[a]])
+        for k in range(a, b, QUERY_ROWS):
+            mine = by_row[k : min(k + QUERY_ROWS, b)]
+            qx, qy = x[own[mine]], y[own[mine]]
+            for other in range(max(0, r - reach), min(len(begin) - 2, r + reach) + 1):
+                first, last = begin[other], begin[other + 1]
+                if first == last:
+                    continue
+                bottom, top = low + other * height, low + (other + 1) * height
+                near = np.maximum(0.0, np.maximum(bottom - qy, qy - top)) * (1 - slack)
+                far = np.maximum(np.abs(bottom - qy), np.abs(top - qy)) * (1 + slack) + slack * height
+                outer = np.sqrt(np.maximum(square - near * near, 0.0)) * (1 + slack) + slack * radius
+                inner = np.sqrt(np.maximum(square - far * far, 0.0)) * (1 - slack) - slack * radius
+                inner = np.where(far < radius, inner, -1.0)
+                line = sx[first:last]
+                left, right = np.searchsorted(line, qx - outer, "left"), np.searchsorted(line, qx + outer, "right")
+                sure_left, sure_right = np.searchsorted(line, qx - inner, "left"), np.searchsorted(line, qx + inner, "right")
+                sure = (inner > 0) & (sure_right > sure_left)
+                sure_left, sure_right = np.where(sure, sure_left, right), np.where(sure, sure_right, right)
+                out[mine] += sure_right - sure_left
+                for p, q in ((left, sure_left), (sure_right, right)):
+                    n = np.maximum(q - p, 0)
+                    for i, j in pieces(n, PAIRS):
+                        m = n[i:j]
+                        at = np.arange(m.sum()) + np.repeat(p[i:j] - (np.cumsum(m) - m), m) + first
+                        of = np.repeat(np.arange(i, j), m)
+                        dx, dy = qx[of] - sx[at], qy[of] - sy[at]
+                        out[mine[i:j]] += np.bincount(of[dx * dx + dy * dy <= square] - i, minlength=j - i)
+    return out
+
+
+def pieces(n: np.ndarray, most: int):
+    """Runs (i, j) of n whose sums are at most ``most``, or single entries."""
+    total, i = np.r_[0, np.cumsum(n)], 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + most, "right")) - 1)
+        if total[j] > total[i]:
+            yield i, j
+        i = j
+
+
+def cut_between(found: list[float], least: float) -> np.ndarray:
+    """Ascending cuts with at least ``least`` between neighbours."""
+    out: list[float] = []
+    for c in found:
+        if not out or c - out[-1] >= least:
+            out.append(c)
+    return np.array(out)
+
+
 def neighbours(df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
     """(key, neighbours): for each row the number of other rows whose point is within the radius, its edge included.
 
-    Cells have the radius' width, so that neighbours are in a point's cell or the eight around it. A cell of more than
-    CELL_ROWS points is split: its points are dealt over parts, each of which gets all points around. Rows with a null or
-    non-finite coordinate have no neighbours. key tells rows apart.
+    The plane is cut into strips of x, none narrower than 2 radii, of about STRIP_ROWS points where the points allow it. A
+    strip's task gets its own points and those within the radius around, so that a point is sent to two strips at most;
+    it counts without spelling pairs out, see strip_counts(). A strip that holds more, as when very many points share an x, is cut
+    by y in the same way, and what is left over CELL_ROWS is dealt over parts, each of which gets all points of the tile. Rows with
+    a null or non-finite coordinate have no neighbours. key tells rows apart and isn't null.
     """
-    width = radius * (1 + 1e-9)  # a pair at the radius is at most one cell apart in spite of rounding
     usable = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
     points = df.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(usable)
-    points = points.withColumn("cx", F.floor(F.col("x") / width)).withColumn("cy", F.floor(F.col("y") / width))
-    limit = max(CELL_ROWS, points.count() // SPLIT_CELLS)
-    crowded = points.groupBy("cx", "cy").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts")).where("parts > 1")
-    crowded = F.broadcast(crowded)  # SPLIT_CELLS rows at most
-    own = points.join(crowded, ["cx", "cy"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.lit(0)))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = points.select(F.col("key").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy", F.explode(steps).alias("s"))
-    around = around.select("other", "ox", "oy", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
-    around = around.join(crowded, ["cx", "cy"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    met = own.join(around.drop("parts"), ["cx", "cy", "part"]).where((dx * dx + dy * dy <= radius * radius) & (F.col("key") != F.col("other")))
-    found = met.groupBy("key").agg(F.count("*").alias("neighbours"))
-    return df.select(key).join(found.withColumnRenamed("key", key), key, "left").select(key, F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+    reach, least = radius * (1 + 1e-9), 2.001 * radius  # a pair at the radius meets in spite of rounding
+    total = points.count()
+
+    def cuts(column: str) -> np.ndarray:
+        n = min(MAX_STRIPS, -(-total // STRIP_ROWS))
+        if n < 2:
+            return np.zeros(0)
+        return cut_between(points.agg(F.percentile_approx(column, [k / n for k in range(1, n)], 20 * n)).first()[0], least)
+
+    x_cuts = cuts("x")
+
+    def place(c: Column, of: np.ndarray) -> Column:
+        if not len(of):
+            return F.lit(0)
+        step = math.isqrt(len(of) - 1) + 1
+        groups = [of[k : k + step].tolist() for k in range(0, len(of), step)]
+        group = F.size(F.filter(F.lit([g[-1] for g in groups]), lambda v: v <= c))
+        inner = F.array(*[F.lit(g) for g in groups])
+        rest = F.when(group < len(groups), F.size(F.filter(F.element_at(inner, F.least(group + 1, F.lit(len(groups)))), lambda v: v <= c))).otherwise(0)
+        return F.least(group * step, F.lit(len(of))) + rest
+
+    def spread(rows: DataFrame, column: str, of: np.ndarray, name: str) -> DataFrame:
+        """rows once for each strip that they reach into."""
+        c = F.col(column)
+        return rows.withColumn(name, F.explode(F.sequence(place(c - reach, of), place(c + reach, of))))
+
+    tiles = points.withColumn("tx", place(F.col("x"), x_cuts))
+    crowded = [r["tx"] for r in tiles.groupBy("tx").agg(F.count("*").alias("n")).where(F.col("n") > 2 * STRIP_ROWS).collect()]  # MAX_STRIPS at most
+    y_cuts = cuts("y") if crowded else np.zeros(0)
+    in_crowd = F.col("tx").isin(crowded) if crowded else F.lit(False)
+
+    def tiled(rows: DataFrame, halo: bool) -> DataFrame:
+        rows = spread(rows, "x", x_cuts, "tx") if halo else rows.withColumn("tx", place(F.col("x"), x_cuts))
+        if not len(y_cuts):
+            return rows.withColumn("ty", F.lit(0))
+        ends = (place(F.col("y") - reach, y_cuts), place(F.col("y") + reach, y_cuts)) if halo else (place(F.col("y"), y_cuts),) * 2
+        return rows.withColumn("ty", F.explode(F.when(in_crowd, F.sequence(*ends)).otherwise(F.array(F.lit(0)))))
+
+    # own: the tile in which a point is counted; all its other tiles only see it.
+    seen = tiled(points, True).withColumn("own", (F.col("tx") == place(F.col("x"), x_cuts)) & (F.lit(not len(y_cuts)) | ~in_crowd | (F.col("ty") == place(F.col("y"), y_cuts))))
+    sizes = tiled(points, False).groupBy("tx", "ty").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts")).where("parts > 1")
+    seen = seen.join(F.broadcast(sizes), ["tx", "ty"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # MAX_STRIPS ** 2 rows at most, in fact few
+    seen = seen.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    seen = seen.withColumn("own", F.col("own") & (F.pmod(F.xxhash64("key"), F.col("parts")) == F.col("part")))
+
+    def count(table):
+        import pyarrow as pa
+
+        mine = table.column("own").to_numpy()
+        place_ = np.flatnonzero(mine)
+        found = strip_counts(table.column("x").to_numpy(), table.column("y").to_numpy(), place_, radius) - 1
+        return pa.table([table.column("key").take(pa.array(place_)).cast(kind), pa.array(found)], ["key", "neighbours"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(points.schema["key"].dataType)
+    schema = T.StructType([points.schema["key"], T.StructField("neighbours", T.LongType())])
+    found = seen.select("key", "x", "y", "own", "tx", "ty", "part").groupBy("tx", "ty", "part").applyInArrow(count, schema)
+    unusable = df.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where(~F.coalesce(usable, F.lit(False)))
+    return found.unionByName(unusable.select("key", F.lit(0).cast("long").alias("neighbours"))).withColumnRenamed("key", key)

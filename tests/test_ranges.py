@@ -186,3 +186,14 @@ def test_neighbours(spark, monkeypatch):
     for k, x, y in rows:
         want = sum(j != k and v is not None and x is not None and (x - v) * (x - v) + (y - w) * (y - w) <= 2.25 for j, v, w in rows)
         assert got[k] == want
+
+
+@pytest.mark.parametrize("strip, cell", [(40, 1000), (15, 30)])
+def test_neighbours_in_strips_and_tiles(spark, monkeypatch, strip, cell):
+    """Crowded points are sent to a few tiles each, not to as many tasks as their cell has neighbours."""
+    monkeypatch.setattr(ranges, "STRIP_ROWS", strip)
+    monkeypatch.setattr(ranges, "CELL_ROWS", cell)
+    draw = random.Random(10)
+    rows = [(k, draw.choice([0.0, 3.0, draw.gauss(0, 9)]), float(draw.choice([draw.randrange(40), draw.uniform(0, 4)]))) for k in range(300)]
+    got = {r.id: r.neighbours for r in ranges.neighbours(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 1.5).collect()}
+    assert got == {k: sum(j != k and (x - v) * (x - v) + (y - w) * (y - w) <= 2.25 for j, v, w in rows) for k, x, y in rows}
