@@ -124,15 +124,19 @@ def _steps(values: Column) -> Column:
     return F.zip_with(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))), lambda b, a: b - a)
 
 
-def hrv_metrics(rr: Column) -> Column:
-    """struct(mean_rr, sdnn, rmssd, pnn50) of at least two intervals in ms, else null."""
+def hrv_metrics(rr: Column, unit: float = 1.0) -> Column:
+    """struct(mean_rr, sdnn, rmssd, pnn50) of at least two intervals of so many ms, else null.
+
+    Means and steps are taken in rr's own numbers and scaled then, so that scaling intervals that are exactly 50 ms apart
+    doesn't put them on one side or the other.
+    """
     n, rr = F.size(rr), rr.cast("array<double>")
-    mean = _sum(rr) / n
-    sd = F.sqrt(_sum(F.transform(rr, lambda x: (x - mean) * (x - mean))) / (n - 1))
-    steps = _steps(rr)
+    mean, ms = _sum(rr) / n, F.lit(float(unit))
+    sd = F.sqrt(_sum(F.transform(rr, lambda x: (x - mean) * (x - mean))) / (n - 1)) * ms
+    steps = F.transform(_steps(rr), lambda d: d * ms)
     rmssd = F.sqrt(_sum(F.transform(steps, lambda d: d * d)) / (n - 1))
     pnn = F.size(F.filter(steps, lambda d: F.abs(d) > 50)) / (n - 1) * 100.0
-    return F.when(n >= 2, F.struct(mean.alias("mean_rr"), sd.alias("sdnn"), rmssd.alias("rmssd"), pnn.alias("pnn50")))
+    return F.when(n >= 2, F.struct((mean * ms).alias("mean_rr"), sd.alias("sdnn"), rmssd.alias("rmssd"), pnn.alias("pnn50")))
 
 
 def beats_per_minute(mean_rr: Column) -> Column:

@@ -548,8 +548,7 @@ def hrv_metrics(spark, sf):
 @query("enc_hrv", f"""with {_S_WINDOWS}, m as (select user_id, win, list_avg(s) * 20 as mean_rr, list_stddev_samp(s) * 20 as sdnn, list_transform(range(9), lambda k: (s[k + 2] - s[k + 1]) * 20) as d from w)
   select user_id, win, {s_csv(s_runs((s_share('mean_rr', 400.0, 1500.0), 50, 10), (s_share('sdnn', 10.0, 200.0), 40, 8), (s_share('sqrt(list_sum(list_transform(d, lambda x: x * x)) / 9)', 10.0, 150.0), 40, 8), (s_share('len(list_filter(d, lambda x: abs(x) > 50)) / 9 * 100.0', 0.0, 100.0), 30, 6)))} as bits from m""")
 def enc_hrv(spark, sf):
-    rr = F.transform("samples", lambda x: x * 20)
-    return user_windows(spark, sf).select("user_id", "win", csv(E.HrvEncoder().encode(signal.hrv_metrics(rr))).alias("bits"))
+    return user_windows(spark, sf).select("user_id", "win", csv(E.HrvEncoder().encode(signal.hrv_metrics(F.col("samples"), 20.0))).alias("bits"))
 
 
 _S_ECG = [s_run(f"({s_clamp(f'u[{k + 1}]', -250.0, 250.0)} + 250.0) / 500.0", 10, 3, 10 * k) for k in range(10)]
