@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,10 +138,35 @@ def sign_bits(rows: np.ndarray, planes: np.ndarray) -> list[int]:
     return [sum(w for w, s in zip(weight, row, strict=True) if s) for row in signs.tolist()]
 
 
+#: Elements, or characters of text, that bits_udf() hands on at a time.
+UDF_ELEMENTS = 1 << 18
+
+
+def runs_of_rows(columns: Sequence, most: int) -> list[tuple[int, int]]:
+    """Runs (i, j) of the rows of Arrow columns with about so many elements or characters, whatever the batch has."""
+    size = np.ones(len(columns[0]), np.int64)
+    for c in columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            size += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(c.type) or pa.types.is_large_list(c.type):
+            size += c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(size)]
+    return [(i, j) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
+
+
 def bits_udf(function: Callable) -> Callable[..., Column]:
-    """An Arrow UDF that returns bits: function gets pandas Series and returns a list of bit lists, None for null."""
-    @F.pandas_udf(BITS)
-    def udf(*columns: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else sorted(set(r)) for r in function(*columns)], dtype=object)
+    """An Arrow UDF that returns bits: function gets pandas Series and returns a list of bit lists, None for null.
+
+    A batch has thousands of rows, each as long as its text, and Python objects for all its words are many times as large: only the
+    rows of about UDF_ELEMENTS elements are Python objects at a time.
+    """
+    @F.arrow_udf(BITS)
+    def udf(*columns: pa.Array) -> pa.Array:
+        parts = []
+        for i, j in runs_of_rows(columns, UDF_ELEMENTS):
+            some = [c.slice(i, j - i).to_pandas() for c in columns]
+            parts.append(pa.array([None if r is None else sorted(set(r)) for r in function(*some)], pa.list_(pa.int32())))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return udf
