@@ -13,7 +13,8 @@ miss with a probability below 1e-10, by the choice of the hash and not of the te
 2. In each list all nodes meet one of them, the pivot: the one whose lists are the longest, as that of the text that others vary. The components of these links tell which lists hold a single class.
 3. In the other lists, nodes of other classes than the list's largest meet all nodes of other classes than theirs. A join
    compares their *parities* first: of each of 64 x WORDS hashed buckets, whether it has an odd number of the set's shingles. Two
-   sets have no fewer shingles in one of them only than parities differ, so that no link is lost.
+   sets have no fewer shingles in one of them only than parities differ, so that no link is lost. Near copies of different
+   classes have most lists in common; a pair is left out where one of the last lists of both is the same, as it has met there or before.
 
 So a group of near copies is joined by as many pairs as it has members, or so, and pairs are spelled out only between
 classes. A pair passes the union of its sketches: below the smaller of the two last retained hashes both are complete. What one
@@ -54,6 +55,8 @@ PARITIES = [f"o{k}" for k in range(WORDS)]
 PIVOT_SHARE = 0.15
 #: Up to so many list keys or nodes, some 100 MB, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 21
+#: Lists before a list, of the same node, that its row carries so as to tell pairs that have met already.
+EARLIER = 4
 #: Texts that are read at a time.
 TEXTS = 500
 _PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -252,18 +255,25 @@ def pivot_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return times.where(F.col("times") >= PIVOT_SHARE * F.col("needed")).select("a", "b")
 
 
-def pairs_between(lists: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of nodes of two classes that a list holds and whose sizes allow a link, each once."""
-    known = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def class_meetings(lists: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes of two classes that a list holds and whose sizes allow a link, not much more than once each."""
+    known = lists.select("v", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = known.groupBy("v", "root").agg(F.count("*").alias("members"))
     largest = sizes.groupBy("v").agg(F.max_by("root", F.struct("members", "root")).alias("largest"), F.count("*").alias("classes"))
-    known = known.join(largest.where("classes > 1"), "v").join(nodes.select("node", *PARITIES), "node")
+    # Lists of several classes only: whatever two nodes of two classes share is among them. Their first common list by v is never left out.
+    known = known.join(largest.where("classes > 1"), "v").withColumn("earlier", F.collect_list("v").over(Window.partitionBy("node").orderBy("v").rowsBetween(-EARLIER, -1)))
+    known = known.join(nodes.select("node", *PARITIES), "node")
     x, y = known.where("root <> largest").alias("x"), known.alias("y")
     both = F.col("x.n") + F.col("y.n")
     apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITIES), F.lit(0))
     fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (apart <= both - 2 * F.ceil(percent * both / (100 + percent)))
-    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & fits)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.root") != F.col("y.root")) & fits & ~F.arrays_overlap("x.earlier", "y.earlier"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
+def pairs_between(lists: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes of two classes that a list holds and whose sizes allow a link, each once."""
+    return class_meetings(lists, nodes, roots, percent).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", percent: int = PERCENT, keep: list[Column] | None = None) -> DataFrame:

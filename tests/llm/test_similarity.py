@@ -275,3 +275,17 @@ def test_hard_negatives_sql(spark, sf, tmp_path):
     duckdb.sql(f"create or replace view embeddings as select * from '{sf}/embeddings.parquet'")
     mine, theirs = duckdb.sql(f"select * from '{tmp_path}/x/*.parquet' order by all"), duckdb.sql(f"select * from ({queries.ORACLE_SQL['op13_hard_negatives']}) order by all")
     assert mine.columns == theirs.columns and mine.types == theirs.types and mine.fetchall() == theirs.fetchall() != []
+
+
+def test_nodes_of_two_classes_meet_about_once(spark):
+    """Sixty lists hold forty near copies, each of them most: pairs are those of a common list, and not spelled out in each."""
+    draw = random.Random(5)
+    rows = [(v, node, 100, 60, 1) for node in range(40) for v in range(60) if draw.random() < 0.8] + [(v, 100 + v % 3, 100, 60, 1) for v in range(55, 58)]
+    lists = spark.createDataFrame(rows, "v long, node long, n long, needed long, weight long")
+    nodes = spark.createDataFrame([(k, *[0] * minhash_dedup.WORDS) for k in {r[1] for r in rows}], ["node", *minhash_dedup.PARITIES])
+    roots = spark.createDataFrame([(k, 0) for k in range(1, 10)], "node long, root long")
+    met = [tuple(r) for r in minhash_dedup.class_meetings(lists, nodes, roots, 85).collect()]
+    of = {k: {r[0] for r in rows if r[1] == k} for k in {r[1] for r in rows}}
+    root = {k: 0 if k < 10 else k for k in of}
+    assert set(met) == {(a, b) for a in of for b in of if a < b and root[a] != root[b] and of[a] & of[b]}
+    assert len(met) < 4 * len(set(met))
