@@ -794,3 +794,22 @@ def test_sql_functions(spark):
     sql.register(spark)
     r = spark.sql("select sdr_overlap(array(1,2,3), array(2,3,4)) as o, anomaly_score(array(1,2), array(2)) as a, encode_scalar(50D, 0D, 100D, 100, 5) as e").first()
     assert r.o == 2 and r.a == 0.5 and r.e == [48, 49, 50, 51, 52]
+
+
+def test_cell_statistics_read_ticks_once(spark, tmp_path):
+    """Ticks may be the work of a sequential learner: they are counted in one pass, whatever nulls they have."""
+    rows = [([1, 2, 3], [2, 9], 0.6), ([2, 3], [], 0.5), ([], [3], 1.0), (None, [1], 0.9), ([3, None], None, None), ([7], [7, 1], 0.7)]
+    passes = tmp_path / "passes"
+    passes.mkdir()
+
+    def slow(batches):
+        for k, batch in enumerate(batches):
+            (passes / f"{__import__('uuid').uuid4().hex}-{k}").write_text("")
+            yield batch
+
+    ticks = spark.createDataFrame(rows, "active_cells array<int>, predicted_cells array<int>, anomaly double").coalesce(1)
+    ticks = ticks.mapInArrow(slow, ticks.schema)
+    found = {r["cell"]: tuple(r)[1:] for r in windows.cell_statistics(ticks).collect()}
+    assert found == {1: (1, 0, 1, 1 / 6, 0.0), 2: (2, 1, 1, 2 / 6, 0.5), 3: (3, 0, 1, 3 / 6, 0.0), 7: (1, 1, 1, 1 / 6, 1.0)}
+    assert len(list(passes.iterdir())) == 1
+    assert windows.cell_statistics(ticks.limit(0)).count() == 0
