@@ -137,14 +137,14 @@ def randomize(key: Column, size: int, share: float, seed: int = 0) -> Column:
     if n == 0:
         return F.when(key.isNotNull(), no_bits())
     drawn = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.struct(F.xxhash64(F.lit(seed), key, b).alias("h"), b.alias("b")))
-    return F.when(key.isNotNull(), F.array_sort(F.transform(F.slice(F.array_sort(drawn), 1, n), lambda x: x["b"])))
+    return F.when(key.isNotNull(), F.sort_array(F.transform(F.slice(F.sort_array(drawn), 1, n), lambda x: x["b"])))
 
 
 def add_noise(bits: Column, key: Column, size: int, share: float, seed: int = 0) -> Column:
     """Moves round(active * share) bits to places that were inactive, drawn by a hash of key and seed."""
 
     def drawn(pool: Column, n: Column, salt: int) -> Column:
-        order = F.array_sort(F.transform(pool, lambda b: F.struct(F.xxhash64(F.lit(seed + salt), key, b).alias("h"), b.alias("b"))))
+        order = F.sort_array(F.transform(pool, lambda b: F.struct(F.xxhash64(F.lit(seed + salt), key, b).alias("h"), b.alias("b"))))
         return F.transform(F.slice(order, 1, n), lambda x: x["b"])
 
     free = F.array_except(F.sequence(F.lit(0), F.lit(size - 1)), bits)

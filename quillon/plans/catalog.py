@@ -35,6 +35,11 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by its key over as many partitions as a shuffle has: a number of its own, as small files can mean much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def r6(c: Column) -> Column:
     """Rounded to 6 digits, without a negative zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -125,7 +130,7 @@ def sdr_concatenate(spark, sf):
 @query("sdr_dense", "select c_custkey, array_to_string(list_transform(range(64), lambda i: case when i % 7 = c_custkey % 7 then 1 else 0 end), '') as dense, cast(len(list_filter(range(64), lambda i: i % 7 = c_custkey % 7)) as bigint) as active, round(len(list_filter(range(64), lambda i: i % 7 = c_custkey % 7)) / 64, 6) as sparsity from customer")
 def sdr_dense(spark, sf):
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: i % 7 == F.col("c_custkey") % 7)
-    c = t(spark, sf, "customer").select("c_custkey", bits.alias("b")).select("c_custkey", "b", sdr.to_dense(F.col("b"), 64).alias("d"))
+    c = spread(t(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", bits.alias("b")).select("c_custkey", "b", sdr.to_dense(F.col("b"), 64).alias("d"))
     back = sdr.from_dense(F.col("d"))
     return c.select("c_custkey", F.array_join(F.col("d").cast("array<string>"), "").alias("dense"), F.size(back).cast("long").alias("active"), r6(sdr.sparsity(back, 64)).alias("sparsity"))
 
@@ -139,7 +144,7 @@ def sdr_coordinates(spark, sf):
 
 @query("sdr_noise")
 def sdr_noise(spark, sf):
-    e = t(spark, sf, "customer").select("c_custkey", sdr.randomize(F.col("c_custkey"), 200, 0.1, 3).alias("b"))
+    e = spread(t(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", sdr.randomize(F.col("c_custkey"), 200, 0.1, 3).alias("b"))
     noisy = sdr.add_noise(F.col("b"), F.col("c_custkey"), 200, 0.25, 4)
     return e.select("c_custkey", F.size("b").alias("active"), F.size(noisy).alias("active_noisy"), sdr.overlap(F.col("b"), noisy).alias("overlap"))
 
@@ -843,8 +848,7 @@ def tick_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     segments = spark.range(160).select(s.alias("segment"), (s * 37 % 256).alias("cell"))
     rows = spark.range(160).select("id", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
     synapses = rows.select(s.alias("segment"), ((s * 31 + i * 17) % 256).alias("presyn"), ((s * 7 + i * 13) % 100 / F.lit(100.0)).alias("perm"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: small tables mean much work here
-    e = t(spark, sf, "events").select("event_id", "value").repartition(parts, "event_id").select("event_id", VALUE.encode(F.col("value")).alias("bits"))
+    e = spread(t(spark, sf, "events").select("event_id", "value"), "event_id").select("event_id", VALUE.encode(F.col("value")).alias("bits"))
     return e.select("event_id", F.transform("bits", lambda b: b * 7 % 256).alias("before"), F.transform("bits", lambda b: b * 5 % 64).alias("cols")), segments, synapses
 
 

@@ -27,3 +27,9 @@ def test_query(spark, sf, duck, tmp_path, name):
     assert sorted(mine.columns) == sorted(theirs.columns)
     cols = ", ".join(f'"{c}"' for c in sorted(mine.columns))
     assert sorted(map(repr, mine.project(cols).fetchall())) == sorted(map(repr, theirs.project(cols).fetchall()))
+
+
+def test_small_files_are_dealt_over_the_tasks(spark, sf):
+    """A row of these queries is much work, and their table is one small file."""
+    for name in ("sdr_noise", "sdr_dense"):
+        assert catalog.QUERIES[name](spark, sf).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
