@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: Points of a strip, or so; strips at most; points of a tile that one task counts.
 STRIP_ROWS, MAX_STRIPS, CELL_ROWS = 200_000, 1024, 1_000_000
+#: Rows of a group of intervals that one task sorts.
+GROUP_ROWS = 500_000
 #: Searching a row costs a point as much as so many comparisons; points that search at a time; pairs compared at a time.
 SEARCH_COST, QUERY_ROWS, PAIRS = 40.0, 1 << 14, 1 << 16
 
@@ -55,8 +57,104 @@ def interval_pairs(df: DataFrame, group: list[str], low: str, high: str, columns
     return met.where(first).select(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
 
 
-def overlaps(df: DataFrame, group: list[str], low: str, high: str, keys: list[str]) -> DataFrame:
-    """(keys, overlapping, greatest): for each row the number of other intervals of its group that overlap its own, and the length of the greatest overlap, null without one. keys tell rows apart and aren't null."""
+def sweep(group: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(overlapping, greatest) of intervals with low <= high, sorted by (group, low): the others of its group that overlap each, and the length of the greatest overlap, 0 without one."""
+    n = len(group)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.searchsorted(group, group, "left")
+    end = np.searchsorted(group, group, "right")
+    # Others begin no later than this one ends, but for those that have ended before. Values become ranks, so that a group and a value are one number.
+    values = np.unique(np.concatenate([low, high]))
+    span, lows, highs = len(values), np.searchsorted(values, low), np.searchsorted(values, high)
+    begun = np.searchsorted(group * span + lows, group * span + highs, "right") - first
+    ended = np.searchsorted(np.sort(group * span + highs), group * span + lows, "left") - first
+    # Of those before a row, the one that ends last overlaps most.
+    reach = np.maximum.accumulate(group * span + highs)
+    before = np.r_[0, reach[:-1]] - group * span
+    met = (np.arange(n) > first) & (before >= lows)
+    most = np.where(met, np.minimum(high, values[np.clip(before, 0, span - 1)]) - low + 1, 0)
+    # It looks at those that begin after it while one of them can overlap more.
+    ahead, k = np.arange(n), 1
+    while len(ahead):
+        ahead = ahead[ahead + k < end[ahead]]
+        ahead = ahead[high[ahead] - low[ahead + k] + 1 > most[ahead]]
+        most[ahead] = np.maximum(most[ahead], np.minimum(high[ahead], high[ahead + k]) - low[ahead + k] + 1)
+        k += 1
+    return begun - ended - 1, most
+
+
+def _swept(rows: DataFrame, group: list[str], keys: list[str]) -> DataFrame:
+    """(keys, overlapping, greatest_) of rows (group as g0, g1, ..., low_, high_, keys), whose groups fit into a task."""
+    own = [f"g{k}_" for k in range(len(group))]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held: list = []
+
+        def made(table):
+            new = fresh(table)
+            overlapping, greatest = sweep(np.cumsum(new) - 1, table.column("low_").to_numpy(), table.column("high_").to_numpy())
+            columns = [table.column(f"k{k}_") for k in range(len(keys))]
+            out = pa.table([*columns, pa.array(overlapping), pa.array(greatest, mask=greatest == 0)], names=[*(f"k{k}_" for k in range(len(keys))), "overlapping", "greatest_"])
+            return out.combine_chunks().to_batches()
+
+        def fresh(table):
+            """Where a group begins."""
+            new = np.zeros(table.num_rows, bool)
+            new[:1] = True
+            for c in own:
+                column = table.column(c).combine_chunks()
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+            return new
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if len(held) > 1 and all(batch.column(c)[-1] == held[0].column(c)[0] for c in own):
+                continue  # a long group goes on
+            table = pa.Table.from_batches(held)
+            last = int(np.flatnonzero(fresh(table))[-1]) if table.num_rows else 0
+            if last:
+                yield from made(table.slice(0, last).combine_chunks())
+            held = table.slice(last).combine_chunks().to_batches()
+        table = pa.Table.from_batches(held) if held else None
+        if table is not None and table.num_rows:
+            yield from made(table)
+
+    fields = [T.StructField(f"k{k}_", rows.schema[f"k{k}_"].dataType) for k in range(len(keys))]
+    dealt = rows.repartition(*own).sortWithinPartitions(*own, "low_")
+    return dealt.mapInArrow(run, T.StructType([*fields, T.StructField("overlapping", T.LongType()), T.StructField("greatest_", T.LongType())]))
+
+
+def overlaps(df: DataFrame, group: list[str], low: str, high: str, keys: list[str], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(keys, overlapping, greatest): for each row the number of other intervals of its group that overlap its own, and the length of the greatest overlap, null without one. keys tell rows apart and aren't null.
+
+    A row is sent once to the task of its group, which sorts its intervals and counts by searches. Groups of more than
+    ``group_rows`` rows are dealt by dyadic buckets and spell out their pairs.
+    """
+    usable = F.coalesce(F.col(low) <= F.col(high), F.lit(False))
+    for c in group:
+        usable = usable & F.col(c).isNotNull()
+    sizes = df.where(usable).groupBy(*group).agg(F.count("*").alias("n_")).where(F.col("n_") > group_rows)
+    large = [tuple(r)[:-1] for r in sizes.collect()]  # one for group_rows rows at most
+    kind = df.select((F.col(high) - F.col(low) + 1).alias("x")).schema["x"].dataType
+    few = df
+    if large:
+        marks = df.sparkSession.createDataFrame(large, T.StructType([df.schema[c] for c in group]))
+        few = df.join(F.broadcast(marks), group, "left_anti")
+    columns = [*[F.col(c).alias(f"g{k}_") for k, c in enumerate(group)], F.col(low).cast("long").alias("low_"), F.col(high).cast("long").alias("high_"), *[F.col(c).alias(f"k{k}_") for k, c in enumerate(keys)]]
+    swept = _swept(few.where(usable).select(*columns), group, keys)
+    out = swept.select(*[F.col(f"k{k}_").alias(c) for k, c in enumerate(keys)], "overlapping", F.col("greatest_").cast(kind).alias("greatest"))
+    out = out.unionByName(few.where(~usable).select(*keys, F.lit(0).cast("long").alias("overlapping"), F.lit(None).cast(kind).alias("greatest")))
+    return out.unionByName(_spelled(df.join(F.broadcast(marks), group, "left_semi"), group, low, high, keys)) if large else out
+
+
+def _spelled(df: DataFrame, group: list[str], low: str, high: str, keys: list[str]) -> DataFrame:
+    """overlaps() by pairs."""
     pairs = interval_pairs(df, group, low, high, [*keys, low, high])
     shared = F.least(f"a.{high}", f"b.{high}") - F.greatest(f"a.{low}", f"b.{low}") + 1
     both = pairs.select(F.explode(F.array("a", "b")).alias("row"), shared.alias("shared"))

@@ -197,3 +197,21 @@ def test_neighbours_in_strips_and_tiles(spark, monkeypatch, strip, cell):
     rows = [(k, draw.choice([0.0, 3.0, draw.gauss(0, 9)]), float(draw.choice([draw.randrange(40), draw.uniform(0, 4)]))) for k in range(300)]
     got = {r.id: r.neighbours for r in ranges.neighbours(spark.createDataFrame(rows, "id long, x double, y double"), "id", "x", "y", 1.5).collect()}
     assert got == {k: sum(j != k and (x - v) * (x - v) + (y - w) * (y - w) <= 2.25 for j, v, w in rows) for k, x, y in rows}
+
+
+@pytest.mark.parametrize("group_rows", [3, 1000])
+def test_overlaps_send_a_row_once(spark, group_rows):
+    """Groups of a task are swept, without a row for each bucket or pair; larger ones are spelled out and give the same."""
+    draw = random.Random(11)
+    rows = [(k, draw.choice("aabcdefghi"), draw.randrange(3), a, a + draw.choice([-1, 0, 1, 5, 40])) for k, a in enumerate(draw.choices(range(-50, 60), k=200))] + [(k, None, 1, 0, 9) for k in (700, 701)]
+    df = spark.createDataFrame(rows, "id long, g string, h int, low long, high long")
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    out = ranges.overlaps(df, ["g", "h"], "low", "high", ["id"], group_rows=group_rows)
+    got = {r.id: (r.overlapping, r.greatest) for r in out.collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", conf)
+    assert len(got) == len(rows)
+    for k, g, h, a, b in rows:
+        near = [min(b, d) - max(a, c) + 1 for j, i, m, c, d in rows if j != k and g is not None and (i, m) == (g, h) and a <= b and c <= d and a <= d and c <= b]
+        assert got[k] == (len(near), max(near, default=None))
+    assert ("Generate" in out._jdf.queryExecution().optimizedPlan().toString()) == (group_rows == 3)
