@@ -7,6 +7,7 @@ sequential, so each series (of its own ``series`` key) runs in one task, in the
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from math import prod
 
 import numpy as np
@@ -169,6 +170,37 @@ def inhibit_locally(found: DataFrame, keys: list[str], neighbors: DataFrame, p:
 STATE = "segment array<int>, presyn array<int>, perm array<double>, boost array<double>, overlap_duty array<double>, active_duty array<double>, min_duty array<double>, iteration long"
 
 
+def _drawn(p: PoolerParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, presyn, perm) of the first synapses."""
+    draw, pools = np.random.default_rng(p.seed), []
+    at, size = np.stack(np.unravel_index(np.arange(p.num_columns), p.columns)), np.array(p.inputs)[:, None]
+    centre = np.minimum(((at + 0.5) * size / np.array(p.columns)[:, None]).astype(int), size - 1)
+    for c in range(p.num_columns):
+        spans = [np.unique(np.arange(x - p.potential_radius, x + p.potential_radius + 1) % d) if p.wrap else np.arange(max(0, x - p.potential_radius), min(d, x + p.potential_radius + 1)) for x, d in zip(centre[:, c], p.inputs, strict=True)]
+        cells = np.ravel_multi_index([g.ravel() for g in np.meshgrid(*spans, indexing="ij")], p.inputs)
+        pools.append(draw.choice(cells, max(1, int(len(cells) * p.potential_share + 0.5)), replace=False))
+    presyn = np.concatenate(pools)
+    low, u = draw.random(len(presyn)) < 0.5, draw.random(len(presyn))
+    return np.repeat(np.arange(p.num_columns), [len(x) for x in pools]), presyn, np.where(low, p.connected + u * p.increment / 4, p.connected * u)
+
+
+def _laid_out(p: PoolerParams, segment: np.ndarray, presyn: np.ndarray, perm: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(segment, presyn, perm) in the order of inputs, where each input's synapses begin, their order by column, and where each column's begin in that."""
+    order = np.lexsort((segment, presyn))
+    segment, presyn, perm = segment[order].astype(np.int64), presyn[order].astype(np.int64), perm[order]
+    by_column = np.argsort(segment, kind="stable")
+    return segment, presyn, perm, np.searchsorted(presyn, np.arange(prod(p.inputs) + 1)), by_column, np.searchsorted(segment[by_column], np.arange(p.num_columns + 1))
+
+
+@lru_cache(maxsize=2)
+def _first(p: PoolerParams) -> tuple[np.ndarray, ...]:
+    """The first synapses: every series begins with the same ones, so that a process draws them once. Only perm changes, in copies."""
+    made = _laid_out(p, *_drawn(p))
+    for x in made:
+        x.setflags(write=False)
+    return made
+
+
 class Pooler:
     """One series' pooler. Its synapses lie in arrays in the order of their inputs; memory goes with their number."""
 
@@ -176,33 +208,16 @@ class Pooler:
         self.p = p
         n = p.num_columns
         if state is None:
-            segment, presyn, self.perm = self._draw()
+            self.segment, self.presyn, perm, self.of_input, self.by_column, self.of_column = _first(p)
+            self.perm = perm.copy()
             self.boost, self.overlap_duty, self.active_duty, self.min_duty = np.ones(n), np.zeros(n), np.zeros(n), np.zeros(n)
             self.iteration = 0
         else:
-            segment, presyn, self.perm = (np.array(state[k]) for k in ("segment", "presyn", "perm"))
+            self.segment, self.presyn, self.perm, self.of_input, self.by_column, self.of_column = _laid_out(p, *(np.array(state[k]) for k in ("segment", "presyn", "perm")))
             self.boost, self.overlap_duty, self.active_duty, self.min_duty = (np.array(state[k], float) for k in ("boost", "overlap_duty", "active_duty", "min_duty"))
             self.iteration = state["iteration"]
-        order = np.lexsort((segment, presyn))
-        self.segment, self.presyn, self.perm = segment[order].astype(np.int64), presyn[order].astype(np.int64), self.perm[order]
-        self.of_input = np.searchsorted(self.presyn, np.arange(prod(p.inputs) + 1))  # where each input's synapses begin
-        self.by_column = np.argsort(self.segment, kind="stable")
-        self.of_column = np.searchsorted(self.segment[self.by_column], np.arange(n + 1))
         self.near = None if p.global_inhibition else self._near(self._radius())
 
-    def _draw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(segment, presyn, perm) of the first synapses."""
-        p, draw, pools = self.p, np.random.default_rng(self.p.seed), []
-        at, size = np.stack(np.unravel_index(np.arange(p.num_columns), p.columns)), np.array(p.inputs)[:, None]
-        centre = np.minimum(((at + 0.5) * size / np.array(p.columns)[:, None]).astype(int), size - 1)
-        for c in range(p.num_columns):
-            spans = [np.unique(np.arange(x - p.potential_radius, x + p.potential_radius + 1) % d) if p.wrap else np.arange(max(0, x - p.potential_radius), min(d, x + p.potential_radius + 1)) for x, d in zip(centre[:, c], p.inputs, strict=True)]
-            cells = np.ravel_multi_index([g.ravel() for g in np.meshgrid(*spans, indexing="ij")], p.inputs)
-            pools.append(draw.choice(cells, max(1, int(len(cells) * p.potential_share + 0.5)), replace=False))
-        presyn = np.concatenate(pools)
-        low, u = draw.random(len(presyn)) < 0.5, draw.random(len(presyn))
-        return np.repeat(np.arange(p.num_columns), [len(x) for x in pools]), presyn, np.where(low, p.connected + u * p.increment / 4, p.connected * u)
-
     def _radius(self) -> int:
         """From the average span of connected inputs, scaled to columns."""
         on, n, spans = self.perm >= self.p.connected, self.p.num_columns, []
@@ -231,7 +246,9 @@ class Pooler:
 
     def compute(self, bits: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
         """(active columns, overlaps)."""
-        p, bits = self.p, np.unique(bits)
+        p = self.p
+        if (bits[1:] <= bits[:-1]).any():
+            bits = np.unique(bits)
         overlap = self.overlap(bits)
         boosted = overlap * self.boost
         if p.global_inhibition:
@@ -250,13 +267,15 @@ class Pooler:
         on = np.zeros(prod(p.inputs), bool)
         on[bits] = True
         at = self.by_column[ranges(self.of_column, active)]
-        self.perm[at] = np.clip(self.perm[at] + np.where(on[self.presyn[at]], p.increment, -p.decrement), 0, 1)
+        self.perm[at] = np.minimum(np.maximum(self.perm[at] + np.where(on[self.presyn[at]], p.increment, -p.decrement), 0), 1)
         won = np.zeros(p.num_columns)
         won[active] = 1
         self.overlap_duty = (self.overlap_duty * (p.period - 1) + (overlap > 0)) / p.period
         self.active_duty = (self.active_duty * (p.period - 1) + won) / p.period
-        at = self.by_column[ranges(self.of_column, np.flatnonzero(self.overlap_duty < self.min_duty))]
-        self.perm[at] = np.clip(self.perm[at] + p.connected / 10, 0, 1)
+        weak = np.flatnonzero(self.overlap_duty < self.min_duty)
+        if len(weak):
+            at = self.by_column[ranges(self.of_column, weak)]
+            self.perm[at] = np.minimum(np.maximum(self.perm[at] + p.connected / 10, 0), 1)
         if p.boost > 0:
             target = p.effective_density if self.near is None else self._of_near(self.active_duty, 0.0).sum(axis=1) / np.maximum(1, self._area())
             self.boost = np.exp(p.boost * (target - self.active_duty))

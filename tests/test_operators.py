@@ -813,3 +813,15 @@ def test_cell_statistics_read_ticks_once(spark, tmp_path):
     assert found == {1: (1, 0, 1, 1 / 6, 0.0), 2: (2, 1, 1, 2 / 6, 0.5), 3: (3, 0, 1, 3 / 6, 0.0), 7: (1, 1, 1, 1 / 6, 1.0)}
     assert len(list(passes.iterdir())) == 1
     assert windows.cell_statistics(ticks.limit(0)).count() == 0
+
+
+def test_poolers_draw_their_first_synapses_once(monkeypatch):
+    """Each of many short series begins with a new pooler: they have the same first synapses, and learn apart."""
+    p = spatial_pooler.PoolerParams(inputs=(50,), columns=(20,), potential_radius=50, seed=77)
+    drawn = []
+    monkeypatch.setattr(spatial_pooler, "_drawn", lambda p, of=spatial_pooler._drawn: drawn.append(p) or of(p))
+    a, b = spatial_pooler.Pooler(p), spatial_pooler.Pooler(p)
+    first = b.export()
+    for k in range(5):
+        a.compute(np.arange(k, k + 9), True)
+    assert drawn == [p] and b.export() == first == spatial_pooler.Pooler(p).export() != a.export()
