@@ -128,56 +128,19 @@ def scatter_columns(bits: Column, columns: int = 1024) -> Column:
     return F.array_sort(F.array_distinct(F.transform(bits, of)))
 
 
-#: Cells of ticks that are counted at a time.
-COUNTED_CELLS = 1 << 18
-
-
 def cell_statistics(ticks: DataFrame) -> DataFrame:
     """(cell, active, correct, anomalous, rate, accuracy) of ticks with active_cells, predicted_cells and anomaly.
 
-    Tasks count the cells of their ticks, which are read once: what is shuffled is a row for each cell in each batch, at most.
+    Ticks are read once, as they may be the work of a learner: each gives one row at least, and is counted with its first.
     """
-    kind = ticks.schema["active_cells"].dataType.elementType
-
-    def count(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        def rows(cells, *counts):
-            return pa.RecordBatch.from_arrays([pa.array(cells, to_arrow_type(kind)), *(pa.array(c, pa.int64()) for c in counts)], ["cell", "ticks", "active", "correct", "anomalous"])
-
-        for batch in batches:
-            size = int(np.diff(batch.column(0).offsets.to_numpy()).max(initial=1))
-            step = max(1, COUNTED_CELLS // max(size, 1))
-            yield rows([None], [batch.num_rows], [0], [0], [0])
-            for k in range(0, batch.num_rows, step):
-                active, predicted, anomaly = batch.slice(k, step).columns
-                odd = anomaly.fill_null(0.0).to_numpy(zero_copy_only=False) > 0.5
-                (row, cell), (of, foreseen) = placed(active), placed(predicted)
-                if not len(cell):
-                    continue
-                known, at = np.unique(cell, return_inverse=True)
-                near = np.minimum(np.searchsorted(known, foreseen), len(known) - 1)
-                met = known[near] == foreseen
-                hit = np.isin(row * len(known) + at, of[met] * len(known) + near[met])
-                yield rows(known, np.zeros(len(known), np.int64), *(np.bincount(at[x], minlength=len(known)) for x in (slice(None), hit, odd[row])))
-
-    counts = ["ticks", "active", "correct", "anomalous"]
-    fields = T.StructType([T.StructField("cell", kind), *[T.StructField(c, T.LongType()) for c in counts]])
-    rows = ticks.select("active_cells", "predicted_cells", F.col("anomaly").cast("double").alias("anomaly")).mapInArrow(count, fields)
-    per = rows.groupBy("cell").agg(*[F.sum(c).alias(c) for c in counts])
-    per = per.withColumn("ticks", F.max("ticks").over(Window.partitionBy(F.lit(0)))).where("cell is not null")  # as many rows as cells
+    rows = ticks.select("predicted_cells", "anomaly", F.posexplode_outer("active_cells").alias("at", "cell"))
+    hit = F.coalesce(F.array_contains("predicted_cells", F.col("cell")), F.lit(False)).cast("int")
+    rows = rows.select("cell", hit.alias("hit"), F.coalesce(F.col("anomaly") > 0.5, F.lit(False)).cast("int").alias("odd"), (F.coalesce("at", F.lit(0)) == 0).cast("int").alias("first"))
+    per = rows.groupBy("cell").agg(F.count("*").alias("active"), F.sum("hit").alias("correct"), F.sum("odd").alias("anomalous"), F.sum("first").alias("ticks"))
+    per = per.withColumn("ticks", F.sum("ticks").over(Window.partitionBy(F.lit(0)))).where("cell is not null")  # as many rows as cells
     return per.select("cell", "active", "correct", "anomalous", (F.col("active") / F.col("ticks")).alias("rate"), (F.col("correct") / F.col("active")).alias("accuracy"))
 
 
-def placed(lists) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value) of the values in an Arrow column of lists, nulls left out."""
-    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    row, value = np.repeat(np.arange(len(n)), n), lists.flatten()
-    there = value.is_valid().to_numpy(zero_copy_only=False)
-    return row[there], value.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def heat_map(df: DataFrame, time: str, bits: str, size: int, bands: int = 256) -> DataFrame:
     """(time, band, n): active bits by band of columns."""
     rows = df.select(time, F.explode(bits).alias("b"))
