@@ -1,4 +1,4 @@
-"""Joins by ranges without nested loops: overlapping intervals by dyadic buckets, points within a radius by strips of the plane."""
+"""Joins by ranges without nested loops: overlapping intervals by searches in a group or dyadic buckets, points within a radius by strips of the plane."""
 
 from __future__ import annotations
 
