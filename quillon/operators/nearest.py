@@ -11,6 +11,8 @@ sent to those only. Patterns are never sent to all rows, nor rows to all pattern
 MAX_BLOCKS blocks at most, whose boxes are broadcast. Rows of one block are dealt over as many tasks as their number
 needs, so that equal rows don't gather. Pivots and medians come from SAMPLE patterns at most; they only decide what is
 compared first, not what is found.
+
+Equal patterns are searched as one. Placed points, first results and visits are stage tables, as several steps read each.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.sources.stages import staged
+
 PIVOTS, LEAF = 16, 8
 #: Patterns of a block, and rows that meet it in one task, or so.
 BLOCK, ROWS = 4096, 1024
@@ -241,6 +245,7 @@ def nearest(rows: DataFrame, patterns: DataFrame, keys: list[str], value: str, m
 
     kind = METRICS[metric]
     own = patterns.select(value).where(kind.usable(F.col(value))).select(kind.value(F.col(value)).alias("value"))
+    own = staged(own.distinct(), "patterns")
     n = own.count()
     made = T.StructType([*[rows.schema[k] for k in keys], T.StructField("best", kind.kind), T.StructField("compared", T.LongType())])
     if not n:
@@ -265,10 +270,11 @@ def nearest(rows: DataFrame, patterns: DataFrame, keys: list[str], value: str, m
 
     names = [f"k{i}" for i in range(len(keys))]
     points = rows.where(kind.usable(F.col(value))).select(*[F.col(k).alias(a) for k, a in zip(keys, names, strict=True)], kind.value(F.col(value)).alias("value"))
-    base = placed(own, [])
-    asking = placed(points, names).withColumn("best", F.lit(float("-inf")))
+    base = staged(placed(own, []), "placed_patterns")
+    asking = staged(placed(points, names), "placed_rows").withColumn("best", F.lit(float("-inf")))
     found = met(asking, base, names, kind)
     if blocks > 1:
+        found = staged(found, "home")
         boxes = base.select("block", "size", F.posexplode("at").alias("k", "d")).groupBy("block", "k").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.max("size").alias("largest")).toArrow()
         block, k, low, high, largest = (boxes.column(c).to_numpy() for c in range(5))  # MAX_BLOCKS x PIVOTS rows at most
         known, at = np.unique(block, return_inverse=True)
@@ -293,7 +299,7 @@ def nearest(rows: DataFrame, patterns: DataFrame, keys: list[str], value: str, m
                         out = batch.take(pa.array(row[i : i + 10_000]))
                         yield out.set_column(out.schema.names.index("block"), "block", pa.array(known[to[i : i + 10_000]]))
 
-        found = found.unionByName(met(again.mapInArrow(others, again.schema), base, names, kind))
+        found = found.unionByName(met(staged(again.mapInArrow(others, again.schema), "visits"), base, names, kind))
     best = found.groupBy(*names).agg(kind.result(F.max("gain")).alias("best"), F.sum("compared").alias("compared")).where("best is not null")
     return best.select(*[F.col(a).alias(k) for k, a in zip(keys, names, strict=True)], "best", "compared")
 

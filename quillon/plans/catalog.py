@@ -15,6 +15,7 @@ from quillon.operators import anomaly, classifier, connections, encoders, metric
 from quillon.operators.encoders import finance, probability, signal, spatial, vision
 from quillon.plans.hash_sql import s_bytes, s_draws, s_finalised, s_first, s_fnv, s_lcg_planes, s_level_states, s_rotated, s_signs, s_unsigned
 from quillon.sources import model_io
+from quillon.sources.stages import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -583,7 +584,7 @@ _S_SCORED = f"""{_S_WINDOWS}, {_S_FEATURES}, q as (select user_id, win, mx - mn
   best as (select q.user_id, q.win, max(len(list_intersect(q.bits, b.bits))) as o, min({_S_DISTANCE.format(a='q', b='b')}) as d from q, base b group by all), z as (select *, case when s > 0 then (d - m) / s else 0 end as z from best, st)
   select user_id, win, cast(o as bigint) as overlap, round(d, 6) as distance, round(0.3::double * greatest(0, 1 - o / 40.0::double) + 0.7::double * greatest(0, z / (1 + abs(z))), 6) as score from z""")
 def hybrid_score(spark, sf):
-    w = scored_windows(spark, sf)
+    w = staged(scored_windows(spark, sf), "windows")  # read by every step of the search
     base = windows.numbered(w.where("win = 0"), "user_id")
     s = windows.baseline_statistics(base).first()
     out = windows.hybrid_score(w, base, ["user_id", "win"], s["distance_mean"], s["distance_std"], 40.0)

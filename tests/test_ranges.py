@@ -158,6 +158,23 @@ def test_nearest_compares_few(spark, sf):
         assert found.agg(F.sum("compared")).first()[0] < 0.05 * pairs
 
 
+def test_nearest_searches_equal_patterns_once(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    patterns, rows = [[1, 2, 3], [4, 5, 6], [7, 8]] * 60, [(k, [k % 9, 20 + k % 4]) for k in range(50)]
+    r, p = spark.createDataFrame(rows, "k long, v array<int>"), spark.createDataFrame([(x,) for x in patterns], "v array<int>")
+    found = nearest.nearest(r, p, ["k"], "v", "overlap").collect()
+    assert {x.k: x.best for x in found} == nearest_brute(rows, patterns, lambda a, b: len(set(a) & set(b)))
+    assert max(x.compared for x in found) <= 3
+
+
+def test_hybrid_score_makes_its_windows_once(spark, sf):
+    """Searches and statistics read the windows; none makes them again."""
+    from quillon.plans import catalog
+
+    plan = catalog.hybrid_score(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "events.parquet" not in plan and "Window" not in plan
+
+
 # ---- joins by ranges
 
 def test_dyadic_nodes(spark):
