@@ -5,6 +5,9 @@ task's work. What crosses the borders is a summary of each series in each slice,
 associative operation (a parallel prefix): how many rows came before, and the last row. Only series that span slices have
 such a carry, so there are no more of them than slices.
 
+Only series of more rows than a task's share are cut; the others stay whole, and one sort of them gives all that is asked.
+``slices`` given, all are cut.
+
 With the row's place in its series known, windows of rows are groups: ``count_windows`` and ``likelihood`` need no more
 order than that.
 
@@ -15,6 +18,7 @@ cuts come from a bounded number of keys, those with the least hashes; they decid
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +29,8 @@ from .anomaly import Likelihood, erfc
 
 #: Rows of a slice, or so; slices at most, which bounds carries and cuts; and keys sampled for each cut.
 SLICE_ROWS, MAX_SLICES, SAMPLED = 1 << 20, 4096, 32
+#: Series of up to so many rows are never cut.
+WHOLE_ROWS = 1 << 14
 NAMES = ("slice_", "place_", "before_")
 
 
@@ -53,11 +59,40 @@ def sliced(df: DataFrame, series: list[str], order: list[str], slices: int | Non
     return df.withColumn(name, (F.least(group * step, F.lit(len(cuts))) + rest).cast("int"))
 
 
+def by_length(df: DataFrame, series: list[str], whole: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """whole() of the rows of short series, and cut() of those of series with more rows than a task's share or a slice."""
+    if not series:
+        return (whole if df.count() <= WHOLE_ROWS else cut)(df)
+    counts = df.groupBy(*series).agg(F.count("*").alias("rows_"))
+    n, most = counts.agg(F.sum("rows_"), F.max("rows_")).first()
+    limit = max(WHOLE_ROWS, min(SLICE_ROWS, (n or 0) // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if not n or most <= limit:
+        return whole(df)
+    long = F.broadcast(counts.where(F.col("rows_") > limit).select(*[F.col(c).alias(f"c{k}_") for k, c in enumerate(series)]))  # no more than tasks or slices
+    same = [F.col(c).eqNullSafe(F.col(f"c{k}_")) for k, c in enumerate(series)]
+    return whole(df.join(long, same, "left_anti")).unionByName(cut(df.join(long, same, "left_semi")))
+
+
 def carried(df: DataFrame, series: list[str], order: list[str], last: list[str] = (), slices: int | None = None) -> DataFrame:
     """df with slice_, place_ (of the row in its series, from 0) and before_: the columns ``last`` of the row before, a struct, null for the first row."""
+    if slices is not None:
+        return _cut(df, series, order, last, slices)
+    return by_length(df, series, lambda d: _whole(d, series, order, last), lambda d: _cut(d, series, order, last))
+
+
+def _before(last: list[str]) -> Column:
+    return F.struct(F.lit(True).alias("there"), *[F.col(c).alias(f"v{n}") for n, c in enumerate(last)])
+
+
+def _whole(df: DataFrame, series: list[str], order: list[str], last: list[str]) -> DataFrame:
+    by = Window.partitionBy(*series).orderBy(*order)
+    return df.withColumn("slice_", F.lit(0)).withColumn("place_", F.row_number().over(by) - 1).withColumn("before_", F.lag(_before(last)).over(by))
+
+
+def _cut(df: DataFrame, series: list[str], order: list[str], last: list[str], slices: int | None = None) -> DataFrame:
     rows = sliced(df, series, order, slices)
     at = F.struct(*[F.col(c).alias(f"o{n}") for n, c in enumerate(order)])
-    own = F.struct(F.lit(True).alias("there"), *[F.col(c).alias(f"v{n}") for n, c in enumerate(last)])
+    own = _before(last)
     parts = rows.groupBy(*series, "slice_").agg(F.count("*").alias("n_"), F.max_by(own, at).alias("last_"))
     earlier = Window.partitionBy(*series).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.select(*series, "slice_", F.sum("n_").over(earlier).alias("n_"), F.last("last_").over(earlier).alias("last_")).where("n_ > 0")
@@ -97,11 +132,17 @@ def likelihood(df: DataFrame, value: str, series: list[str], order: list[str], r
     """df with Likelihood.add()'s column, for series of any length.
 
     The k-th estimate of a series is a mean and variance of the last rows up to row first + k * every: a group of the rows
-    that it covers. A row meets the latest estimate at or before it by an equality join.
+    that it covers. A row meets the latest estimate at or before it by an equality join. Series that aren't cut have windows.
     """
     rule = rule or Likelihood()
+    if slices is None:
+        return by_length(df, series, lambda d: rule.add(d, value, series, order, name), lambda d: _likelihood_cut(d, value, series, order, rule, name))
+    return _likelihood_cut(df, value, series, order, rule, name, slices)
+
+
+def _likelihood_cut(df: DataFrame, value: str, series: list[str], order: list[str], rule: Likelihood, name: str, slices: int | None = None) -> DataFrame:
     first = max(rule.learning, rule.every)
-    rows = carried(df, series, order, [], slices).withColumn("i_", F.col("place_") + 1).withColumn("k_", F.floor((F.col("i_") - first) / rule.every))
+    rows = _cut(df, series, order, [], slices).withColumn("i_", F.col("place_") + 1).withColumn("k_", F.floor((F.col("i_") - first) / rule.every))
     # Estimates that cover row i: i <= first + k * every < i + samples.
     low = F.greatest(F.ceil((F.col("i_") - first) / rule.every), F.lit(0))
     high = F.ceil((F.col("i_") + rule.samples - first) / rule.every) - 1
@@ -120,7 +161,19 @@ def sessions(df: DataFrame, series: list[str], order: list[str], starts: Column,
 
     ``starts`` may use the columns of the row and before_, whose fields v0, v1, ... are the columns ``last`` of the row before.
     """
-    rows = carried(df, series, order, last, slices).withColumn("new_", (F.col("before_").isNull() | F.coalesce(starts, F.lit(False))).cast("long"))
+    new = (F.col("before_").isNull() | F.coalesce(starts, F.lit(False))).cast("long")
+    if slices is not None:
+        return _sessions_cut(df, series, order, new, last, name, slices)
+
+    def whole(d: DataFrame) -> DataFrame:
+        so_far = Window.partitionBy(*series).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return _whole(d, series, order, last).withColumn("new_", new).withColumn(name, F.sum("new_").over(so_far)).drop("new_", *NAMES)
+
+    return by_length(df, series, whole, lambda d: _sessions_cut(d, series, order, new, last, name))
+
+
+def _sessions_cut(df: DataFrame, series: list[str], order: list[str], new: Column, last: list[str], name: str, slices: int | None = None) -> DataFrame:
+    rows = _cut(df, series, order, last, slices).withColumn("new_", new)
     earlier = Window.partitionBy(*series).orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy(*series, "slice_").agg(F.sum("new_").alias("n_"))
     carry = parts.select(*series, "slice_", F.sum("n_").over(earlier).alias("n_")).where("n_ > 0")

@@ -1053,7 +1053,8 @@ _S_SESSION = """b as (select event_id, user_id, ts, value, event_type, case when
 def user_sessions(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events").select("event_id", "user_id", "ts", "value", "event_type")
     gap = F.col("ts") - F.col("before_.v0") > F.expr("interval '12' hour")
-    return slices.sessions(e, ["user_id"], ["ts", "event_id"], (F.col("event_type") == "signup") | gap, ["ts"])
+    s = slices.sessions(e, ["user_id"], ["ts", "event_id"], (F.col("event_type") == "signup") | gap, ["ts"])
+    return staged(s.drop("event_type"), "sessions")  # counted, and read by what asks for them
 
 
 @query("session_delta", f"""with {_S_SESSION}, d as (select event_id, session, coalesce(value - lag(value) over (partition by user_id, session order by ts, event_id), 0.0) as delta from s)

@@ -96,6 +96,37 @@ def test_sessions(spark, n):
             assert got[r[2]] == now
 
 
+@pytest.mark.parametrize("least", [100, 1000])
+def test_only_long_series_are_cut(spark, monkeypatch, least):
+    monkeypatch.setattr(slices, "WHOLE_ROWS", least)
+    rows, keys, cut = series_rows(), (["series"], ["t", "id"]), []
+    plain = slices._cut
+    monkeypatch.setattr(slices, "_cut", lambda df, *rest: cut.append({r.series for r in df.select("series").distinct().collect()}) or plain(df, *rest))
+    df = frame(spark, rows)
+    starts = (F.col("t") - F.col("before_.v0") > 0) & (F.col("t") % 4 == 0)
+    session = {r.id: r.session for r in slices.sessions(df, *keys, starts, ["t"]).collect()}
+    delta = {r.id: r.delta for r in slices.delta(df, "value", *keys).collect()}
+    rule = anomaly.Likelihood(20, 15, 10)
+    got = {r.id: r.likelihood for r in slices.likelihood(df, "value", *keys, rule).collect()}
+    want = {r.id: r.likelihood for r in rule.add(df, "value", *keys).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(session) == len(delta) == len(rows)
+    for own in by_series(rows).values():
+        now = 0
+        for k, r in enumerate(own):
+            now += k == 0 or (r[1] > own[k - 1][1] and r[1] % 4 == 0)
+            assert session[r[2]] == now and delta[r[2]] == (r[3] - own[k - 1][3] if k else 0.0)
+    assert cut == ([{"long"}] * 3 if least == 100 else [])
+
+
+@pytest.mark.parametrize("name", ["session_delta", "session_likelihood"])
+def test_session_queries_make_sessions_once(spark, sf, name):
+    """Sessions are read, not made again, and short ones need neither carries nor joins."""
+    from quillon.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "events.parquet" not in plan and "Join" not in plan
+
+
 def test_summaries_merge(spark):
     """Days, merged in two ways, give the metrics of all rows."""
     df = frame(spark, series_rows(200)).withColumn("bits", F.when(F.col("id") % 9 != 0, F.array((F.col("id") % 3).cast("int"), (F.col("id") % 5 + 3).cast("int"))).otherwise(F.array().cast("array<int>")))
