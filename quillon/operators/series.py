@@ -20,22 +20,31 @@ from pyspark.sql import types as T
 OUTPUT_ROWS = 2000
 
 
-def run(df: DataFrame, make: Callable, fields: str, state_fields: str, state: DataFrame | None = None, *, final: bool = False) -> DataFrame:
-    """(series, seq, fields) for each row of df (series, seq and the columns that step reads), or if ``final`` a state row for each series.
+def dealt(df: DataFrame, state_fields: str, state: DataFrame | None = None) -> DataFrame:
+    """df (series, seq, its other columns) dealt to tasks by series and sorted; a state comes before the rows of its series, without a seq.
 
-    state: the states to begin with (series, state_fields); series without rows keep theirs.
+    Only with states there is a column __state: even null, lists in a struct cost Spark much time for each row that goes to Python.
     """
     spark = df.sparkSession
     inputs = [f.name for f in df.schema if f.name not in ("series", "seq")]
     state_type = T._parse_datatype_string(state_fields)
-    rows = df.where("seq is not null").select(F.col("series").cast("string").alias("series"), F.col("seq").cast("long").alias("seq"), *inputs, F.lit(None).cast(state_type).alias("__state"))
+    rows = df.where("seq is not null").select(F.col("series").cast("string").alias("series"), F.col("seq").cast("long").alias("seq"), *inputs)
     if state is not None:
+        rows = rows.withColumn("__state", F.lit(None).cast(state_type))
         blank = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in inputs]
         kept = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in state_type]).alias("__state")
         rows = rows.unionByName(state.select(F.col("series").cast("string").alias("series"), F.lit(None).cast("long").alias("seq"), *blank, kept))
-    out = T._parse_datatype_string(f"series string, {state_fields}" if final else f"series string, seq long, {fields}")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: small tables can mean much work
-    own = rows.repartition(parts, "series").sortWithinPartitions("series", F.col("seq").asc_nulls_first())
+    return rows.repartition(parts, "series").sortWithinPartitions("series", F.col("seq").asc_nulls_first())
+
+
+def run(df: DataFrame, make: Callable, fields: str, state_fields: str, state: DataFrame | None = None, *, final: bool = False) -> DataFrame:
+    """(series, seq, fields) for each row of df (series, seq and the columns that step reads), or if ``final`` a state row for each series.
+
+    state: the states to begin with (series, state_fields); series without rows keep theirs.
+    """
+    out = T._parse_datatype_string(f"series string, {state_fields}" if final else f"series string, seq long, {fields}")
+    own = dealt(df, state_fields, state)
 
     def task(batches):
         import pyarrow as pa
@@ -55,7 +64,7 @@ def run(df: DataFrame, make: Callable, fields: str, state_fields: str, state: Da
                 if learner is None or row["series"] != at:
                     if learner is not None and final:
                         made.append((at, *learner.export()))
-                    at, learner = row["series"], make(row["__state"])
+                    at, learner = row["series"], make(row.get("__state"))
                 if row["seq"] is not None:
                     tick = learner.step(row)
                     if not final:

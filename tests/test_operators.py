@@ -614,6 +614,31 @@ def test_classifier_goes_on(spark):
     assert again.keys() == got.keys() and all(abs(again[k] - v) < 1e-12 for k, v in got.items())
 
 
+@pytest.mark.parametrize("rows_each", [8192, 7])
+def test_classifier_learns_series_together(spark, monkeypatch, rows_each):
+    """Series of any length, cut by chunks or not, have the weights of a Classifier; no row carries a state that there isn't."""
+    monkeypatch.setattr(classifier, "CHUNK_ROWS", rows_each)
+    draw, rows = random.Random(6), []
+    for s, n in [(None, 9), ("a", 40), ("b", 1), ("c", 3), *[(f"s{k}", draw.randrange(1, 12)) for k in range(20)]]:
+        rows += [(s, k, draw.choices(range(30), k=draw.choice([0, 1, 5, 6])), draw.choice([-1, 0, 1, 2, 6]), draw.random() < 0.1) for k in range(n)]
+    df = spark.createDataFrame(rows, "series string, seq long, bits array<int>, bucket int, reset boolean")
+    made = {}
+    for s, _, bits, bucket, reset in rows:
+        c = made.setdefault(s, classifier.Classifier(0.1, (0, 2)))
+        if reset:
+            c.reset()
+        c.learn(np.array(bits, np.int64), bucket)
+    want = {(s, step, int(b), int(k)): w[b, k] for s, c in made.items() for step, w in c.weights.items() for b, k in zip(*np.nonzero(w))}
+    out = classifier.learn_series(df, 0.1, (0, 2))
+    got = {(r.series, r.step, r.bit, r.bucket): r.w for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    first = classifier.train(df.where("seq < 4"), 0.1, (0, 2))
+    again = {(r.series, r.step, r.bit, r.bucket): r.w for r in classifier.learn_series(df.where("seq >= 4"), 0.1, (0, 2), first).collect()}
+    assert again.keys() == want.keys() and all(abs(again[k] - v) < 1e-12 for k, v in want.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__state" not in plan and "Generate" not in plan
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_infer(spark, monkeypatch, limit):
     monkeypatch.setattr(classifier, "BROADCAST_WEIGHTS", limit)
