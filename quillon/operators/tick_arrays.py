@@ -7,13 +7,15 @@ nothing that grows with the records leaves its task but the result.
 
 from __future__ import annotations
 
-import hashlib
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.functions import draws
+
 from . import connections
 from .connections import ranges
 from .temporal_memory import MemoryParams
@@ -245,23 +247,26 @@ def changes(graph: TickGraph, df: DataFrame, keys: list[str], before: str, cols:
     return graph.run(df, keys, [F.col(before), F.col(cols)], fields, work)
 
 
-def drawn(texts: list[str], row: np.ndarray, segment: np.ndarray, presyn: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of draws.uniform() over (keys, segment, presyn); texts are the names and keys of rows."""
-    md5, first = hashlib.md5, int.from_bytes
-    each = zip(row.tolist(), segment.tolist(), presyn.tolist(), strict=True)
-    return np.fromiter((first(md5(f"{texts[r]}:{s}:{b}".encode(), usedforsecurity=False).digest()[:4], "big") for r, s, b in each), np.int64, len(row))
+def rounded(values: np.ndarray, digits: int | None) -> np.ndarray:
+    """values as Spark's round() gives them, by their shortest decimals and half up, without a negative zero; NaN and numbers without a fraction stay."""
+    if digits is None:
+        return values
+    each, at = np.unique(values, return_inverse=True)
+    unit = Decimal(1).scaleb(-digits)
+    return np.array([float(Decimal(repr(x)).quantize(unit, ROUND_HALF_UP)) + 0.0 if abs(x) < 1 << 53 else x for x in each.tolist()], float)[at]
 
 
-def learned(graph: TickGraph, df: DataFrame, keys: list[str], before: str, winners: str, cols: str, name: str = "deltas", drawn_by: list[str] | None = None) -> DataFrame:
-    """(keys, name): what ticks.deltas() says of each record, as an array of structs. Draws are by the keys drawn_by, all if not given."""
+class Lessons:
+    """What records with equal cells, winners and columns learn: the rows that are sure, and the choices that each record's own draws decide.
 
-    def work(graph: TickGraph, columns):
-        import pyarrow as pa
+    Both are in the order of the records that they were made from, whose parts begin at sure_begin and choice_begin. A choice takes so
+    many of its candidates, which are ascending; tails are the ends of the texts that they are drawn by.
+    """
 
-        p, texts = graph.p, columns[0].to_pylist()
-        tick = Tick(graph, columns[1], columns[3])
+    def __init__(self, graph: TickGraph, before, winners, cols, digits: int | None = None):
+        p, tick = graph.p, Tick(graph, before, cols)
         row, at, adapt, grow = tick.changes(graph)
-        w_bits, w_row = flat(columns[2])
+        w_bits, w_row = flat(winners)
         r_bits, r_row = (w_bits, w_row) if p.reinforce_on == "winner" else (tick.bits, tick.bit_row)
         wide = max(graph.inputs, int(w_bits.max(initial=-1)) + 1, int(r_bits.max(initial=-1)) + 1)
         reward, former = np.zeros((tick.rows, wide), bool), np.zeros((tick.rows, wide), bool)
@@ -281,16 +286,14 @@ def learned(graph: TickGraph, df: DataFrame, keys: list[str], before: str, winne
         key = g_at[free] * wide + presyn  # negative for new segments
         has = pair[np.minimum(np.searchsorted(pair, key), len(pair) - 1)] == key if len(pair) else np.zeros(len(key), bool)
         free, presyn = free[~has], presyn[~has]
-        order = np.lexsort((presyn, drawn(texts, g_row[free], g_segment[free], presyn), free))
-        free, presyn = free[order], presyn[order]
-        place = np.arange(len(free)) - np.searchsorted(free, free) + 1
-        taken = place <= np.minimum(g_grow[free], p.max_synapses)
-        free, presyn = free[taken], presyn[taken]
+        n_free = np.bincount(free, minlength=len(g_row))
+        take = np.clip(np.minimum(g_grow, p.max_synapses), 0, n_free)
+        drawn = (take > 0) & (take < n_free)
 
         # Old synapses, of which the weakest go where a segment would have too many.
         more = np.zeros((tick.rows, graph.size), np.int64)
-        old = g_at[free] >= 0
-        np.add.at(more, (g_row[free[old]], g_at[free[old]]), 1)
+        old = g_at >= 0
+        more[g_row[old], g_at[old]] = take[old]
         if p.predicted_decrement <= 0:
             row, at, adapt = row[adapt], at[adapt], adapt[adapt]
         n = graph.own_begin[at + 1] - graph.own_begin[at]
@@ -307,17 +310,128 @@ def learned(graph: TickGraph, df: DataFrame, keys: list[str], before: str, winne
             perm[some[weak <= over[some]]] = np.nan
         moved = perm != was
         of, input_, was, perm = of[moved], input_[moved], was[moved], perm[moved]
-
         at, row = at[of], row[of]
-        all_row = np.r_[row, g_row[free]]
+
+        whole = (take > 0) & ~drawn  # segments that take all that is free
+        own = free[whole[free]]
+        all_row = np.r_[row, g_row[own]]
         order = np.argsort(all_row, kind="stable")
-        none = np.full(len(free), np.nan)
-        numbers = [np.r_[graph.segment[at], g_segment[free]], np.r_[graph.cell[at], g_cell[free]], np.r_[input_, presyn]]
-        made = [pa.array(c[order].astype(np.int32)) for c in numbers]
-        made += [pa.array(c[order], from_pandas=True) for c in (np.r_[was, none], np.r_[perm, np.full(len(free), p.initial)])]
-        made.append(pa.array(np.r_[np.zeros(len(row), bool), g_at[free] < 0][order]))
-        structs = pa.StructArray.from_arrays(made, DELTA.fieldNames())
-        return None, [pa.ListArray.from_arrays(pa.array(begins(np.bincount(all_row, minlength=tick.rows)).astype(np.int32)), structs)]
-
-    text = F.concat_ws(":", F.lit("grow"), *[F.col(k).cast("string") for k in (drawn_by or keys)])
-    return graph.run(df, keys, [text, F.col(before), F.col(winners), F.col(cols)], [T.StructField(name, T.ArrayType(DELTA))], work, CELLS // 8)  # a record has many deltas
+        numbers = [np.r_[graph.segment[at], g_segment[own]], np.r_[graph.cell[at], g_cell[own]], np.r_[input_, presyn[whole[free]]]]
+        self.initial = float(rounded(np.array([p.initial], float), digits)[0])
+        values = [np.r_[rounded(was, digits), np.full(len(own), np.nan)], np.r_[rounded(perm, digits), np.full(len(own), self.initial)], np.r_[np.zeros(len(row), bool), g_at[own] < 0]]
+        self.sure = [c[order].astype(np.int32) for c in numbers] + [c[order] for c in values]
+        self.sure_begin = begins(np.bincount(all_row, minlength=tick.rows))
+
+        chosen = np.flatnonzero(drawn)
+        chosen = chosen[np.argsort(g_row[chosen], kind="stable")]
+        self.choice = [g_segment[chosen].astype(np.int32), g_cell[chosen].astype(np.int32), g_at[chosen] < 0, take[chosen]]
+        self.choice_begin = begins(np.bincount(g_row[chosen], minlength=tick.rows))
+        self.candidates = presyn[ranges(begins(n_free), chosen)].astype(np.int32)
+        self.candidates_begin = begins(n_free[chosen])
+        self.tails = draws.tails(np.repeat(g_segment[chosen], n_free[chosen]), self.candidates)
+
+    def add(self, other: Lessons) -> None:
+        """Puts other's records behind the own ones."""
+        self.sure, self.choice = ([np.concatenate(c) for c in zip(a, b, strict=True)] for a, b in ((self.sure, other.sure), (self.choice, other.choice)))
+        self.candidates, self.tails = np.concatenate([self.candidates, other.candidates]), np.concatenate([self.tails, other.tails])
+        for name in ("sure_begin", "choice_begin", "candidates_begin"):
+            a, b = getattr(self, name), getattr(other, name)
+            setattr(self, name, np.r_[a, b[1:] + a[-1]])
+
+    def rows(self, of: np.ndarray, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The record of each row, and the columns of DELTA, of records that learn as those at of and are drawn by texts."""
+        at = ranges(self.sure_begin, of)
+        choice = ranges(self.choice_begin, of)
+        row = np.repeat(np.arange(len(of)), np.diff(self.choice_begin)[of])
+        candidate, n = ranges(self.candidates_begin, choice), np.diff(self.candidates_begin)[choice]
+        group = np.repeat(np.arange(len(choice)), n)
+        draw = draws.upper(texts, row[group], self.tails, candidate)
+        begin, place = begins(n), np.arange(len(group))
+        place = place - begin[group]
+        bits, wide = int(place.max(initial=0)).bit_length(), len(choice).bit_length()
+        if bits + wide + 32 <= 64:  # a number says the choice, the draw and the place
+            place = np.sort((group.astype(np.uint64) << np.uint64(32 + bits)) | (draw.astype(np.uint64) << np.uint64(bits)) | place.astype(np.uint64))
+            place = (place & np.uint64((1 << bits) - 1)).astype(np.int64)
+        else:
+            place = place[np.lexsort((place, draw, group))]
+        take = self.choice[3][choice]
+        group = np.repeat(np.arange(len(choice)), take)
+        first = begins(take)
+        place = place[np.arange(len(group)) - first[group] + begin[group]]
+        choice = choice[group]
+        segment, cell, new = (c[choice] for c in self.choice[:3])
+        made = [segment, cell, self.candidates[self.candidates_begin[choice] + place], np.full(len(choice), np.nan), np.full(len(choice), self.initial), new]
+        sure_row = np.repeat(np.arange(len(of)), np.diff(self.sure_begin)[of])
+        return np.r_[sure_row, row[group]], [np.r_[a[at], b] for a, b in zip(self.sure, made, strict=True)]
+
+
+class Taught:
+    """Lessons of the distinct records that a task has met, at most so many; beyond that it starts again with those of the run at hand."""
+
+    def __init__(self, most: int, digits: int | None = None):
+        self.most, self.digits, self.at, self.lessons = most, digits, {}, None
+
+    def rows(self, graph: TickGraph, texts: list[str], columns) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(record, columns of DELTA) of a run of records: columns are their before, winners and cols."""
+        parts = []
+        for values, row in map(flat, columns):
+            begin, data = (begins(np.bincount(row, minlength=len(texts))) * values.itemsize).tolist(), values.tobytes()
+            parts.append([data[a:b] for a, b in zip(begin, begin[1:], strict=False)])
+        keys = list(zip(*parts, strict=True))
+        fresh = dict.fromkeys(k for k in keys if k not in self.at)
+        if fresh and len(self.at) + len(fresh) > self.most:
+            self.at, self.lessons = {}, None
+            fresh = dict.fromkeys(keys)
+        if fresh or self.lessons is None:
+            import pyarrow as pa
+
+            first = {k: n for n, k in reversed(list(enumerate(keys)))}
+            some = pa.array([first[k] for k in fresh], pa.int64())
+            made = Lessons(graph, *[c.take(some) for c in columns], self.digits)
+            if self.lessons is None:
+                self.lessons = made
+            else:
+                self.lessons.add(made)
+            self.at |= {k: n for n, k in enumerate(fresh, len(self.at))}
+        return self.lessons.rows(np.fromiter((self.at[k] for k in keys), np.int64, len(keys)), texts)
+
+
+def delta_columns(columns: list[np.ndarray]) -> list:
+    import pyarrow as pa
+
+    return [pa.array(c, from_pandas=True) for c in columns]  # NaN is null
+
+
+def draw_text(keys: list[str]) -> Column:
+    """What draws.uniform("grow", keys, ...) begins with."""
+    return F.concat_ws(":", F.lit("grow"), *[F.col(k).cast("string") for k in keys])
+
+
+def most_taught(graph: TickGraph) -> int:
+    return max(1, CELLS // max(1, graph.size, graph.inputs, graph.p.num_cells))
+
+
+def deltas(graph: TickGraph, df: DataFrame, keys: list[str], before: str, winners: str, cols: str, digits: int | None = None) -> DataFrame:
+    """ticks.deltas() in one pass."""
+    taught = Taught(most_taught(graph), digits)
+
+    def work(graph: TickGraph, columns):
+        row, made = taught.rows(graph, columns[0].to_pylist(), columns[1:])
+        return row, delta_columns(made)
+
+    return graph.run(df, keys, [draw_text(keys), *[F.col(c) for c in (before, winners, cols)]], DELTA.fields, work, CELLS // 8)  # a record has many deltas
+
+
+def learned(graph: TickGraph, df: DataFrame, keys: list[str], before: str, winners: str, cols: str, name: str = "deltas", drawn_by: list[str] | None = None) -> DataFrame:
+    """(keys, name): what ticks.deltas() says of each record, as an array of structs. Draws are by the keys drawn_by, all if not given."""
+    taught = Taught(most_taught(graph))
+
+    def work(graph: TickGraph, columns):
+        import pyarrow as pa
+
+        row, made = taught.rows(graph, columns[0].to_pylist(), columns[1:])
+        order = np.argsort(row, kind="stable")
+        structs = pa.StructArray.from_arrays(delta_columns([c[order] for c in made]), DELTA.fieldNames())
+        return None, [pa.ListArray.from_arrays(pa.array(begins(np.bincount(row, minlength=len(columns[0]))).astype(np.int32)), structs)]
+
+    return graph.run(df, keys, [draw_text(drawn_by or keys), *[F.col(c) for c in (before, winners, cols)]], [T.StructField(name, T.ArrayType(DELTA))], work, CELLS // 8)  # a record has many deltas

@@ -129,17 +129,18 @@ def changes(df: DataFrame, segments: DataFrame, synapses: DataFrame, keys: list[
     return rows.select(*keys, "segment", change.alias("change"), grow.alias("grow")).where("change is not null")
 
 
-def deltas(df: DataFrame, segments: DataFrame, synapses: DataFrame, keys: list[str], p: MemoryParams, before: str = "before", winners: str = "winners", cols: str = "cols") -> DataFrame:
+def deltas(df: DataFrame, segments: DataFrame, synapses: DataFrame, keys: list[str], p: MemoryParams, before: str = "before", winners: str = "winners", cols: str = "cols", digits: int | None = None) -> DataFrame:
     """(keys, segment, cell, presyn, was, perm, new): the synapses that a record's tick changes, over the shared graph.
 
     was is the permanence before, null for a new synapse; perm the one after, null for a synapse that goes; new tells segments
     of the record's own, numbered behind those of the graph by their columns. Segments adapt, are punished and grow as in
     temporal_memory.Memory; the cells that a segment takes of the record's former winners, and those that make room, follow
     a draw of (keys, segment, cell) and the least permanence, then input. Synapses that stay as they are give no row.
+    digits rounds was and perm at the end; rows that records share are rounded once.
     """
     graph = tick_arrays.TickGraph.gather(segments, synapses, p)
     if graph is not None:
-        return tick_arrays.learned(graph, df, keys, before, winners, cols, "deltas_").select(*keys, F.inline("deltas_"))
+        return tick_arrays.deltas(graph, df, keys, before, winners, cols, digits)
     k = p.cells_per_column
     change = changes(df, segments, synapses, keys, p, before, cols)
     own = synapses.groupBy("segment", "presyn").agg(F.max("perm").alias("was"))
@@ -171,7 +172,8 @@ def deltas(df: DataFrame, segments: DataFrame, synapses: DataFrame, keys: list[s
     old = old.withColumn("over", over).withColumn("weak", F.row_number().over(in_segment.orderBy("perm", "presyn")))
     kept = F.when(F.col("more").isNotNull() & (F.col("weak") <= F.col("over")), F.lit(None).cast("double")).otherwise(F.col("perm"))
     old = old.withColumn("perm", kept).where(~F.col("was").eqNullSafe(F.col("perm"))).join(segments.select("segment", "cell"), "segment")
-    return old.select(*keys, "segment", "cell", "presyn", "was", "perm", F.lit(False).alias("new")).unionByName(grown)
+    out = old.select(*keys, "segment", "cell", "presyn", "was", "perm", F.lit(False).alias("new")).unionByName(grown)
+    return out if digits is None else out.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in ("was", "perm")})
 
 
 def learned(df: DataFrame, segments: DataFrame, synapses: DataFrame, keys: list[str], p: MemoryParams, before: str = "before", winners: str = "winners", cols: str = "cols", name: str = "deltas") -> DataFrame:

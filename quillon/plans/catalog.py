@@ -909,8 +909,7 @@ def learning_ticks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame,
 
 @query("tm_deltas", _S_DELTAS.format(draw=s_uniform("grow", "g.event_id", "g.segment", "win.presyn")) + " select event_id, cast(segment as integer) as segment, cast(cell as integer) as cell, cast(presyn as integer) as presyn, round(was, 6) as was, round(perm, 6) + 0.0 as perm, new from deltas")
 def tm_deltas(spark, sf):
-    out = ticks.deltas(*learning_ticks(spark, sf), ["event_id"], LEARNING_TICK)
-    return out.select("event_id", "segment", "cell", "presyn", r6(F.col("was")).alias("was"), r6(F.col("perm")).alias("perm"), "new")
+    return ticks.deltas(*learning_ticks(spark, sf), ["event_id"], LEARNING_TICK, digits=6)
 
 
 @query("tm_next_tick", _S_DELTAS.format(draw=s_uniform("grow", "g.event_id", "g.segment", "win.presyn")) + """, seen as (select event_id, segment, cell, count(*) filter (perm >= 0.5) as connected, count(*) as potential from b join tsy using (presyn) join seg using (segment) group by all),
