@@ -18,6 +18,10 @@ WEIGHTS = {"p2p": 2.0, "std": 3.0, "max_derivative": 4.0, "min_derivative": 4.0,
 MORE_HIGH, MORE_MEAN, MORE_P99, MUCH = 2.0, 1.3, 1.2, 0.015
 #: Ranges of keys whose counts the driver gathers to number rows.
 RANGES = 4096
+#: Rows of a range of values that a task sums at a time, as far as so many edges can cut them.
+TOGETHER, MOST_EDGES = 1000, 256
+#: Sums of a cell: rows, values of two features, products. The share of a mean square that its rounding may hide.
+SUMS, LOST = ("m", "x", "y", "xy"), 1e-12
 
 
 def count_windows(df: DataFrame, series: list[str], order: list[str], value: str, n: int) -> DataFrame:
@@ -62,6 +66,120 @@ def baseline_statistics(base: DataFrame, stride_of: int = 50) -> DataFrame:
     return rows.agg(F.avg("o").alias("overlap_mean"), F.stddev_pop("o").alias("overlap_std"), F.avg("d").alias("distance_mean"), F.stddev_pop("d").alias("distance_std"))
 
 
+def concordant(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    """The sum of (x' - x)(y' - y) over pairs with a < a' and y < y'; a are whole numbers from 0.
+
+    Pairs meet once, at the highest bit that tells their a apart: in a block of equal higher bits, the rows without that bit which
+    come before by y are running sums.
+    """
+    order = np.argsort(y, kind="stable")
+    a, x, y, total = a[order], x[order], y[order], 0.0
+    for bit in range(int(a.max(initial=0)).bit_length()):
+        order = np.argsort(a >> (bit + 1), kind="stable")
+        own, u, v = a[order], x[order], y[order]
+        block, high = own >> (bit + 1), (own >> bit & 1).astype(bool)
+        first, low, sums = np.searchsorted(block, block[high]), ~high, []
+        for w in (low.astype(float), u * low, v * low, u * v * low):
+            up_to = np.r_[0.0, np.cumsum(w)]
+            sums.append(up_to[:-1][high] - up_to[first])
+        n, su, sv, suv = sums
+        u, v = u[high], v[high]
+        total += float((n * u * v - u * sv - v * su + suv).sum())
+    return total
+
+
+def distance_statistics(base: DataFrame) -> tuple[float | None, float | None]:
+    """Mean and standard deviation of distance() over all pairs of rows of base (f), up to rounding; None without a pair.
+
+    No pair is spelled out. With x, y, .. the features times their weights, the mean takes the sums of |x' - x| over pairs, and the mean
+    square those of |x' - x||y' - y|: twice the products of the pairs in which x and y rise together, less those of all pairs, which are
+    n sum(xy) - sum(x) sum(y). Edges cut each feature into ranges, and equal values that are an edge are a range of their own.
+    Pairs that lie in different ranges of both features follow from sums of cells (range of x, range of y), the others are summed in
+    the task that has the rows of a range. A deviation that the rounding of the sums hides is 0.
+    """
+    names = [f"x{j}" for j in range(len(WEIGHTS))]
+    rows = base.select(*[(F.col(f"f.{f}").cast("double") * w).alias(c) for (f, w), c in zip(WEIGHTS.items(), names, strict=True)])
+    for c in names:
+        rows = rows.where(F.col(c).isNotNull())
+    n, odd = rows.agg(F.count("*"), F.max(F.greatest(*[F.isnan(c) | (F.abs(c) == float("inf")) for c in names]))).first()
+    if n < 2 or odd:
+        return (None, None) if n < 2 else (float("nan"), float("nan"))
+    cuts = min(max(n // TOGETHER, 1), MOST_EDGES)
+    edges = [np.unique(e) for e in rows.approxQuantile(names, [(j + 0.5) / cuts for j in range(cuts)], 0.25 / cuts)]
+    middle = [float(e[len(e) // 2]) for e in edges]
+    places = 2 * max(map(len, edges)) + 1  # odd ones are edges
+
+    def ranged(batch) -> tuple[np.ndarray, np.ndarray]:
+        """(feature, row) values from the middle, and their ranges."""
+        x = np.stack([c.to_numpy() for c in batch.columns])
+        at = np.stack([np.searchsorted(e, v) + np.searchsorted(e, v, side="right") for e, v in zip(edges, x, strict=True)])
+        return x - np.array(middle)[:, None], at
+
+    def cells(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, at = ranged(batch)
+            for i, j in zip(*np.triu_indices(len(x), 1), strict=True):
+                code, own = np.unique(at[i] * places + at[j], return_inverse=True)
+                sums = [np.bincount(own, w, minlength=len(code)).astype(float) for w in (None, x[i], x[j], x[i] * x[j])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), c, np.int32)) for c in (i, j)] + [pa.array(c) for c in (code, *sums)], ["i", "j", "cell", *SUMS])
+
+    def of_cells(table):
+        import pyarrow as pa
+
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        code, grid = table.column("cell").to_numpy(), np.zeros((4, places * places))
+        grid[:, code] = [table.column(c).to_numpy() for c in SUMS]
+        grid = grid.reshape(4, places, places)
+        before = np.zeros_like(grid)
+        before[:, 1:, 1:] = grid.cumsum(axis=1).cumsum(axis=2)[:, :-1, :-1]
+        (m, x, y, xy), (m_, x_, y_, xy_) = grid, before
+        rising = (xy * m_ - x * y_ - y * x_ + m * xy_).sum()
+        square = 2 * (2 * rising - (m.sum() * xy.sum() - x.sum() * y.sum()))
+        mean = 0.0
+        for v, axis, once in ((x, 1, j == i + 1), (y, 0, j == i + 1 == len(names) - 1)):  # each feature's ranges, by one of its pairs
+            count, v = m.sum(axis=axis), v.sum(axis=axis)
+            mean += float((v[1:] * count.cumsum()[:-1] - count[1:] * v.cumsum()[:-1]).sum()) if once else 0.0
+        return pa.table({"mean": [mean], "square": [float(square)]})
+
+    def parts(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, at = ranged(batch)
+            for i in range(len(x)):
+                some = np.flatnonzero(at[i] % 2 == 0)
+                made = [pa.array(np.full(len(some), i, np.int32)), pa.array(at[i, some]), *[pa.array(c[some]) for c in x], *[pa.array(c[some]) for c in at]]
+                yield pa.RecordBatch.from_arrays(made, ["i", "at", *names, *[f"{c}_at" for c in names]])
+
+    def of_part(table):
+        import pyarrow as pa
+
+        i, m = table.column("i")[0].as_py(), len(table)
+        x, at = ([table.column(c + end).to_numpy() for c in names] for end in ("", "_at"))
+        order = np.argsort(x[i], kind="stable")
+        place = np.empty(m, np.int64)
+        place[order] = np.arange(m)
+        mean = float(((2 * np.arange(m) - m + 1) * x[i][order]).sum())
+        # With the features behind, pairs of this range; with those before, only pairs that aren't in one range of theirs.
+        rising = sum(concordant(place, x[i], x[j]) if j > i else concordant(at[j], x[j], x[i]) for j in range(len(x)) if j != i)
+        return pa.table({"mean": [mean], "square": [4.0 * rising]})
+
+    sums, out = ", ".join(f"{c} double" for c in SUMS), "mean double, square double"
+    met = rows.mapInArrow(cells, f"i int, j int, cell long, {sums}").groupBy("i", "j", "cell").agg(*[F.sum(c).alias(c) for c in SUMS])
+    near = rows.mapInArrow(parts, ", ".join(["i int, at long", *[f"{c} double" for c in names], *[f"{c}_at long" for c in names]]))
+    found = met.groupBy("i", "j").applyInArrow(of_cells, out).unionByName(near.groupBy("i", "at").applyInArrow(of_part, out))
+    off = [F.col(c) - v for c, v in zip(names, middle, strict=True)]
+    alone = rows.agg(*[F.sum(c) for c in off], *[F.sum(c * c) for c in off]).first()
+    mean, square = found.agg(F.sum("mean"), F.sum("square")).first()
+    pairs = n * (n - 1) / 2
+    square = (square + sum(n * q - v * v for v, q in zip(alone[: len(names)], alone[len(names) :], strict=True))) / pairs
+    mean /= pairs
+    variance = square - mean * mean
+    return mean, float(np.sqrt(variance)) if n > 2 and variance > LOST * square else 0.0
+
+
 def numbered(df: DataFrame, key: str, name: str = "n") -> DataFrame:
     """df with the place of each row by a numeric key, from 0, nulls first: places within ranges of keys, plus the counts of the ranges before."""
     low, high = df.agg(F.min(key), F.max(key)).first()

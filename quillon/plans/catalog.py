@@ -577,17 +577,16 @@ def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
 _S_DISTANCE = "2.0 * abs({a}.p2p - {b}.p2p) + 3.0 * abs({a}.sd - {b}.sd) + 4.0 * abs({a}.up - {b}.up) + 4.0 * abs({a}.down - {b}.down) + 2.0 * abs({a}.en - {b}.en) + 0.5 * abs({a}.zc - {b}.zc) + 1.5 * abs({a}.mx - {b}.mx)"
 _S_SCORED = f"""{_S_WINDOWS}, {_S_FEATURES}, q as (select user_id, win, mx - mn as p2p, sd, greatest(list_max(d), 0) as up, least(list_min(d), 0) as down, en, mx, len(list_filter(range(1, 10), lambda k: (s[k] >= 0) <> (s[k + 1] >= 0))) as zc,
   flatten(list_transform(range(10), lambda k: list_transform(range(4), lambda i: i + k * 16 + cast(round({s_share('s[k + 1]', 0.0, 500.0)} * 12.0) as bigint)))) as bits from f),
-  base as (select *, row_number() over (order by user_id) - 1 as n, greatest(count(*) over () // 50, 1) as step from q where win = 0)"""
+  base as (select *, row_number() over (order by user_id) as n from q where win = 0)"""
 
 
-@query("hybrid_score", f"""with {_S_SCORED}, st as (select avg({_S_DISTANCE.format(a='i', b='j')}) as m, stddev_pop({_S_DISTANCE.format(a='i', b='j')}) as s from base i join base j on i.n < j.n and i.n % i.step = 0 and j.n % j.step = 1 % j.step),
+@query("hybrid_score", f"""with {_S_SCORED}, st as (select avg({_S_DISTANCE.format(a='i', b='j')}) as m, stddev_pop({_S_DISTANCE.format(a='i', b='j')}) as s from base i join base j on i.n < j.n),
   best as (select q.user_id, q.win, max(len(list_intersect(q.bits, b.bits))) as o, min({_S_DISTANCE.format(a='q', b='b')}) as d from q, base b group by all), z as (select *, case when s > 0 then (d - m) / s else 0 end as z from best, st)
   select user_id, win, cast(o as bigint) as overlap, round(d, 6) as distance, round(0.3::double * greatest(0, 1 - o / 40.0::double) + 0.7::double * greatest(0, z / (1 + abs(z))), 6) as score from z""")
 def hybrid_score(spark, sf):
     w = staged(scored_windows(spark, sf), "windows")  # read by every step of the search
-    base = windows.numbered(w.where("win = 0"), "user_id")
-    s = windows.baseline_statistics(base).first()
-    out = windows.hybrid_score(w, base, ["user_id", "win"], s["distance_mean"], s["distance_std"], 40.0)
+    base = w.where("win = 0")
+    out = windows.hybrid_score(w, base, ["user_id", "win"], *windows.distance_statistics(base), 40.0)
     return out.select("user_id", "win", F.col("overlap").cast("long").alias("overlap"), r6(F.col("distance")).alias("distance"), r6(F.col("score")).alias("score"))
 
 
