@@ -106,8 +106,11 @@ def md5_upper(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def tails(*keys: np.ndarray) -> np.ndarray:
     """The ends of the texts of uniform() that whole numbers make, as bytes."""
-    each = zip(*[k.tolist() for k in keys], strict=True)
-    return np.array(["".join(f":{k}" for k in some).encode() for some in each], bytes) if len(keys[0]) else np.zeros(0, "S1")
+    out = np.zeros(len(keys[0]), "S1")
+    for k in keys:
+        each, at = np.unique(k, return_inverse=True)
+        out = np.char.add(out, np.array([f":{x}".encode() for x in each.tolist()], bytes)[at])
+    return out
 
 
 def _words(texts: np.ndarray, at: int, closed: np.ndarray | None = None) -> np.ndarray:
